@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import slices
-from .tokens import encoder
+from .tokens import ENCODE_BYTES, encoder
 
 CAPACITY = 1024
 #: Rows of a shard that is packed by itself.
@@ -36,7 +36,7 @@ def token_pieces(documents: DataFrame, tokenizer: str, *, id_col: str = "doc_id"
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer, keeps_space).encode
         end = np.array([end_id], dtype="<u4")
-        for batch in slices(batches, text_col):
+        for batch in slices(batches, text_col, ENCODE_BYTES):
             texts = [x or "" for x in batch.column(text_col).to_pylist()]
             row, piece, start, length, ids = [], [], [], [], []
             for i, found in enumerate(encode(texts)):

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import shared_path, slices
-from .tokens import encoder
+from .tokens import ENCODE_BYTES, encoder
 
 MAGIC = b"TIDS1\0"
 #: Bounds of the sample for the dictionary and of the dictionary itself.
@@ -100,7 +100,7 @@ def write_store(documents: DataFrame, path: str, tokenizer: str, *, id_col: str
     picked = base.join(F.broadcast(chosen.distinct()), "id").orderBy(F.xxhash64("id"), "id", "text").limit(sample)
 
     def serialize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", ENCODE_BYTES):
             yield pa.RecordBatch.from_arrays([pa.array(_serialized(batch.column("text").to_pylist(), tokenizer, keeps_space, end_id), pa.binary())], names=["raw"])
 
     # at most 256 KB of a document's ids, the largest that training looks at
@@ -110,7 +110,7 @@ def write_store(documents: DataFrame, path: str, tokenizer: str, *, id_col: str
 
     def frames(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compress = _compressor(shared.value).compress
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", ENCODE_BYTES):
             raw = _serialized(batch.column("text").to_pylist(), tokenizer, keeps_space, end_id)
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([len(x) // 4 for x in raw], pa.int64()), pa.array([compress(x) for x in raw], pa.binary())], names=["id", "n", "frame"])
 

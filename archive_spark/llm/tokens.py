@@ -8,59 +8,82 @@ the tokenizer, all those of a batch at once. Pieces are cut where both pre-token
 from __future__ import annotations
 
 import re
+from itertools import chain
 
 import numpy as np
 from tokenizers import Tokenizer
 
-#: White space in Unicode.
-WHITE = "\t-\r \x85\xa0  -     　"
-_LEADING = re.compile(f" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
-_DROPPED = re.compile(f"[^{WHITE}]+")
-#: Pieces kept by a worker.
-MAX_PIECES = 400_000
+#: White space in Unicode, and the Latin letters up to U+024F.
+WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+LATIN = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f"
+#: A run of Latin letters before an ASCII character that is no letter is a piece of either pre-tokenizer.
+_LETTERS = f"[{LATIN}]+(?=[\x01-@\\[-`{{-\x7f]|$)"
+_LEADING = re.compile(f" ?{_LETTERS}| ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
+_DROPPED = re.compile(f"{_LETTERS}|[^{WHITE}]+")
+#: Pieces that a worker keeps at most; when there are more, those met once since the last time are forgotten.
+MAX_PIECES = 600_000
+#: Bytes of text encoded at once.
+ENCODE_BYTES = 1 << 20
+_FOLD = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
 class PieceEncoder:
-    """Encodes texts; keeps_space: white space has ids of its own (byte-level), else it only parts words."""
+    """Encodes texts; keeps_space: white space has ids of its own and case counts (byte-level), else it only parts words
+    and A-Z count as a-z."""
 
     def __init__(self, path: str, keeps_space: bool):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # special tokens' names in a text are ordinary text
-        self.cut = (_LEADING if keeps_space else _DROPPED).findall
-        self._forget()
-
-    def _forget(self) -> None:
+        self.keeps_space = keeps_space
         self.number: dict[str, int] = {}
+        self.uses = np.zeros(0, dtype=np.int64)
         self.offsets = np.zeros(1, dtype=np.int64)
         self.pool = np.zeros(0, dtype=np.uint32)
 
+    def _flat(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the numbered pieces one after another, and how many each has."""
+        begin, sizes = self.offsets[at], self.offsets[at + 1] - self.offsets[at]
+        ends = np.cumsum(sizes)
+        return self.pool[np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(begin - (ends - sizes), sizes)], sizes
+
+    def _forget(self) -> None:
+        """Keep the pieces that were met again."""
+        keep = np.flatnonzero(self.uses > 1)
+        if len(keep) > MAX_PIECES // 2:
+            keep = np.sort(np.argsort(-self.uses, kind="stable")[: MAX_PIECES // 2])
+        pieces = list(self.number)
+        self.pool, sizes = self._flat(keep)
+        self.offsets = np.concatenate(([0], np.cumsum(sizes)))
+        self.number = {pieces[i]: k for k, i in enumerate(keep.tolist())}
+        self.uses = np.zeros(len(keep), dtype=np.int64)
+
     def _learn(self, pieces: list[str]) -> None:
-        if len(self.number) + len(pieces) > MAX_PIECES:
-            self._forget()
         known = len(self.number)
         self.number.update(zip(pieces, range(known, known + len(pieces))))
         ids = [e.ids for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
         sizes = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
-        self.pool = np.concatenate((self.pool, np.fromiter((x for e in ids for x in e), dtype=np.uint32, count=int(sizes.sum()))))
+        self.pool = np.concatenate((self.pool, np.fromiter(chain.from_iterable(ids), dtype=np.uint32, count=int(sizes.sum()))))
         self.offsets = np.concatenate((self.offsets, self.offsets[-1] + np.cumsum(sizes)))
+        self.uses = np.concatenate((self.uses, np.zeros(len(pieces), dtype=np.int64)))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text, as unsigned 32-bit integers."""
-        cut = [self.cut(t) for t in texts]
-        met: set[str] = set()
-        for pieces in cut:
-            met.update(pieces)
-        if new := [p for p in met if p not in self.number]:
+        if self.keeps_space:
+            cut = [_LEADING.findall(t) for t in texts]
+        else:
+            cut = [_DROPPED.findall(t.encode().translate(_FOLD).decode()) for t in texts]
+        counts = np.fromiter(map(len, cut), dtype=np.int64, count=len(cut))
+        flat = list(chain.from_iterable(cut))
+        if new := list(set(flat).difference(self.number)):
             if len(self.number) + len(new) > MAX_PIECES:
-                new = list(met)
+                self._forget()
+                new = list(set(flat).difference(self.number))
             self._learn(new)
-        out = []
-        for pieces in cut:
-            at = np.fromiter(map(self.number.__getitem__, pieces), dtype=np.int64, count=len(pieces))
-            begin, sizes = self.offsets[at], self.offsets[at + 1] - self.offsets[at]
-            place = np.arange(int(sizes.sum())) + np.repeat(begin - (np.cumsum(sizes) - sizes), sizes)
-            out.append(self.pool[place])
-        return out
+        at = np.fromiter(map(self.number.__getitem__, flat), dtype=np.int64, count=len(flat))
+        self.uses += np.bincount(at, minlength=len(self.uses))
+        ids, sizes = self._flat(at)
+        ends = np.concatenate(([0], np.cumsum(sizes)))[np.cumsum(counts)]
+        return np.split(ids, ends[:-1]) if len(texts) else []
 
 
 _encoders: dict[tuple[str, bool], PieceEncoder] = {}
