@@ -32,7 +32,7 @@ from .tokens import ENCODE_BYTES, encoder
 
 MAGIC = b"TIDS1\0"
 #: Bounds of the sample for the dictionary and of the dictionary itself.
-SAMPLE_DOCUMENTS, DICTIONARY_BYTES, LEVEL = 1000, 64 << 10, 3
+SAMPLE_DOCUMENTS, DICTIONARY_BYTES, LEVEL = 1000, 64 << 10, 1
 #: Frame bytes after which a block ends.
 BLOCK_BYTES = 4 << 20
 

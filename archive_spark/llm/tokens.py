@@ -21,7 +21,7 @@ _LETTERS = f"[{LATIN}]+(?=[\x01-@\\[-`{{-\x7f]|$)"
 _LEADING = re.compile(f" ?{_LETTERS}| ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
 _DROPPED = re.compile(f"{_LETTERS}|[^{WHITE}]+")
 #: Pieces that a worker keeps at most; when there are more, those met once since the last time are forgotten.
-MAX_PIECES = 600_000
+MAX_PIECES = 900_000
 #: Bytes of text encoded at once.
 ENCODE_BYTES = 1 << 20
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
