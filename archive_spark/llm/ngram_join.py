@@ -12,8 +12,8 @@ hashes. Two sets link when 100 * |intersection| >= 75 * |union|. Results are con
    size and by the positions of the shared shingle. A short list gives all its pairs; a long one only a star and a
    chain, and is kept. A shingle that is hot by the sketch is thinned to one entry a task before the shuffle.
 4. Star and chain pairs are expanded to members and verified exactly; links give components.
-5. Of the other pairs, and of the kept lists, only pairs between different components can still matter; these are all
-   expanded and verified. So no link between components is lost, while a large group of near copies costs a few pairs
+5. Of the other pairs, and of the kept lists, only pairs between different components can still matter. A few rounds of
+   stars between components come first; what is left is all expanded and verified. So no link between components is lost, while a large group of near copies costs a few pairs
    for each member.
 
 Defined results: null, empty and wordless texts have no shingle and stand alone; a text of one to four words has its
@@ -41,6 +41,8 @@ SKETCH_BITS, BUCKET_ENTRIES, SHORT_LIST, HOT = 18, 1 << 20, 16, 100_000
 FLUSH_ENTRIES, SKETCH_PARTS = 1 << 20, 8
 #: Rows up to which a list of ids is broadcast (8 to 16 bytes each); longer ones are joined by shuffle.
 BROADCAST_ROWS = 1_000_000
+#: Rounds of further stars before all pairs between components are tried.
+STAR_ROUNDS = 3
 _SPACE = byte_table(SPACES)
 
 
@@ -150,8 +152,10 @@ def _distinct(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _lists(token, group, n, rest):
-    """Entries sorted by token, size and group, each group once a token; and where each entry's list starts and its length."""
-    order = np.lexsort((group, n, token))
+    """Entries sorted by token, position, size and group, each group once a token; and where each entry's list starts and its
+    length. So a list is headed by the set with the fewest shingles of its own before the shared one: of a group of near
+    copies, the one that most others are near to."""
+    order = np.lexsort((group, n, n - rest, token))
     token, group, n, rest = token[order], group[order], n[order], rest[order]
     keep = np.ones(len(token), dtype=bool)
     keep[1:] = (token[1:] != token[:-1]) | (group[1:] != group[:-1])
@@ -346,6 +350,32 @@ def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     return both.where(F.coalesce("r_a", "a") != F.coalesce("r_b", "b")).select("a", "b")
 
 
+def _possible(x: str, y: str) -> str:
+    """The size and position filters in SQL."""
+    need = f"cast(ceil({PERCENT} * ({x}.n + {y}.n) / {100 + PERCENT}) as bigint)"
+    return f"least({x}.n, {y}.n) >= {need} and least({x}.rest, {y}.rest) >= {need}"
+
+
+def _mixed(entries: DataFrame, roots: DataFrame) -> DataFrame:
+    """The entries of lists with more than one component, with their roots."""
+    placed = entries.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("token", "fp", "n", "rest", F.coalesce("root", "fp").alias("root"))
+    mixed = placed.groupBy("token").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("token")
+    return placed.join(mixed, "token")
+
+
+def _stars(entries: DataFrame) -> DataFrame:
+    """Each list's head with all entries of other components, and the head of those with all that are not its own."""
+    best = F.min_by(F.struct("fp", "n", "rest", "root"), F.struct((F.col("n") - F.col("rest")) / F.col("n"), F.col("fp")))
+    out = []
+    heads = entries.groupBy("token").agg(best.alias("h"))
+    for _ in range(2):
+        apart = entries.join(heads, "token").where("root <> h.root")
+        pairs = apart.alias("x").where(F.expr(_possible("x", "x.h")))
+        out.append(pairs.select(F.least("fp", "h.fp").alias("a"), F.greatest("fp", "h.fp").alias("b")))
+        heads = apart.groupBy("token").agg(best.alias("h"))
+    return out[0].unionByName(out[1]).distinct()
+
+
 def similar_documents(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT, short_list: int = SHORT_LIST) -> DataFrame:
     """Per document: id, n_shingles, component_id."""
     base = documents.select(F.col(id_col), F.col(text_col))
@@ -369,15 +399,20 @@ def similar_documents(documents: DataFrame, *, id_col: str = "doc_id", text_col:
     roots = materialize(components(links), "roots")
     # pairs of short lists between components, and of long lists with more than one component
     other = _expand(found.where(F.col("kind") == _OTHER).select("a", "b").distinct(), members)
-    entries = found.where(F.col("kind") == _LIST).select("token", F.col("a").alias("group"), "n", "rest").join(members, "group")
-    entries = entries.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("token", "fp", "n", "rest", F.coalesce("root", "fp").alias("root"))
-    mixed = entries.groupBy("token").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("token")
-    entries = entries.join(mixed, "token")
-    need = f"cast(ceil({PERCENT} * (x.n + y.n) / {100 + PERCENT}) as bigint)"
-    across = entries.alias("x").join(entries.alias("y"), F.expr(f"x.token = y.token and x.root < y.root and least(x.n, y.n) >= {need} and least(x.rest, y.rest) >= {need}"))
+    entries = found.where(F.col("kind") == _LIST).select("token", F.col("a").alias("group"), "n", "rest").join(members, "group").drop("group")
+    tested = first
+    for _ in range(STAR_ROUNDS):  # while stars from other heads still join components
+        pairs = materialize(_stars(_mixed(entries, roots)).join(tested, ["a", "b"], "left_anti"), "pairs")
+        more = materialize(_verify(base, owners, pairs, id_col, text_col), "links")
+        if more.isEmpty():
+            break
+        links, tested = links.unionByName(more), tested.unionByName(pairs)
+        roots = materialize(components(links), "roots")
+    left = _mixed(entries, roots)
+    across = left.alias("x").join(left.alias("y"), F.expr(f"x.token = y.token and x.root < y.root and {_possible('x', 'y')}"))
     across = across.select(F.least("x.fp", "y.fp").alias("a"), F.greatest("x.fp", "y.fp").alias("b"))
-    second = materialize(_apart(other, roots).unionByName(across).distinct().join(first, ["a", "b"], "left_anti"), "pairs")
-    if second.limit(1).count():
+    second = materialize(_apart(other, roots).unionByName(across).distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
+    if not second.isEmpty():
         links = links.unionByName(_verify(base, owners, second, id_col, text_col))
         roots = materialize(components(links), "roots")
     # the smallest id of each component; wordless documents stand alone
