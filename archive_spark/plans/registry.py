@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import archive_queries, chat_queries, search_queries
+
 Query = Callable[[SparkSession, str], DataFrame]
-_MODULES: tuple = ()
+_MODULES = (archive_queries, search_queries, chat_queries)
 
 
 def queries() -> dict[str, Query]:
