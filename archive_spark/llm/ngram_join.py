@@ -9,9 +9,9 @@ hashes. Two sets link when 100 * |intersection| >= 75 * |union|. Results are con
 2. A set's prefix is its first n - ceil(0.75 n) + 1 shingles in that order; linked sets share a prefix shingle. Sets
    with identical prefixes and sizes (all copies, first of all) collapse into one group.
 3. Prefix entries of groups meet by shingle in buckets of packed arrays. Lists are sorted by size; pairs are filtered by
-   size and by the positions of the shared shingle. A short list gives all its pairs; a long one only a star and a
-   chain, and is kept. A shingle that is hot by the sketch is thinned to one entry a task before the shuffle.
-4. Star and chain pairs are expanded to members and verified exactly; links give components.
+   size and by the positions of the shared shingle. A short list gives all its pairs; a long one only a star,
+   and is kept. A shingle that is hot by the sketch is thinned to one entry a task before the shuffle.
+4. Star pairs are expanded to members and verified exactly; links give components.
 5. Of the other pairs, and of the kept lists, only pairs between different components can still matter. A few rounds of
    stars between components come first; what is left is all expanded and verified. So no link between components is lost, while a large group of near copies costs a few pairs
    for each member.
@@ -36,9 +36,11 @@ from .common import SPACES, byte_table, joined, materialize, mix, raw_texts, sli
 
 WORDS, PERCENT = 5, 75
 #: Counters of the sketch; prefix entries of a bucket; lists up to this length give all pairs; count from which a shingle is hot.
-SKETCH_BITS, BUCKET_ENTRIES, SHORT_LIST, HOT = 18, 1 << 20, 16, 100_000
+SKETCH_BITS, BUCKET_ENTRIES, SHORT_LIST, HOT = 18, 1 << 19, 16, 100_000
 #: Prefix entries that a task holds before it sends them on, and parts in which the sketch is summed.
-FLUSH_ENTRIES, SKETCH_PARTS = 1 << 20, 8
+FLUSH_ENTRIES, SKETCH_PARTS = 1 << 19, 8
+#: Bytes of text hashed at once.
+HASH_BYTES = 1 << 20
 #: Rows up to which a list of ids is broadcast (8 to 16 bytes each); longer ones are joined by shuffle.
 BROADCAST_ROWS = 1_000_000
 #: Rounds of further stars before all pairs between components are tried.
@@ -86,7 +88,7 @@ def _measure(text_col: str, id_col: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch = np.zeros(1 << SKETCH_BITS, dtype=np.int64)
         kind = None
-        for batch in slices(batches, text_col):
+        for batch in slices(batches, text_col, HASH_BYTES):
             sets = shingle_sets(raw_texts(batch.column(text_col)))
             kind = batch.column(id_col).type
             if any(map(len, sets)):
@@ -166,9 +168,9 @@ def _lists(token, group, n, rest):
 
 
 def star_pairs(group, n, rest, head):
-    """Each entry with the head of its list and with the one before it."""
-    at = np.flatnonzero(np.arange(len(head)) != head)
-    i, j = np.concatenate((head[at], at - 1)), np.concatenate((at, at))
+    """Each entry with the head of its list."""
+    j = np.flatnonzero(np.arange(len(head)) != head)
+    i = head[j]
     ok = possible(n[i], rest[i], n[j], rest[j])
     return _distinct(group[i[ok]], group[j[ok]])
 
@@ -212,7 +214,7 @@ def _deal(sketch, text_col: str, buckets: int, hot: int):
             held.clear(), members.clear()
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.binary())], names=["bucket", "kind", "data"])
 
-        for batch in slices(batches, text_col):
+        for batch in slices(batches, text_col, HASH_BYTES):
             for shingles in shingle_sets(raw_texts(batch.column(text_col))):
                 if not (n := len(shingles)) or (fp := fingerprint(shingles)) in known:
                     continue
@@ -256,7 +258,7 @@ def _meet(short: int):
             a, b = star_pairs(group, n, rest, head)
             add(_STAR, a, b)
             found = []
-            for step in range(2, short):  # all other pairs of short lists
+            for step in range(1, short):  # all other pairs of short lists
                 i = np.flatnonzero((head[:-step] == head[step:]) & (size[step:] <= short)) if len(head) > step else []
                 if not len(i):
                     break
@@ -294,7 +296,7 @@ def _verify(documents: DataFrame, owners: DataFrame, pairs: DataFrame, id_col: s
     texts = documents.select(F.col(id_col), F.col(text_col)).join(F.broadcast(chosen) if few else chosen, id_col)
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, text_col):
+        for batch in slices(batches, text_col, HASH_BYTES):
             found = [(fp, s.tobytes()) for fp, s in zip(batch.column("fp").to_pylist(), shingle_sets(raw_texts(batch.column(text_col)))) if fingerprint(s) == fp]
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array([f for f, _ in found], pa.int64()), pa.array([s for _, s in found], pa.binary())], names=["fp", "items"])
@@ -356,11 +358,20 @@ def _possible(x: str, y: str) -> str:
     return f"least({x}.n, {y}.n) >= {need} and least({x}.rest, {y}.rest) >= {need}"
 
 
-def _mixed(entries: DataFrame, roots: DataFrame) -> DataFrame:
-    """The entries of lists with more than one component, with their roots."""
-    placed = entries.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("token", "fp", "n", "rest", F.coalesce("root", "fp").alias("root"))
+def _small(df: DataFrame, name: str) -> DataFrame:
+    """A written table, to be broadcast if its rows were counted and are few."""
+    df = materialize(df, name)
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+def _mixed(entries: DataFrame, members: DataFrame, roots: DataFrame) -> DataFrame:
+    """The entries of lists with more than one component, by member and with their roots.
+
+    A list lies in one file, so that it is reduced to one row before the shuffle."""
+    placed = members.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("group", "fp", F.coalesce("root", "fp").alias("root"))
+    placed = entries.join(_small(placed, "group-roots"), "group").select("token", "fp", "n", "rest", "root")
     mixed = placed.groupBy("token").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("token")
-    return placed.join(mixed, "token")
+    return placed.join(_small(mixed, "mixed-lists"), "token")
 
 
 def _stars(entries: DataFrame) -> DataFrame:
@@ -389,7 +400,7 @@ def similar_documents(documents: DataFrame, *, id_col: str = "doc_id", text_col:
     found = materialize(dealt.groupBy("bucket").applyInArrow(_meet(short_list), "kind int, a long, b long, token long, n long, rest long"), "candidates")
     members = found.where(F.col("kind") == _MEMBER).select(F.col("a").alias("group"), F.col("b").alias("fp"))
     owners = rows.where("n > 0 and id is not null").groupBy("fp").agg(F.min("id").alias("id"))
-    # sets that share prefix and size, and the star and chain pairs
+    # sets that share prefix and size, and the star pairs
     twins = members.groupBy("group").agg(F.min("fp").alias("x"), F.max("fp").alias("y")).where("x < y").select("group")
     inside = members.join(twins, "group").select("group", "fp")
     inside = inside.alias("x").join(inside.alias("y"), F.expr("x.group = y.group and x.fp < y.fp")).select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b"))
@@ -399,16 +410,16 @@ def similar_documents(documents: DataFrame, *, id_col: str = "doc_id", text_col:
     roots = materialize(components(links), "roots")
     # pairs of short lists between components, and of long lists with more than one component
     other = _expand(found.where(F.col("kind") == _OTHER).select("a", "b").distinct(), members)
-    entries = found.where(F.col("kind") == _LIST).select("token", F.col("a").alias("group"), "n", "rest").join(members, "group").drop("group")
+    entries = found.where(F.col("kind") == _LIST).select("token", F.col("a").alias("group"), "n", "rest")
     tested = first
     for _ in range(STAR_ROUNDS):  # while stars from other heads still join components
-        pairs = materialize(_stars(_mixed(entries, roots)).join(tested, ["a", "b"], "left_anti"), "pairs")
+        pairs = materialize(_stars(_mixed(entries, members, roots)).join(tested, ["a", "b"], "left_anti"), "pairs")
         more = materialize(_verify(base, owners, pairs, id_col, text_col), "links")
         if more.isEmpty():
             break
         links, tested = links.unionByName(more), tested.unionByName(pairs)
         roots = materialize(components(links), "roots")
-    left = _mixed(entries, roots)
+    left = _mixed(entries, members, roots)
     across = left.alias("x").join(left.alias("y"), F.expr(f"x.token = y.token and x.root < y.root and {_possible('x', 'y')}"))
     across = across.select(F.least("x.fp", "y.fp").alias("a"), F.greatest("x.fp", "y.fp").alias("b"))
     second = materialize(_apart(other, roots).unionByName(across).distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
