@@ -39,6 +39,8 @@ WORDS, PERCENT = 5, 75
 SKETCH_BITS, BUCKET_ENTRIES, SHORT_LIST, HOT = 18, 1 << 19, 16, 100_000
 #: Prefix entries that a task holds before it sends them on, and parts in which the sketch is summed.
 FLUSH_ENTRIES, SKETCH_PARTS = 1 << 19, 8
+#: Rows of an Arrow batch.
+ARROW_ROWS = 500
 #: Bytes of text hashed at once.
 HASH_BYTES = 1 << 20
 #: Rows up to which a list of ids is broadcast (8 to 16 bytes each); longer ones are joined by shuffle.
@@ -387,8 +389,7 @@ def _stars(entries: DataFrame) -> DataFrame:
     return out[0].unionByName(out[1]).distinct()
 
 
-def similar_documents(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT, short_list: int = SHORT_LIST) -> DataFrame:
-    """Per document: id, n_shingles, component_id."""
+def _similar_documents(documents: DataFrame, id_col: str, text_col: str, hot: int, short_list: int) -> DataFrame:
     base = documents.select(F.col(id_col), F.col(text_col))
     schema = T.StructType([base.schema[id_col], *T.StructType.fromDDL("n long, fp long, part int, counts binary").fields])
     measured = materialize(base.mapInArrow(_measure(text_col, id_col), schema), "set-sizes")
@@ -432,6 +433,20 @@ def similar_documents(documents: DataFrame, *, id_col: str = "doc_id", text_col:
     return placed.join(smallest, "root", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("smallest", "id").alias("component_id"))
 
 
+def similar_documents(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT, short_list: int = SHORT_LIST) -> DataFrame:
+    """Per document: id, n_shingles, component_id.
+
+    All steps in Python run inside this call, in Arrow batches of few rows, as rows hold whole sets; then the session's
+    own setting holds again."""
+    conf, key = documents.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = conf.get(key)
+    conf.set(key, ARROW_ROWS)
+    try:
+        return _similar_documents(documents, id_col, text_col, hot, short_list)
+    finally:
+        conf.set(key, before)
+
+
 def keep_one_of_each(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The documents that are the smallest id of their component, with all columns; of repeated rows one stays."""
     found = similar_documents(documents, id_col=id_col, text_col=text_col, **options)
