@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 #: The separators of `[^\x20\x09-\x0D]+`.
 SPACES = b"\t\n\v\f\r "
 #: About this many bytes of text are worked on at once.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 _own_dir: dict[str, str] = {}
 
