@@ -366,14 +366,24 @@ def _small(df: DataFrame, name: str) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
-def _mixed(entries: DataFrame, members: DataFrame, roots: DataFrame) -> DataFrame:
-    """The entries of lists with more than one component, by member and with their roots.
+def _mixed(placed: DataFrame) -> DataFrame:
+    """Of entries with roots, those of lists with more than one component, as a table.
 
     A list lies in one file, so that it is reduced to one row before the shuffle."""
-    placed = members.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("group", "fp", F.coalesce("root", "fp").alias("root"))
-    placed = entries.join(_small(placed, "group-roots"), "group").select("token", "fp", "n", "rest", "root")
     mixed = placed.groupBy("token").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("token")
-    return placed.join(_small(mixed, "mixed-lists"), "token")
+    return materialize(placed.join(_small(mixed, "mixed-tokens"), "token"), "mixed-lists")
+
+
+def _placed(entries: DataFrame, members: DataFrame, roots: DataFrame) -> DataFrame:
+    """Entries by member, with the members' roots."""
+    of_group = members.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("group", "fp", F.coalesce("root", "fp").alias("root"))
+    return entries.join(_small(of_group, "group-roots"), "group").select("token", "fp", "n", "rest", "root")
+
+
+def _placed_again(entries: DataFrame, roots: DataFrame) -> DataFrame:
+    """The same entries after more components were joined: a list of one component stays one, so mixed lists are enough."""
+    known = _small(roots.withColumnRenamed("node", "fp"), "member-roots")
+    return entries.drop("root").join(known, "fp", "left").select("token", "fp", "n", "rest", F.coalesce("root", "fp").alias("root"))
 
 
 def _stars(entries: DataFrame) -> DataFrame:
@@ -413,14 +423,15 @@ def _similar_documents(documents: DataFrame, id_col: str, text_col: str, hot: in
     other = _expand(found.where(F.col("kind") == _OTHER).select("a", "b").distinct(), members)
     entries = found.where(F.col("kind") == _LIST).select("token", F.col("a").alias("group"), "n", "rest")
     tested = first
+    left = _mixed(_placed(entries, members, roots))
     for _ in range(STAR_ROUNDS):  # while stars from other heads still join components
-        pairs = materialize(_stars(_mixed(entries, members, roots)).join(tested, ["a", "b"], "left_anti"), "pairs")
+        pairs = materialize(_stars(left).join(tested, ["a", "b"], "left_anti"), "pairs")
         more = materialize(_verify(base, owners, pairs, id_col, text_col), "links")
         if more.isEmpty():
             break
         links, tested = links.unionByName(more), tested.unionByName(pairs)
         roots = materialize(components(links), "roots")
-    left = _mixed(entries, members, roots)
+        left = _mixed(_placed_again(left, roots))
     across = left.alias("x").join(left.alias("y"), F.expr(f"x.token = y.token and x.root < y.root and {_possible('x', 'y')}"))
     across = across.select(F.least("x.fp", "y.fp").alias("a"), F.greatest("x.fp", "y.fp").alias("b"))
     second = materialize(_apart(other, roots).unionByName(across).distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
