@@ -11,7 +11,8 @@ hashes. Two sets link when 100 * |intersection| >= 75 * |union|. Results are con
 3. Prefix entries of groups meet by shingle in buckets of packed arrays. Lists are sorted by size; pairs are filtered by
    size and by the positions of the shared shingle. A short list gives all its pairs; a long one only a star,
    and is kept. A shingle that is hot by the sketch is thinned to one entry a task before the shuffle.
-4. Star pairs are expanded to members and verified exactly; links give components.
+4. Star pairs are expanded to members and verified exactly; links give components. Before sets are moved, pairs are
+   held against short bit sets: each shingle flips one bit, so two sets differ in as many shingles as bits at least.
 5. Of the other pairs, and of the kept lists, only pairs between different components can still matter. A few rounds of
    stars between components come first; what is left is all expanded and verified. So no link between components is lost, while a large group of near copies costs a few pairs
    for each member.
@@ -32,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SPACES, byte_table, joined, materialize, mix, raw_texts, slices, text_of, window_hashes, word_hashes, word_spans
+from .common import SPACES, arrays, byte_table, joined, materialize, mix, raw_texts, slices, text_of, window_hashes, word_hashes, word_spans
 
 WORDS, PERCENT = 5, 75
 #: Counters of the sketch; prefix entries of a bucket; lists up to this length give all pairs; count from which a shingle is hot.
@@ -45,6 +46,8 @@ ARROW_ROWS = 500
 HASH_BYTES = 1 << 20
 #: Rows up to which a list of ids is broadcast (8 to 16 bytes each); longer ones are joined by shuffle.
 BROADCAST_ROWS = 1_000_000
+#: Bits of a set's bit set.
+SET_BITS = 1024
 #: Rounds of further stars before all pairs between components are tried.
 STAR_ROUNDS = 3
 _SPACE = byte_table(SPACES)
@@ -84,8 +87,19 @@ def fingerprint(shingles: np.ndarray) -> int:
     return int(mix(total).view(np.int64)[0])
 
 
+def bit_sets(sets: list[np.ndarray]) -> np.ndarray:
+    """For each set, SET_BITS bits as signed longs: the parity of its shingles at each bit."""
+    sizes = [len(s) for s in sets]
+    if not sum(sizes):
+        return np.zeros((len(sets), SET_BITS // 64), dtype=np.int64)
+    bit = ((np.concatenate(sets) >> np.uint64(20)) % np.uint64(SET_BITS)).astype(np.int64)
+    odd = np.bincount(bit + np.repeat(np.arange(len(sets)) * SET_BITS, sizes), minlength=len(sets) * SET_BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64).reshape(len(sets), -1)
+
+
 def _measure(text_col: str, id_col: str):
-    """Rows of documents (id, n, fp), then the parts of the task's sketch."""
+    """Rows of documents (id, n, fp, bits), then the parts of the task's sketch."""
+    names, longs = [id_col, "n", "fp", "bits", "part", "counts"], pa.list_(pa.int64())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch = np.zeros(1 << SKETCH_BITS, dtype=np.int64)
@@ -96,11 +110,12 @@ def _measure(text_col: str, id_col: str):
             if any(map(len, sets)):
                 sketch += np.bincount((np.concatenate(sets) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(sketch))
             columns = [batch.column(id_col), pa.array([len(s) for s in sets], pa.int64()), pa.array([fingerprint(s) for s in sets], pa.int64())]
-            yield pa.RecordBatch.from_arrays([*columns, pa.nulls(len(sets), pa.int32()), pa.nulls(len(sets), pa.binary())], names=[id_col, "n", "fp", "part", "counts"])
+            columns.append(arrays(pa.int64(), np.full(len(sets), SET_BITS // 64), bit_sets(sets).reshape(-1)))
+            yield pa.RecordBatch.from_arrays([*columns, pa.nulls(len(sets), pa.int32()), pa.nulls(len(sets), pa.binary())], names=names)
         if sketch.any():
             parts = [p.tobytes() for p in np.split(sketch, SKETCH_PARTS)]
-            empty = [pa.nulls(SKETCH_PARTS, kind), *[pa.nulls(SKETCH_PARTS, pa.int64())] * 2]
-            yield pa.RecordBatch.from_arrays([*empty, pa.array(range(SKETCH_PARTS), pa.int32()), pa.array(parts, pa.binary())], names=[id_col, "n", "fp", "part", "counts"])
+            empty = [pa.nulls(SKETCH_PARTS, kind), *[pa.nulls(SKETCH_PARTS, pa.int64())] * 2, pa.nulls(SKETCH_PARTS, longs)]
+            yield pa.RecordBatch.from_arrays([*empty, pa.array(range(SKETCH_PARTS), pa.int32()), pa.array(parts, pa.binary())], names=names)
 
     return run
 
@@ -290,10 +305,25 @@ def _meet(short: int):
     return run
 
 
+def _of_pairs(owners: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The owners of the sets that occur in pairs."""
+    return owners.join(_small(pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct(), "wanted"), "fp")
+
+
+def _near(owners: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs that can link by their bit sets; none that links is lost."""
+    some = materialize(_of_pairs(owners, pairs).select("fp", "n", "bits"), "bit-sets")
+    side = lambda c: some.select(F.col("fp").alias(c), F.col("n").alias(f"n_{c}"), F.col("bits").alias(f"bits_{c}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    apart = F.aggregate(F.zip_with("bits_a", "bits_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    total = F.col("n_a") + F.col("n_b")
+    return both.where((100 + PERCENT) * (total - apart) >= 2 * PERCENT * total).select("a", "b")
+
+
 def _verify(documents: DataFrame, owners: DataFrame, pairs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """The pairs (a, b) of fingerprints whose sets link. owners: fp, id of one document that has it."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
-    chosen = materialize(owners.join(wanted, "fp").select(F.col("id").alias(id_col), "fp"), "set-owners")
+    """The pairs (a, b) of fingerprints whose sets link. owners: fp, n, bits, id of one document that has it."""
+    pairs = materialize(_near(owners, pairs), "near-pairs")
+    chosen = materialize(_of_pairs(owners, pairs).select(F.col("id").alias(id_col), "fp"), "set-owners")
     few = chosen.count() <= BROADCAST_ROWS
     texts = documents.select(F.col(id_col), F.col(text_col)).join(F.broadcast(chosen) if few else chosen, id_col)
 
@@ -401,7 +431,7 @@ def _stars(entries: DataFrame) -> DataFrame:
 
 def _similar_documents(documents: DataFrame, id_col: str, text_col: str, hot: int, short_list: int) -> DataFrame:
     base = documents.select(F.col(id_col), F.col(text_col))
-    schema = T.StructType([base.schema[id_col], *T.StructType.fromDDL("n long, fp long, part int, counts binary").fields])
+    schema = T.StructType([base.schema[id_col], *T.StructType.fromDDL("n long, fp long, bits array<long>, part int, counts binary").fields])
     measured = materialize(base.mapInArrow(_measure(text_col, id_col), schema), "set-sizes")
     rows = measured.where("part is null").select(F.col(id_col).alias("id"), "n", "fp")
     sketch = base.sparkSession.sparkContext.broadcast(_sketch(measured))
@@ -410,7 +440,8 @@ def _similar_documents(documents: DataFrame, id_col: str, text_col: str, hot: in
     dealt = base.mapInArrow(_deal(sketch, text_col, buckets, hot), "bucket int, kind int, data binary")
     found = materialize(dealt.groupBy("bucket").applyInArrow(_meet(short_list), "kind int, a long, b long, token long, n long, rest long"), "candidates")
     members = found.where(F.col("kind") == _MEMBER).select(F.col("a").alias("group"), F.col("b").alias("fp"))
-    owners = rows.where("n > 0 and id is not null").groupBy("fp").agg(F.min("id").alias("id"))
+    owned = measured.where("part is null and n > 0").where(F.col(id_col).isNotNull())
+    owners = materialize(owned.groupBy("fp").agg(F.min(id_col).alias("id"), F.first("n").alias("n"), F.first("bits").alias("bits")), "owners")
     # sets that share prefix and size, and the star pairs
     twins = members.groupBy("group").agg(F.min("fp").alias("x"), F.max("fp").alias("y")).where("x < y").select("group")
     inside = members.join(twins, "group").select("group", "fp")
