@@ -50,3 +50,15 @@ def test_hot_and_long_lists(spark, sf_dir):
     rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
     got = sorted(tuple(r) for r in ngram_join.similar_documents(docs, hot=2, short_list=2).collect())
     assert got == sorted(brute.jaccard(rows))
+
+
+def test_bit_sets_never_exceed_the_difference():
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.integers(0, 1 << 63, size=n, dtype=np.uint64)) for n in (0, 1, 7, 300, 5000)]
+    sets += [sets[3][:250], np.union1d(sets[3], sets[2])]
+    bits = ngram_join.bit_sets(sets)
+    for x, p in zip(sets, bits):
+        for y, q in zip(sets, bits):
+            apart = sum(bin(int(v) & (1 << 64) - 1).count("1") for v in p ^ q)
+            assert apart <= len(np.setxor1d(x, y)) and (apart - len(np.setxor1d(x, y))) % 2 == 0
+    assert ngram_join.bit_sets([]).shape[0] == 0
