@@ -1,13 +1,14 @@
 r"""Benchmark decontamination by one Aho-Corasick automaton over normalised test items.
 
-Texts are normalised to lower-case (A-Z) words of letters, digits and non-ASCII characters, joined by single blanks.
-The automaton holds every window of 13 words of every item (a shorter item is one window). Each text is scanned once;
-each match's end is mapped back to word numbers, and from there to byte offsets in the original text.
+Texts are normalised to lower-case (A-Z) words of letters, digits and non-ASCII characters. Each word of the items has a
+symbol; the automaton holds every window of 13 symbols of every item (a shorter item is one window). Each text is
+scanned once; matches are word numbers, which `hit_offsets` maps to offsets in the original text.
 
 Defined results: a null or wordless text has no words, no hits and is clean; a null or wordless item matches nothing;
 repeated items count once by id, a null id counts as 'null'; repeated documents are judged one by one; an empty
 benchmark makes every document clean. The benchmark's text is read in blocks of at most MAX_ITEM_BYTES, one automaton
-each, so that no more is ever sent to a task; documents pass through the blocks one after another.
+each, so that no more is ever sent to a task; documents pass through the blocks one after another, and are written in
+between, so that a task has one automaton at a time.
 """
 
 from __future__ import annotations
@@ -15,6 +16,8 @@ from __future__ import annotations
 import hashlib
 import uuid
 from collections.abc import Iterator
+from dataclasses import dataclass
+from itertools import repeat
 
 import ahocorasick
 import numpy as np
@@ -23,11 +26,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrays, raw_texts, slices
+from .common import arrays, materialize, raw_texts, slices
 
 WINDOW = 13
-#: Bound of the benchmark text in one automaton.
-MAX_ITEM_BYTES = 32 << 20
+#: Bound of the benchmark text in one automaton, whose nodes are 13 times its words at most (some 100 bytes a byte of text).
+MAX_ITEM_BYTES = 2 << 20
 
 #: Bytes of words stay (A-Z folded), all others become blanks.
 _WORD = bytes(b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
@@ -38,35 +41,43 @@ def normal_words(raw: bytes) -> list[bytes]:
     return raw.translate(_WORD).split()
 
 
-def build_automaton(items: list[tuple[str, bytes]], window: int = WINDOW) -> ahocorasick.Automaton | None:
+@dataclass
+class Scanner:
+    """An Aho-Corasick automaton over words: each word of an item has a symbol of its own, all other words share one."""
+
+    symbols: dict[bytes, str]
+    automaton: ahocorasick.Automaton
+
+
+def _symbol(n: int) -> str:
+    # from 1 on, past the surrogates; 0 stands for words that no item has
+    return chr(n + 1 if n + 1 < 0xD800 else n + 1 + 0x800)
+
+
+def build_automaton(items: list[tuple[str, bytes]], window: int = WINDOW) -> Scanner | None:
     """items: id, raw text. Values are (words in the window, ids)."""
-    patterns: dict[bytes, tuple[int, set[str]]] = {}
+    symbols: dict[bytes, str] = {}
+    patterns: dict[str, set[str]] = {}
     for item, raw in items:
-        words = normal_words(raw)
-        for i in range(max(1, len(words) - window + 1) if words else 0):
-            part = words[i : i + window]
-            patterns.setdefault(b" ".join(part), (len(part), set()))[1].add(item)
+        text = "".join([symbols.setdefault(w, _symbol(len(symbols))) for w in normal_words(raw)])
+        for i in range(max(1, len(text) - window + 1) if text else 0):
+            patterns.setdefault(text[i : i + window], set()).add(item)
     if not patterns:
         return None
     automaton = ahocorasick.Automaton()
-    for text, (n, ids) in patterns.items():
-        automaton.add_word(f" {text.decode('latin-1')} ", (n, tuple(sorted(ids))))
+    for text, ids in patterns.items():
+        automaton.add_word(text, (len(text), tuple(sorted(ids))))
     automaton.make_automaton()
-    return automaton
+    return Scanner(symbols, automaton)
 
 
-def scan_words(automaton: ahocorasick.Automaton, words: list[bytes]) -> tuple[list[tuple[int, int]], set[str]]:
+def scan_words(scanner: Scanner, words: list[bytes]) -> tuple[list[tuple[int, int]], set[str]]:
     """Hit word ranges (end exclusive), joined and in order, and the ids of the items found."""
-    text = b" " + b" ".join(words) + b" "
-    found = list(automaton.iter(text.decode("latin-1")))
-    if not found:
-        return [], set()
-    blanks = np.flatnonzero(np.frombuffer(text, dtype=np.uint8) == 32)
-    ends = np.searchsorted(blanks, np.fromiter((e for e, _ in found), dtype=np.int64))
+    text = "".join(map(scanner.symbols.get, words, repeat("\0")))
     ranges: list[tuple[int, int]] = []
     ids: set[str] = set()
-    for a, b, v in sorted((int(e) - v[0], int(e), v) for e, (_, v) in zip(ends, found)):
-        ids.update(v[1])
+    for a, b, found in sorted((e + 1 - n, e + 1, found) for e, (n, found) in scanner.automaton.iter(text)):
+        ids.update(found)
         if ranges and a <= ranges[-1][1]:
             ranges[-1] = (ranges[-1][0], max(b, ranges[-1][1]))
         else:
@@ -74,7 +85,7 @@ def scan_words(automaton: ahocorasick.Automaton, words: list[bytes]) -> tuple[li
     return ranges, ids
 
 
-_built: dict[str, ahocorasick.Automaton | None] = {}
+_built: dict[str, Scanner | None] = {}
 
 
 def _scanner(block, name: str, window: int, text_col: str, keep: list[str], first: bool):
@@ -118,11 +129,36 @@ def find_contamination(
     spark, fields = documents.sparkSession, documents.schema.fields
     out = documents
     for i, block in enumerate(item_blocks(benchmark, item_id, item_text, max_bytes)):
+        if i:
+            out = materialize(out, "hits")
         schema = T.StructType([*fields, T.StructField("_n_words", T.LongType()), T.StructField("_ranges", T.ArrayType(T.IntegerType())), T.StructField("_items", T.ArrayType(T.StringType()))])
         out = out.mapInArrow(_scanner(spark.sparkContext.broadcast(block), uuid.uuid4().hex, window, text_col, documents.columns, i == 0), schema)
     return out
 
 
+def hit_offsets(raw: bytes, ranges: list[int] | None) -> list[int]:
+    """Flat word ranges (start and end in turn) as code points of the original text, end exclusive."""
+    if not ranges:
+        return []
+    normal = np.frombuffer(b" " + raw.translate(_WORD) + b" ", dtype=np.uint8) != 32
+    edges = np.flatnonzero(normal[1:] != normal[:-1])
+    points = np.concatenate(([0], np.cumsum((np.frombuffer(raw, dtype=np.uint8) & 0xC0) != 0x80)))
+    return [int(points[edges[2 * at if k % 2 == 0 else 2 * at - 1]]) for k, at in enumerate(ranges)]
+
+
+def contaminated_spans(documents: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """Per document with hits: id, spans (starts and ends of the hit passages in the original, in code points, in turn)."""
+    found = find_contamination(documents.select(F.col(id_col), F.col(text_col)), benchmark, text_col=text_col, **options)
+    schema = T.StructType([documents.schema[id_col], T.StructField("spans", T.ArrayType(T.IntegerType()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, text_col):
+            spans = [hit_offsets(x, r) for x, r in zip(raw_texts(batch.column(text_col)), batch.column("_ranges").to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column(id_col), pa.array(spans, pa.list_(pa.int32()))], names=schema.names)
+
+    return found.where(F.size("_ranges") > 0).mapInArrow(run, schema)
+
+
 def union_length(ranges: list[int] | None) -> int:
     """Length of the union of ranges given as start and end in turn."""
     total, to = 0, -1

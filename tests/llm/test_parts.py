@@ -5,7 +5,7 @@ import random
 import numpy as np
 import public_tokenizers
 
-from archive_spark.llm import ngram_join, packing, token_store, url_filter, warc
+from archive_spark.llm import decontaminate, ngram_join, packing, token_store, url_filter, warc
 
 from . import brute
 
@@ -62,3 +62,12 @@ def test_bit_sets_never_exceed_the_difference():
             apart = sum(bin(int(v) & (1 << 64) - 1).count("1") for v in p ^ q)
             assert apart <= len(np.setxor1d(x, y)) and (apart - len(np.setxor1d(x, y))) % 2 == 0
     assert ngram_join.bit_sets([]).shape[0] == 0
+
+
+def test_hit_offsets_in_the_original():
+    raw = "Zé, the Quick-brown FOX! ünd 12 x"
+    scanner = decontaminate.build_automaton([("a", b"the quick brown fox"), ("b", "fox ünd".encode()), ("c", b"nothere")])
+    ranges, ids = decontaminate.scan_words(scanner, decontaminate.normal_words(raw.encode()))
+    assert (ranges, ids) == ([(1, 6)], {"a", "b"})
+    start, end = decontaminate.hit_offsets(raw.encode(), [x for r in ranges for x in r])
+    assert raw[start:end] == "the Quick-brown FOX! ünd"
