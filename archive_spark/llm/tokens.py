@@ -20,7 +20,7 @@ LATIN = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f"
 _LETTERS = f"[{LATIN}]+(?=[\x01-@\\[-`{{-\x7f]|$)"
 _LEADING = re.compile(f" ?{_LETTERS}| ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
 _DROPPED = re.compile(f"{_LETTERS}|[^{WHITE}]+")
-#: Pieces that a worker keeps at most; when there are more, those met once since the last time are forgotten.
+#: Pieces that a worker keeps at most, unless told otherwise; when there are more, those met once since the last time are forgotten.
 MAX_PIECES = 600_000
 #: Bytes of text encoded at once.
 ENCODE_BYTES = 1 << 20
@@ -31,10 +31,10 @@ class PieceEncoder:
     """Encodes texts; keeps_space: white space has ids of its own and case counts (byte-level), else it only parts words
     and A-Z count as a-z."""
 
-    def __init__(self, path: str, keeps_space: bool):
+    def __init__(self, path: str, keeps_space: bool, max_pieces: int = MAX_PIECES):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # special tokens' names in a text are ordinary text
-        self.keeps_space = keeps_space
+        self.keeps_space, self.max_pieces = keeps_space, max_pieces
         self.number: dict[str, int] = {}
         self.uses = np.zeros(0, dtype=np.int64)
         self.offsets = np.zeros(1, dtype=np.int64)
@@ -49,8 +49,8 @@ class PieceEncoder:
     def _forget(self) -> None:
         """Keep the pieces that were met again."""
         keep = np.flatnonzero(self.uses > 1)
-        if len(keep) > MAX_PIECES // 2:
-            keep = np.sort(np.argsort(-self.uses, kind="stable")[: MAX_PIECES // 2])
+        if len(keep) > self.max_pieces // 2:
+            keep = np.sort(np.argsort(-self.uses, kind="stable")[: self.max_pieces // 2])
         pieces = list(self.number)
         self.pool, sizes = self._flat(keep)
         self.offsets = np.concatenate(([0], np.cumsum(sizes)))
@@ -75,7 +75,7 @@ class PieceEncoder:
         counts = np.fromiter(map(len, cut), dtype=np.int64, count=len(cut))
         flat = list(chain.from_iterable(cut))
         if new := list(set(flat).difference(self.number)):
-            if len(self.number) + len(new) > MAX_PIECES:
+            if len(self.number) + len(new) > self.max_pieces:
                 self._forget()
                 new = list(set(flat).difference(self.number))
             self._learn(new)
@@ -86,11 +86,12 @@ class PieceEncoder:
         return np.split(ids, ends[:-1]) if len(texts) else []
 
 
-_encoders: dict[tuple[str, bool], PieceEncoder] = {}
+_encoders: dict[tuple[str, bool, int], PieceEncoder] = {}
 
 
-def encoder(path: str, keeps_space: bool) -> PieceEncoder:
+def encoder(path: str, keeps_space: bool, max_pieces: int = MAX_PIECES) -> PieceEncoder:
     """One for each worker process."""
-    if (path, keeps_space) not in _encoders:
-        _encoders[path, keeps_space] = PieceEncoder(path, keeps_space)
-    return _encoders[path, keeps_space]
+    if (key := (path, keeps_space, max_pieces)) not in _encoders:
+        _encoders.clear()
+        _encoders[key] = PieceEncoder(path, keeps_space, max_pieces)
+    return _encoders[key]
