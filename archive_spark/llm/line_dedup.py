@@ -28,6 +28,10 @@ from pyspark.sql import types as T
 from .common import SPACES, materialize, raw_texts, slices
 
 MIN_ANCHOR_WORDS, MIN_BLOCK_WORDS = 4, 20
+#: Pairs whose lines a task unpacks at once.
+PAIR_ROWS = 256
+#: Bytes up to which the list of deleted lines is broadcast; a longer one is joined by shuffle.
+BROADCAST_BYTES = 16 << 20
 
 
 def line_keys(raw: bytes) -> tuple[list[int], list[int], list[int]]:
@@ -152,7 +156,7 @@ def duplicate_lines(documents: DataFrame, *, id_col: str = "doc_id", text_col: s
     both = pairs.select(F.col("first.did").alias("a_did"), F.col("first.th").alias("a_th"), F.col("doc.did").alias("b_did"), F.col("doc.th").alias("b_th")).join(a, ["a_did", "a_th"]).join(b, ["b_did", "b_th"])
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(at, PAIR_ROWS) for b in batches for at in range(0, b.num_rows, PAIR_ROWS)):
             out = []
             for did, th, ka, kb, words, at in zip(*(batch.column(c).to_pylist() for c in ("b_did", "b_th", "a_keys", "b_keys", "b_words", "b_lines"))):
                 if gone := common_blocks(ka, kb, words, min_block_words):
@@ -172,6 +176,9 @@ def dedup_lines(documents: DataFrame, *, id_col: str = "doc_id", text_col: str =
     of deleted lines under this name.
     """
     gone = duplicate_lines(documents, id_col=id_col, text_col=text_col, **options)
+    gone = materialize(gone, "gone-lines")
+    size = gone.agg(F.sum(F.size("gone") * 4 + 32)).first()[0] or 0
+    gone = F.broadcast(gone) if size <= BROADCAST_BYTES else gone
     keyed = documents.withColumns({"_dl_did": _id(id_col), "_dl_th": F.xxhash64(F.col(text_col))})
     joined = keyed.join(gone.select(F.col("did").alias("_dl_did"), F.col("th").alias("_dl_th"), F.col("gone").alias("_dl_gone")), ["_dl_did", "_dl_th"], "left")
     # line numbers are from 0, and the text is split as it was for the alignment
