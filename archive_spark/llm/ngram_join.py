@@ -493,6 +493,7 @@ def keep_one_of_each(documents: DataFrame, *, id_col: str = "doc_id", text_col:
     """The documents that are the smallest id of their component, with all columns; of repeated rows one stays."""
     found = similar_documents(documents, id_col=id_col, text_col=text_col, **options)
     gone = found.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_gone")).distinct()
+    gone = _small(gone, "gone")
     kept = documents.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
     again = documents.where(F.col(id_col).isNotNull()).groupBy(id_col).agg(F.count(F.lit(1)).alias("_rows")).where("_rows > 1")
     return kept if again.isEmpty() else kept.dropDuplicates([id_col])
