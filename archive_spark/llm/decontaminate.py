@@ -1,8 +1,8 @@
 r"""Benchmark decontamination by one Aho-Corasick automaton over normalised test items.
 
-Texts are normalised to lower-case (A-Z) words of letters, digits and non-ASCII characters. Each word of the items has a
-symbol; the automaton holds every window of 13 symbols of every item (a shorter item is one window). Each text is
-scanned once; matches are word numbers, which `hit_offsets` maps to offsets in the original text.
+Texts are normalised to lower-case (A-Z) words of letters, digits and non-ASCII characters, joined by single blanks.
+The automaton holds every window of 13 words of every item (a shorter item is one window). Each text is scanned once;
+each match's end is mapped back to word numbers, which `hit_offsets` maps to offsets in the original text.
 
 Defined results: a null or wordless text has no words, no hits and is clean; a null or wordless item matches nothing;
 repeated items count once by id, a null id counts as 'null'; repeated documents are judged one by one; an empty
@@ -14,10 +14,7 @@ between, so that a task has one automaton at a time.
 from __future__ import annotations
 
 import hashlib
-import uuid
 from collections.abc import Iterator
-from dataclasses import dataclass
-from itertools import repeat
 
 import ahocorasick
 import numpy as np
@@ -29,8 +26,8 @@ from pyspark.sql import types as T
 from .common import arrays, materialize, raw_texts, slices
 
 WINDOW = 13
-#: Bound of the benchmark text in one automaton, whose nodes are 13 times its words at most (some 100 bytes a byte of text).
-MAX_ITEM_BYTES = 2 << 20
+#: Bound of the benchmark text in one automaton, which has 13 nodes for each byte at most.
+MAX_ITEM_BYTES = 256 << 10
 
 #: Bytes of words stay (A-Z folded), all others become blanks.
 _WORD = bytes(b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
@@ -41,43 +38,35 @@ def normal_words(raw: bytes) -> list[bytes]:
     return raw.translate(_WORD).split()
 
 
-@dataclass
-class Scanner:
-    """An Aho-Corasick automaton over words: each word of an item has a symbol of its own, all other words share one."""
-
-    symbols: dict[bytes, str]
-    automaton: ahocorasick.Automaton
-
-
-def _symbol(n: int) -> str:
-    # from 1 on, past the surrogates; 0 stands for words that no item has
-    return chr(n + 1 if n + 1 < 0xD800 else n + 1 + 0x800)
-
-
-def build_automaton(items: list[tuple[str, bytes]], window: int = WINDOW) -> Scanner | None:
+def build_automaton(items: list[tuple[str, bytes]], window: int = WINDOW) -> ahocorasick.Automaton | None:
     """items: id, raw text. Values are (words in the window, ids)."""
-    symbols: dict[bytes, str] = {}
-    patterns: dict[str, set[str]] = {}
+    patterns: dict[bytes, tuple[int, set[str]]] = {}
     for item, raw in items:
-        text = "".join([symbols.setdefault(w, _symbol(len(symbols))) for w in normal_words(raw)])
-        for i in range(max(1, len(text) - window + 1) if text else 0):
-            patterns.setdefault(text[i : i + window], set()).add(item)
+        words = normal_words(raw)
+        for i in range(max(1, len(words) - window + 1) if words else 0):
+            part = words[i : i + window]
+            patterns.setdefault(b" ".join(part), (len(part), set()))[1].add(item)
     if not patterns:
         return None
     automaton = ahocorasick.Automaton()
-    for text, ids in patterns.items():
-        automaton.add_word(text, (len(text), tuple(sorted(ids))))
+    for text, (n, ids) in patterns.items():
+        automaton.add_word(f" {text.decode('latin-1')} ", (n, tuple(sorted(ids))))
     automaton.make_automaton()
-    return Scanner(symbols, automaton)
+    return automaton
 
 
-def scan_words(scanner: Scanner, words: list[bytes]) -> tuple[list[tuple[int, int]], set[str]]:
+def scan_words(automaton: ahocorasick.Automaton, words: list[bytes]) -> tuple[list[tuple[int, int]], set[str]]:
     """Hit word ranges (end exclusive), joined and in order, and the ids of the items found."""
-    text = "".join(map(scanner.symbols.get, words, repeat("\0")))
+    text = b" " + b" ".join(words) + b" "
+    found = list(automaton.iter(text.decode("latin-1")))
+    if not found:
+        return [], set()
+    blanks = np.flatnonzero(np.frombuffer(text, dtype=np.uint8) == 32)
+    ends = np.searchsorted(blanks, np.fromiter((e for e, _ in found), dtype=np.int64))
     ranges: list[tuple[int, int]] = []
     ids: set[str] = set()
-    for a, b, found in sorted((e + 1 - n, e + 1, found) for e, (n, found) in scanner.automaton.iter(text)):
-        ids.update(found)
+    for a, b, v in sorted((int(e) - v[0], int(e), v) for e, (_, v) in zip(ends, found)):
+        ids.update(v[1])
         if ranges and a <= ranges[-1][1]:
             ranges[-1] = (ranges[-1][0], max(b, ranges[-1][1]))
         else:
@@ -85,15 +74,9 @@ def scan_words(scanner: Scanner, words: list[bytes]) -> tuple[list[tuple[int, in
     return ranges, ids
 
 
-_built: dict[str, Scanner | None] = {}
-
-
-def _scanner(block, name: str, window: int, text_col: str, keep: list[str], first: bool):
+def _scanner(block, window: int, text_col: str, keep: list[str], first: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if name not in _built:
-            _built.clear()
-            _built[name] = build_automaton(block.value, window)
-        automaton = _built[name]
+        automaton = build_automaton(block.value, window)  # of this task, so that no worker keeps it
         for batch in slices(batches, text_col):
             texts = raw_texts(batch.column(text_col))
             old = [None] * len(texts) if first else batch.column("_ranges").to_pylist()
@@ -132,7 +115,7 @@ def find_contamination(
         if i:
             out = materialize(out, "hits")
         schema = T.StructType([*fields, T.StructField("_n_words", T.LongType()), T.StructField("_ranges", T.ArrayType(T.IntegerType())), T.StructField("_items", T.ArrayType(T.StringType()))])
-        out = out.mapInArrow(_scanner(spark.sparkContext.broadcast(block), uuid.uuid4().hex, window, text_col, documents.columns, i == 0), schema)
+        out = out.mapInArrow(_scanner(spark.sparkContext.broadcast(block), window, text_col, documents.columns, i == 0), schema)
     return out
 
 

@@ -66,8 +66,8 @@ def test_bit_sets_never_exceed_the_difference():
 
 def test_hit_offsets_in_the_original():
     raw = "Zé, the Quick-brown FOX! ünd 12 x"
-    scanner = decontaminate.build_automaton([("a", b"the quick brown fox"), ("b", "fox ünd".encode()), ("c", b"nothere")])
-    ranges, ids = decontaminate.scan_words(scanner, decontaminate.normal_words(raw.encode()))
+    automaton = decontaminate.build_automaton([("a", b"the quick brown fox"), ("b", "fox ünd".encode()), ("c", b"nothere")])
+    ranges, ids = decontaminate.scan_words(automaton, decontaminate.normal_words(raw.encode()))
     assert (ranges, ids) == ([(1, 6)], {"a", "b"})
     start, end = decontaminate.hit_offsets(raw.encode(), [x for r in ranges for x in r])
     assert raw[start:end] == "the Quick-brown FOX! ünd"
