@@ -22,19 +22,23 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import slices
-from .tokens import ENCODE_BYTES, MAX_PIECES, encoder
+from .tokens import ENCODE_BYTES, MAX_PIECES, PieceEncoder, encoder
 
 CAPACITY = 1024
 #: Rows of a shard that is packed by itself.
 SHARD_ROWS = 20_000
 
 
-def token_pieces(documents: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2, capacity: int = CAPACITY, keeps_space: bool = True, max_pieces: int = MAX_PIECES) -> DataFrame:
-    """Per piece: id, piece (from 0), start (the document's ids before it), length, ids (little-endian unsigned 32-bit)."""
+def token_pieces(documents: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2, capacity: int = CAPACITY, keeps_space: bool = True, max_pieces: int = MAX_PIECES, per_task: bool = False) -> DataFrame:
+    """Per piece: id, piece (from 0), start (the document's ids before it), length, ids (little-endian unsigned 32-bit).
+
+    per_task: each task has an encoder of its own, which goes with it; else workers keep theirs for later tasks, which
+    is faster and takes memory from the jobs that follow.
+    """
     schema = T.StructType([documents.schema[id_col], *T.StructType.fromDDL("piece int, start long, length long, ids binary").fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer, keeps_space, max_pieces).encode
+        encode = (PieceEncoder if per_task else encoder)(tokenizer, keeps_space, max_pieces).encode
         end = np.array([end_id], dtype="<u4")
         for batch in slices(batches, text_col, ENCODE_BYTES):
             texts = [x or "" for x in batch.column(text_col).to_pylist()]
@@ -114,9 +118,9 @@ def pack_pieces(pieces: DataFrame, *, id_col: str = "doc_id", capacity: int = CA
     return pieces.withColumn("_shard", shard).groupBy("_shard").applyInArrow(run, schema)
 
 
-def pack_documents(documents: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2, capacity: int = CAPACITY, shard_rows: int = SHARD_ROWS, keep_ids: bool = True, keeps_space: bool = True, max_pieces: int = MAX_PIECES) -> DataFrame:
+def pack_documents(documents: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2, capacity: int = CAPACITY, shard_rows: int = SHARD_ROWS, keep_ids: bool = True, keeps_space: bool = True, max_pieces: int = MAX_PIECES, per_task: bool = False) -> DataFrame:
     """Per piece: id, piece, start, length, ids_crc32, sequence_id, offset, and the ids themselves if keep_ids."""
-    pieces = token_pieces(documents, tokenizer, id_col=id_col, text_col=text_col, end_id=end_id, capacity=capacity, keeps_space=keeps_space, max_pieces=max_pieces).withColumn("ids_crc32", F.crc32("ids"))
+    pieces = token_pieces(documents, tokenizer, id_col=id_col, text_col=text_col, end_id=end_id, capacity=capacity, keeps_space=keeps_space, max_pieces=max_pieces, per_task=per_task).withColumn("ids_crc32", F.crc32("ids"))
     shards = max(1, math.ceil(documents.count() / shard_rows))
     return pack_pieces(pieces if keep_ids else pieces.drop("ids"), id_col=id_col, capacity=capacity, shards=shards)
 
