@@ -39,11 +39,11 @@ WORDS, PERCENT = 5, 75
 #: Counters of the sketch; prefix entries of a bucket; lists up to this length give all pairs; count from which a shingle is hot.
 SKETCH_BITS, BUCKET_ENTRIES, SHORT_LIST, HOT = 18, 1 << 19, 16, 100_000
 #: Prefix entries that a task holds before it sends them on, and parts in which the sketch is summed.
-FLUSH_ENTRIES, SKETCH_PARTS = 1 << 19, 8
+FLUSH_ENTRIES, SKETCH_PARTS = 1 << 17, 8
 #: Rows of an Arrow batch.
 ARROW_ROWS = 500
 #: Bytes of text hashed at once.
-HASH_BYTES = 1 << 20
+HASH_BYTES = 1 << 19
 #: Rows up to which a list of ids is broadcast (8 to 16 bytes each); longer ones are joined by shuffle.
 BROADCAST_ROWS = 1_000_000
 #: Bits of a set's bit set.
