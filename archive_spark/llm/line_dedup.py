@@ -1,13 +1,15 @@
-"""Line dedup by pairwise alignment.
+"""Line dedup by passages shared with earlier documents.
 
-Documents that overlap are found through shared line hashes: each line (and each pair of neighbouring lines) of at least
-`min_anchor_words` words ties a later document to the first document that has it, so a line in n documents gives n - 1
-pairs, never n * n, however common it is. Each pair's whole line sequences are aligned by patience diff, rarest lines
-(once in both documents) first, and aligned runs of neighbouring lines with at least `min_block_words` words are deleted
-from the later document.
+A passage is a run of neighbouring lines with at least `min_block_words` words. Its lines are deleted from every document
+that is not the first to hold it, wherever it stands in either document and however often. No pair of documents is
+formed: a passage is covered by its shortest windows of `min_block_words` words, one to begin and one to end at each
+line, so a line goes if one of its windows has an earlier holder. A window is a hash; windows meet by hash, so the work
+grows with the number of lines, however common one is.
 
-Lines are compared without the white space at their ends; blank lines are skipped by the alignment. Documents are
-ordered by id, then by a hash of their text. Only hashes and word counts of lines are moved, not text.
+`patience` and `common_blocks` align one pair of documents; what they find is always part of what goes here.
+
+Lines are compared without the white space at their ends; blank lines are skipped. Documents are
+ordered by id, then by a hash of their text. Only hashes and numbers of lines are moved, not text.
 
 Defined results: a null or blank text loses nothing; a null id counts as the earliest; rows with equal id and text are
 one document, so repeated rows lose nothing to each other; an empty table gives an empty result.
@@ -27,9 +29,7 @@ from pyspark.sql import types as T
 
 from .common import SPACES, materialize, raw_texts, slices
 
-MIN_ANCHOR_WORDS, MIN_BLOCK_WORDS = 4, 20
-#: Pairs whose lines a task unpacks at once.
-PAIR_ROWS = 256
+MIN_BLOCK_WORDS = 20
 #: Bytes up to which the list of deleted lines is broadcast; a longer one is joined by shuffle.
 BROADCAST_BYTES = 16 << 20
 
@@ -109,19 +109,41 @@ def common_blocks(a: list[int], b: list[int], words: list[int], min_words: int)
     return out
 
 
-def _numbers(values: list[list[int]], type_: pa.DataType) -> pa.Array:
-    return pa.array(values, pa.list_(type_))
-
-
-def document_lines(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Per document: did, th (hash of the text), lines, keys and words of its lines."""
-    schema = "did long, th long, lines array<int>, keys array<long>, words array<int>"
+def windows(words: list[int], min_words: int) -> list[tuple[int, int]]:
+    """The shortest runs (first, last) of min_words words or more that begin or that end at each line. Together they cover
+    every run of that many words, as each of its lines has its first or its second window within the run."""
+    found, first, total = set(), 0, 0
+    for last, n in enumerate(words):
+        total += n
+        while total - words[first] >= min_words:
+            total -= words[first]
+            first += 1
+        if total >= min_words:
+            found.add((first, last))
+    last, total = len(words) - 1, 0
+    for first in range(len(words) - 1, -1, -1):
+        total += words[first]
+        while total - words[last] >= min_words:
+            total -= words[last]
+            last -= 1
+        if total >= min_words:
+            found.add((first, last))
+    return sorted(found)
+
+
+def document_windows(documents: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFrame:
+    """Per window of a document: did, th (hash of the text), key, and the numbers of its lines."""
+    schema = "did long, th long, windows array<struct<key:long,lines:array<int>>>"
+    kind = pa.list_(pa.struct([("key", pa.int64()), ("lines", pa.list_(pa.int32()))]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
-            found = [line_keys(x) for x in raw_texts(batch.column("text"))]
-            at, keys, words = zip(*found)
-            yield pa.RecordBatch.from_arrays([batch.column("did"), batch.column("th"), _numbers(at, pa.int32()), _numbers(keys, pa.int64()), _numbers(words, pa.int32())], names=["did", "th", "lines", "keys", "words"])
+            out = []
+            for raw in raw_texts(batch.column("text")):
+                at, keys, words = line_keys(raw)
+                packed = np.array(keys, dtype=np.int64).tobytes()
+                out.append([(xxhash.xxh3_64_intdigest(packed[8 * i : 8 * j + 8]) - (1 << 63), at[i : j + 1]) for i, j in windows(words, min_words)])
+            yield pa.RecordBatch.from_arrays([batch.column("did"), batch.column("th"), pa.array([[{"key": k, "lines": x} for k, x in w] for w in out], kind)], names=["did", "th", "windows"])
 
     return _keyed(documents, id_col, text_col).mapInArrow(run, schema)
 
@@ -134,39 +156,15 @@ def _keyed(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return documents.select(_id(id_col).alias("did"), F.xxhash64(F.col(text_col)).alias("th"), F.col(text_col).alias("text"))
 
 
-def duplicate_lines(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_anchor_words: int = MIN_ANCHOR_WORDS, min_block_words: int = MIN_BLOCK_WORDS) -> DataFrame:
+def duplicate_lines(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_block_words: int = MIN_BLOCK_WORDS) -> DataFrame:
     """did, th, gone (numbers of the lines to delete, ascending) for each document that loses lines."""
-    lines = materialize(document_lines(documents, id_col, text_col), "document-lines")
-    first = F.struct("did", "th")
-
-    def anchors(size: int) -> DataFrame:
-        n = F.size("keys")
-        starts = F.when(n >= size, F.sequence(F.lit(1), n - (size - 1))).otherwise(F.array().cast("array<int>"))
-        good = F.filter(starts, lambda i: F.aggregate(F.slice("words", i, size), F.lit(0), lambda s, x: s + x) >= min_anchor_words)
-        keys = F.transform(good, lambda i: F.element_at("keys", i) if size == 1 else F.xxhash64(F.slice("keys", i, size)))
-        return lines.select(first.alias("doc"), F.explode(F.array_distinct(keys)).alias("key"))
-
-    found = anchors(1).unionByName(anchors(2))
-    # counted before the shuffle; only shared anchors go on
+    held = materialize(document_windows(documents, id_col, text_col, min_block_words), "document-windows")
+    found = held.select(F.struct("did", "th").alias("doc"), F.inline("windows"))
+    # counted before the shuffle; only shared windows go on
     holders = found.groupBy("key").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last").drop("last")
-    pairs = found.join(holders, "key").where("first < doc").select("first", "doc").distinct()
-    columns = lambda p: [F.col("did").alias(f"{p}_did"), F.col("th").alias(f"{p}_th"), F.col("keys").alias(f"{p}_keys"), F.col("words").alias(f"{p}_words"), F.col("lines").alias(f"{p}_lines")]
-    sides = lines.dropDuplicates(["did", "th"])
-    a, b = sides.select(*columns("a")[:3]), sides.select(*columns("b"))
-    both = pairs.select(F.col("first.did").alias("a_did"), F.col("first.th").alias("a_th"), F.col("doc.did").alias("b_did"), F.col("doc.th").alias("b_th")).join(a, ["a_did", "a_th"]).join(b, ["b_did", "b_th"])
-
-    def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (b.slice(at, PAIR_ROWS) for b in batches for at in range(0, b.num_rows, PAIR_ROWS)):
-            out = []
-            for did, th, ka, kb, words, at in zip(*(batch.column(c).to_pylist() for c in ("b_did", "b_th", "a_keys", "b_keys", "b_words", "b_lines"))):
-                if gone := common_blocks(ka, kb, words, min_block_words):
-                    out.append((did, th, [at[i] for i in gone]))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64()), _numbers([x[2] for x in out], pa.int32())], names=["did", "th", "gone"])
-
-    blocks = both.select("b_did", "b_th", "a_keys", "b_keys", "b_words", "b_lines").mapInArrow(align, "did long, th long, gone array<int>")
+    again = found.join(holders, "key").where("first < doc")
     # at most the lines of one document
-    return blocks.select("did", "th", F.explode("gone").alias("line")).distinct().groupBy("did", "th").agg(F.array_sort(F.collect_list("line")).alias("gone"))
+    return again.select("doc.did", "doc.th", F.explode("lines").alias("line")).distinct().groupBy("did", "th").agg(F.array_sort(F.collect_list("line")).alias("gone"))
 
 
 def dedup_lines(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", drop_emptied: bool = False, count_col: str | None = None, **options) -> DataFrame:
@@ -181,7 +179,7 @@ def dedup_lines(documents: DataFrame, *, id_col: str = "doc_id", text_col: str =
     gone = F.broadcast(gone) if size <= BROADCAST_BYTES else gone
     keyed = documents.withColumns({"_dl_did": _id(id_col), "_dl_th": F.xxhash64(F.col(text_col))})
     joined = keyed.join(gone.select(F.col("did").alias("_dl_did"), F.col("th").alias("_dl_th"), F.col("gone").alias("_dl_gone")), ["_dl_did", "_dl_th"], "left")
-    # line numbers are from 0, and the text is split as it was for the alignment
+    # line numbers are from 0, and the text is split as it was for the windows
     kept = F.filter(F.split(F.col(text_col), "\n", -1), lambda line, i: ~F.array_contains("_dl_gone", i))
     text = F.when(F.col("_dl_gone").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))
     out = joined.withColumn("_dl_text", text)
