@@ -18,8 +18,8 @@ hashes. Two sets link when 100 * |intersection| >= 75 * |union|. Results are con
    for each member.
 
 Defined results: null, empty and wordless texts have no shingle and stand alone; a text of one to four words has its
-whole sequence as one shingle; repeated rows link with each other; documents with a null id link with their exact
-copies, and with others if a document with an id has the same set; the component's id is the smallest that is not null; an empty table gives an empty result.
+whole sequence as one shingle; repeated rows link with each other; documents with a null id link as all others do; the
+component's id is the smallest that is not null; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -321,11 +321,12 @@ def _near(owners: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def _verify(documents: DataFrame, owners: DataFrame, pairs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """The pairs (a, b) of fingerprints whose sets link. owners: fp, n, bits, id of one document that has it."""
+    """The pairs (a, b) of fingerprints whose sets link. owners: fp, n, bits, id of one document that has it (null if none has one)."""
     pairs = materialize(_near(owners, pairs), "near-pairs")
     chosen = materialize(_of_pairs(owners, pairs).select(F.col("id").alias(id_col), "fp"), "set-owners")
     few = chosen.count() <= BROADCAST_ROWS
-    texts = documents.select(F.col(id_col), F.col(text_col)).join(F.broadcast(chosen) if few else chosen, id_col)
+    side = lambda c: F.broadcast(c) if few else c
+    texts = documents.select(F.col(id_col), F.col(text_col)).join(side(chosen), id_col)
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, text_col, HASH_BYTES):
@@ -333,8 +334,17 @@ def _verify(documents: DataFrame, owners: DataFrame, pairs: DataFrame, id_col: s
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array([f for f, _ in found], pa.int64()), pa.array([s for _, s in found], pa.binary())], names=["fp", "items"])
 
+    def all_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, text_col, HASH_BYTES):
+            found = shingle_sets(raw_texts(batch.column(text_col)))
+            yield pa.RecordBatch.from_arrays([pa.array([fingerprint(s) for s in found], pa.int64()), pa.array([s.tobytes() for s in found], pa.binary())], names=["fp", "items"])
+
     # read by both sides of the pairs
     sets_of = texts.mapInArrow(sets, "fp long, items binary")
+    nameless = chosen.where(F.col(id_col).isNull()).select("fp")
+    if not nameless.isEmpty():  # no id leads to these rows, so their sets are found by fingerprint
+        of_null = documents.where(F.col(id_col).isNull()).select(text_col).mapInArrow(all_sets, "fp long, items binary")
+        sets_of = sets_of.unionByName(materialize(of_null.join(side(nameless), "fp", "left_semi").dropDuplicates(["fp"]), "null-sets"))
     both = pairs.join(sets_of.select(F.col("fp").alias("a"), F.col("items").alias("x")), "a").join(sets_of.select(F.col("fp").alias("b"), F.col("items").alias("y")), "b")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -430,6 +440,7 @@ def _stars(entries: DataFrame) -> DataFrame:
 
 
 def _similar_documents(documents: DataFrame, id_col: str, text_col: str, hot: int, short_list: int) -> DataFrame:
+    """id, n, fp, root (null for wordless ones), smallest (the component's id)."""
     base = documents.select(F.col(id_col), F.col(text_col))
     schema = T.StructType([base.schema[id_col], *T.StructType.fromDDL("n long, fp long, bits array<long>, part int, counts binary").fields])
     measured = materialize(base.mapInArrow(_measure(text_col, id_col), schema), "set-sizes")
@@ -440,7 +451,7 @@ def _similar_documents(documents: DataFrame, id_col: str, text_col: str, hot: in
     dealt = base.mapInArrow(_deal(sketch, text_col, buckets, hot), "bucket int, kind int, data binary")
     found = materialize(dealt.groupBy("bucket").applyInArrow(_meet(short_list), "kind int, a long, b long, token long, n long, rest long"), "candidates")
     members = found.where(F.col("kind") == _MEMBER).select(F.col("a").alias("group"), F.col("b").alias("fp"))
-    owned = measured.where("part is null and n > 0").where(F.col(id_col).isNotNull())
+    owned = measured.where("part is null and n > 0")
     owners = materialize(owned.groupBy("fp").agg(F.min(id_col).alias("id"), F.first("n").alias("n"), F.first("bits").alias("bits")), "owners")
     # sets that share prefix and size, and the star pairs
     twins = members.groupBy("group").agg(F.min("fp").alias("x"), F.max("fp").alias("y")).where("x < y").select("group")
@@ -470,16 +481,14 @@ def _similar_documents(documents: DataFrame, id_col: str, text_col: str, hot: in
         links = links.unionByName(_verify(base, owners, second, id_col, text_col))
         roots = materialize(components(links), "roots")
     # the smallest id of each component; wordless documents stand alone
-    placed = rows.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("id", "n", F.when(F.col("n") > 0, F.coalesce("root", "fp")).alias("root"))
+    placed = rows.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("id", "n", "fp", F.when(F.col("n") > 0, F.coalesce("root", "fp")).alias("root"))
     smallest = placed.where("root is not null").groupBy("root").agg(F.min("id").alias("smallest"), F.count(F.lit(1)).alias("size")).where("size > 1").drop("size")
-    return placed.join(smallest, "root", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("smallest", "id").alias("component_id"))
+    return placed.join(smallest, "root", "left").select("id", "n", "fp", "root", F.coalesce("smallest", "id").alias("smallest"))
 
 
-def similar_documents(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT, short_list: int = SHORT_LIST) -> DataFrame:
-    """Per document: id, n_shingles, component_id.
-
-    All steps in Python run inside this call, in Arrow batches of few rows, as rows hold whole sets; then the session's
-    own setting holds again."""
+def _placed_documents(documents: DataFrame, id_col: str, text_col: str, hot: int = HOT, short_list: int = SHORT_LIST) -> DataFrame:
+    """As above. All steps in Python run inside this call, in Arrow batches of few rows, as rows hold whole sets; then the
+    session's own setting holds again."""
     conf, key = documents.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
     before = conf.get(key)
     conf.set(key, ARROW_ROWS)
@@ -489,11 +498,39 @@ def similar_documents(documents: DataFrame, *, id_col: str = "doc_id", text_col:
         conf.set(key, before)
 
 
+def similar_documents(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT, short_list: int = SHORT_LIST) -> DataFrame:
+    """Per document: id, n_shingles, component_id."""
+    found = _placed_documents(documents, id_col, text_col, hot, short_list)
+    return found.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("smallest").alias("component_id"))
+
+
+def _with_fingerprint(documents: DataFrame, text_col: str) -> DataFrame:
+    """The documents and _fp, the fingerprint of their set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, text_col, HASH_BYTES):
+            fp = pa.array([fingerprint(s) for s in shingle_sets(raw_texts(batch.column(text_col)))], pa.int64())
+            yield pa.RecordBatch.from_arrays([*batch.columns, fp], names=[*batch.schema.names, "_fp"])
+
+    return documents.mapInArrow(run, T.StructType([*documents.schema.fields, T.StructField("_fp", T.LongType())]))
+
+
 def keep_one_of_each(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The documents that are the smallest id of their component, with all columns; of repeated rows one stays."""
-    found = similar_documents(documents, id_col=id_col, text_col=text_col, **options)
-    gone = found.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_gone")).distinct()
-    gone = _small(gone, "gone")
-    kept = documents.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
-    again = documents.where(F.col(id_col).isNotNull()).groupBy(id_col).agg(F.count(F.lit(1)).alias("_rows")).where("_rows > 1")
-    return kept if again.isEmpty() else kept.dropDuplicates([id_col])
+    """The documents that are the smallest id of their component, with all columns.
+
+    Rows are told apart by id and set: of several rows of one id in one component one stays (and of its wordless rows),
+    while rows of the same id in other components are judged by themselves. Rows with a null id, which no id can stand
+    for, all stay."""
+    found = _placed_documents(documents, id_col, text_col, **options)
+    gone = found.where(F.col("id") != F.col("smallest")).select(F.col("id").alias("_gone")).distinct()
+    again = found.where(F.col("id").isNotNull()).groupBy("id").agg(F.count(F.lit(1)).alias("_rows")).where("_rows > 1").select(F.col("id").alias("_again"))
+    again = materialize(again, "repeated-ids")
+    if not (n := again.count()):  # an id is a row
+        return documents.join(_small(gone, "gone"), F.col(id_col) == F.col("_gone"), "left_anti")
+    again = F.broadcast(again) if n <= BROADCAST_ROWS else again
+    once = documents.join(again, F.col(id_col) == F.col("_again"), "left_anti").join(_small(gone, "gone"), F.col(id_col) == F.col("_gone"), "left_anti")
+    stay = found.join(again, F.col("id") == F.col("_again"), "left_semi").where(F.col("id") == F.col("smallest"))
+    stay = _small(stay.groupBy("id", "root").agg(F.min("fp").alias("_stay_fp")).select(F.col("id").alias("_stay"), "_stay_fp"), "stay")
+    rows = _with_fingerprint(documents.join(again, F.col(id_col) == F.col("_again"), "left_semi"), text_col)
+    rows = rows.join(stay, (F.col(id_col) == F.col("_stay")) & (F.col("_fp") == F.col("_stay_fp")), "left_semi").dropDuplicates([id_col, "_fp"])
+    return once.unionByName(rows.drop("_fp"))
