@@ -6,6 +6,8 @@ ASCII, so cutting bytes cuts code points correctly.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -14,11 +16,14 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: The separators of `[^\x20\x09-\x0D]+`.
 SPACES = b"\t\n\v\f\r "
 #: About this many bytes of text are worked on at once.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
+#: Rows up to which a table of numbers (up to some 32 bytes each) is broadcast; longer ones are joined by shuffle.
+BROADCAST_ROWS = 500_000
 
 _own_dir: dict[str, str] = {}
 
@@ -39,6 +44,63 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Written intermediate tables of one call, deleted together once nothing reads them any more."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def table(self, df: DataFrame, name: str) -> DataFrame:
+        """Write a table to the shared folder and read it back, which cuts the lineage."""
+        path = shared_path(self.spark, name)
+        self.paths.append(path)
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def small(self, df: DataFrame, name: str) -> DataFrame:
+        """The same, to be broadcast if its rows were counted and are few. Rows must be a few numbers or short keys."""
+        df = self.table(df, name)
+        return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+    def clear(self) -> None:
+        jvm, conf = self.spark._jvm, self.spark._jsparkSession.sessionState().newHadoopConf()
+        for path in self.paths:
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(conf).delete(at, True)
+        self.paths.clear()
+
+
+def fresh(columns: list[str], *names: str) -> list[str]:
+    """Names for internal columns that none of the given columns has (case does not count)."""
+    taken = {c.lower() for c in columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def give_back(run):
+    """Wraps a function over Arrow batches: when a task ends, its worker returns freed memory to the system."""
+
+    def wrapped(batches):
+        yield from run(batches)
+        release_memory()
+
+    return wrapped
+
+
+def release_memory() -> None:
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not every C library has it
+        pass
+
+
 def slices(batches: Iterable[pa.RecordBatch], column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that each piece holds about `limit` bytes of the text column, one row at least."""
     for batch in batches:

@@ -7,49 +7,52 @@ hashes. Two sets link when 100 * |intersection| >= 75 * |union|. Results are con
    count, then by hash: rare ones first. Any common order gives exact results; this one keeps frequent passages out of
    prefixes.
 2. A set's prefix is its first n - ceil(0.75 n) + 1 shingles in that order; linked sets share a prefix shingle. Sets
-   with identical prefixes and sizes (all copies, first of all) collapse into one group.
-3. Prefix entries of groups meet by shingle in buckets of packed arrays. Lists are sorted by size; pairs are filtered by
-   size and by the positions of the shared shingle. A short list gives all its pairs; a long one only a star,
-   and is kept. A shingle that is hot by the sketch is thinned to one entry a task before the shuffle.
-4. Star pairs are expanded to members and verified exactly; links give components. Before sets are moved, pairs are
-   held against short bit sets: each shingle flips one bit, so two sets differ in as many shingles as bits at least.
-5. Of the other pairs, and of the kept lists, only pairs between different components can still matter. A few rounds of
-   stars between components come first; what is left is all expanded and verified. So no link between components is lost, while a large group of near copies costs a few pairs
-   for each member.
+   with identical prefixes and sizes collapse into one group, for which its set of smallest fingerprint stands; copies
+   have one fingerprint anyway.
+3. Prefix entries of groups meet by shingle in buckets of packed arrays. Lists are sorted by position; pairs are filtered
+   by size and by the positions of the shared shingle. A short list gives all its pairs; a long one only a star, and is
+   kept. A shingle that is hot by the sketch is thinned to one entry for each group and task before the shuffle.
+4. The sets of all candidates are read once and written with a bit set of each: a shingle flips one bit, so two sets
+   differ in as many shingles as bits at least. Star pairs, and groups with their members, are held against bit sets, and
+   only pairs that can still link against whole sets. Links give components.
+5. Only pairs between different components can still matter: those of short lists, and of long lists with more than one
+   component. The latter are compared in blocks of bounded size, so that a hot list is split over tasks, by bit sets in
+   place; no pair is written that they rule out. Members of a group that did not link with it take part by themselves.
+   What is left is verified by whole sets. So no link between components is lost, while a large group of near copies
+   costs a few pairs for each member.
 
 Defined results: null, empty and wordless texts have no shingle and stand alone; a text of one to four words has its
 whole sequence as one shingle; repeated rows link with each other; documents with a null id link as all others do; the
-component's id is the smallest that is not null; an empty table gives an empty result.
+component's id is the smallest that is not null; an empty table gives an empty result; a text of any length is one set,
+held by one task at a time.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SPACES, arrays, byte_table, joined, materialize, mix, raw_texts, slices, text_of, window_hashes, word_hashes, word_spans
+from .common import SPACES, Scratch, byte_table, fresh, give_back, joined, mix, raw_texts, slices, text_of, window_hashes, word_hashes, word_spans
 
 WORDS, PERCENT = 5, 75
-#: Counters of the sketch; prefix entries of a bucket; lists up to this length give all pairs; count from which a shingle is hot.
-SKETCH_BITS, BUCKET_ENTRIES, SHORT_LIST, HOT = 18, 1 << 19, 16, 100_000
+#: Counters of the sketch; prefix entries of a bucket; lists up to this length give all pairs; count from which a shingle is hot,
+#: if it is also HOT_TIMES the mean of the counters.
+SKETCH_BITS, BUCKET_ENTRIES, SHORT_LIST, HOT, HOT_TIMES = 18, 1 << 18, 16, 100_000, 4
 #: Prefix entries that a task holds before it sends them on, and parts in which the sketch is summed.
 FLUSH_ENTRIES, SKETCH_PARTS = 1 << 17, 8
-#: Rows of an Arrow batch.
-ARROW_ROWS = 500
-#: Bytes of text hashed at once.
-HASH_BYTES = 1 << 19
-#: Rows up to which a list of ids is broadcast (8 to 16 bytes each); longer ones are joined by shuffle.
-BROADCAST_ROWS = 1_000_000
-#: Bits of a set's bit set.
-SET_BITS = 1024
-#: Rounds of further stars before all pairs between components are tried.
-STAR_ROUNDS = 3
+#: Rows and bytes of an Arrow batch, and bytes of text hashed at once.
+ARROW_ROWS, ARROW_BYTES, HASH_BYTES = 2000, 4 << 20, 1 << 18
+#: Least and most bits of a set's bit set.
+LEAST_BITS, MOST_BITS = 1 << 10, 1 << 16
+#: Entries of a block of a long list.
+BLOCK = 4096
 _SPACE = byte_table(SPACES)
 
 
@@ -87,37 +90,57 @@ def fingerprint(shingles: np.ndarray) -> int:
     return int(mix(total).view(np.int64)[0])
 
 
-def bit_sets(sets: list[np.ndarray]) -> np.ndarray:
-    """For each set, SET_BITS bits as signed longs: the parity of its shingles at each bit."""
-    sizes = [len(s) for s in sets]
-    if not sum(sizes):
-        return np.zeros((len(sets), SET_BITS // 64), dtype=np.int64)
-    bit = ((np.concatenate(sets) >> np.uint64(20)) % np.uint64(SET_BITS)).astype(np.int64)
-    odd = np.bincount(bit + np.repeat(np.arange(len(sets)) * SET_BITS, sizes), minlength=len(sets) * SET_BITS) & 1
-    return np.packbits(odd.astype(np.uint8)).view(np.int64).reshape(len(sets), -1)
+def bit_set(shingles: np.ndarray) -> bytes:
+    """The set's size, then the parity of its shingles at each bit (at least two bits a shingle, up to MOST_BITS)."""
+    bits = min(MOST_BITS, max(LEAST_BITS, 1 << (2 * len(shingles) - 1).bit_length())) if len(shingles) else LEAST_BITS
+    at = ((shingles >> np.uint64(20)) % np.uint64(bits)).astype(np.int64)
+    odd = np.bincount(at, minlength=bits) & 1
+    return np.array([len(shingles)], dtype="<u8").tobytes() + np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
 
-def _measure(text_col: str, id_col: str):
-    """Rows of documents (id, n, fp, bits), then the parts of the task's sketch."""
-    names, longs = [id_col, "n", "fp", "bits", "part", "counts"], pa.list_(pa.int64())
+def _folded(words: np.ndarray, n: int) -> np.ndarray:
+    """A bit set cut down to n words of 64 bits."""
+    while len(words) > n:
+        words = words[: len(words) // 2] ^ words[len(words) // 2 :]
+    return words
+
+
+def near(x: bytes, y: bytes) -> bool:
+    """False only if the sets behind two bit sets cannot link."""
+    x, y = np.frombuffer(x, dtype="<u8"), np.frombuffer(y, dtype="<u8")
+    n = min(len(x), len(y)) - 1
+    apart = int(np.bitwise_count(_folded(x[1:], n) ^ _folded(y[1:], n)).sum())
+    total = int(x[0]) + int(y[0])
+    return (100 + PERCENT) * (total - apart) >= 2 * PERCENT * total
+
+
+def linked(x: bytes, y: bytes) -> bool:
+    """Whether two sets of sorted shingles link."""
+    x, y = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
+    both = np.concatenate((x, y))
+    both.sort()
+    return int(np.count_nonzero(both[1:] == both[:-1])) >= least_overlap(len(x), len(y))
+
+
+def _measure(text_col: str, keep: list[str]):
+    """Rows of documents (id, th, n, fp), then the parts of the task's sketch."""
+    names = [*keep, "n", "fp", "part", "counts"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketch = np.zeros(1 << SKETCH_BITS, dtype=np.int64)
-        kind = None
+        sketch, types = np.zeros(1 << SKETCH_BITS, dtype=np.int64), None
         for batch in slices(batches, text_col, HASH_BYTES):
             sets = shingle_sets(raw_texts(batch.column(text_col)))
-            kind = batch.column(id_col).type
+            types = [batch.column(c).type for c in keep]
             if any(map(len, sets)):
                 sketch += np.bincount((np.concatenate(sets) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(sketch))
-            columns = [batch.column(id_col), pa.array([len(s) for s in sets], pa.int64()), pa.array([fingerprint(s) for s in sets], pa.int64())]
-            columns.append(arrays(pa.int64(), np.full(len(sets), SET_BITS // 64), bit_sets(sets).reshape(-1)))
-            yield pa.RecordBatch.from_arrays([*columns, pa.nulls(len(sets), pa.int32()), pa.nulls(len(sets), pa.binary())], names=names)
+            columns = [pa.array([len(s) for s in sets], pa.int64()), pa.array([fingerprint(s) for s in sets], pa.int64())]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *columns, pa.nulls(len(sets), pa.int32()), pa.nulls(len(sets), pa.binary())], names=names)
         if sketch.any():
             parts = [p.tobytes() for p in np.split(sketch, SKETCH_PARTS)]
-            empty = [pa.nulls(SKETCH_PARTS, kind), *[pa.nulls(SKETCH_PARTS, pa.int64())] * 2, pa.nulls(SKETCH_PARTS, longs)]
+            empty = [pa.nulls(SKETCH_PARTS, t) for t in (*types, pa.int64(), pa.int64())]
             yield pa.RecordBatch.from_arrays([*empty, pa.array(range(SKETCH_PARTS), pa.int32()), pa.array(parts, pa.binary())], names=names)
 
-    return run
+    return give_back(run)
 
 
 def _sum_sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -139,20 +162,21 @@ def _sketch(measured: DataFrame) -> np.ndarray:
     return out.reshape(-1)
 
 
-_ENTRY = np.dtype([("token", "<u8"), ("group", "<i8"), ("n", "<u4"), ("rest", "<u4")])
 # Kinds of packed rows, and of candidates.
 _ENTRIES, _STAR, _OTHER, _LIST, _MEMBER = range(5)
+#: Columns of an entry: shingle, group, fingerprint of the set, its size, and its entries from the shared shingle on.
+_WIDTHS = ("<u8", "<i8", "<i8", "<u4", "<u4")
 
 
-def _pack(token, group, n, rest) -> bytes:
-    return b"".join((np.asarray(token, "<u8").tobytes(), np.asarray(group, "<i8").tobytes(), np.asarray(n, "<u4").tobytes(), np.asarray(rest, "<u4").tobytes()))
+def _pack(*columns) -> bytes:
+    return b"".join(np.asarray(c).astype(w, copy=False).tobytes() for c, w in zip(columns, _WIDTHS))
 
 
 def _unpack(raw: bytes) -> tuple[np.ndarray, ...]:
-    n, out, at = len(raw) // 24, [], 0
-    for kind, width in (("<u8", 8), ("<i8", 8), ("<u4", 4), ("<u4", 4)):
+    n, out, at = len(raw) // 32, [], 0
+    for kind in _WIDTHS:
         out.append(np.frombuffer(raw, dtype=kind, count=n, offset=at))
-        at += n * width
+        at += n * int(kind[2])
     return tuple(out)
 
 
@@ -170,46 +194,47 @@ def _distinct(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return low[keep], high[keep]
 
 
-def _lists(token, group, n, rest):
-    """Entries sorted by token, position, size and group, each group once a token; and where each entry's list starts and its
-    length. So a list is headed by the set with the fewest shingles of its own before the shared one: of a group of near
-    copies, the one that most others are near to."""
-    order = np.lexsort((group, n, n - rest, token))
-    token, group, n, rest = token[order], group[order], n[order], rest[order]
+def _lists(token, group, fp, n, rest):
+    """Entries sorted by token, position and size, each group once a token (its smallest fingerprint, which is the same in
+    all its lists); and where each entry's list starts and its length. A list is headed by the set with the fewest shingles
+    of its own before the shared one: of a group of near copies, the one that most others are near to."""
+    order = np.lexsort((fp, group, n, n - rest, token))
+    token, group, fp, n, rest = (x[order] for x in (token, group, fp, n, rest))
     keep = np.ones(len(token), dtype=bool)
     keep[1:] = (token[1:] != token[:-1]) | (group[1:] != group[:-1])
-    token, group, n, rest = token[keep], group[keep], n[keep], rest[keep]
+    token, group, fp, n, rest = (x[keep] for x in (token, group, fp, n, rest))
     edge = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1]))) if len(token) else np.zeros(0, dtype=np.int64)
     sizes = np.diff(np.append(edge, len(token)))
-    return token, group, n, rest, np.repeat(edge, sizes), np.repeat(sizes, sizes)
+    return token, group, fp, n, rest, np.repeat(edge, sizes), np.repeat(sizes, sizes)
 
 
-def star_pairs(group, n, rest, head):
+def star_pairs(fp, n, rest, head):
     """Each entry with the head of its list."""
     j = np.flatnonzero(np.arange(len(head)) != head)
     i = head[j]
     ok = possible(n[i], rest[i], n[j], rest[j])
-    return _distinct(group[i[ok]], group[j[ok]])
+    return _distinct(fp[i[ok]], fp[j[ok]])
 
 
-def _deal(sketch, text_col: str, buckets: int, hot: int):
+def _deal(sketch, text_col: str, buckets: int, hot: float):
     """Prefix entries of each set, packed by bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = sketch.value
         held: list[tuple] = []
-        members: list[tuple[int, int, int]] = []
         size, known = 0, set()
 
         def flush() -> Iterator[pa.RecordBatch]:
             rows: list[tuple[int, int, bytes]] = []
             lengths = [len(h[0]) for h in held]
             token = np.concatenate([h[0] for h in held])
-            group = np.repeat(np.array([h[1] for h in held], dtype=np.int64), lengths)
-            n = np.repeat(np.array([h[2] for h in held], dtype=np.uint32), lengths)
-            rest = n - (np.arange(len(token)) - np.repeat(np.cumsum(lengths) - lengths, lengths)).astype(np.uint32)
+            group, fp, n = (np.array([h[k] for h in held], dtype=np.int64) for k in (1, 2, 3))
+            members = (group, fp, n)
+            group, fp, n = (np.repeat(x, lengths) for x in members)
+            rest = n - (np.arange(len(token)) - np.repeat(np.cumsum(lengths) - lengths, lengths))
 
             def send(kind: int, where: np.ndarray, *columns: np.ndarray) -> None:
+                where = (where.view(np.uint64) % np.uint64(buckets)).astype(np.int64)
                 order = np.argsort(where, kind="stable")
                 edges = np.searchsorted(where[order], np.arange(buckets + 1))
                 for b in np.flatnonzero(np.diff(edges)).tolist():
@@ -218,17 +243,17 @@ def _deal(sketch, text_col: str, buckets: int, hot: int):
 
             is_hot = counts[(token >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)] > hot
             if is_hot.any():
-                t, g, m, r, head, _ = _lists(*(x[is_hot] for x in (token, group, n, rest)))
-                a, b = star_pairs(g, m, r, head)
-                zero = np.zeros(len(a), dtype=np.uint32)
-                send(_STAR, (a.view(np.uint64) % np.uint64(buckets)).astype(np.int64), a.view(np.uint64), b, zero, zero)
-                send(_LIST, (g.view(np.uint64) % np.uint64(buckets)).astype(np.int64), t, g, m, r)
+                t, g, f, m, r, head, _ = _lists(*(x[is_hot] for x in (token, group, fp, n, rest)))
+                a, b = star_pairs(f, m, r, head)
+                zero = np.zeros(len(a), dtype=np.int64)
+                send(_STAR, a, zero, a, b, zero, zero)
+                send(_LIST, f, t, g, f, m, r)
                 first = np.flatnonzero(np.arange(len(head)) == head)
-                token, group, n, rest = (np.concatenate((x[~is_hot], y[first])) for x, y in ((token, t), (group, g), (n, m), (rest, r)))
-            send(_ENTRIES, (token % np.uint64(buckets)).astype(np.int64), token, group, n, rest)
-            g, f, m = (np.array(c, dtype=np.int64) for c in zip(*members))
-            send(_MEMBER, (g.view(np.uint64) % np.uint64(buckets)).astype(np.int64), g.view(np.uint64), f, m.astype(np.uint32), np.zeros(len(g), dtype=np.uint32))
-            held.clear(), members.clear()
+                token, group, fp, n, rest = (np.concatenate((x[~is_hot], y[first])) for x, y in zip((token, group, fp, n, rest), (t, g, f, m, r)))
+            send(_ENTRIES, token, token, group, fp, n, rest)
+            zero = np.zeros(len(members[0]), dtype=np.int64)
+            send(_MEMBER, members[0], zero, *members, zero)
+            held.clear()
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.binary())], names=["bucket", "kind", "data"])
 
         for batch in slices(batches, text_col, HASH_BYTES):
@@ -241,9 +266,7 @@ def _deal(sketch, text_col: str, buckets: int, hot: int):
                 prefix = shingles[np.lexsort((shingles, weight))[: prefix_size(n)]]
                 # order matters here, so identical prefixes only
                 key = mix(np.array([np.sum(mix(prefix + np.arange(1, len(prefix) + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)))], dtype=np.uint64) + np.uint64(n))
-                group = int(key.view(np.int64)[0])
-                members.append((group, fp, n))
-                held.append((prefix, group, n))
+                held.append((prefix, int(key.view(np.int64)[0]), fp, n))
                 size += len(prefix)
                 if size >= FLUSH_ENTRIES:
                     yield from flush()
@@ -251,11 +274,11 @@ def _deal(sketch, text_col: str, buckets: int, hot: int):
         if held:
             yield from flush()
 
-    return run
+    return give_back(run)
 
 
 def _meet(short: int):
-    """Candidates of one bucket."""
+    """Candidates of one bucket: pairs (a, b), or entries of long lists (a: the set) with token, n and rest."""
 
     def run(table: pa.Table) -> pa.Table:
         packed: dict[int, list[bytes]] = {}
@@ -271,9 +294,8 @@ def _meet(short: int):
             return tuple(np.concatenate(c) for c in zip(*map(_unpack, packed[kind])))
 
         if _ENTRIES in packed:
-            token, group, n, rest, head, size = _lists(*read(_ENTRIES))
-            a, b = star_pairs(group, n, rest, head)
-            add(_STAR, a, b)
+            token, _, fp, n, rest, head, size = _lists(*read(_ENTRIES))
+            add(_STAR, *star_pairs(fp, n, rest, head))
             found = []
             for step in range(1, short):  # all other pairs of short lists
                 i = np.flatnonzero((head[:-step] == head[step:]) & (size[step:] <= short)) if len(head) > step else []
@@ -281,256 +303,249 @@ def _meet(short: int):
                     break
                 j = i + step
                 ok = possible(n[i], rest[i], n[j], rest[j])
-                found.append((group[i[ok]], group[j[ok]]))
+                found.append((fp[i[ok]], fp[j[ok]]))
             if found:
                 add(_OTHER, *_distinct(*(np.concatenate(c) for c in zip(*found))))
             long = size > short
-            add(_LIST, group[long], group[long], token[long].view(np.int64), n[long], rest[long])
+            add(_LIST, fp[long], fp[long], token[long].view(np.int64), n[long], rest[long])
         if _LIST in packed:
-            token, group, n, rest = read(_LIST)
-            add(_LIST, group, group, token.view(np.int64), n, rest)
+            token, _, fp, n, rest = read(_LIST)
+            add(_LIST, fp, fp, token.view(np.int64), n, rest)
         if _STAR in packed:
-            a, b, _, _ = read(_STAR)
-            add(_STAR, *_distinct(a.view(np.int64), b))
-        if _MEMBER in packed:
-            a, b, n, _ = read(_MEMBER)
-            order = np.lexsort((b, a))
-            a, b, n = a.view(np.int64)[order], b[order], n[order]
-            keep = np.ones(len(a), dtype=bool)
-            keep[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-            add(_MEMBER, a[keep], b[keep], None, n[keep])
+            _, a, b, _, _ = read(_STAR)
+            add(_STAR, *_distinct(a, b))
+        if _MEMBER in packed:  # members of a group with the one that stands for it, if there are others
+            _, group, fp, n, _ = read(_MEMBER)
+            order = np.lexsort((fp, group))
+            group, fp, n = group[order], fp[order], n[order]
+            first = np.maximum.accumulate(np.where(np.concatenate(([True], group[1:] != group[:-1])), np.arange(len(group)), 0))
+            other = fp != fp[first]
+            other[1:] &= fp[1:] != fp[:-1]
+            add(_MEMBER, fp[first][other], fp[other], None, n[other])
         names = ["kind", "a", "b", "token", "n", "rest"]
         return pa.table({name: pa.array(np.concatenate(c) if c else [], pa.int32() if name == "kind" else pa.int64()) for name, c in zip(names, zip(*columns) if columns else [()] * 6)})
 
     return run
 
 
-def _of_pairs(owners: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The owners of the sets that occur in pairs."""
-    return owners.join(_small(pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct(), "wanted"), "fp")
-
-
-def _near(owners: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs that can link by their bit sets; none that links is lost."""
-    some = materialize(_of_pairs(owners, pairs).select("fp", "n", "bits"), "bit-sets")
-    side = lambda c: some.select(F.col("fp").alias(c), F.col("n").alias(f"n_{c}"), F.col("bits").alias(f"bits_{c}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
-    apart = F.aggregate(F.zip_with("bits_a", "bits_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    total = F.col("n_a") + F.col("n_b")
-    return both.where((100 + PERCENT) * (total - apart) >= 2 * PERCENT * total).select("a", "b")
-
-
-def _verify(documents: DataFrame, owners: DataFrame, pairs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """The pairs (a, b) of fingerprints whose sets link. owners: fp, n, bits, id of one document that has it (null if none has one)."""
-    pairs = materialize(_near(owners, pairs), "near-pairs")
-    chosen = materialize(_of_pairs(owners, pairs).select(F.col("id").alias(id_col), "fp"), "set-owners")
-    few = chosen.count() <= BROADCAST_ROWS
-    side = lambda c: F.broadcast(c) if few else c
-    texts = documents.select(F.col(id_col), F.col(text_col)).join(side(chosen), id_col)
+def _passing(pairs: DataFrame, sets: DataFrame, column: str, test) -> DataFrame:
+    """The pairs (a, b) whose two values of a column pass. pairs: no pair twice."""
+    ends = pairs.select("a", "b", F.explode(F.array("a", "b")).alias("fp"))
+    value = lambda end: F.max(F.when(F.col("fp") == F.col(end), F.col(column)))
+    both = sets.select("fp", column).join(ends, "fp").groupBy("a", "b").agg(value("a").alias("x"), value("b").alias("y"))
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, text_col, HASH_BYTES):
-            found = [(fp, s.tobytes()) for fp, s in zip(batch.column("fp").to_pylist(), shingle_sets(raw_texts(batch.column(text_col)))) if fingerprint(s) == fp]
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array([f for f, _ in found], pa.int64()), pa.array([s for _, s in found], pa.binary())], names=["fp", "items"])
-
-    def all_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, text_col, HASH_BYTES):
-            found = shingle_sets(raw_texts(batch.column(text_col)))
-            yield pa.RecordBatch.from_arrays([pa.array([fingerprint(s) for s in found], pa.int64()), pa.array([s.tobytes() for s in found], pa.binary())], names=["fp", "items"])
-
-    # read by both sides of the pairs
-    sets_of = texts.mapInArrow(sets, "fp long, items binary")
-    nameless = chosen.where(F.col(id_col).isNull()).select("fp")
-    if not nameless.isEmpty():  # no id leads to these rows, so their sets are found by fingerprint
-        of_null = documents.where(F.col(id_col).isNull()).select(text_col).mapInArrow(all_sets, "fp long, items binary")
-        sets_of = sets_of.unionByName(materialize(of_null.join(side(nameless), "fp", "left_semi").dropDuplicates(["fp"]), "null-sets"))
-    both = pairs.join(sets_of.select(F.col("fp").alias("a"), F.col("items").alias("x")), "a").join(sets_of.select(F.col("fp").alias("b"), F.col("items").alias("y")), "b")
-
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            good = []
-            for x, y in zip(batch.column("x"), batch.column("y")):
-                x, y = (np.frombuffer(v.as_buffer(), dtype=np.uint64) for v in (x, y))
-                common = np.concatenate((x, y))
-                common.sort()
-                good.append(int(np.count_nonzero(common[1:] == common[:-1])) >= least_overlap(len(x), len(y)))
+            good = [test(x.as_buffer(), y.as_buffer()) for x, y in zip(batch.column("x"), batch.column("y"))]
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    return both.select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
-
-
-def components(links: DataFrame, name: str = "components") -> DataFrame:
-    """node, root (the smallest node of its component) for each node of a link (a, b). Large-star, small-star rounds."""
-    edges = materialize(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), name)
-    mark = None
-    while True:
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        edges = materialize(small, name)
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
-        if now == mark:
-            break
-        mark = now
-    roots = edges.groupBy("u").agg(F.min("v").alias("root")).withColumnRenamed("u", "node")
-    return roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
-
-
-def _expand(pairs: DataFrame, members: DataFrame) -> DataFrame:
-    """Pairs of groups to pairs of their members' fingerprints."""
-    m = lambda c: members.select(F.col("group").alias(c), F.col("fp").alias(f"fp_{c}"))
-    both = pairs.join(m("a"), "a").join(m("b"), "b")
-    return both.select(F.least("fp_a", "fp_b").alias("a"), F.greatest("fp_a", "fp_b").alias("b")).where("a <> b").distinct()
-
+    return both.where("x is not null and y is not null").mapInArrow(give_back(run), "a long, b long")
 
-def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
-    """The pairs whose ends are not connected yet."""
-    r = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"r_{c}"))
-    both = pairs.join(r("a"), "a", "left").join(r("b"), "b", "left")
-    return both.where(F.coalesce("r_a", "a") != F.coalesce("r_b", "b")).select("a", "b")
 
+def _links(scratch: Scratch, pairs: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The pairs that bit sets leave, and those of them whose sets link, both as tables. pairs: a small() table."""
+    some = scratch.small(_passing(pairs, sets, "bits", near), "near-pairs")
+    return some, scratch.small(_passing(some, sets, "items", linked), "links")
 
-def _possible(x: str, y: str) -> str:
-    """The size and position filters in SQL."""
-    need = f"cast(ceil({PERCENT} * ({x}.n + {y}.n) / {100 + PERCENT}) as bigint)"
-    return f"least({x}.n, {y}.n) >= {need} and least({x}.rest, {y}.rest) >= {need}"
 
+def components(links: DataFrame, scratch: Scratch) -> DataFrame:
+    """node, root (the smallest node of its component) for each node of a link (a, b), as a table.
 
-def _small(df: DataFrame, name: str) -> DataFrame:
-    """A written table, to be broadcast if its rows were counted and are few."""
-    df = materialize(df, name)
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
-
-
-def _mixed(placed: DataFrame) -> DataFrame:
-    """Of entries with roots, those of lists with more than one component, as a table.
+    Large-star and small-star steps, by running minima, until edges form stars: until no node has two smaller neighbours, or
+    a smaller and a larger one."""
+    edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v")
+    least = lambda: F.min("v").over(Window.partitionBy("u")).alias("m")
+    while True:
+        for _ in range(2):
+            both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+            large = both.select("u", "v", F.least("u", least()).alias("m"))
+            # larger neighbours, and the node itself, go to the smallest
+            edges = large.select(F.greatest("u", "v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+            small = edges.select("u", "v", least())
+            edges = small.select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        edges = scratch.table(edges, "components")
+        ends = edges.select(F.col("u").alias("node"), "v", F.lit(1).alias("child")).unionByName(edges.select(F.col("v").alias("node"), F.lit(None).cast("long").alias("v"), F.lit(0).alias("child")))
+        ends = ends.groupBy("node").agg(F.min("child").alias("x"), F.max("child").alias("y"), F.min("v").alias("p"), F.max("v").alias("q"))
+        if ends.where("x < y or p < q").isEmpty():
+            break
+    ends = edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")))
+    return ends.distinct()
+
+
+def _with_root(df: DataFrame, roots: DataFrame, *columns: str) -> DataFrame:
+    """Adds r_<column>, the root of each."""
+    for c in columns:
+        df = df.join(roots.select(F.col("node").alias(c), F.col("root").alias(f"_{c}")), c, "left").withColumn(f"r_{c}", F.coalesce(f"_{c}", c)).drop(f"_{c}")
+    return df
+
+
+def _across(scratch: Scratch, entries: DataFrame, sets: DataFrame, block: int) -> DataFrame:
+    """Pairs (a, b) of long lists' entries (token, fp, n, rest, r_fp) with different roots that sizes, positions and bit sets let pass.
+
+    In each list, the entries outside its largest component are held against all. Both are dealt into blocks by hash, and
+    each block of the one meets each block of the other in a group of its own."""
+    sizes = entries.groupBy("token", "r_fp").agg(F.count(F.lit(1)).alias("size"))
+    lists = sizes.groupBy("token").agg(F.max_by("r_fp", F.struct("size", "r_fp")).alias("main"), F.max("size").alias("most"), F.sum("size").alias("size")).where("most < size")
+    blocks = lambda c: F.ceil(c / block).cast("int")
+    lists = lists.select("token", "main", blocks(F.col("size") - F.col("most")).alias("rows"), blocks(F.col("size")).alias("columns"))
+    mixed = entries.join(scratch.small(lists, "mixed-lists"), "token")
+    own = lambda c: F.pmod(F.xxhash64("fp", F.lit(c)), F.col(c)).cast("int")
+    every = lambda c: F.sequence(F.lit(0), F.col(c) - 1)
+    place = lambda side, i, j: F.struct(F.lit(side).alias("side"), i.alias("i"), j.alias("j"))
+    major = F.transform(every("rows"), lambda i: place(0, i, own("columns")))
+    minor = F.when(F.col("r_fp") != F.col("main"), F.transform(every("columns"), lambda j: place(1, own("rows"), j))).otherwise(F.array().cast("array<struct<side:int,i:int,j:int>>"))
+    wanted = scratch.small(mixed.select("fp").distinct(), "mixed-sets")
+    dealt = mixed.join(sets.select("fp", "bits").join(wanted, "fp"), "fp").select("token", "fp", "n", "rest", "r_fp", "bits", F.inline(F.concat(major, minor)))
+    dealt = dealt.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j")
+
+    def pairs_of(table: pa.Table) -> np.ndarray:
+        fp, n, rest, root, side = (table.column(c).to_numpy() for c in ("fp", "n", "rest", "r_fp", "side"))
+        bits = table.column("bits").to_pylist()
+        short = np.stack([_folded(np.frombuffer(x, dtype="<u8")[1:], LEAST_BITS // 64) for x in bits])
+        major, out = np.flatnonzero(side == 0), []
+        for i in np.flatnonzero(side == 1).tolist():
+            j = major[(root[major] != root[i]) & possible(n[major], rest[major], n[i : i + 1], rest[i : i + 1])]
+            total = n[j] + n[i]
+            j = j[(100 + PERCENT) * (total - np.bitwise_count(short[j] ^ short[i]).sum(axis=1, dtype=np.int64)) >= 2 * PERCENT * total]
+            out += [(fp[i], fp[k]) for k in j.tolist() if near(bits[i], bits[k])]
+        return np.array(out, dtype=np.int64).reshape(-1, 2)
 
-    A list lies in one file, so that it is reduced to one row before the shuffle."""
-    mixed = placed.groupBy("token").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("token")
-    return materialize(placed.join(_small(mixed, "mixed-tokens"), "token"), "mixed-lists")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        found: list[np.ndarray] = []
 
+        def send() -> pa.RecordBatch:  # pairs share many lists
+            a, b = _distinct(*np.concatenate(found).T)
+            found.clear()
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
-def _placed(entries: DataFrame, members: DataFrame, roots: DataFrame) -> DataFrame:
-    """Entries by member, with the members' roots."""
-    of_group = members.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("group", "fp", F.coalesce("root", "fp").alias("root"))
-    return entries.join(_small(of_group, "group-roots"), "group").select("token", "fp", "n", "rest", "root")
+        last = None
+        for batch in batches:
+            keys = np.stack([batch.column(c).to_numpy() for c in ("token", "i", "j")], axis=1)
+            edges = (np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist()
+            for start, end in zip([0, *edges], [*edges, len(keys)]):
+                if held and tuple(keys[start]) != last:
+                    found.append(pairs_of(pa.Table.from_batches(held)))
+                    held.clear()
+                last = tuple(keys[start])
+                held.append(batch.slice(start, end - start))
+            if sum(map(len, found)) > 100_000:
+                yield send()
+        if held:
+            found.append(pairs_of(pa.Table.from_batches(held)))
+        if found:
+            yield send()
 
+    return dealt.mapInArrow(give_back(run), "a long, b long")
 
-def _placed_again(entries: DataFrame, roots: DataFrame) -> DataFrame:
-    """The same entries after more components were joined: a list of one component stays one, so mixed lists are enough."""
-    known = _small(roots.withColumnRenamed("node", "fp"), "member-roots")
-    return entries.drop("root").join(known, "fp", "left").select("token", "fp", "n", "rest", F.coalesce("root", "fp").alias("root"))
 
+def _candidate_sets(scratch: Scratch, base: DataFrame, measured: DataFrame, found: DataFrame) -> DataFrame:
+    """fp, bits, items of the sets that occur in candidates, as a table. Each is read from one document that has it, which
+    is known by id and the hash of its text, so that null and repeated ids do no harm."""
+    nodes = scratch.small(found.select(F.explode(F.array("a", "b")).alias("fp")).distinct(), "candidate-sets")
+    owners = measured.where("part is null").join(nodes, "fp", "left_semi").groupBy("fp").agg(F.min(F.struct("th", "id")).alias("o"))
+    owners = scratch.small(owners.select("fp", F.col("o.th").alias("owner_th"), F.col("o.id").alias("owner_id")), "set-owners")
+    texts = base.join(owners, (F.col("th") == F.col("owner_th")) & F.col("id").eqNullSafe(F.col("owner_id"))).select("text", "fp")
 
-def _stars(entries: DataFrame) -> DataFrame:
-    """Each list's head with all entries of other components, and the head of those with all that are not its own."""
-    best = F.min_by(F.struct("fp", "n", "rest", "root"), F.struct((F.col("n") - F.col("rest")) / F.col("n"), F.col("fp")))
-    out = []
-    heads = entries.groupBy("token").agg(best.alias("h"))
-    for _ in range(2):
-        apart = entries.join(heads, "token").where("root <> h.root")
-        pairs = apart.alias("x").where(F.expr(_possible("x", "x.h")))
-        out.append(pairs.select(F.least("fp", "h.fp").alias("a"), F.greatest("fp", "h.fp").alias("b")))
-        heads = apart.groupBy("token").agg(best.alias("h"))
-    return out[0].unionByName(out[1]).distinct()
-
-
-def _similar_documents(documents: DataFrame, id_col: str, text_col: str, hot: int, short_list: int) -> DataFrame:
-    """id, n, fp, root (null for wordless ones), smallest (the component's id)."""
-    base = documents.select(F.col(id_col), F.col(text_col))
-    schema = T.StructType([base.schema[id_col], *T.StructType.fromDDL("n long, fp long, bits array<long>, part int, counts binary").fields])
-    measured = materialize(base.mapInArrow(_measure(text_col, id_col), schema), "set-sizes")
-    rows = measured.where("part is null").select(F.col(id_col).alias("id"), "n", "fp")
-    sketch = base.sparkSession.sparkContext.broadcast(_sketch(measured))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text", HASH_BYTES):
+            sets = shingle_sets(raw_texts(batch.column("text")))
+            yield pa.RecordBatch.from_arrays([batch.column("fp"), pa.array([bit_set(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["fp", "bits", "items"])
+
+    return scratch.table(texts.mapInArrow(give_back(run), "fp long, bits binary, items binary"), "sets")
+
+
+def _similar_documents(documents: DataFrame, id_col: str, text_col: str, hot: int, short_list: int, block: int) -> DataFrame:
+    """id, th (hash of the text), n, fp, root (null for wordless ones), smallest (the component's id)."""
+    spark = documents.sparkSession
+    scratch, kept = Scratch(spark), Scratch(spark)
+    base = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(F.col(text_col)).alias("th"))
+    schema = T.StructType([T.StructField("id", base.schema["id"].dataType), *T.StructType.fromDDL("th long, n long, fp long, part int, counts binary").fields])
+    measured = kept.table(base.mapInArrow(_measure("text", ["id", "th"]), schema), "set-sizes")
+    rows = measured.where("part is null").select("id", "th", "n", "fp")
+    counts = _sketch(measured)
+    limit = max(hot, HOT_TIMES * counts.mean()) if hot >= HOT else hot
     total = rows.agg(F.sum(F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + 1)).first()[0] or 0
     buckets = max(16, math.ceil(int(total) / BUCKET_ENTRIES))
-    dealt = base.mapInArrow(_deal(sketch, text_col, buckets, hot), "bucket int, kind int, data binary")
-    found = materialize(dealt.groupBy("bucket").applyInArrow(_meet(short_list), "kind int, a long, b long, token long, n long, rest long"), "candidates")
-    members = found.where(F.col("kind") == _MEMBER).select(F.col("a").alias("group"), F.col("b").alias("fp"))
-    owned = measured.where("part is null and n > 0")
-    owners = materialize(owned.groupBy("fp").agg(F.min(id_col).alias("id"), F.first("n").alias("n"), F.first("bits").alias("bits")), "owners")
-    # sets that share prefix and size, and the star pairs
-    twins = members.groupBy("group").agg(F.min("fp").alias("x"), F.max("fp").alias("y")).where("x < y").select("group")
-    inside = members.join(twins, "group").select("group", "fp")
-    inside = inside.alias("x").join(inside.alias("y"), F.expr("x.group = y.group and x.fp < y.fp")).select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b"))
-    star = found.where(F.col("kind") == _STAR).select("a", "b").distinct()
-    first = materialize(_expand(star, members).unionByName(inside).distinct(), "pairs")
-    links = materialize(_verify(base, owners, first, id_col, text_col), "links")
-    roots = materialize(components(links), "roots")
-    # pairs of short lists between components, and of long lists with more than one component
-    other = _expand(found.where(F.col("kind") == _OTHER).select("a", "b").distinct(), members)
-    entries = found.where(F.col("kind") == _LIST).select("token", F.col("a").alias("group"), "n", "rest")
-    tested = first
-    left = _mixed(_placed(entries, members, roots))
-    for _ in range(STAR_ROUNDS):  # while stars from other heads still join components
-        pairs = materialize(_stars(left).join(tested, ["a", "b"], "left_anti"), "pairs")
-        more = materialize(_verify(base, owners, pairs, id_col, text_col), "links")
-        if more.isEmpty():
-            break
-        links, tested = links.unionByName(more), tested.unionByName(pairs)
-        roots = materialize(components(links), "roots")
-        left = _mixed(_placed_again(left, roots))
-    across = left.alias("x").join(left.alias("y"), F.expr(f"x.token = y.token and x.root < y.root and {_possible('x', 'y')}"))
-    across = across.select(F.least("x.fp", "y.fp").alias("a"), F.greatest("x.fp", "y.fp").alias("b"))
-    second = materialize(_apart(other, roots).unionByName(across).distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
-    if not second.isEmpty():
-        links = links.unionByName(_verify(base, owners, second, id_col, text_col))
-        roots = materialize(components(links), "roots")
+    dealt = base.select("text").mapInArrow(_deal(spark.sparkContext.broadcast(counts), "text", buckets, limit), "bucket int, kind int, data binary")
+    found = scratch.table(dealt.groupBy("bucket").applyInArrow(_meet(short_list), "kind int, a long, b long, token long, n long, rest long"), "candidates")
+    sets = _candidate_sets(scratch, base, measured, found)
+    # stars, and groups with their members
+    first = scratch.small(found.where(F.col("kind").isin(_STAR, _MEMBER)).select("a", "b").distinct(), "pairs")
+    tested, links = _links(scratch, first, sets)
+    roots = scratch.small(components(links, scratch), "roots")
+    other = found.where(F.col("kind").isin(_STAR, _OTHER)).select("a", "b").distinct()
+    entries = found.where(F.col("kind") == _LIST).select("token", F.col("a").alias("fp"), "n", "rest")
+    members = scratch.small(found.where(F.col("kind") == _MEMBER).select("a", "b", "n"), "members")
+    if not members.isEmpty():  # they go where their group goes, and form a list of their own
+        of = lambda c: members.select(F.col("a").alias(c), F.col("b").alias("m"))
+        for c, d in (("a", "b"), ("b", "a")):
+            other = other.unionByName(other.join(of(c), c).select(F.col("m").alias(c), d))
+        more = entries.withColumnRenamed("fp", "a").join(of("a"), "a").select("token", F.col("m").alias("fp"), "n", "rest")
+        own = members.select(F.col("a").alias("token"), F.explode(F.array("a", "b")).alias("fp"), "n", F.col("n").alias("rest")).distinct()
+        entries = entries.unionByName(more).unionByName(own)
+    other = _with_root(other, roots, "a", "b").where("r_a <> r_b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    across = _across(scratch, _with_root(entries, roots, "fp"), sets, block)
+    second = scratch.small(other.unionByName(across).distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
+    _, more = _links(scratch, second, sets)
+    if not more.isEmpty():  # joins components
+        joins = _with_root(more, roots, "a", "b").select(F.col("r_a").alias("a"), F.col("r_b").alias("b")).distinct()
+        again = scratch.small(components(joins, scratch), "joined-roots")
+        alone = joins.select(F.explode(F.array("a", "b")).alias("node")).select("node", F.col("node").alias("root"))
+        roots = _with_root(roots.unionByName(alone).distinct(), again, "root").select("node", F.col("r_root").alias("root"))
+    roots = kept.small(roots, "roots")
     # the smallest id of each component; wordless documents stand alone
-    placed = rows.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("id", "n", "fp", F.when(F.col("n") > 0, F.coalesce("root", "fp")).alias("root"))
+    placed = rows.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("id", "th", "n", "fp", F.when(F.col("n") > 0, F.coalesce("root", "fp")).alias("root"))
     smallest = placed.where("root is not null").groupBy("root").agg(F.min("id").alias("smallest"), F.count(F.lit(1)).alias("size")).where("size > 1").drop("size")
-    return placed.join(smallest, "root", "left").select("id", "n", "fp", "root", F.coalesce("smallest", "id").alias("smallest"))
-
-
-def _placed_documents(documents: DataFrame, id_col: str, text_col: str, hot: int = HOT, short_list: int = SHORT_LIST) -> DataFrame:
-    """As above. All steps in Python run inside this call, in Arrow batches of few rows, as rows hold whole sets; then the
-    session's own setting holds again."""
-    conf, key = documents.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = conf.get(key)
-    conf.set(key, ARROW_ROWS)
+    smallest = kept.small(smallest, "smallest-ids")
+    scratch.clear()
+    return placed.join(smallest, "root", "left").select("id", "th", "n", "fp", "root", F.coalesce("smallest", "id").alias("smallest"))
+
+
+@contextmanager
+def small_batches(spark: SparkSession):
+    """Arrow batches of few rows and bytes, as rows hold whole sets; then the session's own settings hold again."""
+    wanted = {"spark.sql.execution.arrow.maxRecordsPerBatch": ARROW_ROWS, "spark.sql.execution.arrow.maxBytesPerBatch": ARROW_BYTES}
+    before = {k: spark.conf.get(k) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
     try:
-        return _similar_documents(documents, id_col, text_col, hot, short_list)
+        yield
     finally:
-        conf.set(key, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
 
 
-def similar_documents(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT, short_list: int = SHORT_LIST) -> DataFrame:
-    """Per document: id, n_shingles, component_id."""
-    found = _placed_documents(documents, id_col, text_col, hot, short_list)
-    return found.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("smallest").alias("component_id"))
-
+def _placed_documents(documents: DataFrame, id_col: str, text_col: str, hot: int = HOT, short_list: int = SHORT_LIST, block: int = BLOCK) -> DataFrame:
+    with small_batches(documents.sparkSession):  # all steps in Python run inside this call
+        return _similar_documents(documents, id_col, text_col, hot, short_list, block)
 
-def _with_fingerprint(documents: DataFrame, text_col: str) -> DataFrame:
-    """The documents and _fp, the fingerprint of their set."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, text_col, HASH_BYTES):
-            fp = pa.array([fingerprint(s) for s in shingle_sets(raw_texts(batch.column(text_col)))], pa.int64())
-            yield pa.RecordBatch.from_arrays([*batch.columns, fp], names=[*batch.schema.names, "_fp"])
 
-    return documents.mapInArrow(run, T.StructType([*documents.schema.fields, T.StructField("_fp", T.LongType())]))
+def similar_documents(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """Per document: id, n_shingles, component_id."""
+    found = _placed_documents(documents, id_col, text_col, **options)
+    return found.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("smallest").alias("component_id"))
 
 
 def keep_one_of_each(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The documents that are the smallest id of their component, with all columns.
-
-    Rows are told apart by id and set: of several rows of one id in one component one stays (and of its wordless rows),
-    while rows of the same id in other components are judged by themselves. Rows with a null id, which no id can stand
-    for, all stay."""
-    found = _placed_documents(documents, id_col, text_col, **options)
-    gone = found.where(F.col("id") != F.col("smallest")).select(F.col("id").alias("_gone")).distinct()
-    again = found.where(F.col("id").isNotNull()).groupBy("id").agg(F.count(F.lit(1)).alias("_rows")).where("_rows > 1").select(F.col("id").alias("_again"))
-    again = materialize(again, "repeated-ids")
-    if not (n := again.count()):  # an id is a row
-        return documents.join(_small(gone, "gone"), F.col(id_col) == F.col("_gone"), "left_anti")
-    again = F.broadcast(again) if n <= BROADCAST_ROWS else again
-    once = documents.join(again, F.col(id_col) == F.col("_again"), "left_anti").join(_small(gone, "gone"), F.col(id_col) == F.col("_gone"), "left_anti")
-    stay = found.join(again, F.col("id") == F.col("_again"), "left_semi").where(F.col("id") == F.col("smallest"))
-    stay = _small(stay.groupBy("id", "root").agg(F.min("fp").alias("_stay_fp")).select(F.col("id").alias("_stay"), "_stay_fp"), "stay")
-    rows = _with_fingerprint(documents.join(again, F.col(id_col) == F.col("_again"), "left_semi"), text_col)
-    rows = rows.join(stay, (F.col(id_col) == F.col("_stay")) & (F.col("_fp") == F.col("_stay_fp")), "left_semi").dropDuplicates([id_col, "_fp"])
-    return once.unionByName(rows.drop("_fp"))
+    """One document of each component, with all columns: that with the smallest id (null ids last), then hash of the text.
+
+    Rows are told apart by id and text, so rows of one id with other texts are judged by themselves, and of rows that have
+    both in common one stays. Wordless documents all stay."""
+    found = _placed_documents(documents, id_col, text_col, **options).where("root is not null")
+    order = F.struct(F.col("id").isNull().alias("last"), "id", "th")
+    best = found.groupBy("root").agg(F.min(order).alias("best"), F.count(F.lit(1)).alias("size")).where("size > 1")
+    scratch = Scratch(documents.sparkSession)
+    best = scratch.small(best.select("root", F.col("best.id").alias("best_id"), F.col("best.th").alias("best_th")), "kept-documents")
+    in_groups = scratch.table(found.join(best, "root").withColumn("stays", (F.col("th") == F.col("best_th")) & F.col("id").eqNullSafe(F.col("best_id"))), "grouped-documents")
+    a, b, th = fresh(documents.columns, "gone_id", "gone_th", "text_hash")
+    pick = lambda df: df.select(F.col("id").alias(a), F.col("th").alias(b))
+    keyed = documents.withColumn(th, F.xxhash64(F.col(text_col)))
+    same = (F.col(th) == F.col(b)) & F.col(id_col).eqNullSafe(F.col(a))
+    gone = scratch.small(pick(in_groups.where("not stays")).distinct(), "gone-documents")
+    again = scratch.small(pick(in_groups.where("stays")).groupBy(a, b).count().where("count > 1").drop("count"), "repeated-documents")
+    out = keyed.join(gone, same, "left_anti")
+    if not again.isEmpty():
+        once = out.join(again, same, "left_semi").dropDuplicates([id_col, th])
+        out = out.join(again, same, "left_anti").unionByName(once)
+    return out.select(*documents.columns)

@@ -48,20 +48,43 @@ def test_short_document_access(spark, sf_dir, tmp_path):
 def test_hot_and_long_lists(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
-    got = sorted(tuple(r) for r in ngram_join.similar_documents(docs, hot=2, short_list=2).collect())
+    got = sorted(tuple(r) for r in ngram_join.similar_documents(docs, hot=2, short_list=2, block=64).collect())
     assert got == sorted(brute.jaccard(rows))
 
 
-def test_bit_sets_never_exceed_the_difference():
+def test_bit_sets_never_rule_out_a_link():
     rng = np.random.default_rng(3)
-    sets = [np.unique(rng.integers(0, 1 << 63, size=n, dtype=np.uint64)) for n in (0, 1, 7, 300, 5000)]
-    sets += [sets[3][:250], np.union1d(sets[3], sets[2])]
-    bits = ngram_join.bit_sets(sets)
-    for x, p in zip(sets, bits):
-        for y, q in zip(sets, bits):
-            apart = sum(bin(int(v) & (1 << 64) - 1).count("1") for v in p ^ q)
-            assert apart <= len(np.setxor1d(x, y)) and (apart - len(np.setxor1d(x, y))) % 2 == 0
-    assert ngram_join.bit_sets([]).shape[0] == 0
+    sets = [np.unique(rng.integers(0, 1 << 63, size=n, dtype=np.uint64)) for n in (1, 7, 300, 520, 5000)]
+    sets += [sets[2][:250], sets[3][:505], sets[3][:520], sets[4][:3800], np.union1d(sets[4], sets[3]), np.union1d(sets[2], sets[0])]
+    met = 0
+    for x in sets:
+        for y in sets:
+            n = len(np.intersect1d(x, y))
+            true = 100 * n >= 75 * (len(x) + len(y) - n)
+            assert ngram_join.linked(x.tobytes(), y.tobytes()) == true
+            possible = ngram_join.near(ngram_join.bit_set(x), ngram_join.bit_set(y))
+            assert possible or not true
+            met += not possible
+    assert met > 40  # sets that have nothing in common are ruled out
+
+
+def test_blocks_of_long_lists(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    base = " ".join(f"v{i}" for i in range(80)).split()
+    rows += [(10_000 + i, " ".join(base[:i] + [f"x{i}"] + base[i + 1 :])) for i in range(60)]  # near copies of near copies
+    rows += [(20_000 + i, " ".join(base[:40] + [f"x{i}{k}" for k in range(3)] + base[43 + i % 7 :])) for i in range(60)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(tuple(r) for r in ngram_join.similar_documents(frame, short_list=1, block=16).collect())
+    assert got == sorted(brute.jaccard(rows))
+
+
+def test_members_of_a_group_are_told_apart():
+    # six common shingles each, so that texts of equal size can share a prefix without linking
+    token = np.array([5, 5, 5, 9], dtype=np.uint64)
+    group, fp, n = np.array([1, 1, 2, 3]), np.array([10, 11, 12, 13]), np.array([40, 40, 40, 40])
+    t, g, f, m, r, head, size = ngram_join._lists(token, group, fp, n, np.array([30, 30, 30, 40]))
+    assert f.tolist() == [10, 12, 13] and head.tolist() == [0, 0, 2] and size.tolist() == [2, 2, 1]
 
 
 def test_hit_offsets_in_the_original():
