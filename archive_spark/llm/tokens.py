@@ -8,14 +8,15 @@ the tokenizer, all those of a batch at once. Pieces are cut where both pre-token
 from __future__ import annotations
 
 import re
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 from tokenizers import Tokenizer
 
-#: White space in Unicode, and the Latin letters up to U+024F.
+#: White space in Unicode, and the Latin letters up to U+024F but for U+0130, of which folding makes a letter
+#: and a mark.
 WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-LATIN = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f"
+LATIN = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u012f\u0131-\u024f"
 #: A run of Latin letters before an ASCII character that is no letter is a piece of either pre-tokenizer.
 _LETTERS = f"[{LATIN}]+(?=[\x01-@\\[-`{{-\x7f]|$)"
 _LEADING = re.compile(f" ?{_LETTERS}| ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
@@ -66,6 +67,10 @@ class PieceEncoder:
         self.offsets = np.concatenate((self.offsets, self.offsets[-1] + np.cumsum(sizes)))
         self.uses = np.concatenate((self.uses, np.zeros(len(pieces), dtype=np.int64)))
 
+    def _numbers(self, pieces: list[str]) -> np.ndarray:
+        """The pieces' numbers, -1 for new ones."""
+        return np.fromiter(map(self.number.get, pieces, repeat(-1)), dtype=np.int64, count=len(pieces))
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text, as unsigned 32-bit integers."""
         if self.keeps_space:
@@ -74,12 +79,16 @@ class PieceEncoder:
             cut = [_DROPPED.findall(t.encode().translate(_FOLD).decode()) for t in texts]
         counts = np.fromiter(map(len, cut), dtype=np.int64, count=len(cut))
         flat = list(chain.from_iterable(cut))
-        if new := list(set(flat).difference(self.number)):
+        at = self._numbers(flat)
+        if len(missing := np.flatnonzero(at < 0).tolist()):
+            new = list(dict.fromkeys([flat[i] for i in missing]))
             if len(self.number) + len(new) > self.max_pieces:
                 self._forget()
-                new = list(set(flat).difference(self.number))
-            self._learn(new)
-        at = np.fromiter(map(self.number.__getitem__, flat), dtype=np.int64, count=len(flat))
+                self._learn(list(set(flat).difference(self.number)))
+                at = self._numbers(flat)
+            else:
+                self._learn(new)
+                at[missing] = self._numbers([flat[i] for i in missing])
         self.uses += np.bincount(at, minlength=len(self.uses))
         ids, sizes = self._flat(at)
         ends = np.concatenate(([0], np.cumsum(sizes)))[np.cumsum(counts)]
