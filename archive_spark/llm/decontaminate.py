@@ -1,20 +1,27 @@
 r"""Benchmark decontamination by one Aho-Corasick automaton over normalised test items.
 
-Texts are normalised to lower-case (A-Z) words of letters, digits and non-ASCII characters, joined by single blanks.
-The automaton holds every window of 13 words of every item (a shorter item is one window). Each text is scanned once;
-each match's end is mapped back to word numbers, which `hit_offsets` maps to offsets in the original text.
+Texts are normalised to lower-case (A-Z) words of letters, digits and non-ASCII characters. A window is 13 neighbouring
+words of an item; a shorter item is one window. The automaton's letters are words, and its patterns are the pieces of
+seven words that an item falls into, one after another: every window holds a whole piece, so the automaton has no more
+nodes than the benchmark has words. Each text is scanned once; where a piece is found, the run of equal words around it
+in the item and in the text is measured, and the windows in that run are hits. Hits are ranges of word numbers, which
+`hit_offsets` maps to offsets in the original text.
 
 Defined results: a null or wordless text has no words, no hits and is clean; a null or wordless item matches nothing;
 repeated items count once by id, a null id counts as 'null'; repeated documents are judged one by one; an empty
-benchmark makes every document clean. The benchmark's text is read in blocks of at most MAX_ITEM_BYTES, one automaton
-each, so that no more is ever sent to a task; documents pass through the blocks one after another, and are written in
-between, so that a task has one automaton at a time.
+benchmark makes every document clean; a text of any length is scanned as a whole. The benchmark's distinct texts are
+sent to the tasks if they have at most MAX_ITEM_BYTES together, which is far beyond public benchmarks. A larger one is
+read in blocks of that size, one automaton each; documents pass through the blocks one after another and are written in
+between.
 """
 
 from __future__ import annotations
 
 import hashlib
+import uuid
+from collections import defaultdict
 from collections.abc import Iterator
+from itertools import repeat
 
 import ahocorasick
 import numpy as np
@@ -23,11 +30,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrays, materialize, raw_texts, slices
+from .common import arrays, fresh, give_back, materialize, raw_texts, slices
 
 WINDOW = 13
-#: Bound of the benchmark text in one automaton, which has 13 nodes for each byte at most.
-MAX_ITEM_BYTES = 256 << 10
+#: Bound of the benchmark text in one automaton, which has a node for each word at most.
+MAX_ITEM_BYTES = 16 << 20
 
 #: Bytes of words stay (A-Z folded), all others become blanks.
 _WORD = bytes(b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
@@ -38,84 +45,117 @@ def normal_words(raw: bytes) -> list[bytes]:
     return raw.translate(_WORD).split()
 
 
-def build_automaton(items: list[tuple[str, bytes]], window: int = WINDOW) -> ahocorasick.Automaton | None:
-    """items: id, raw text. Values are (words in the window, ids)."""
-    patterns: dict[bytes, tuple[int, set[str]]] = {}
-    for item, raw in items:
-        words = normal_words(raw)
-        for i in range(max(1, len(words) - window + 1) if words else 0):
-            part = words[i : i + window]
-            patterns.setdefault(b" ".join(part), (len(part), set()))[1].add(item)
-    if not patterns:
-        return None
-    automaton = ahocorasick.Automaton()
-    for text, (n, ids) in patterns.items():
-        automaton.add_word(f" {text.decode('latin-1')} ", (n, tuple(sorted(ids))))
-    automaton.make_automaton()
-    return automaton
-
-
-def scan_words(automaton: ahocorasick.Automaton, words: list[bytes]) -> tuple[list[tuple[int, int]], set[str]]:
-    """Hit word ranges (end exclusive), joined and in order, and the ids of the items found."""
-    text = b" " + b" ".join(words) + b" "
-    found = list(automaton.iter(text.decode("latin-1")))
-    if not found:
-        return [], set()
-    blanks = np.flatnonzero(np.frombuffer(text, dtype=np.uint8) == 32)
-    ends = np.searchsorted(blanks, np.fromiter((e for e, _ in found), dtype=np.int64))
-    ranges: list[tuple[int, int]] = []
-    ids: set[str] = set()
-    for a, b, v in sorted((int(e) - v[0], int(e), v) for e, (_, v) in zip(ends, found)):
-        ids.update(v[1])
-        if ranges and a <= ranges[-1][1]:
-            ranges[-1] = (ranges[-1][0], max(b, ranges[-1][1]))
-        else:
-            ranges.append((a, b))
-    return ranges, ids
-
-
-def _scanner(block, window: int, text_col: str, keep: list[str], first: bool):
+class Items:
+    """The automaton over items (id, raw text), and the words of each item for the check around a match."""
+
+    def __init__(self, items: list[tuple[str, bytes]], window: int = WINDOW):
+        self.window, self.number = window, {}
+        self.ids: list[str] = []
+        self.words: list[list[int]] = []
+        piece = (window + 1) // 2
+        places: dict[tuple[int, ...], list[tuple[int, int]]] = defaultdict(list)
+        for item, words in {(i, tuple(normal_words(raw))): None for i, raw in items}:
+            if not words:
+                continue
+            at = [self.number.setdefault(w, len(self.number) + 1) for w in words]
+            size = len(at) if len(at) < window else piece
+            for start in range(0, len(at) - size + 1, size):
+                places[tuple(at[start : start + size])].append((len(self.ids), start))
+            self.ids.append(item), self.words.append(at)
+        self.automaton = None
+        if places:
+            self.automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
+            for key, found in places.items():
+                self.automaton.add_word(key, (len(key), tuple(found)))
+            self.automaton.make_automaton()
+
+    def scan(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set[str]]:
+        """Hit word ranges (end exclusive), joined and in order, and the ids of the items found."""
+        if self.automaton is None or not words:
+            return [], set()
+        text = tuple(map(self.number.get, words, repeat(0)))
+        hits: list[tuple[int, int]] = []
+        ids: set[str] = set()
+        runs: dict[tuple[int, int], int] = {}  # of an item and its shift against the text: where the last run ends
+        for last, (size, found) in self.automaton.iter(text):
+            for item, start in found:
+                other, shift = self.words[item], last + 1 - size - start
+                if runs.get((item, shift), -1) > last:  # within a run that is known
+                    continue
+                a, b = last + 1 - size, last + 1
+                while a > 0 and a > shift and text[a - 1] == other[a - 1 - shift]:
+                    a -= 1
+                while b < len(text) and b - shift < len(other) and text[b] == other[b - shift]:
+                    b += 1
+                runs[item, shift] = b
+                if b - a >= min(self.window, len(other)):
+                    hits.append((a, b))
+                    ids.add(self.ids[item])
+        ranges: list[tuple[int, int]] = []
+        for a, b in sorted(hits):
+            if ranges and a <= ranges[-1][1]:
+                ranges[-1] = (ranges[-1][0], max(b, ranges[-1][1]))
+            else:
+                ranges.append((a, b))
+        return ranges, ids
+
+
+_built: dict[str, Items] = {}
+
+
+def _items_of(block, window: int) -> Items:
+    """Built once in each worker, which keeps the last. block: a broadcast pair of a key and items."""
+    key, items = block.value
+    if key not in _built:
+        _built.clear()
+        _built[key] = Items(items, window)
+    return _built[key]
+
+
+def _scanner(block, window: int, text_col: str, keep: list[str], names: tuple[str, str, str], first: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = build_automaton(block.value, window)  # of this task, so that no worker keeps it
+        items = _items_of(block, window)
         for batch in slices(batches, text_col):
             texts = raw_texts(batch.column(text_col))
-            old = [None] * len(texts) if first else batch.column("_ranges").to_pylist()
-            old_ids = [None] * len(texts) if first else batch.column("_items").to_pylist()
-            n, ranges, items = [], [], []
+            old = [None] * len(texts) if first else batch.column(names[1]).to_pylist()
+            old_ids = [None] * len(texts) if first else batch.column(names[2]).to_pylist()
+            n, ranges, found = [], [], []
             for raw, had, had_ids in zip(texts, old, old_ids):
                 words = normal_words(raw)
-                got, ids = scan_words(automaton, words) if automaton and words else ([], set())
+                got, ids = items.scan(words)
                 n.append(len(words))
                 ranges.append([*(had or []), *(x for r in got for x in r)])
-                items.append(sorted({*(had_ids or []), *ids}))
+                found.append(sorted({*(had_ids or []), *ids}))
             counts = np.array([len(x) for x in ranges])
             flat = np.fromiter((x for r in ranges for x in r), dtype=np.int32)
             columns = [batch.column(c) for c in keep]
-            columns += [pa.array(n, pa.int64()), arrays(pa.int32(), counts, flat), pa.array(items, pa.list_(pa.string()))]
-            yield pa.RecordBatch.from_arrays(columns, names=[*keep, "_n_words", "_ranges", "_items"])
+            columns += [pa.array(n, pa.int64()), arrays(pa.int32(), counts, flat), pa.array(found, pa.list_(pa.string()))]
+            yield pa.RecordBatch.from_arrays(columns, names=[*keep, *names])
 
-    return run
+    return give_back(run)
 
 
-def item_blocks(benchmark: DataFrame, id_col: str, text_col: str, max_bytes: int) -> list[list[tuple[str, bytes]]]:
-    """The items in blocks, each of a checked size."""
+def item_blocks(benchmark: DataFrame, id_col: str, text_col: str, max_bytes: int) -> Iterator[list[tuple[str, bytes]]]:
+    """The items in blocks, each of a checked size; one block is in the driver at a time."""
     rows = benchmark.select(F.coalesce(F.col(id_col).cast("string"), F.lit("null")).alias("id"), F.col(text_col).alias("text")).where("text is not null").distinct()
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = -(-total * 2 // max_bytes) if total > max_bytes else 1
-    return [[(r["id"], r["text"].encode()) for r in rows.where(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == b).orderBy("id", "text").collect()] for b in range(blocks)]
+    for b in range(blocks):
+        yield [(r["id"], r["text"].encode()) for r in rows.where(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == b).orderBy("id", "text").collect()]
 
 
 def find_contamination(
-    documents: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, max_bytes: int = MAX_ITEM_BYTES
+    documents: DataFrame, benchmark: DataFrame, names: tuple[str, str, str], *, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, max_bytes: int = MAX_ITEM_BYTES
 ) -> DataFrame:
-    """Adds _n_words, _ranges (flat hit word ranges, start and end in turn, of each block) and _items to each document."""
+    """Adds three columns to the documents: the number of words, the hit word ranges (flat, start and end in turn, of each
+    block), and the ids of the items."""
     spark, fields = documents.sparkSession, documents.schema.fields
     out = documents
     for i, block in enumerate(item_blocks(benchmark, item_id, item_text, max_bytes)):
         if i:
             out = materialize(out, "hits")
-        schema = T.StructType([*fields, T.StructField("_n_words", T.LongType()), T.StructField("_ranges", T.ArrayType(T.IntegerType())), T.StructField("_items", T.ArrayType(T.StringType()))])
-        out = out.mapInArrow(_scanner(spark.sparkContext.broadcast(block), window, text_col, documents.columns, i == 0), schema)
+        schema = T.StructType([*fields, T.StructField(names[0], T.LongType()), T.StructField(names[1], T.ArrayType(T.IntegerType())), T.StructField(names[2], T.ArrayType(T.StringType()))])
+        out = out.mapInArrow(_scanner(spark.sparkContext.broadcast((uuid.uuid4().hex, block)), window, text_col, documents.columns, names, i == 0), schema)
     return out
 
 
@@ -131,15 +171,16 @@ def hit_offsets(raw: bytes, ranges: list[int] | None) -> list[int]:
 
 def contaminated_spans(documents: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """Per document with hits: id, spans (starts and ends of the hit passages in the original, in code points, in turn)."""
-    found = find_contamination(documents.select(F.col(id_col), F.col(text_col)), benchmark, text_col=text_col, **options)
+    names = tuple(fresh([id_col, text_col], "_n_words", "_ranges", "_items"))
+    found = find_contamination(documents.select(F.col(id_col), F.col(text_col)), benchmark, names, text_col=text_col, **options)
     schema = T.StructType([documents.schema[id_col], T.StructField("spans", T.ArrayType(T.IntegerType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, text_col):
-            spans = [hit_offsets(x, r) for x, r in zip(raw_texts(batch.column(text_col)), batch.column("_ranges").to_pylist())]
+            spans = [hit_offsets(x, r) for x, r in zip(raw_texts(batch.column(text_col)), batch.column(names[1]).to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(id_col), pa.array(spans, pa.list_(pa.int32()))], names=schema.names)
 
-    return found.where(F.size("_ranges") > 0).mapInArrow(run, schema)
+    return found.where(F.size(names[1]) > 0).mapInArrow(run, schema)
 
 
 def union_length(ranges: list[int] | None) -> int:
@@ -153,14 +194,15 @@ def union_length(ranges: list[int] | None) -> int:
 
 def contamination(documents: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """Per document: id, n_words, n_hit, n_items, items_sha256, contaminated (n_hit > 0 and 20 * n_hit >= n_words)."""
-    found = find_contamination(documents.select(F.col(id_col), F.col(text_col)), benchmark, text_col=text_col, **options)
+    names = tuple(fresh([id_col, text_col], "_n_words", "_ranges", "_items"))
+    found = find_contamination(documents.select(F.col(id_col), F.col(text_col)), benchmark, names, text_col=text_col, **options)
     schema = T.StructType([documents.schema[id_col], *T.StructType.fromDDL("n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean").fields])
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n = batch.column("_n_words").to_pylist()
-            hit = [union_length(r) for r in batch.column("_ranges").to_pylist()]
-            items = batch.column("_items").to_pylist()
+            n = batch.column(names[0]).to_pylist()
+            hit = [union_length(r) for r in batch.column(names[1]).to_pylist()]
+            items = batch.column(names[2]).to_pylist()
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(id_col),
@@ -178,12 +220,13 @@ def contamination(documents: DataFrame, benchmark: DataFrame, *, id_col: str = "
 
 def remove_contaminated(documents: DataFrame, benchmark: DataFrame, *, text_col: str = "text", **options) -> DataFrame:
     """The documents that are not contaminated, with all their columns. documents: no two columns of one name."""
-    found = find_contamination(documents, benchmark, text_col=text_col, **options)
+    names = tuple(fresh(documents.columns, "_n_words", "_ranges", "_items"))
+    found = find_contamination(documents, benchmark, names, text_col=text_col, **options)
     fields = documents.schema
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, ranges = batch.column("_n_words").to_pylist(), batch.column("_ranges").to_pylist()
+            n, ranges = batch.column(names[0]).to_pylist(), batch.column(names[1]).to_pylist()
             clean = [not (h > 0 and 20 * h >= w) for h, w in zip(map(union_length, ranges), n)]
             yield batch.select(fields.names).filter(pa.array(clean))
 

@@ -5,7 +5,7 @@ import random
 import numpy as np
 import public_tokenizers
 
-from archive_spark.llm import decontaminate, ngram_join, packing, token_store, url_filter, warc
+from archive_spark.llm import decontaminate, ngram_join, packing, token_store, tokens, url_filter, warc
 
 from . import brute
 
@@ -89,8 +89,43 @@ def test_members_of_a_group_are_told_apart():
 
 def test_hit_offsets_in_the_original():
     raw = "Zé, the Quick-brown FOX! ünd 12 x"
-    automaton = decontaminate.build_automaton([("a", b"the quick brown fox"), ("b", "fox ünd".encode()), ("c", b"nothere")])
-    ranges, ids = decontaminate.scan_words(automaton, decontaminate.normal_words(raw.encode()))
+    items = decontaminate.Items([("a", b"the quick brown fox"), ("b", "fox ünd".encode()), ("c", b"nothere")])
+    ranges, ids = items.scan(decontaminate.normal_words(raw.encode()))
     assert (ranges, ids) == ([(1, 6)], {"a", "b"})
     start, end = decontaminate.hit_offsets(raw.encode(), [x for r in ranges for x in r])
     assert raw[start:end] == "the Quick-brown FOX! ünd"
+
+
+def test_large_benchmark_is_one_automaton(spark):
+    rng = random.Random(8)
+    vocabulary = [f"w{i}" for i in range(400)]
+    words = lambda n: [rng.choice(vocabulary) for _ in range(n)]
+    items = [(i, words(rng.choice((3, 12, 13, 14, 40, 2000)))) for i in range(2500)]
+    docs = []
+    for d in range(120):
+        text = words(rng.randrange(300))
+        for _ in range(d % 4):
+            item = rng.choice(items)[1]
+            at, n = rng.randrange(len(item)), rng.randrange(1, 40)
+            k = rng.randrange(len(text) + 1)
+            text[k:k] = item[at : at + n] * rng.choice((1, 2))
+        docs.append((d, " ".join(text)))
+    items = [(i, " ".join(w)) for i, w in items]
+    assert sum(len(t) for _, t in items) > 2 << 20
+    frame, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    found = decontaminate.contamination(frame, bench)
+    assert found._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 2  # one scan, and the digest
+    want = sorted(brute.contamination(docs, items))
+    assert sorted(tuple(r) for r in found.collect()) == want and sum(r[2] > 0 for r in want) > 40
+    small = decontaminate.contamination(frame, bench, max_bytes=1 << 20)
+    assert sorted(tuple(r) for r in small.collect()) == want
+    left = decontaminate.remove_contaminated(frame.withColumnRenamed("doc_id", "_ranges"), bench)
+    assert sorted(r["_ranges"] for r in left.collect()) == [r[0] for r in want if not r[5]]
+
+
+def test_dotted_capital_i():
+    texts = ["İ>", "\t\tİ\x01a", "İ1 İİ, ıI", "a b\x01 c"]
+    for name, keeps in (("word_bpe_49k.json", False), ("byte_bpe_50k.json", True)):
+        e = tokens.PieceEncoder(public_tokenizers.path(name), keeps)
+        want = [x.ids for x in e.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        assert [x.tolist() for x in e.encode(texts)] == want
