@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SPACES, materialize, raw_texts, slices
+from .common import SPACES, give_back, materialize, raw_texts, slices
 
 MIN_BLOCK_WORDS = 20
 #: Bytes up to which the list of deleted lines is broadcast; a longer one is joined by shuffle.
@@ -145,7 +145,7 @@ def document_windows(documents: DataFrame, id_col: str, text_col: str, min_words
                 out.append([(xxhash.xxh3_64_intdigest(packed[8 * i : 8 * j + 8]) - (1 << 63), at[i : j + 1]) for i, j in windows(words, min_words)])
             yield pa.RecordBatch.from_arrays([batch.column("did"), batch.column("th"), pa.array([[{"key": k, "lines": x} for k, x in w] for w in out], kind)], names=["did", "th", "windows"])
 
-    return _keyed(documents, id_col, text_col).mapInArrow(run, schema)
+    return _keyed(documents, id_col, text_col).mapInArrow(give_back(run), schema)
 
 
 def _id(id_col: str):

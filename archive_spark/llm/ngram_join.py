@@ -169,14 +169,16 @@ _WIDTHS = ("<u8", "<i8", "<i8", "<u4", "<u4")
 
 
 def _pack(*columns) -> bytes:
-    return b"".join(np.asarray(c).astype(w, copy=False).tobytes() for c, w in zip(columns, _WIDTHS))
+    # byte by byte, so that the high bytes of small numbers lie together and compress to nothing
+    return b"".join(np.asarray(c).astype(w, copy=False).view(np.uint8).reshape(len(c), -1).T.tobytes() for c, w in zip(columns, _WIDTHS))
 
 
 def _unpack(raw: bytes) -> tuple[np.ndarray, ...]:
     n, out, at = len(raw) // 32, [], 0
     for kind in _WIDTHS:
-        out.append(np.frombuffer(raw, dtype=kind, count=n, offset=at))
-        at += n * int(kind[2])
+        width = int(kind[2])
+        out.append(np.ascontiguousarray(np.frombuffer(raw, dtype=np.uint8, count=n * width, offset=at).reshape(width, n).T).view(kind).reshape(n))
+        at += n * width
     return tuple(out)
 
 

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import slices
+from .common import give_back, release_memory, slices
 from .tokens import ENCODE_BYTES, MAX_PIECES, PieceEncoder, encoder
 
 CAPACITY = 1024
@@ -54,7 +54,7 @@ def token_pieces(documents: DataFrame, tokenizer: str, *, id_col: str = "doc_id"
                 [batch.column(id_col).take(pa.array(row)), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(ids, pa.binary())], names=schema.names
             )
 
-    return documents.select(F.col(id_col), F.col(text_col)).mapInArrow(run, schema)
+    return documents.select(F.col(id_col), F.col(text_col)).mapInArrow(give_back(run), schema)
 
 
 def sum_of_squares(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray, np.ndarray]:
@@ -113,6 +113,7 @@ def pack_pieces(pieces: DataFrame, *, id_col: str = "doc_id", capacity: int = CA
         sequence, offset = sum_of_squares(table.column("length").to_numpy(), capacity)
         base = key[0].as_py() << 32
         table = table.drop_columns(["_shard"])
+        release_memory()
         return table.append_column("sequence_id", pa.array(sequence + base)).append_column("offset", pa.array(offset))
 
     return pieces.withColumn("_shard", shard).groupBy("_shard").applyInArrow(run, schema)

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SPACES, byte_table, joined, mix, raw_texts, slices, text_of, window_hashes, word_hashes, word_spans
+from .common import SPACES, byte_table, give_back, joined, mix, raw_texts, slices, text_of, window_hashes, word_hashes, word_spans
 
 #: Fixed values of the base rules.
 SYMBOLS = b"#*$%&|<>"
@@ -198,7 +198,7 @@ def quality_scores(documents: DataFrame, labels: DataFrame, *, id_col: str = "do
             columns = [pa.array(out[f.name], pa.bool_() if f.dataType == T.BooleanType() else pa.float64() if f.dataType == T.DoubleType() else pa.int64()) for f in schema.fields[1:]]
             yield pa.RecordBatch.from_arrays([batch.column(id_col), *columns], names=schema.names)
 
-    return documents.select(F.col(id_col), F.col(text_col)).mapInArrow(run, schema)
+    return documents.select(F.col(id_col), F.col(text_col)).mapInArrow(give_back(run), schema)
 
 
 def keep_good(documents: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, max_train: int = MAX_TRAIN) -> DataFrame:
@@ -210,4 +210,4 @@ def keep_good(documents: DataFrame, labels: DataFrame, *, id_col: str = "doc_id"
         for batch, out in judge(batches):
             yield batch.filter(pa.array(out["kept"]))
 
-    return documents.mapInArrow(run, documents.schema)
+    return documents.mapInArrow(give_back(run), documents.schema)
