@@ -37,8 +37,8 @@ def decontaminate_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The remaining documents in training sequences: a row for each piece."""
-    return packing.pack_documents(docs, public_tokenizers.path(BYTE_BPE), keep_ids=False, max_pieces=150_000, per_task=True)
+    """The remaining documents in training sequences: a row for each piece, with its token ids."""
+    return packing.pack_documents(docs, public_tokenizers.path(BYTE_BPE), max_pieces=150_000, per_task=True)
 
 
 STAGES = [
