@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrays, fresh, give_back, materialize, raw_texts, slices
+from .common import bound_batches, fresh, give_back, materialize, raw_texts, slices
 
 WINDOW = 13
 #: Bound of the benchmark text in one automaton, which has a node for each word at most.
@@ -112,7 +112,9 @@ def _items_of(block, window: int) -> Items:
     return _built[key]
 
 
-def _scanner(block, window: int, text_col: str, keep: list[str], names: tuple[str, str, str], first: bool):
+def _scanner(block, window: int, text_col: str, names: tuple[str, str, str], first: bool, finish):
+    """finish: makes the batch to return from a batch, and of each text the number of words, hit ranges and item ids."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items = _items_of(block, window)
         for batch in slices(batches, text_col):
@@ -126,11 +128,7 @@ def _scanner(block, window: int, text_col: str, keep: list[str], names: tuple[st
                 n.append(len(words))
                 ranges.append([*(had or []), *(x for r in got for x in r)])
                 found.append(sorted({*(had_ids or []), *ids}))
-            counts = np.array([len(x) for x in ranges])
-            flat = np.fromiter((x for r in ranges for x in r), dtype=np.int32)
-            columns = [batch.column(c) for c in keep]
-            columns += [pa.array(n, pa.int64()), arrays(pa.int32(), counts, flat), pa.array(found, pa.list_(pa.string()))]
-            yield pa.RecordBatch.from_arrays(columns, names=[*keep, *names])
+            yield finish(batch, n, ranges, found)
 
     return give_back(run)
 
@@ -145,18 +143,25 @@ def item_blocks(benchmark: DataFrame, id_col: str, text_col: str, max_bytes: int
 
 
 def find_contamination(
-    documents: DataFrame, benchmark: DataFrame, names: tuple[str, str, str], *, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, max_bytes: int = MAX_ITEM_BYTES
+    documents: DataFrame, benchmark: DataFrame, schema: T.StructType, finish, *, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, max_bytes: int = MAX_ITEM_BYTES
 ) -> DataFrame:
-    """Adds three columns to the documents: the number of words, the hit word ranges (flat, start and end in turn, of each
-    block), and the ids of the items."""
-    spark, fields = documents.sparkSession, documents.schema.fields
-    out = documents
+    """What `finish` makes of each Arrow batch of documents, their numbers of words, hit word ranges (flat, start and end in
+    turn, of each block) and item ids. schema: of its batches."""
+    spark, keep = documents.sparkSession, documents.columns
+    bound_batches(spark)
+    names = tuple(fresh(keep, "_n_words", "_ranges", "_items"))
+    wider = T.StructType([*documents.schema.fields, T.StructField(names[0], T.LongType()), T.StructField(names[1], T.ArrayType(T.IntegerType())), T.StructField(names[2], T.ArrayType(T.StringType()))])
+
+    def carry(batch: pa.RecordBatch, n, ranges, found) -> pa.RecordBatch:
+        columns = [pa.array(n, pa.int64()), pa.array(ranges, pa.list_(pa.int32())), pa.array(found, pa.list_(pa.string()))]
+        return pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *columns], names=[*keep, *names])
+
+    out, held = documents, None
     for i, block in enumerate(item_blocks(benchmark, item_id, item_text, max_bytes)):
-        if i:
-            out = materialize(out, "hits")
-        schema = T.StructType([*fields, T.StructField(names[0], T.LongType()), T.StructField(names[1], T.ArrayType(T.IntegerType())), T.StructField(names[2], T.ArrayType(T.StringType()))])
-        out = out.mapInArrow(_scanner(spark.sparkContext.broadcast((uuid.uuid4().hex, block)), window, text_col, documents.columns, names, i == 0), schema)
-    return out
+        if held is not None:
+            out = materialize(out.mapInArrow(_scanner(held, window, text_col, names, i == 1, carry), wider), "hits")
+        held = spark.sparkContext.broadcast((uuid.uuid4().hex, block))
+    return out.mapInArrow(_scanner(held, window, text_col, names, out is documents, finish), schema)
 
 
 def hit_offsets(raw: bytes, ranges: list[int] | None) -> list[int]:
@@ -171,16 +176,14 @@ def hit_offsets(raw: bytes, ranges: list[int] | None) -> list[int]:
 
 def contaminated_spans(documents: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """Per document with hits: id, spans (starts and ends of the hit passages in the original, in code points, in turn)."""
-    names = tuple(fresh([id_col, text_col], "_n_words", "_ranges", "_items"))
-    found = find_contamination(documents.select(F.col(id_col), F.col(text_col)), benchmark, names, text_col=text_col, **options)
     schema = T.StructType([documents.schema[id_col], T.StructField("spans", T.ArrayType(T.IntegerType()))])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, text_col):
-            spans = [hit_offsets(x, r) for x, r in zip(raw_texts(batch.column(text_col)), batch.column(names[1]).to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column(id_col), pa.array(spans, pa.list_(pa.int32()))], names=schema.names)
+    def finish(batch: pa.RecordBatch, n, ranges, found) -> pa.RecordBatch:
+        spans = [hit_offsets(x, r) for x, r in zip(raw_texts(batch.column(text_col)), ranges)]
+        hit = pa.array([bool(r) for r in ranges], pa.bool_())
+        return pa.RecordBatch.from_arrays([batch.column(id_col), pa.array(spans, pa.list_(pa.int32()))], names=schema.names).filter(hit)
 
-    return found.where(F.size(names[1]) > 0).mapInArrow(run, schema)
+    return find_contamination(documents.select(F.col(id_col), F.col(text_col)), benchmark, schema, finish, text_col=text_col, **options)
 
 
 def union_length(ranges: list[int] | None) -> int:
@@ -192,42 +195,30 @@ def union_length(ranges: list[int] | None) -> int:
     return total
 
 
+def _judged(n: list[int], ranges: list[list[int]]) -> tuple[list[int], list[bool]]:
+    """Hit words, and whether they make a text contaminated."""
+    hit = [union_length(r) for r in ranges]
+    return hit, [h > 0 and 20 * h >= w for h, w in zip(hit, n)]
+
+
 def contamination(documents: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """Per document: id, n_words, n_hit, n_items, items_sha256, contaminated (n_hit > 0 and 20 * n_hit >= n_words)."""
-    names = tuple(fresh([id_col, text_col], "_n_words", "_ranges", "_items"))
-    found = find_contamination(documents.select(F.col(id_col), F.col(text_col)), benchmark, names, text_col=text_col, **options)
     schema = T.StructType([documents.schema[id_col], *T.StructType.fromDDL("n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean").fields])
 
-    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n = batch.column(names[0]).to_pylist()
-            hit = [union_length(r) for r in batch.column(names[1]).to_pylist()]
-            items = batch.column(names[2]).to_pylist()
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(id_col),
-                    pa.array(n, pa.int64()),
-                    pa.array(hit, pa.int64()),
-                    pa.array([len(x) for x in items], pa.int64()),
-                    pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in items], pa.string()),
-                    pa.array([h > 0 and 20 * h >= w for h, w in zip(hit, n)], pa.bool_()),
-                ],
-                names=schema.names,
-            )
-
-    return found.drop(text_col).mapInArrow(digest, schema)
+    def finish(batch: pa.RecordBatch, n, ranges, found) -> pa.RecordBatch:
+        hit, bad = _judged(n, ranges)
+        digests = [hashlib.sha256(",".join(x).encode()).hexdigest() for x in found]
+        columns = [pa.array(n, pa.int64()), pa.array(hit, pa.int64()), pa.array([len(x) for x in found], pa.int64()), pa.array(digests, pa.string()), pa.array(bad, pa.bool_())]
+        return pa.RecordBatch.from_arrays([batch.column(id_col), *columns], names=schema.names)
+
+    return find_contamination(documents.select(F.col(id_col), F.col(text_col)), benchmark, schema, finish, text_col=text_col, **options)
 
 
 def remove_contaminated(documents: DataFrame, benchmark: DataFrame, *, text_col: str = "text", **options) -> DataFrame:
     """The documents that are not contaminated, with all their columns. documents: no two columns of one name."""
-    names = tuple(fresh(documents.columns, "_n_words", "_ranges", "_items"))
-    found = find_contamination(documents, benchmark, names, text_col=text_col, **options)
-    fields = documents.schema
+    keep = documents.columns
 
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n, ranges = batch.column(names[0]).to_pylist(), batch.column(names[1]).to_pylist()
-            clean = [not (h > 0 and 20 * h >= w) for h, w in zip(map(union_length, ranges), n)]
-            yield batch.select(fields.names).filter(pa.array(clean))
+    def finish(batch: pa.RecordBatch, n, ranges, found) -> pa.RecordBatch:
+        return batch.select(keep).filter(pa.array([not x for x in _judged(n, ranges)[1]], pa.bool_()))
 
-    return found.mapInArrow(keep, fields)
+    return find_contamination(documents, benchmark, documents.schema, finish, text_col=text_col, **options)

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SPACES, give_back, materialize, raw_texts, slices
+from .common import SPACES, bound_batches, give_back, materialize, raw_texts, slices
 
 MIN_BLOCK_WORDS = 20
 #: Bytes up to which the list of deleted lines is broadcast; a longer one is joined by shuffle.
@@ -158,6 +158,7 @@ def _keyed(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def duplicate_lines(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_block_words: int = MIN_BLOCK_WORDS) -> DataFrame:
     """did, th, gone (numbers of the lines to delete, ascending) for each document that loses lines."""
+    bound_batches(documents.sparkSession)
     held = materialize(document_windows(documents, id_col, text_col, min_block_words), "document-windows")
     found = held.select(F.struct("did", "th").alias("doc"), F.inline("windows"))
     # counted before the shuffle; only shared windows go on

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import give_back, release_memory, slices
+from .common import bound_batches, give_back, release_memory, slices
 from .tokens import ENCODE_BYTES, MAX_PIECES, PieceEncoder, encoder
 
 CAPACITY = 1024
@@ -108,9 +108,12 @@ def pack_pieces(pieces: DataFrame, *, id_col: str = "doc_id", capacity: int = CA
     ties = [c for c in (id_col, "start", "ids_crc32") if c in pieces.columns]
 
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        table = table.take(pc.sort_indices(table, sort_keys=[(c, "ascending") for c in ties]))
-        table = table.take(pa.array(placing_order(table.column("length").to_numpy(), capacity)))
-        sequence, offset = sum_of_squares(table.column("length").to_numpy(), capacity)
+        # places only: rows, which may hold ids, stay where they are
+        order = pc.sort_indices(table.select(ties), sort_keys=[(c, "ascending") for c in ties]).to_numpy()
+        lengths = table.column("length").to_numpy()
+        order = order[placing_order(lengths[order], capacity)]
+        sequence, offset = np.empty(len(order), dtype=np.int64), np.empty(len(order), dtype=np.int64)
+        sequence[order], offset[order] = sum_of_squares(lengths[order], capacity)
         base = key[0].as_py() << 32
         table = table.drop_columns(["_shard"])
         release_memory()
@@ -121,6 +124,7 @@ def pack_pieces(pieces: DataFrame, *, id_col: str = "doc_id", capacity: int = CA
 
 def pack_documents(documents: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2, capacity: int = CAPACITY, shard_rows: int = SHARD_ROWS, keep_ids: bool = True, keeps_space: bool = True, max_pieces: int = MAX_PIECES, per_task: bool = False) -> DataFrame:
     """Per piece: id, piece, start, length, ids_crc32, sequence_id, offset, and the ids themselves if keep_ids."""
+    bound_batches(documents.sparkSession)
     pieces = token_pieces(documents, tokenizer, id_col=id_col, text_col=text_col, end_id=end_id, capacity=capacity, keeps_space=keeps_space, max_pieces=max_pieces, per_task=per_task).withColumn("ids_crc32", F.crc32("ids"))
     shards = max(1, math.ceil(documents.count() / shard_rows))
     return pack_pieces(pieces if keep_ids else pieces.drop("ids"), id_col=id_col, capacity=capacity, shards=shards)

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SPACES, byte_table, give_back, joined, mix, raw_texts, slices, text_of, window_hashes, word_hashes, word_spans
+from .common import SPACES, bound_batches, byte_table, give_back, joined, mix, raw_texts, slices, text_of, window_hashes, word_hashes, word_spans
 
 #: Fixed values of the base rules.
 SYMBOLS = b"#*$%&|<>"
@@ -189,6 +189,7 @@ def _judge(model, text_col: str, threshold: float):
 
 def quality_scores(documents: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, max_train: int = MAX_TRAIN) -> DataFrame:
     """Per document: id, the counts, base_failed, kept, probability (calibrated, of good quality)."""
+    bound_batches(documents.sparkSession)
     model = documents.sparkSession.sparkContext.broadcast(train(documents, labels, max_train, id_col, text_col))
     schema = T.StructType([documents.schema[id_col], *[T.StructField(c, T.LongType()) for c in COUNTS], T.StructField("base_failed", T.BooleanType()), T.StructField("kept", T.BooleanType()), T.StructField("probability", T.DoubleType())])
     judge = _judge(model, text_col, threshold)
@@ -203,6 +204,7 @@ def quality_scores(documents: DataFrame, labels: DataFrame, *, id_col: str = "do
 
 def keep_good(documents: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, max_train: int = MAX_TRAIN) -> DataFrame:
     """The documents that pass, with all their columns."""
+    bound_batches(documents.sparkSession)
     model = documents.sparkSession.sparkContext.broadcast(train(documents, labels, max_train, id_col, text_col))
     judge = _judge(model, text_col, threshold)
 

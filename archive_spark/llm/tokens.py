@@ -24,7 +24,7 @@ _DROPPED = re.compile(f"{_LETTERS}|[^{WHITE}]+")
 #: Pieces that a worker keeps at most, unless told otherwise; when there are more, those met once since the last time are forgotten.
 MAX_PIECES = 600_000
 #: Bytes of text encoded at once.
-ENCODE_BYTES = 1 << 20
+ENCODE_BYTES = 1 << 19
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
