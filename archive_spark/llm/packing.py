@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bound_batches, give_back, release_memory, slices
+from .common import Scratch, bound_batches, fresh, give_back, release_memory, slices
 from .tokens import ENCODE_BYTES, MAX_PIECES, PieceEncoder, encoder
 
 CAPACITY = 1024
@@ -127,7 +127,14 @@ def pack_documents(documents: DataFrame, tokenizer: str, *, id_col: str = "doc_i
     bound_batches(documents.sparkSession)
     pieces = token_pieces(documents, tokenizer, id_col=id_col, text_col=text_col, end_id=end_id, capacity=capacity, keeps_space=keeps_space, max_pieces=max_pieces, per_task=per_task).withColumn("ids_crc32", F.crc32("ids"))
     shards = max(1, math.ceil(documents.count() / shard_rows))
-    return pack_pieces(pieces if keep_ids else pieces.drop("ids"), id_col=id_col, capacity=capacity, shards=shards)
+    if not keep_ids:
+        return pack_pieces(pieces.drop("ids"), id_col=id_col, capacity=capacity, shards=shards)
+    # ids are written once and wait; only lengths are packed, and places come back by the number of the written row
+    key = fresh([id_col], "_row")[0]
+    scratch = Scratch(documents.sparkSession)
+    pieces = scratch.table(pieces.withColumn(key, F.monotonically_increasing_id()), "token-pieces")
+    placed = pack_pieces(pieces.drop("ids"), id_col=id_col, capacity=capacity, shards=shards)
+    return pieces.join(scratch.small(placed.select(key, "sequence_id", "offset"), "places"), key).drop(key)
 
 
 def sequences(packed: DataFrame) -> DataFrame:

@@ -36,6 +36,23 @@ def test_sum_of_squares_fits():
     assert max(fill.values()) <= 1024
 
 
+def test_packed_ids_are_the_documents(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("doc_id < 90").select("doc_id", "text")
+    docs = docs.unionByName(docs.where("doc_id < 5")).cache()  # repeated rows
+    packed = packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), shard_rows=40)
+    rows = packed.orderBy("sequence_id", "offset").collect()
+    texts = [(r["doc_id"], r["text"] or "") for r in docs.collect()]
+    want = sorted((d, np.array(ids, dtype="<u4").tobytes()) for (d, _), ids in zip(texts, brute._tokens("byte_bpe_50k.json", [t for _, t in texts])))
+    parts = {}
+    for r in sorted(rows, key=lambda r: (r["doc_id"], r["piece"], r["sequence_id"])):
+        parts.setdefault(r["doc_id"], {}).setdefault(r["piece"], []).append(bytes(r["ids"]))
+    got = sorted((d, b"".join(c)) for d, p in parts.items() for c in zip(*p.values()))
+    assert got == want
+    whole = packing.sequences(packed).collect()
+    assert sum(len(r["ids"]) // 4 for r in whole) == sum(r["length"] for r in rows) and max(r["n_tokens"] for r in whole) <= 1024
+    assert len(whole) <= 1.05 * sum(r["length"] for r in rows) / 1024 + 3
+
+
 def test_short_document_access(spark, sf_dir, tmp_path):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("doc_id < 60")
     path = f"file://{tmp_path}/store"
