@@ -28,6 +28,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import AddedToken, Tokenizer
 
+from . import tokens  # noqa: F401  (threads of the tokenizer)
+
 TURN, SAYS, END = "<turn>", "<says>", "</turn>"
 MAX_SEGMENT_TURNS, MAX_SEGMENT_CHARS = 512, 1 << 20
 _BACK = {"\\": "\\", "l": "<"}

@@ -7,12 +7,16 @@ the tokenizer, all those of a batch at once. Pieces are cut where both pre-token
 
 from __future__ import annotations
 
+import os
 import re
 from itertools import chain, repeat
 
 import numpy as np
 from tokenizers import Tokenizer
 
+# Spark runs a task on each core already; more threads only take memory of their own.
+os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+
 #: White space in Unicode, and the Latin letters up to U+024F but for U+0130, of which folding makes a letter
 #: and a mark.
 WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
