@@ -6,7 +6,7 @@ unsigned 32-bit) are compressed by themselves. A block holds neighbouring docume
     magic b"TIDS1\0", 32 bytes SHA-256 of the dictionary, unsigned 32-bit number of documents n,
     n + 1 unsigned 64-bit frame offsets (from the end of the index), n unsigned 32-bit token counts, then the frames.
 
-Blocks are rows of a Parquet table (block, first_id, last_id, start, ids, data), so that Spark's own writers commit
+Blocks are rows of a Parquet table (part, number, ids, n_tokens, data), and an index has where each starts, so that Spark's own writers commit
 them to any store; `data` is written uncompressed as it is. The dictionary lies beside it in a table of one row.
 
 Defined results: a null text is empty, and every document has its end id; documents with equal or null ids follow one
@@ -27,12 +27,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import shared_path, slices
+from .common import bound_batches, give_back, shared_path, slices
 from .tokens import ENCODE_BYTES, encoder
 
 MAGIC = b"TIDS1\0"
-#: Bounds of the sample for the dictionary and of the dictionary itself.
-SAMPLE_DOCUMENTS, DICTIONARY_BYTES, LEVEL = 1000, 64 << 10, 1
+#: Bounds of the sample for the dictionary (documents, and bytes of each one's ids) and of the dictionary itself.
+SAMPLE_DOCUMENTS, SAMPLE_BYTES, DICTIONARY_BYTES, LEVEL = 1000, 16 << 10, 64 << 10, 1
 #: Frame bytes after which a block ends.
 BLOCK_BYTES = 4 << 20
 
@@ -95,16 +95,17 @@ def _serialized(texts: list[str], tokenizer: str, keeps_space: bool, end_id: int
 def write_store(documents: DataFrame, path: str, tokenizer: str, *, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2, keeps_space: bool = False, sample: int = SAMPLE_DOCUMENTS, block_bytes: int = BLOCK_BYTES) -> None:
     """Encode once, compress where the text is read, then move only frames to their place in the order of ids."""
     spark = documents.sparkSession
+    bound_batches(spark)
     base = documents.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     chosen = base.select("id").orderBy(F.xxhash64("id"), "id").limit(sample)  # a top-k of ids
     picked = base.join(F.broadcast(chosen.distinct()), "id").orderBy(F.xxhash64("id"), "id", "text").limit(sample)
 
     def serialize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", ENCODE_BYTES):
-            yield pa.RecordBatch.from_arrays([pa.array(_serialized(batch.column("text").to_pylist(), tokenizer, keeps_space, end_id), pa.binary())], names=["raw"])
+            raw = [x[:SAMPLE_BYTES] for x in _serialized(batch.column("text").to_pylist(), tokenizer, keeps_space, end_id)]
+            yield pa.RecordBatch.from_arrays([pa.array(raw, pa.binary())], names=["raw"])
 
-    # at most 256 KB of a document's ids, the largest that training looks at
-    dictionary = train_dictionary([bytes(r["raw"])[: 256 << 10] for r in picked.mapInArrow(serialize, "raw binary").collect()])
+    dictionary = train_dictionary([bytes(r["raw"]) for r in picked.mapInArrow(serialize, "raw binary").collect()])
     spark.createDataFrame([(bytearray(dictionary), hashlib.sha256(dictionary).hexdigest())], "dictionary binary, sha256 string").coalesce(1).write.parquet(f"{path}/dictionary")
     shared = spark.sparkContext.broadcast(dictionary)  # at most DICTIONARY_BYTES
 
@@ -116,7 +117,7 @@ def write_store(documents: DataFrame, path: str, tokenizer: str, *, id_col: str
 
     id_field = T.StructField("id", base.schema["id"].dataType)
     encoded_path = shared_path(spark, "token-frames")
-    base.mapInArrow(frames, T.StructType([id_field, T.StructField("n", T.LongType()), T.StructField("frame", T.BinaryType())])).write.option("compression", "none").parquet(encoded_path)
+    base.mapInArrow(give_back(frames), T.StructType([id_field, T.StructField("n", T.LongType()), T.StructField("frame", T.BinaryType())])).write.option("compression", "none").parquet(encoded_path)
     # the range shuffle samples its input first, so that input is a written table
     ordered = spark.read.parquet(encoded_path).repartitionByRange(F.col("id").asc_nulls_first(), F.xxhash64("frame")).sortWithinPartitions(F.col("id").asc_nulls_first(), F.xxhash64("frame"))
     digest = hashlib.sha256(dictionary).digest()
@@ -143,9 +144,15 @@ def write_store(documents: DataFrame, path: str, tokenizer: str, *, id_col: str
 
     schema = T.StructType([T.StructField("part", T.LongType()), T.StructField("number", T.LongType()), T.StructField("ids", T.ArrayType(id_field.dataType)), T.StructField("n_tokens", T.LongType()), T.StructField("data", T.BinaryType())])
     ordered.mapInArrow(blocks, schema).write.option("compression", "none").parquet(f"{path}/blocks")
-    # one row a block: where each block's tokens start in the whole
+    # one row a block: where each block's tokens start in the whole. Sums of the parts are few, one for each task that wrote
     index = spark.read.parquet(f"{path}/blocks").select("part", "number", "n_tokens", F.size("ids").alias("n_documents"))
-    index.withColumn("start", F.sum("n_tokens").over(Window.orderBy("part", "number")) - F.col("n_tokens")).coalesce(1).write.parquet(f"{path}/index")
+    before, total = [], 0
+    for r in index.groupBy("part").agg(F.sum("n_tokens").alias("n")).orderBy("part").collect():
+        before.append((r["part"], total))
+        total += r["n"]
+    starts = spark.createDataFrame(before, "part long, part_start long")
+    within = F.sum("n_tokens").over(Window.partitionBy("part").orderBy("number")) - F.col("n_tokens")
+    index.join(F.broadcast(starts), "part").withColumn("start", within + F.col("part_start")).drop("part_start").write.parquet(f"{path}/index")
 
 
 def _partition() -> int:
