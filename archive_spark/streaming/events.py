@@ -1,6 +1,6 @@
 """Agent event streams: dedupe of tool frames, text segments, turn outcomes, token baselines.
 
-Each operator takes a batch; `deduplicate`, `token_baseline` and `turn_outcome` take a stream as well."""
+Each operator takes a batch; `deduplicate` and `token_baseline` take a stream as well."""
 
 from __future__ import annotations
 
@@ -11,8 +11,8 @@ TOOL_FRAMES, ENDS = ("TOOL_CALL_REQUEST", "TOOL_CALL_RESULT"), ("DONE", "ERROR")
 
 
 def deduplicate(events: DataFrame, delay: str = "1 hour") -> DataFrame:
-    """The first of the frames with equal session, event and call id stays; frames without a call id always do."""
-    keyed = F.col("event").isin(*TOOL_FRAMES) & (F.coalesce("call_id", F.lit("")) != "")
+    """The first of the frames with equal session, event and call id stays; frames without a call id, and those without an event, always do."""
+    keyed = F.coalesce(F.col("event").isin(*TOOL_FRAMES), F.lit(False)) & (F.coalesce("call_id", F.lit("")) != "")
     if events.isStreaming:
         frames = events.where(keyed).withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay).dropDuplicatesWithinWatermark(["session_id", "event", "call_id"])
         return frames.unionByName(events.where(~keyed).withColumn("ts", F.col("ts").cast("timestamp")))
