@@ -1,57 +1,126 @@
-"""Governed SQL: audit of a statement log, capped and rendered results, tool-error triage."""
+"""Governed SQL: audit of a statement log, guarded runs, rendered results, the data dictionary, tool-error triage."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
 
-#: Words that write, and error classes.
-WRITE = "insert|update|delete|replace|drop|alter|create|truncate|grant|revoke|merge|call|set|lock|load"
-FATAL, TRANSIENT = "denied|unauthor|syntax|not found|invalid", "timeout|timed out|reset|refused|unavailable|too many"
+#: Words that write.
+WRITE = "insert|update|delete|drop|create|alter|truncate|replace|grant|revoke|call|set|handler|lock|unlock|load|outfile|dumpfile|load_file|into"
+#: Exception types and parts of lower-cased messages that no retry mends, and those that one may.
+FATAL_TYPES = ("IllegalArgumentException", "NoSuchFileException", "FileNotFoundException", "AccessDeniedException", "ConnectException")
+FATAL = ("connection refused", "http 400", "http 401", "http 403", "http 404", "http 405", "http 422", "invalid api key", "invalid_api_key", "unauthorized", "authentication", "sqlsyntaxerrorexception", "you have an error in your sql syntax", "unknown column", "unknown table", "doesn't exist", "does not exist")
+TRANSIENT_TYPES = ("SocketTimeoutException", "HttpTimeoutException", "TimeoutException", "SQLTimeoutException", "SQLTransientException", "EOFException")
+TRANSIENT = ("connection reset", "broken pipe", "unexpected end of stream", "premature end", "connection abort", "connect timed out", "timed out", "timeout", "http 500", "http 502", "http 503", "http 504", "http 429", "unavailable_shards_exception", "cluster_block_exception", "nonodeavailable", "node not connected", "connect_exception", "deadlock found", "lock wait timeout", "communications link failure", "could not get jdbc connection", "connection is not available")
+#: What users are told, by parts of the messages.
+SLOW, NETWORK, INTERNAL = ("timeout", "Timeout", "超时"), ("Connection reset", "SocketException", "Broken pipe", "connect timed out", "Connection refused"), ("NoClassDefFoundError", "ClassNotFoundException")
+TOLD = {"slow": "当前服务响应较慢，请稍后重试", "network": "网络出现波动，请稍后重试", "internal": "服务内部出现异常，请稍后重试", "other": "服务暂时开小差，请稍后重试"}
+
+#: Comments and quoted parts in the order in which they begin; an open one reaches to the end.
+_HIDDEN = "|".join([r"(?s)--[^\n]*", r"#[^\n]*", r"/\*.*?(?:\*/|\z)", r"'[^'\\]*+(?:(?:\\(?:.|\z)|'')[^'\\]*+)*+(?:'|\z)", *[rf"{q}[^{q}\\]*+(?:\\(?:.|\z)[^{q}\\]*+)*+(?:{q}|\z)" for q in '"`']])
+_REF = r"(?i)\b(?:from|join)\s+([A-Za-z0-9_]+)(?:\s*\.\s*([A-Za-z0-9_]+))?"
 
 
 def stripped(sql: Column) -> Column:
-    """Without comments and literals; quoted names keep their name."""
-    s = F.regexp_replace(F.coalesce(sql, F.lit("")), r"(?s)/\*.*?\*/", " ")
-    s = F.regexp_replace(s, r"--[^\n]*", " ")
-    s = F.regexp_replace(s, r"'(?:[^'\\]|\\.|'')*'", "''")
-    return F.trim(F.regexp_replace(s, "`", ""))
-
-
-def audit(log: DataFrame, allowed: list[str]) -> DataFrame:
-    """log: stmt_id, sql. The first rule that a statement breaks is its verdict."""
-    df = log.withColumn("s", F.regexp_replace(stripped(F.col("sql")), r";\s*$", ""))
-    refs = F.transform(F.regexp_extract_all("s", F.lit(r"(?i)\b(?:from|join)\s+([A-Za-z_][\w.]*)"), 1), lambda x: F.lower(x))
-    ctes = F.transform(F.regexp_extract_all("s", F.lit(r"(?i)(?:\bwith|,)\s+([A-Za-z_]\w*)\s+as\s*\("), 1), lambda x: F.lower(x))
-    df = df.withColumns({"refs": refs, "ctes": ctes})
-    known = F.array(*[F.lit(a.lower()) for a in allowed])
-    unknown = F.filter("refs", lambda r: ~F.array_contains(known, r) & ~F.array_contains("ctes", r))
+    """Comments, literals and quoted names become blanks, in one pass from left to right."""
+    return F.regexp_replace(F.coalesce(sql, F.lit("")), _HIDDEN, " ")
+
+
+def _lower(found: Column) -> Column:
+    return F.transform(found, lambda x: F.lower(x))
+
+
+def audit(log: DataFrame, allowed: list[str], database: str = "") -> DataFrame:
+    """log: stmt_id, sql. The first rule that a statement breaks is its verdict; of its tables, the first bad one decides.
+
+    Tables of `database` may be named with it. Null and blank statements are empty, those of comments alone no query."""
+    with_head = F.col("s").rlike(r"(?i)^[\s(]*with")
+    df = log.select("stmt_id", "sql", stripped(F.col("sql")).alias("s"))
+    df = df.withColumns(
+        {
+            "one": _lower(F.regexp_extract_all("s", F.lit(_REF), 1)),
+            "two": _lower(F.regexp_extract_all("s", F.lit(_REF), 2)),
+            "ctes": F.when(with_head, _lower(F.regexp_extract_all("s", F.lit(r"(?i)([A-Za-z0-9_]+)\s+as\s*\("), 1))).otherwise(F.array().cast("array<string>")),
+        }
+    )
+    known = F.array(*[F.lit(a.lower()) for a in allowed]).cast("array<string>")
+
+    def judge(one: Column, two: Column) -> Column:
+        table = F.when(two != "", two).otherwise(one)
+        return F.when((two != "") & (one != database.lower()), "cross_database").when(((two != "") | ~F.array_contains("ctes", one)) & ~F.array_contains(known, table), "unknown_table")
+
+    bad = F.get(F.filter(F.zip_with("one", "two", judge), lambda x: x.isNotNull()), F.lit(0))
     verdict = (
-        F.when(F.col("s") == "", "empty").when(~F.col("s").rlike(r"(?i)^(select|with)\b"), "not_select").when(F.col("s").rlike(rf"(?i)\b({WRITE})\b"), "write_keyword")
-        .when(F.col("s").contains(";"), "stacked").when(F.exists("refs", lambda r: r.contains(".")), "cross_database").when(F.size(unknown) > 0, "unknown_table")
-        .when(F.size("refs") == 0, "no_table").otherwise("ok")
+        F.when(F.coalesce("sql", F.lit("")).rlike(r"\A\s*\z"), "empty").when(~F.col("s").rlike(r"(?i)^[\s(]*(?:select|with)"), "not_select").when(F.col("s").rlike(rf"(?i)\b(?:{WRITE})\b"), "write_keyword")
+        .when(F.regexp_replace("s", r";\s*\z", "").contains(";"), "stacked").when(bad.isNotNull(), bad).when(F.size("one") == 0, "no_table").otherwise("ok")
     )
-    return df.select("stmt_id", verdict.alias("verdict"), F.array_join("refs", ",").alias("refs"))
+    refs = F.array_join(F.zip_with("one", "two", lambda a, b: F.when(b == "", a).otherwise(F.concat_ws(".", a, b))), ",")
+    return df.select("stmt_id", verdict.alias("verdict"), refs.alias("refs"))
 
 
-def markdown(rows: DataFrame, order: list[str], cap: int = 100) -> DataFrame:
-    """A capped result as one Markdown text; one row more is read to know whether it was cut."""
+def _render(rows: DataFrame, key: list[Column], cap: int) -> DataFrame:
     names = rows.columns
-    cut = rows.orderBy(*order).limit(cap + 1)
-    line = F.concat(F.lit("| "), F.concat_ws(" | ", *[tx.markdown_cell(F.col(c)) for c in names]), F.lit(" |"))
-    keyed = cut.select(F.struct(*order).alias("k"), line.alias("line"))
+    line = F.concat(F.lit("| "), F.concat_ws(" | ", *[tx.markdown_cell(rows[c]) for c in names]), F.lit(" |\n"))
     parts = F.array_sort(F.collect_list(F.struct("k", "line")))
     head = "| " + " | ".join(names) + " |\n|" + " --- |" * len(names) + "\n"
-    body = F.array_join(F.transform(F.slice(F.col("parts"), 1, cap), lambda x: x["line"]), "\n")
-    return keyed.agg(parts.alias("parts")).select(F.concat(F.lit(head), body).alias("markdown"), F.least(F.size("parts"), F.lit(cap)).alias("n_rows"), (F.size("parts") > cap).alias("truncated"))
+    n, cut = F.least(F.size("parts"), F.lit(cap)), F.size("parts") > cap
+    body = F.array_join(F.transform(F.slice("parts", 1, cap), lambda x: x["line"]), "")
+    note = F.when(cut, f"（已截断，最多返回 {cap} 行，请加 WHERE/LIMIT 缩小范围）").otherwise("")
+    text = F.concat(F.lit(head), body, F.lit("\n共 "), n.cast("string"), F.lit(" 行"), note)
+    return rows.select(F.struct(*key).alias("k"), line.alias("line")).agg(parts.alias("parts")).select(text.alias("markdown"), n.alias("n_rows"), cut.alias("truncated"))
+
+
+def markdown(rows: DataFrame, order: list[str], cap: int = 100) -> DataFrame:
+    """The first `cap` rows as one Markdown text that says how many there are; one row more is read to know whether it was cut."""
+    cut = rows.orderBy(*order).limit(cap + 1)
+    return _render(cut, [cut[c] for c in order], cap)
+
+
+def run(spark: SparkSession, sql: str, views: dict[str, DataFrame], database: str = "", cap: int = 100) -> DataFrame:
+    """Runs one statement over the named views alone and renders its rows in their order; a statement that breaks a rule raises."""
+    verdict = audit(spark.createDataFrame([(0, sql)], "stmt_id int, sql string"), list(views), database).first()
+    if verdict["verdict"] != "ok":
+        raise ValueError(f"{verdict['verdict']}: {verdict['refs'] or sql}; tables: {', '.join(sorted(views))}")
+    for name, df in views.items():
+        df.createOrReplaceTempView(name)
+    return _render(spark.sql(sql).limit(cap + 1), [F.monotonically_increasing_id().alias("n")], cap)
+
+
+def tables(spark: SparkSession, prefix: str = "ek_") -> list[str]:
+    """The allow-list: views and tables whose name starts with the prefix, as they are now."""
+    return sorted(t.name.lower() for t in spark.catalog.listTables() if t.name.lower().startswith(prefix))
+
+
+def describe(asked: DataFrame, dictionary: DataFrame, known: list[str]) -> DataFrame:
+    """asked: request_id, name. dictionary: name, text, a row for each table. The text of each asked table, or why there is none."""
+    name = F.regexp_replace(F.lower(F.trim("name")), r"\.md\z", "")
+    df = asked.select("request_id", F.coalesce(name, F.lit("")).alias("name"))
+    df = df.join(dictionary.select("name", "text"), "name", "left")
+    status = (
+        F.when(F.col("name") == "", "no_name").when(F.col("name").rlike(r"\.\.|[/\\]"), "illegal_name").when(~F.col("name").isin(*[k.lower() for k in known]), "unknown_table")
+        .when(F.col("text").isNull(), "no_text").otherwise("ok")
+    )
+    return df.select("request_id", "name", status.alias("status"), F.when(status == "ok", F.col("text")).alias("text"))
+
+
+def _any(text: Column, parts: tuple[str, ...]) -> Column:
+    found = F.lit(False)
+    for p in parts:
+        found = found | F.contains(text, F.lit(p))
+    return F.bool_or(found)
+
 
+def triage(causes: DataFrame) -> DataFrame:
+    """causes: call_id, attempt, depth (0 outermost), error_type (class name), sql_state, message; a row for each link of a chain.
 
-def triage(log: DataFrame) -> DataFrame:
-    """log: call_id, attempt, causes (array of messages, outermost first). Fatal causes win over transient ones."""
-    fatal = F.exists("causes", lambda c: F.lower(c).rlike(FATAL))
-    transient = F.exists("causes", lambda c: F.lower(c).rlike(TRANSIENT))
+    One fatal cause makes a call fatal; else one transient cause makes it transient. Nulls say nothing."""
+    message, kind = F.coalesce("message", F.lit("")), F.coalesce("error_type", F.lit(""))
+    low = F.lower(message)
+    fatal = F.bool_or(kind.isin(*FATAL_TYPES)) | _any(low, FATAL)
+    transient = F.bool_or(kind.isin(*TRANSIENT_TYPES)) | F.bool_or(F.coalesce(F.col("sql_state").startswith("08"), F.lit(False))) | _any(low, TRANSIENT)
+    told = F.when(_any(message, SLOW), TOLD["slow"]).when(_any(message, NETWORK), TOLD["network"]).when(_any(message, INTERNAL), TOLD["internal"]).otherwise(TOLD["other"])
+    calls = causes.groupBy("call_id", "attempt").agg(F.when(fatal, "fatal").when(transient, "transient").otherwise("unknown").alias("kind"), F.max_by("message", "depth").alias("root_cause"), told.alias("told"))
     base = F.least(200 * F.pow(F.lit(2), F.col("attempt") - 1), F.lit(1000)).cast("int")
-    kind = F.when(fatal, "fatal").when(transient, "transient").otherwise("unknown")
-    return log.select("call_id", "attempt", kind.alias("kind"), F.element_at("causes", -1).alias("root_cause"), base.alias("backoff_ms"), (base / 2).cast("int").alias("backoff_min"), (base * 1.5).cast("int").alias("backoff_max"))
+    return calls.select("call_id", "attempt", "kind", "root_cause", "told", base.alias("backoff_ms"), (base / 2).cast("int").alias("backoff_min"), (base * 1.5).cast("int").alias("backoff_max"))

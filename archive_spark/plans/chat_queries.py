@@ -56,17 +56,20 @@ def _edits(s, d):
     return catalog.unique_edits(docs, docs.select("id", F.element_at(words, F.greatest(F.size(words), F.lit(1))).alias("old"), F.lit("<edited>").alias("new")))
 
 
-def _audit(s, d):
-    docs = load(s, d, "documents")[0]
-    forms = F.array(F.lit("SELECT id FROM ek_ar_main ORDER BY id LIMIT 3"), F.lit("UPDATE ek_ar_main SET title = 'x'"), F.lit("SELECT 1 FROM mysql.user"), F.lit("SELECT 1 FROM ek_ar_main; DELETE FROM ek_ar_main"), F.lit("SELECT * FROM ek_not_exist"), F.lit("WITH t AS (SELECT id FROM ek_ar_main) SELECT * FROM t JOIN ek_ar_side ON 1 = 1"), F.lit("SELECT 'delete me' FROM ek_ar_side -- drop"), F.lit(" "), F.lit("SELECT 1"))
-    log = docs.select(F.col("doc_id").alias("stmt_id"), F.element_at(forms, (F.col("doc_id") % 9 + 1).cast("int")).alias("sql"))
-    return governed.audit(log, ["ek_ar_main", "ek_ar_side"])
+ALLOWED = ["ek_ar_main", "ek_ar_side", "ek_ar_project", "ek_user"]
+RUN = """with live as (select status, form_year from ek_ar_main where del_flag = '0' /* ; */)
+ select status, form_year, count(*) as volumes, nullif(status, '3') as open from live group by status, form_year order by form_year, status"""
 
 
-def _triage(s, d):
-    texts = F.array(F.lit("Read timed out"), F.lit("Access denied"), F.lit("Connection reset"), F.lit("odd"))
-    log = load(s, d, "events")[0].select(F.col("event_id").alias("call_id"), (F.col("event_id") % 4 + 1).cast("int").alias("attempt"), F.array(F.lit("wrapper"), F.element_at(texts, (F.col("user_id") % 4 + 1).cast("int"))).alias("causes"))
-    return governed.triage(log)
+def _run(s, d):
+    return governed.run(s, RUN, {"ek_ar_main": load(s, d, "ar_main")[0]})
+
+
+def _describe(s, d):
+    docs, dictionary = load(s, d, "documents", "dictionary")
+    names = F.array(*[F.lit(n) for n in (" EK_AR_Main.md", "ek_ar_side", "../ek_ar_side", " ", "ek_user", "ek_other", "ek_ar_project.MD")])
+    asked = docs.select(F.col("doc_id").alias("request_id"), F.get(names, (F.col("doc_id") % 8).cast("int")).alias("name"))
+    return governed.describe(asked, dictionary, ALLOWED)
 
 
 def _stale(s, d):
@@ -89,9 +92,11 @@ QUERIES = {
     "upsert_generated_files": _upsert,
     "upload_validation": _uploads,
     "unique_edits": _edits,
-    "sql_audit": _audit,
+    "sql_audit": lambda s, d: governed.audit(load(s, d, "sql_log")[0], ALLOWED, "ek"),
+    "governed_run": _run,
+    "dictionary_lookup": _describe,
     "markdown_result": lambda s, d: governed.markdown(load(s, d, "orders")[0].select("o_orderkey", "o_orderpriority", "o_orderstatus"), ["o_orderkey"], 100),
-    "tool_error_triage": _triage,
+    "tool_error_triage": lambda s, d: governed.triage(load(s, d, "tool_cause")[0]),
     "event_dedupe": lambda s, d: ev.deduplicate(load(s, d, "agent_event")[0]),
     "event_segments": lambda s, d: ev.segments(load(s, d, "agent_event")[0]),
     "turn_outcome": lambda s, d: ev.turn_outcome(load(s, d, "agent_event")[0]),
@@ -108,6 +113,26 @@ _DEDUPE = ", dd as (select * from agent_event qualify event not in ('TOOL_CALL_R
 _TURNS = _DEDUPE + ", tn as (select *, coalesce(sum(case when event in ('DONE', 'ERROR') then 1 else 0 end) over (partition by session_id order by ts, event_id rows between unbounded preceding and 1 preceding), 0) turn from dd)"
 _HAN = r"len(regexp_extract_all(regexp_replace(coalesce({}, ''), '(\p{{Han}})', ' \1 ', 'g'), '\p{{Han}}|[\p{{L}}\p{{N}}]+|[^\s\p{{L}}\p{{N}}]'))"
 
+# The audit with the tables of a statement as rows, unlike the arrays on the Spark side.
+_AUDIT = r""", c as (select stmt_id, sql, regexp_replace(coalesce(sql, ''), '(?s)--[^\n]*|#[^\n]*|/\*.*?(?:\*/|\z)|''(?:[^''\\]|\\.|\\\z|'''')*(?:''|\z)|"(?:[^"\\]|\\.|\\\z)*(?:"|\z)|`(?:[^`\\]|\\.|\\\z)*(?:`|\z)', ' ', 'g') s from sql_log),
+ f as (select stmt_id, unnest(regexp_extract_all(s, '(?i)\b(?:from|join)\s+[a-z0-9_]+(?:\s*\.\s*[a-z0-9_]+)?')) ref, generate_subscripts(regexp_extract_all(s, '(?i)\b(?:from|join)\s+[a-z0-9_]+(?:\s*\.\s*[a-z0-9_]+)?'), 1) i,
+  regexp_matches(s, '(?i)^[\s(]*with') w, list_transform(regexp_extract_all(s, '(?i)([a-z0-9_]+)\s+as\s*\(', 1), lambda x: lower(x)) ctes from c),
+ r as (select *, regexp_replace(regexp_replace(lower(ref), '^(from|join)\s+', ''), '\s', '', 'g') t from f),
+ v as (select *, case when contains(t, '.') and t not like 'ek.%' then 'cross_database' when w and list_contains(ctes, t) then null when replace(t, 'ek.', '') not in ('ek_ar_main', 'ek_ar_side', 'ek_ar_project', 'ek_user') then 'unknown_table' end bad from r),
+ b as (select stmt_id, arg_min(bad, i) filter (where bad is not null) bad, string_agg(t, ',' order by i) refs from v group by 1)
+ select stmt_id, coalesce(refs, '') refs, case when trim(coalesce(sql, '')) = '' then 'empty' when not regexp_matches(s, '(?i)^[\s(]*(select|with)') then 'not_select'
+  when regexp_matches(s, '(?i)\b(insert|update|delete|drop|create|alter|truncate|replace|grant|revoke|call|set|handler|lock|unlock|load|outfile|dumpfile|load_file|into)\b') then 'write_keyword'
+  when contains(regexp_replace(s, ';\s*$', ''), ';') then 'stacked' when bad is not null then bad when refs is null then 'no_table' else 'ok' end verdict from c left join b using (stmt_id)"""
+_TRIAGE = r""", c as (select *, lower(coalesce(message, '')) m from tool_cause), k as (select call_id, attempt,
+ count(*) filter (where error_type in ('FileNotFoundException') or regexp_matches(m, 'connection refused|http 40[01345]|http 422|invalid.api.key|unauthorized|authentication|sql syntax|unknown (column|table)|doesn''t exist|does not exist')) fatal,
+ count(*) filter (where error_type in ('SocketTimeoutException', 'EOFException') or sql_state like '08%' or regexp_matches(m, 'connection reset|broken pipe|timed out|timeout|http 50[0234]|http 429|deadlock found|lock wait timeout')) passing,
+ count(*) filter (where regexp_matches(message, 'timeout|Timeout|超时')) slow, count(*) filter (where regexp_matches(message, 'Connection re(set|fused)|SocketException|Broken pipe|connect timed out')) net, count(*) filter (where regexp_matches(message, 'NoClassDefFoundError|ClassNotFoundException')) inner_,
+ max(depth) dm from c group by 1, 2)
+ select k.call_id, k.attempt, case when fatal > 0 then 'fatal' when passing > 0 then 'transient' else 'unknown' end kind, c.message root_cause,
+ case when slow > 0 then '当前服务响应较慢，请稍后重试' when net > 0 then '网络出现波动，请稍后重试' when inner_ > 0 then '服务内部出现异常，请稍后重试' else '服务暂时开小差，请稍后重试' end told,
+ [200, 400, 800, 1000][k.attempt] backoff_ms, [100, 200, 400, 500][k.attempt] backoff_min, [300, 600, 1200, 1500][k.attempt] backoff_max
+ from k join c on c.call_id = k.call_id and c.depth = dm"""
+
 
 def _paged(rows: str, key: str, order: str, number: int, size: int, select: str) -> str:
     return f"select {select} from (select *, row_number() over (partition by {key} order by {order}) rn, count(*) over (partition by {key}) total, cast(ceil(count(*) over (partition by {key}) / {size}) as bigint) pages from ({rows}) x) y where rn between {(number - 1) * size + 1} and {number * size}"
@@ -135,12 +160,16 @@ ORACLE = {
  select *, count(*) over (partition by batch) n from (select id, case when file_size % 3 = 0 then 'one-' || id else archive_id end batch, lower(list_last(string_split(file_name, '.'))) ext from ar_file) x) y""", "ar_file"),
     "unique_edits": r"""select id, cast(h as int) hits, case when h = 0 then 'not_found' when h > 1 then 'ambiguous' else 'ok' end status, case when h = 1 then replace(text, o, '<edited>') else text end as text
  from (select *, case when o = '' then 0 else (length(text) - length(replace(text, o, ''))) // length(o) end h from (select doc_id id, text, list_last(regexp_split_to_array(text, '[ \n]+')) o from documents) x) y""",
-    "sql_audit": """select doc_id stmt_id, ['ok', 'write_keyword', 'cross_database', 'write_keyword', 'unknown_table', 'ok', 'ok', 'empty', 'no_table'][doc_id % 9 + 1] verdict,
- ['ek_ar_main', '', 'mysql.user', 'ek_ar_main,ek_ar_main', 'ek_not_exist', 'ek_ar_main,t,ek_ar_side', 'ek_ar_side', '', ''][doc_id % 9 + 1] refs from documents""".replace("'ok', 'write_keyword', 'cross_database', 'write_keyword'", "'ok', 'not_select', 'cross_database', 'write_keyword'"),
-    "markdown_result": """select '| o_orderkey | o_orderpriority | o_orderstatus |' || chr(10) || '| --- | --- | --- |' || chr(10) || string_agg('| ' || o_orderkey || ' | ' || o_orderpriority || ' | ' || o_orderstatus || ' |', chr(10) order by o_orderkey) markdown,
+    "sql_audit": with_tables(_AUDIT, "sql_log"),
+    "governed_run": with_tables(""", t as (select status, form_year, count(*) n from ar_main where del_flag = '0' group by all), k as (select *, row_number() over (order by form_year, status) i from t)
+ select '| status | form_year | volumes | open |' || chr(10) || '| --- | --- | --- | --- |' || chr(10) || string_agg('| ' || status || ' | ' || form_year || ' | ' || n || ' | ' || case when status = '3' then 'NULL' else status end || ' |' || chr(10), '' order by i)
+  || chr(10) || '共 ' || count(*) || ' 行' markdown, cast(count(*) as int) n_rows, false truncated from k""", "ar_main"),
+    "dictionary_lookup": with_tables("""select request_id, n as name, st status, case when st = 'ok' then t.text end as text from (select request_id, n, case when n = '' then 'no_name' when n like '../%' then 'illegal_name' when n = 'ek_other' then 'unknown_table' when n = 'ek_user' then 'no_text' else 'ok' end st
+ from (select doc_id request_id, ['ek_ar_main', 'ek_ar_side', '../ek_ar_side', '', 'ek_user', 'ek_other', 'ek_ar_project', ''][doc_id % 8 + 1] n from documents) x) y left join dictionary t on t.name = n""", "dictionary"),
+    "markdown_result": """select '| o_orderkey | o_orderpriority | o_orderstatus |' || chr(10) || '| --- | --- | --- |' || chr(10) || string_agg('| ' || o_orderkey || ' | ' || o_orderpriority || ' | ' || o_orderstatus || ' |' || chr(10), '' order by o_orderkey)
+ || chr(10) || '共 ' || count(*) || ' 行' || case when (select count(*) from orders) > 100 then '（已截断，最多返回 100 行，请加 WHERE/LIMIT 缩小范围）' else '' end markdown,
  cast(count(*) as int) n_rows, (select count(*) from orders) > 100 truncated from (select * from orders order by o_orderkey limit 100) x""",
-    "tool_error_triage": """select call_id, attempt, kind, root_cause, b backoff_ms, b // 2 backoff_min, b * 3 // 2 backoff_max from (select event_id call_id, cast(event_id % 4 + 1 as int) attempt,
- ['transient', 'fatal', 'transient', 'unknown'][user_id % 4 + 1] kind, ['Read timed out', 'Access denied', 'Connection reset', 'odd'][user_id % 4 + 1] root_cause, [200, 400, 800, 1000][event_id % 4 + 1] b from events) x""",
+    "tool_error_triage": with_tables(_TRIAGE, "tool_cause"),
     "event_dedupe": with_tables(_DEDUPE + " select * from dd", "agent_event"),
     "event_segments": with_tables(_TURNS + """, sm as (select *, coalesce(sum(case when event = 'TOOL_CALL_RESULT' then 1 else 0 end) over (partition by session_id, turn order by ts, event_id rows between unbounded preceding and 1 preceding), 0) segment from tn)
  select session_id, cast(turn as bigint) turn, cast(segment as bigint) segment, coalesce(string_agg(case when event = 'STREAM_TEXT' then text end, '' order by ts, event_id), '') as text, count(*) filter (where event = 'TOOL_CALL_REQUEST') n_calls from sm group by 1, 2, 3""", "agent_event"),

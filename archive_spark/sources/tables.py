@@ -61,6 +61,23 @@ DERIVED = {
  union all select l_orderkey, cast(rn as int), 0, concat('L', cast(l_linenumber as string)) from r
  union all select l_orderkey, cast(rn as int), 1, cast(q as string) from r
  union all select l_orderkey, cast(rn as int), 2, f from r where l_linenumber <> 3""",
+    "sql_log": """select doc_id stmt_id, case doc_id % 19
+ when 0 then 'select count(*) n from ek_ar_main where title = ' || q when 1 then '/* ' || text || ' */ select id from ek_ar_side' when 2 then 'select id from ek_ar_main -- ' || text
+ when 3 then text when 4 then 'update ek_ar_main set title = ' || q
+ when 5 then 'select ' || chr(39) || '/*' || chr(39) || ' from ek_ar_main; delete from ek_ar_main; select ' || chr(39) || '*/' || chr(39) || ' from ek_ar_main'
+ when 6 then 'select ' || chr(39) || '--' || chr(39) || ' as x from ek_ar_main' when 7 then '(select id from ek_ar_main)'
+ when 8 then 'with recursive t as (select id from ek_ar_main), u as (select 1 from t) select * from t join ek_ar_side on 1 = 1 join u on 1 = 1' when 9 then 'select * from ' || source || '.ek_ar_main'
+ when 10 then 'select 1' when 11 then ' ' when 12 then 'select * from ek_not_exist where x = ' || q when 13 then 'select m.id from EK . ek_ar_main m join EK_AR_SIDE s on true'
+ when 14 then 'select "delete" from ek_ar_main' when 15 then 'select id from ek_ar_main ; ' when 16 then 'select id from ek_ar_main into outfile ' || q
+ when 17 then 'select id from ek_ar_main where title = ' || chr(39) || text else 'select id from ek_ar_main where x in (select y from ' || source || '_t) # ' || text end sql
+ from (select *, chr(39) || replace(text, chr(39), chr(39) || chr(39)) || chr(39) q from documents) d""",
+    "dictionary": """select 'ek_ar_main' name, concat('volumes of ', cast(min(form_year) as string), ' to ', cast(max(form_year) as string), ', ', cast(count(*) as string), ' rows') text from ar_main
+ union all select 'ek_ar_side', concat('items of volumes, ', cast(count(*) as string), ' rows') from ar_side union all select 'ek_ar_project', concat('projects from ', min(project_name), ' to ', max(project_name)) from ar_project""",
+    "tool_cause": """select event_id call_id, cast(event_id % 4 + 1 as int) attempt, 0 depth, 'RuntimeException' error_type, cast(null as string) sql_state, 'tool ' || event_type || ' failed' message from events
+ union all select event_id, cast(event_id % 4 + 1 as int), 1, case event_id % 11 when 0 then 'SocketTimeoutException' when 1 then 'FileNotFoundException' when 2 then 'EOFException' else 'Exception' end,
+ case when event_id % 7 = 0 then '08S01' else '42000' end,
+ case user_id % 12 when 0 then 'Read timed out after ' || props when 1 then 'Connection refused' when 2 then 'Unknown column x' when 3 then 'HTTP 503' when 4 then 'Deadlock found when trying to get lock' when 5 then 'HTTP 404 ' || props
+  when 6 then 'Table t doesn' || chr(39) || 't exist' when 7 then 'Connection reset' when 8 then props when 9 then 'Invalid API key' when 10 then 'ClassNotFoundException: x' end from events where event_id % 13 <> 0""",
     "agent_event": r"""select event_id, ts, user_id session_id, case event_type when 'view' then 'STREAM_TEXT' when 'click' then 'TOOL_CALL_REQUEST'
  when 'purchase' then 'TOOL_CALL_RESULT' when 'signup' then 'DONE' else 'ERROR' end event,
  concat('c', regexp_extract(props, '([0-9]+)', 1)) call_id, concat('t', cast(event_id as string), ' ') text, cast(floor(value * 10) as int) input_tokens from events""",
