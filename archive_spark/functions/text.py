@@ -45,6 +45,16 @@ def section_path(headings: Column, placeholder: str = "未知章节") -> Column:
     return F.when(F.size(headings) > 0, F.array_join(headings, " > ")).otherwise(F.lit(placeholder))
 
 
+def contextual(headings: Column, text: Column) -> Column:
+    """A chunk as it is embedded: its headings, a line each, before its text."""
+    return F.concat_ws("\n", headings, text)
+
+
+def is_pipe_table(text: Column) -> Column:
+    """Whether the first line of the text is a row of pipes."""
+    return F.regexp_extract(F.coalesce(text, F.lit("")), r"\A\s*(.*)", 1).rlike(r"\A\|.*\|\s*\z")
+
+
 def abbreviate(text: Column, limit: int) -> Column:
     """Longer texts are cut and say how long they were."""
     return F.when(F.length(text) > limit, F.concat(F.left(text, F.lit(limit)), F.lit("... ("), F.length(text).cast("string"), F.lit(" chars)"))).otherwise(text)

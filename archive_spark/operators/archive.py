@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
@@ -38,20 +38,24 @@ def reading_order(items: DataFrame, drop_chrome: bool = True) -> DataFrame:
     return kept.withColumn("ord", F.row_number().over(Window.partitionBy("file_id").orderBy("page_no", F.desc("top"), "pos")))
 
 
-def headings(items: DataFrame, max_level: int = 6) -> DataFrame:
-    """The active headings of each item, ascending by level: a heading of level k ends those of level k and more."""
-    ordered = reading_order(items)
+def headings(items: DataFrame, levels: list[int] | None = None) -> DataFrame:
+    """The active headings of each item, ascending by level: a heading of level k ends those of level k and more.
+
+    Any level counts (null and less than 1 as 1). The levels that occur are read from the items, unless given."""
     level = F.when(F.col("label") == "SECTION_HEADER", F.greatest("level", F.lit(1)))
+    if levels is None:
+        levels = sorted(r["lv"] for r in items.select(level.alias("lv")).where("lv is not null").distinct().collect())
+    ordered = reading_order(items)
     w = Window.partitionBy("file_id").orderBy("ord")
     before = w.rowsBetween(Window.unboundedPreceding, -1)
     df = ordered.withColumn("lv", level)
     columns = {}
-    for k in range(1, max_level + 1):
+    for k in levels:
         columns[f"h{k}"] = F.last(F.when(F.col("lv") == k, F.struct("ord", "text")), True).over(before)
         columns[f"c{k}"] = F.max(F.when(F.col("lv") < k, F.col("ord"))).over(before)
     df = df.withColumns(columns)
-    active = [F.when(F.col(f"h{k}.ord") > F.coalesce(f"c{k}", F.lit(0)), F.col(f"h{k}.text")) for k in range(1, max_level + 1)]
-    df = df.where("lv is null").withColumn("headings", F.filter(F.array(*active), lambda x: x.isNotNull()))
+    active = [F.when(F.col(f"h{k}.ord") > F.coalesce(f"c{k}", F.lit(0)), F.col(f"h{k}.text")) for k in levels]
+    df = df.where("lv is null").withColumn("headings", F.filter(F.array(*active).cast("array<string>"), lambda x: x.isNotNull()))
     return df.select("file_id", "ord", "page_no", "text", "headings")
 
 
@@ -81,9 +85,13 @@ def replace_by_file(old: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def table_rows(cells: DataFrame) -> DataFrame:
-    """Each row's cells in column order; absent cells of the table's grid are empty."""
+    """Each row's cells in column order; absent cells of the table's grid are empty.
+
+    Of several texts in one cell the last by `pos` stays, or the greatest where cells have no such column."""
     width = cells.groupBy("table_id").agg((F.max("col_idx") + 1).alias("width"))
-    rows = cells.groupBy("table_id", "row_idx").agg(F.map_from_entries(F.collect_list(F.struct("col_idx", "text"))).alias("cell"))
+    text = F.max_by("text", "pos") if "pos" in cells.columns else F.max("text")
+    single = cells.groupBy("table_id", "row_idx", "col_idx").agg(text.alias("text"))
+    rows = single.groupBy("table_id", "row_idx").agg(F.map_from_entries(F.collect_list(F.struct("col_idx", "text"))).alias("cell"))
     grid = F.transform(F.sequence(F.lit(0), F.col("width") - 1), lambda c: F.coalesce(F.regexp_replace(F.element_at("cell", c), r"[\r\n]+", " "), F.lit("")))
     return rows.join(width, "table_id").select("table_id", "row_idx", grid.alias("cells"))
 
@@ -95,13 +103,24 @@ def table_markdown(cells: DataFrame) -> DataFrame:
 
 
 def table_triplets(cells: DataFrame) -> DataFrame:
-    """`row, column = value` for each value cell, joined by `. `."""
-    rows = table_rows(cells)
+    """`row, column = value` for each filled value cell, joined by `. `; `column = value` in tables of one column.
+
+    A table without any such triplet lists its filled cells. Row 0 has the column names, column 0 the row names."""
+    rows = table_rows(cells).withColumn("cells", F.transform("cells", lambda x: F.trim(x)))
     head = rows.where("row_idx = 0").select("table_id", F.col("cells").alias("head"))
-    body = rows.where("row_idx > 0").join(head, "table_id")
-    triplets = F.transform(F.sequence(F.lit(2), F.size("cells")), lambda i: F.concat(F.element_at("cells", 1), F.lit(", "), F.element_at("head", i), F.lit(" = "), F.element_at("cells", i)))
-    parts = F.array_sort(F.collect_list(F.struct("row_idx", F.col("t"))))
-    return body.withColumn("t", F.array_join(triplets, ". ")).groupBy("table_id").agg(F.array_join(F.transform(parts, lambda x: x["t"]), ". ").alias("text"))
+    own = F.coalesce(F.get("head", F.lit(0)), F.lit(""))
+
+    def triplet(value: Column, i: Column) -> Column:
+        name = F.coalesce(F.get("head", i), F.lit(""))
+        many = F.concat(F.get("cells", F.lit(0)), F.lit(", "), name, F.lit(" = "), value)
+        return F.when(value == "", None).when(F.size("cells") == 1, F.concat(own, F.lit(" = "), value)).when(i > 0, many)
+
+    filled = F.filter("cells", lambda x: x != "")
+    t = F.when(F.col("row_idx") > 0, F.filter(F.transform("cells", triplet), lambda x: x.isNotNull())).otherwise(F.array().cast("array<string>"))
+    df = rows.join(head, "table_id", "left").select("table_id", "row_idx", t.alias("t"), filled.alias("filled"))
+    kept = df.groupBy("table_id").agg(F.array_sort(F.collect_list(F.struct("row_idx", "t", "filled"))).alias("rows"))
+    triplets, all_cells = F.flatten(F.col("rows.t")), F.flatten(F.col("rows.filled"))
+    return kept.select("table_id", F.array_join(F.when(F.size(triplets) > 0, triplets).otherwise(all_cells), ". ").alias("text"))
 
 
 def by_status(mains: DataFrame) -> DataFrame:

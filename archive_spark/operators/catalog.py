@@ -57,11 +57,45 @@ def upsert_generated(files: DataFrame, writes: DataFrame) -> DataFrame:
     return df.select(F.coalesce("id", "w_id").alias("id"), F.coalesce("session_id", "w_session").alias("session_id"), F.when(change, filled(F.col("w_name"), F.col("file_name"))).otherwise(F.col("file_name")).alias("file_name"), F.when(change, filled(F.col("w_description"), F.col("description"))).otherwise(F.col("description")).alias("description"), F.when(change, F.col("w_size")).otherwise(F.col("file_size")).alias("file_size"), "status")
 
 
-def anchor_files(files: DataFrame, messages: DataFrame) -> DataFrame:
-    """Uploaded files hang on the first user message of their session, generated ones on its last message."""
-    ends = messages.groupBy("session_id").agg(F.min(F.when(F.col("message_type") == 2, F.col("id"))).alias("first_user"), F.max("id").alias("last_message"))
-    anchored = files.where("del_flag = 0").join(ends, "session_id").withColumn("anchor_message_id", F.when(F.col("kind") == GENERATED, F.col("last_message")).otherwise(F.col("first_user"))).where("anchor_message_id is not null")
-    return anchored.groupBy("session_id", "anchor_message_id").agg(F.count(F.lit(1)).alias("n_files"), F.array_join(F.transform(F.array_sort(F.collect_list("id")), lambda x: x.cast("string")), ",").alias("file_ids"))
+def anchor_files(files: DataFrame, turns: DataFrame, messages: DataFrame) -> DataFrame:
+    """turns: file_id, before_id (the session's last message when the file's turn began), completed.
+
+    Uploaded files hang on the first user message of their turn; generated ones on its last message, if the turn was completed.
+    Files and messages are ranked together from the newest on, so that no file meets every message of its session."""
+    user = F.when(F.col("message_type") == 2, F.col("id"))
+    latest = Window.partitionBy("session_id").orderBy("id").rowsBetween(Window.unboundedPreceding, 0)
+    ends = messages.withColumn("user_id", F.last(user, True).over(latest)).groupBy("session_id", "user_id").agg(F.max("id").alias("last_id")).where("user_id is not null")
+    live = files.where("del_flag = 0").join(turns, files.id == turns.file_id).select("session_id", files.id.alias("file_id"), "kind", "completed", F.col("before_id").alias("at"))
+    both = live.unionByName(messages.where("message_type = 2").select("session_id", F.col("id").alias("at"), F.col("id").alias("user_id")), True)
+    newer = Window.partitionBy("session_id").orderBy(F.desc("at"), F.col("user_id").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+    placed = both.withColumn("user_id", F.last("user_id", True).over(newer)).where("file_id is not null and user_id is not null").join(ends, ["session_id", "user_id"])
+    anchor = F.when(F.col("kind") != GENERATED, F.col("user_id")).when(F.col("completed"), F.col("last_id"))
+    anchored = placed.withColumn("anchor_message_id", anchor).where("anchor_message_id is not null")
+    return anchored.groupBy("session_id", "anchor_message_id").agg(F.count(F.lit(1)).alias("n_files"), F.array_join(F.transform(F.array_sort(F.collect_list("file_id")), lambda x: x.cast("string")), ",").alias("file_ids"))
+
+
+def page_status(files: DataFrame, asked: DataFrame, size: int = 20) -> DataFrame:
+    """asked: request_id, session_id, keyword, page. Whether the page has files, is past the end, or why there are none."""
+    live = files.where("del_flag = 0").select("session_id", "file_name", "description")
+    word = F.trim(F.coalesce("keyword", F.lit("")))
+    hit = (word == "") | F.contains("file_name", word) | F.coalesce(F.contains("description", word), F.lit(False))
+    n = asked.join(live, "session_id", "left").groupBy("request_id", "session_id", "keyword", "page").agg(F.count_if(F.col("file_name").isNotNull() & hit).alias("total"))
+    pages, number = F.ceil(F.col("total") / size), F.greatest(F.coalesce("page", F.lit(1)), F.lit(1))
+    status = F.when((F.col("total") == 0) & (word == ""), "no_files").when(F.col("total") == 0, "no_match").when(number > pages, "past_end").otherwise("ok")
+    return n.select("request_id", "total", pages.alias("pages"), status.alias("status"))
+
+
+def owned(sessions: DataFrame, asked: DataFrame) -> DataFrame:
+    """asked: user_id, session_id. Those of live sessions that are the user's own."""
+    live = sessions.where("del_flag = 0").select("user_id", F.col("id").alias("session_id"))
+    return asked.select("user_id", "session_id").distinct().join(live, ["user_id", "session_id"], "left_semi")
+
+
+def rename_sessions(sessions: DataFrame, asked: DataFrame) -> DataFrame:
+    """asked: ord, user_id, session_id, title. A live session of the user's own takes the last title asked for; blank ones are ignored."""
+    last = asked.where("trim(title) <> ''").groupBy("user_id", F.col("session_id").alias("id")).agg(F.max_by("title", "ord").alias("new_title"))
+    hit = F.col("new_title").isNotNull() & (F.col("del_flag") == 0)
+    return sessions.join(last, ["user_id", "id"], "left").select("id", F.when(hit, F.col("new_title")).otherwise(F.col("title")).alias("title"), F.coalesce(hit, F.lit(False)).alias("renamed"))
 
 
 def validate_uploads(files: DataFrame, batch_col: str) -> DataFrame:

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
 from ..functions import text as tx
 
@@ -72,3 +74,32 @@ def semantic_chunks(items: DataFrame, max_tokens: int = 512, merge: bool = True)
     if merge:
         return merge_peers(parts, max_tokens)
     return parts.withColumns({"n_tokens": tx.token_count(F.col("text")), "last_page": F.col("page_no")})
+
+
+@F.pandas_udf(ArrayType(IntegerType()))
+def _greedy(counts: pd.Series, start: pd.Series, budget: pd.Series) -> pd.Series:
+    """The part that each line falls into: a part begins with `start` tokens and takes lines while they fit, one at least."""
+    out = []
+    for lines, first, limit in zip(counts, start, budget):
+        part, used, parts = 0, first, []
+        for n in [] if lines is None else lines:
+            if used + n > limit and used > first:
+                part, used = part + 1, first
+            used += n
+            parts.append(part)
+        out.append(parts)
+    return pd.Series(out)
+
+
+def split_tables(tables: DataFrame, max_tokens: int) -> DataFrame:
+    """tables: table_id, text (pipe rows). Parts of whole rows within the budget, each with the first row before it.
+
+    Blank rows go; a row that is over the budget by itself is a part; a table of one row has none. Only token counts go to Python."""
+    rows = F.split("text", r"\r?\n")
+    body = F.filter(F.slice(rows, 2, F.greatest(F.size(rows), F.lit(1))), lambda x: F.trim(tx.squeeze(x)) != "")
+    df = tables.select("table_id", F.get(rows, F.lit(0)).alias("head"), body.alias("body"))
+    part = _greedy(F.transform("body", lambda x: tx.token_count(x)), tx.token_count(F.col("head")), F.lit(max_tokens))
+    lines = df.withColumn("part", part).select("table_id", "head", F.posexplode(F.arrays_zip("part", "body")).alias("pos", "x")).select("table_id", "head", "pos", "x.part", "x.body")
+    parts = F.array_sort(F.collect_list(F.struct("pos", "body")))
+    text = F.array_join(F.transform(parts, lambda x: F.concat(x["body"], F.lit("\n"))), "")
+    return lines.groupBy("table_id", "part", "head").agg(text.alias("t")).select("table_id", "part", F.concat("head", F.lit("\n"), "t").alias("text"))

@@ -23,10 +23,38 @@ class Options:
     message_chars: int = 2000
 
 
+#: The fields of a stored message.
+STORED = "type string, text string, id string, toolName string, contents array<struct<type: string, text: string>>, toolExecutionRequests array<struct<id: string, name: string, arguments: string>>"
+
+
+def decode_messages(stored: DataFrame) -> DataFrame:
+    """stored: session_id, id, content (JSON). User, assistant and tool messages; others, and what is no JSON, go.
+
+    Arguments of a tool call that are no JSON are kept under `_raw`; missing ones are an empty object."""
+    m = F.from_json("content", STORED)
+    df = stored.select("session_id", "id", m.alias("m"))
+    role = F.when(F.col("m.type") == "USER", "human").when(F.col("m.type") == "AI", "ai").when(F.col("m.type") == "TOOL_EXECUTION_RESULT", "tool")
+    said = F.array_join(F.transform(F.filter("m.contents", lambda c: c["type"] == "TEXT"), lambda c: F.coalesce(c["text"], F.lit(""))), "")
+    none = lambda c: F.coalesce(c, F.lit(""))
+    raw = lambda a: F.when(none(a) == "", "{}").when(F.try_parse_json(a).isNull(), F.to_json(F.struct(a.alias("_raw")))).otherwise(a)
+    calls = F.transform("m.toolExecutionRequests", lambda r: F.struct(none(r["id"]).alias("id"), none(r["name"]).alias("name"), raw(r["arguments"]).alias("args")))
+    content = F.when(F.col("role") == "human", none(said)).otherwise(none(F.col("m.text")))
+    tool = lambda c: F.when(F.col("role") == "tool", none(F.col(c)))
+    return df.withColumn("role", role).where("role is not null").select("session_id", "id", "role", content.alias("content"), F.when(F.col("role") == "ai", calls).alias("tool_calls"), tool("m.id").alias("tool_call_id"), tool("m.toolName").alias("tool_name"))
+
+
+def edit_and_resend(messages: DataFrame, edits: DataFrame) -> DataFrame:
+    """edits: session_id, message_id, text; one for each session. The message and all after it go, the new text follows without an id.
+
+    An unknown message drops nothing."""
+    known = edits.join(messages.select("session_id", F.col("id").alias("message_id")), ["session_id", "message_id"], "left_semi").select("session_id", F.col("message_id").alias("from_id"))
+    kept = messages.join(known, "session_id", "left").where("from_id is null or id < from_id").select("session_id", "id", "message_type", "text")
+    return kept.unionByName(edits.select("session_id", F.lit(None).cast("long").alias("id"), F.lit(USER).alias("message_type"), "text"))
+
+
 def requests(messages: DataFrame) -> DataFrame:
-    """A row for each tool request: the assistant message's id 10 n requests `call-n-i`."""
-    n = F.explode(F.sequence(F.lit(0), F.col("n_requests") - 1)).alias("i")
-    return messages.where("n_requests > 0").select("session_id", F.col("id").alias("request_id"), n).withColumn("call_id", F.concat(F.lit("call-"), (F.col("request_id") / 10).cast("long").cast("string"), F.lit("-"), F.col("i").cast("string")))
+    """A row for each tool request of an assistant message, from its array `request_ids`."""
+    return messages.select("session_id", F.col("id").alias("request_id"), F.posexplode("request_ids").alias("i", "call_id"))
 
 
 def repair_tool_calls(messages: DataFrame) -> DataFrame:

@@ -37,6 +37,8 @@ QUERIES = {
     "semantic_parts": lambda s, d: _join_headings(chunking.split_items(archive.headings(load(s, d, "flow_item")[0]), 128)),
     "table_markdown": lambda s, d: archive.table_markdown(load(s, d, "table_cell")[0]),
     "table_triplets": lambda s, d: archive.table_triplets(load(s, d, "table_cell")[0]),
+    "table_split": lambda s, d: chunking.split_tables(archive.table_markdown(load(s, d, "table_cell")[0]).where(tx.is_pipe_table(F.col("text"))), 24),
+    "chunk_context": lambda s, d: archive.headings(load(s, d, "flow_item")[0]).select("file_id", "ord", tx.contextual(F.col("headings"), F.col("text")).alias("context")),
     "token_counts": lambda s, d: load(s, d, "documents")[0].select("doc_id", tx.token_count(F.col("text")).alias("n_tokens")),
     "text_pages": lambda s, d: load(s, d, "documents")[0].select("doc_id", F.posexplode(tx.text_pages(F.col("text"))).alias("page", "text")),
     "archive_by_status": lambda s, d: archive.by_status(load(s, d, "ar_main")[0]),
@@ -83,7 +85,12 @@ ORACLE = {
     "replace_by_file": _headed("select id, file_id, case when file_id like '%7' then 'new ' || text else text end text from ch where file_id not like '%7' or id like '%-1'"),
     "table_markdown": with_tables(_GRID + " select table_id, string_agg(line, chr(10) order by row_idx) as text from (select table_id, row_idx, '|' || string_agg(text, '|' order by col_idx) || '|' line from g group by 1, 2) x group by 1", "table_cell"),
     "table_triplets": with_tables(_GRID + """ select v.table_id, string_agg(f.text || ', ' || h.text || ' = ' || v.text, '. ' order by v.row_idx, v.col_idx) as text from g v join g f on f.table_id = v.table_id and f.row_idx = v.row_idx and f.col_idx = 0
-  join g h on h.table_id = v.table_id and h.row_idx = 0 and h.col_idx = v.col_idx where v.row_idx > 0 and v.col_idx > 0 group by 1""", "table_cell"),
+  join g h on h.table_id = v.table_id and h.row_idx = 0 and h.col_idx = v.col_idx where v.row_idx > 0 and v.col_idx > 0 and v.text <> '' group by 1""", "table_cell"),
+    "chunk_context": _headed("select file_id, ord, case when headings = '' then '' else replace(headings, ' > ', chr(10)) || chr(10) end || text context from it"),
+    "table_split": with_tables(_GRID + """, ln as (select table_id, row_idx, '|' || string_agg(text, '|' order by col_idx) || '|' line, len(regexp_extract_all('|' || string_agg(text, '|' order by col_idx) || '|', '[a-zA-Z0-9]+|[^ ]')) n from g group by 1, 2),
+ h as (select * from ln where row_idx = 0), fold as (select l.table_id, l.row_idx, l.line, h.line head, h.n hn, 0 part, h.n + l.n used from ln l join h using (table_id) where l.row_idx = 1
+  union all select l.table_id, l.row_idx, l.line, f.head, f.hn, f.part + case when f.used + l.n > 24 then 1 else 0 end, case when f.used + l.n > 24 then f.hn + l.n else f.used + l.n end from fold f join ln l on l.table_id = f.table_id and l.row_idx = f.row_idx + 1)
+ select table_id, part, head || chr(10) || string_agg(line || chr(10), '' order by row_idx) as text from fold group by table_id, part, head""", "table_cell"),
     "token_counts": f"select doc_id, len({_HAN}) n_tokens from documents",
     "text_pages": "select doc_id, cast(i as int) page, substring(coalesce(text, ''), i * 4000 + 1, 4000) as text from (select doc_id, text, unnest(range(greatest(cast(ceil(length(coalesce(text, '')) / 4000) as bigint), 1))) i from documents) x",
     "archive_by_status": with_tables("select case status when '1' then 'registered' when '2' then 'processing' else 'archived' end status, count(*) volumes from ar_main where del_flag = '0' group by 1", "ar_main"),

@@ -50,6 +50,32 @@ def _uploads(s, d):
     return catalog.validate_uploads(files, "batch")
 
 
+def _page_status(s, d):
+    files = load(s, d, "chat_file")[0]
+    asked = files.select(F.col("id").alias("request_id"), "session_id", F.get(F.array(F.lit(None), F.lit("report"), F.lit("no such file")), (F.col("id") % 3).cast("int")).alias("keyword"), (F.col("id") % 5).cast("int").alias("page"))
+    return catalog.page_status(files, asked, 3)
+
+
+def _rename(s, d):
+    sessions = load(s, d, "chat_session")[0]
+    mine = sessions.select(F.col("id").alias("ord"), F.when(F.col("id") % 3 == 0, "nobody").otherwise(F.col("user_id")).alias("user_id"), F.col("id").alias("session_id"), F.when(F.col("id") % 4 == 0, " ").otherwise(F.concat(F.lit("New "), "title")).alias("title"))
+    return catalog.rename_sessions(sessions, mine.unionByName(mine.where("session_id % 5 = 0").select((F.col("ord") - 1).alias("ord"), "user_id", "session_id", F.lit("older").alias("title"))))
+
+
+def _content(s, d):
+    sessions, stored = load(s, d, "chat_session", "stored_message")
+    asked = sessions.select(F.when(F.col("id") % 3 == 0, "nobody").otherwise(F.col("user_id")).alias("user_id"), F.col("id").alias("session_id"))
+    got = c.decode_messages(stored.join(catalog.owned(sessions, asked).select("session_id"), "session_id", "left_semi"))
+    first = F.get("tool_calls", F.lit(1))
+    return got.select("session_id", "id", "role", "content", F.coalesce(F.size("tool_calls"), F.lit(0)).alias("n_calls"), first["id"].alias("second_call"), first["args"].alias("second_args"), "tool_call_id", "tool_name")
+
+
+def _resend(s, d):
+    m = load(s, d, "chat_message")[0]
+    edits = m.groupBy("session_id").agg(F.max(F.when(F.col("message_type") == 2, F.col("id"))).alias("last_user")).where("last_user is not null")
+    return c.edit_and_resend(m, edits.select("session_id", F.when(F.col("session_id") % 4 == 0, -5).otherwise(F.col("last_user")).alias("message_id"), F.lit("edited").alias("text")))
+
+
 def _edits(s, d):
     docs = load(s, d, "documents")[0].select(F.col("doc_id").alias("id"), "text")
     words = F.split("text", r"[ \n]+")
@@ -88,9 +114,13 @@ QUERIES = {
     "session_search": lambda s, d: catalog.session_page(load(s, d, "chat_session")[0], 1, 5, "tion 1"),
     "session_delete_cascade": _delete,
     "file_list_page": lambda s, d: catalog.file_page(load(s, d, "chat_file")[0], "report", 1, 3),
-    "file_anchor": lambda s, d: catalog.anchor_files(*load(s, d, "chat_file", "chat_message")),
+    "file_anchor": lambda s, d: catalog.anchor_files(*load(s, d, "chat_file", "file_turn", "chat_message")),
     "upsert_generated_files": _upsert,
     "upload_validation": _uploads,
+    "file_page_status": _page_status,
+    "session_rename": _rename,
+    "session_content": _content,
+    "edit_and_resend": _resend,
     "unique_edits": _edits,
     "sql_audit": lambda s, d: governed.audit(load(s, d, "sql_log")[0], ALLOWED, "ek"),
     "governed_run": _run,
@@ -104,7 +134,7 @@ QUERIES = {
 }
 
 _REPAIR = """, sg as (select *, max(case when message_type <> 4 then id end) over (partition by session_id order by id rows unbounded preceding) segment from chat_message),
- rq as (select session_id, id segment, unnest(range(n_requests)) i from chat_message where n_requests > 0), rc as (select *, 'call-' || (segment // 10) || '-' || i call_id from rq),
+ rq as (select session_id, id segment, request_ids, unnest(range(len(request_ids))) i from chat_message where request_ids is not null), rc as (select session_id, segment, i, request_ids[i + 1] call_id from rq),
  rs as (select s.*, i from sg s join rc using (session_id, segment, call_id) where s.message_type = 4 qualify row_number() over (partition by s.session_id, s.segment, s.call_id order by s.id) = 1),
  rp as (select session_id, segment, 0 kind, id ordinal, message_type, text, null call_id from sg where message_type <> 4
   union all select session_id, segment, 1, id, message_type, text, call_id from rs
@@ -152,8 +182,18 @@ ORACLE = {
  union all select 'file', f.id, case when s.id is not null then 1 else f.del_flag end from chat_file f left join (select id from chat_session where id % 6 = 0) s on s.id = f.session_id""", "chat_session", "chat_file"),
     "file_list_page": with_tables(_paged("select * from chat_file where del_flag = 0 and (file_name like '%report%' or description like '%report%')", "session_id", "id desc", 1, 3,
  "session_id, id, case when kind = 2 then regexp_replace(file_name, '\\.html?$', '') || '.pdf' else file_name end display_name, case when file_size < 1024 then file_size || ' B' when file_size < 1048576 then round(file_size / 1024, 1) || ' KB' else round(file_size / 1048576, 1) || ' MB' end size, rn, total, pages"), "chat_file"),
-    "file_anchor": with_tables("""select session_id, anchor anchor_message_id, count(*) n_files, string_agg(cast(id as varchar), ',' order by id) file_ids from (
- select f.session_id, f.id, case when kind = 2 then (select max(id) from chat_message m where m.session_id = f.session_id) else (select min(id) from chat_message m where m.session_id = f.session_id and message_type = 2) end anchor from chat_file f where del_flag = 0) x where anchor is not null group by 1, 2""", "chat_file", "chat_message"),
+    "file_anchor": with_tables(""", u as (select f.session_id, f.id, kind, completed, (select min(m.id) from chat_message m where m.session_id = f.session_id and message_type = 2 and m.id > before_id) un from chat_file f join file_turn t on t.file_id = f.id where del_flag = 0),
+ n as (select u.*, (select min(m.id) from chat_message m where m.session_id = u.session_id and message_type = 2 and m.id > un) nx from u where un is not null),
+ a as (select *, case when kind <> 2 then un when completed then (select max(m.id) from chat_message m where m.session_id = n.session_id and (nx is null or m.id < nx)) end anchor from n)
+ select session_id, anchor anchor_message_id, count(*) n_files, string_agg(cast(id as varchar), ',' order by id) file_ids from a where anchor is not null group by 1, 2""", "chat_file", "file_turn", "chat_message"),
+    "file_page_status": with_tables("""select request_id, total, cast(ceil(total / 3) as bigint) pages, case when total = 0 and k = '' then 'no_files' when total = 0 then 'no_match' when greatest(page, 1) > ceil(total / 3) then 'past_end' else 'ok' end status
+ from (select a.id request_id, a.id % 5 page, ['', 'report', 'no such file'][a.id % 3 + 1] k, (select count(*) from chat_file f where f.session_id = a.session_id and del_flag = 0 and (file_name || ' ' || coalesce(description, '')) like '%' || ['', 'report', 'no such file'][a.id % 3 + 1] || '%') total from chat_file a) x""", "chat_file"),
+    "session_rename": with_tables("select id, case when r and id % 4 = 0 then 'older' when r then 'New ' || title else title end title, r renamed from (select *, id % 3 <> 0 and del_flag = 0 and (id % 4 <> 0 or id % 5 = 0) r from chat_session) x", "chat_session"),
+    "session_content": with_tables("""select m.session_id, m.id, case message_type when 2 then 'human' when 3 then 'ai' else 'tool' end as role, text as content, cast(case when message_type = 3 then coalesce(len(request_ids), 0) else 0 end as int) n_calls,
+ request_ids[2] second_call, '{"_raw":"q ' || request_ids[2] || '"}' second_args, case when message_type = 4 then call_id end tool_call_id, case when message_type = 4 then tool_name end tool_name
+ from chat_message m join chat_session s on s.id = m.session_id where s.del_flag = 0 and s.id % 3 <> 0 and message_type <> 1 and m.id % 170 <> 0""", "chat_message", "chat_session"),
+    "edit_and_resend": with_tables(""", lu as (select session_id, max(id) l from chat_message where message_type = 2 group by 1)
+ select m.session_id, id, message_type, text from chat_message m left join lu using (session_id) where l is null or session_id % 4 = 0 or id < l union all select session_id, null, 2, 'edited' from lu""", "chat_message"),
     "upsert_generated_files": with_tables("""select id, session_id, case when w and kind = 2 and id % 3 <> 0 then 'new-' || file_name else file_name end file_name, description, case when w and kind = 2 then file_size + 1 else file_size end file_size,
  case when not w then 'unchanged' when kind = 2 then 'updated' else 'rejected' end status from (select *, id % 5 < 2 w from chat_file) x""", "chat_file"),
     "upload_validation": with_tables("""select batch, id, ext, case when n > 5 then 'too_many' when ext in ('docx', 'xlsx', 'pdf') then 'ok' else 'bad_extension' end verdict from (

@@ -34,14 +34,14 @@ DERIVED = {
     "chat_message": """with b as (select conv_id session_id, role, text,
    row_number() over (order by conv_id, turn, role, text) rn from conversations),
  base as (select rn*10 id, session_id, case role when 'system' then 1 when 'user' then 2 else 3 end message_type, text,
-   case when role='assistant' and rn % 3 = 0 then 2 else 0 end n_requests,
+   case when role='assistant' and rn % 3 = 0 then split(concat('call-', cast(rn as string), '-0,call-', cast(rn as string), '-1'), ',') end request_ids,
    cast(null as string) call_id, cast(null as string) tool_name from b),
- res as (select rn*10+1 id, session_id, 4 message_type, text, 0 n_requests, concat('call-', cast(rn as string), '-0') call_id, 'search' tool_name
+ res as (select rn*10+1 id, session_id, 4 message_type, text, split(cast(null as string), ',') request_ids, concat('call-', cast(rn as string), '-0') call_id, 'search' tool_name
    from b where role='assistant' and rn % 3 = 0
-  union all select rn*10+2, session_id, 4, text, 0, concat('call-', cast(rn as string), '-1'), 'sqlexecute'
+  union all select rn*10+2, session_id, 4, text, split(cast(null as string), ','), concat('call-', cast(rn as string), '-1'), 'sqlexecute'
    from b where role='assistant' and rn % 3 = 0 and rn % 2 = 0
-  union all select rn*10+3, session_id, 4, text, 0, concat('orphan-', cast(rn as string)), 'search' from b where role='user' and rn % 11 = 0)
- select id, session_id, cast(row_number() over (partition by session_id order by id) - 1 as int) seq, message_type, text, n_requests, call_id, tool_name, 0 del_flag
+  union all select rn*10+3, session_id, 4, text, split(cast(null as string), ','), concat('orphan-', cast(rn as string)), 'search' from b where role='user' and rn % 11 = 0)
+ select id, session_id, cast(row_number() over (partition by session_id order by id) - 1 as int) seq, message_type, text, request_ids, call_id, tool_name, 0 del_flag
  from (select * from base union all select * from res) u""",
     "chat_session": """select session_id id, concat('u-', cast(session_id % 5 as string)) user_id,
  concat('Conversation ', cast(session_id as string)) title, case when session_id % 13 = 0 then 1 else 0 end del_flag,
@@ -53,6 +53,8 @@ DERIVED = {
  case when doc_id % 2 = 0 then 2 else 1 end kind, case when doc_id % 2 = 0 then 4 else 3 end format,
  case when doc_id % 2 = 0 then concat('report from ', source) else null end description, n_chars file_size,
  case when doc_id % 17 = 0 then 1 else 0 end del_flag from documents""",
+    "file_turn": """select f.id file_id, lo - 1 + (f.id * 13) % (hi - lo + 12) before_id, f.id % 7 <> 3 completed
+ from chat_file f join (select session_id, min(id) lo, max(id) hi from chat_message group by session_id) m on m.session_id = f.session_id""",
     "table_cell": """with l as (select l_orderkey, l_linenumber, min(cast(l_quantity as int)) q, min(l_returnflag) f from lineitem where l_orderkey % 20 = 0 group by l_orderkey, l_linenumber),
  r as (select l_orderkey, l_linenumber, q, f, row_number() over (partition by l_orderkey order by l_linenumber) rn from l)
  select l_orderkey table_id, 0 row_idx, 0 col_idx, 'line' text from (select distinct l_orderkey from l) x
@@ -86,6 +88,11 @@ DERIVED = {
  case when pos % 11 <> 10 and pos % 7 = 0 then cast(floor(pos / 7) % 3 as int) else 0 end level,
  cast(floor(pos / 20) as int) + 1 page_no, cast(800 - (pos % 20) * 30 as double) top from (select doc_id, pos, line from documents lateral view posexplode(split(text, '\n')) t as pos, line) x""",
 }
+#: Messages as they are stored; only Spark reads these.
+DERIVED["stored_message"] = """select session_id, id, case when id % 170 = 0 then text || '{' when message_type = 1 then to_json(named_struct('type', 'SYSTEM', 'text', text))
+ when message_type = 2 then to_json(named_struct('type', 'USER', 'contents', array(named_struct('type', 'TEXT', 'text', left(text, 10)), named_struct('type', 'IMAGE', 'text', 'x'), named_struct('type', 'TEXT', 'text', substring(text, 11)))))
+ when message_type = 3 then to_json(named_struct('type', 'AI', 'text', text, 'toolExecutionRequests', transform(request_ids, x -> named_struct('id', x, 'name', 'search', 'arguments', case when x like '%0' then '{"q":1}' else 'q ' || x end))))
+ else to_json(named_struct('type', 'TOOL_EXECUTION_RESULT', 'id', call_id, 'toolName', tool_name, 'text', text)) end content from chat_message"""
 DUCKDB = DERIVED | {
     "flow_item": DERIVED["flow_item"].replace(r"documents lateral view posexplode(split(text, '\n')) t as pos, line", "(select doc_id, unnest(range(len(string_split(text, chr(10))))) pos, unnest(string_split(text, chr(10))) line from documents) y")
 }
