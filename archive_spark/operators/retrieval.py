@@ -2,59 +2,102 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
 
 #: The usual BM25 parameters.
 K1, B = 1.2, 0.75
-#: Query rows that may be sent to every task.
-MAX_QUERIES = 10_000
+#: Query vectors that are held against all rows in one pass, and rows of a table that may be sent to every task.
+QUERY_BLOCK, BROADCAST_ROWS = 2_000, 100_000
 NO_HITS = "no matching evidence"
 
 
-def _sum(x: Column) -> Column:
-    return F.aggregate(x, F.lit(0.0), lambda a, v: a + v)
+def _small(df: DataFrame) -> DataFrame:
+    """Sent to all tasks if its rows, counted, are few; else joined by shuffle."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+
 
+def _best(rows: DataFrame, k: int) -> DataFrame:
+    """The best k of each query, which Spark limits in every task before the shuffle."""
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
+    return rows.withColumn("rank", rank).where(F.col("rank") <= k)
 
-def _bounded(queries: DataFrame) -> DataFrame:
-    """A query set is sent to all tasks only after its size was checked."""
-    if queries.limit(MAX_QUERIES + 1).count() > MAX_QUERIES:
-        raise ValueError(f"more than {MAX_QUERIES} queries; run them in blocks")
-    return F.broadcast(queries)
+
+def _unit(vectors: pd.Series) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors of length one, and which of the given ones have a length."""
+    m = np.array([np.asarray(x, dtype=np.float64) for x in vectors])
+    norm = np.sqrt((m * m).sum(axis=1)) if len(m) else np.zeros(0)
+    kept = norm > 0
+    return m[kept] / norm[kept, None], kept
 
 
 def vector_topk(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
-    """queries: query_id, vector. vectors: id, vector. Cosine, ties by id; vectors without length are left out.
-
-    A stated query set against all rows: each row meets every query where it is read; the best k of each query are kept
-    by a ranked window, which Spark limits in every task before the shuffle."""
-    norm = lambda c: F.sqrt(_sum(F.transform(c, lambda x: x * x)))
-    q = queries.select("query_id", F.col("vector").cast("array<double>").alias("qv")).withColumn("qn", norm(F.col("qv"))).where("qn > 0")
-    v = vectors.select("id", F.col("vector").cast("array<double>").alias("dv")).withColumn("dn", norm(F.col("dv"))).where("dn > 0")
-    score = _sum(F.zip_with("qv", "dv", lambda a, b: a * b)) / (F.col("qn") * F.col("dn"))
-    hits = v.join(_bounded(q), F.lit(True)).select("query_id", "id", F.round(score, 6).alias("score"))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
-    return hits.withColumn("rank", rank).where(F.col("rank") <= k)
+    """queries: query_id, vector. vectors: id, vector. Cosine rounded to six places, ties by id; vectors that are null or have no length are left out.
+
+    A stated query set against all rows, in blocks of queries: each Arrow batch of vectors is multiplied with a block and
+    keeps the best k rows of each query, so that only those are shuffled. Any number of queries is answered."""
+    schema = f"query_id {queries.schema['query_id'].dataType.simpleString()}, id {vectors.schema['id'].dataType.simpleString()}, score double"
+    asked = queries.where("vector is not null").select("query_id", F.col("vector").cast("array<double>").alias("vector"))
+    rows = vectors.where("vector is not null").select("id", F.col("vector").cast("array<double>").alias("vector"))
+
+    def block_hits(ids: np.ndarray, block: np.ndarray) -> DataFrame:
+        def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                unit, kept = _unit(batch["vector"])
+                if not len(unit):
+                    continue
+                scores = np.round(unit @ block.T, 6)
+                last = np.partition(scores, -k, axis=0)[-k] if len(scores) > k else np.full(len(block), -2.0)
+                r, q = np.nonzero(scores >= last)
+                hits = pd.DataFrame({"q": q, "query_id": ids[q], "id": batch["id"].to_numpy()[kept][r], "score": scores[r, q]})
+                hits = hits.sort_values(["q", "score", "id"], ascending=[True, False, True])
+                yield hits[hits.groupby("q").cumcount() < k][["query_id", "id", "score"]]
+
+        return rows.mapInPandas(score, schema)
+
+    found, buffer = [], []
+
+    def close() -> None:
+        unit, kept = _unit(pd.Series([r["vector"] for r in buffer]))
+        if len(unit):
+            found.append(block_hits(np.array([r["query_id"] for r in buffer], dtype=object)[kept], unit))
+        buffer.clear()
+
+    for row in asked.toLocalIterator():
+        buffer.append(row)
+        if len(buffer) == QUERY_BLOCK:
+            close()
+    close()
+    hits = found[0] if found else queries.sparkSession.createDataFrame([], schema)
+    for more in found[1:]:
+        hits = hits.unionByName(more)
+    return _best(hits, k)
 
 
 def keyword_topk(queries: DataFrame, docs: DataFrame, k: int, allowed: DataFrame | None = None) -> DataFrame:
-    """queries: query_id, terms (array). docs: id, text. BM25 over the whole corpus; `allowed` (id) restricts hits only."""
-    toks = docs.select("id", tx.terms(F.col("text")).alias("terms"))
-    stats = toks.agg(F.count(F.lit(1)).alias("n_docs"), F.avg(F.size("terms")).alias("avgdl"))
+    """queries: query_id, terms (array). docs: id, text. BM25 over the whole corpus; `allowed` (id) restricts hits only.
+
+    The corpus is tokenised once: a row without a term stands for each document in the counts of the same shuffle."""
     asked = queries.select("query_id", F.explode(F.array_distinct("terms")).alias("term"))
-    words = _bounded(asked.select("term").distinct())
-    tf = toks.select("id", F.size("terms").alias("dl"), F.explode("terms").alias("term")).join(words, "term", "left_semi").groupBy("id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
-    df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    hits = tf.join(F.broadcast(df), "term").join(F.broadcast(stats), F.lit(True)).join(F.broadcast(asked), "term")
-    if allowed is not None:
-        hits = hits.join(allowed, "id", "left_semi")
+    every = F.concat(F.array(F.lit("")), F.col("terms"))
+    toks = docs.select("id", tx.terms(F.col("text")).alias("terms")).select("id", F.size("terms").alias("dl"), F.explode(every).alias("term"))
+    words = asked.select("term").union(queries.sparkSession.range(1).select(F.lit("").alias("term"))).distinct()
+    tf = toks.join(_small(words), "term", "left_semi").groupBy("id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
+    stats = tf.where("term = ''").agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avgdl"))
+    tf = tf.where("term <> ''")
+    terms = asked.join(tf.groupBy("term").agg(F.count(F.lit(1)).alias("df")), "term")
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    scored = hits.groupBy("query_id", "id").agg(F.round(F.sum(part), 6).alias("score"))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
-    return scored.withColumn("rank", rank).where(F.col("rank") <= k)
+    terms = terms.join(F.broadcast(stats), F.lit(True)).select("query_id", "term", "avgdl", idf.alias("idf"))
+    if allowed is not None:
+        tf = tf.join(allowed, "id", "left_semi")
+    part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+    return _best(tf.join(terms, "term").groupBy("query_id", "id").agg(F.round(F.sum(part), 6).alias("score")), k)
 
 
 def merge_arms(vector: DataFrame | None, keyword: DataFrame | None) -> DataFrame:
@@ -70,9 +113,11 @@ def merge_arms(vector: DataFrame | None, keyword: DataFrame | None) -> DataFrame
 
 
 def rerank(hits: DataFrame, queries: DataFrame, docs: DataFrame, n: int) -> DataFrame:
-    """0.7 x the share of query terms that the text has + 0.3 / (1 + rank in its arm); the best n of each query."""
-    texts = docs.select("id", F.array_distinct(tx.terms(F.col("text"))).alias("dt"))
-    df = hits.join(queries.select("query_id", F.array_distinct("terms").alias("qt")), "query_id").join(texts, "id")
+    """0.7 x the share of query terms that the text has + 0.3 / (1 + rank in its arm); the best n of each query.
+
+    Only the texts that were hit are tokenised."""
+    df = hits.join(queries.select("query_id", F.array_distinct("terms").alias("qt")), "query_id").join(docs.select("id", "text"), "id")
+    df = df.withColumn("dt", F.array_distinct(tx.terms(F.col("text")))).drop("text")
     share = F.size(F.array_intersect("qt", "dt")) / F.size("qt")
     score = F.round(0.7 * F.coalesce(share, F.lit(0.0)) + 0.3 / (1 + F.col("rank")), 6)
     df = df.select("query_id", "id", "origin", "arm", "rank", score.alias("score"))
@@ -80,10 +125,12 @@ def rerank(hits: DataFrame, queries: DataFrame, docs: DataFrame, n: int) -> Data
     return df.withColumn("final_rank", best).where(F.col("final_rank") <= n)
 
 
-def evidence(ranked: DataFrame, docs: DataFrame, chars: int = 80) -> DataFrame:
-    """One text block for each query, in rank order."""
-    body = tx.squeeze(F.left(docs["text"], F.lit(chars)))
-    rows = ranked.join(docs.select("id", body.alias("body")), "id")
+def evidence(ranked: DataFrame, docs: DataFrame, queries: DataFrame | None = None) -> DataFrame:
+    """One block of whole texts for each query, in rank order; of `queries` (query_id), those without a hit say so."""
+    rows = ranked.join(docs.select("id", tx.squeeze(docs["text"]).alias("body")), "id")
     line = F.concat(F.lit("["), F.col("final_rank").cast("string"), F.lit("] "), F.col("origin"), F.lit(" "), F.col("id").cast("string"), F.lit(": "), F.col("body"))
     parts = F.array_sort(F.collect_list(F.struct("final_rank", line.alias("line"))))
-    return rows.groupBy("query_id").agg(F.array_join(F.transform(parts, lambda x: x["line"]), "\n").alias("evidence"))
+    found = rows.groupBy("query_id").agg(F.array_join(F.transform(parts, lambda x: x["line"]), "\n").alias("evidence"))
+    if queries is None:
+        return found
+    return queries.select("query_id").distinct().join(found, "query_id", "left").withColumn("evidence", F.coalesce("evidence", F.lit(NO_HITS)))
