@@ -1,9 +1,13 @@
 """Agent event streams: dedupe of tool frames, text segments, turn outcomes, token baselines.
 
-Each operator takes a batch; `deduplicate` and `token_baseline` take a stream as well."""
+Each operator takes a batch; `deduplicate` and `token_baseline` take a stream as well, `closed_turns` takes streams."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,6 +44,26 @@ def turn_outcome(events: DataFrame) -> DataFrame:
     return _turns(events).groupBy("session_id", "turn").agg(F.coalesce(end, F.lit("OPEN")).alias("outcome"), F.count(F.lit(1)).alias("n_events"))
 
 
+def closed_turns(events: DataFrame) -> DataFrame:
+    """The stream form of `turn_outcome`: a row when a turn ends. Events should be deduplicated before.
+
+    A session's state is two numbers: its turn, and the events in it. Within a micro-batch events count by time, across them as they arrive."""
+    kind = events.schema["session_id"].dataType.simpleString()
+
+    def close(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        turn, n = state.get if state.exists else (0, 0)
+        rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
+        at = np.flatnonzero(rows["event"].isin(ENDS).to_numpy())
+        counts = np.diff(at, prepend=-1)
+        if len(at):
+            counts[0] += n
+        state.update((turn + len(at), int(len(rows) - 1 - at[-1]) if len(at) else n + len(rows)))
+        yield pd.DataFrame({"session_id": [key[0]] * len(at), "turn": turn + np.arange(len(at)), "outcome": rows["event"].to_numpy()[at], "n_events": counts})
+
+    keyed = events.select("session_id", "ts", "event_id", "event").groupBy("session_id")
+    return keyed.applyInPandasWithState(close, f"session_id {kind}, turn long, outcome string, n_events long", "turn long, n long", "append", "NoTimeout")
+
+
 def token_baseline(events: DataFrame) -> DataFrame:
     """The input tokens last reported by a finished turn; none after an error."""
     ends = events.where(F.col("event").isin(*ENDS))
