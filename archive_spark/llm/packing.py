@@ -1,9 +1,9 @@
 """Sum-of-squares packing of tokenised documents into sequences of bounded length.
 
 Documents become token pieces: one that is longer than a sequence is cut, its first piece taking the remainder, so all
-later pieces fill a sequence each. Each other piece is placed into the open sequence (or a new one) that
-makes the sum, over all residual gaps, of the squared number of open sequences with that gap smallest. Pieces are dealt
-into shards by a hash of their document, each packed by itself; a shard costs at most its last open sequences.
+later pieces fill a sequence each. The other pieces go longest first, each into the open sequence that makes the sum,
+over all residual gaps, of the squared number of open sequences with that gap smallest; a sequence is opened only where
+no open one has room, as sequences are to be few and none comes later that could use the gaps. Pieces are dealt into shards by a hash of their document, each packed by itself; a shard costs at most its last open sequences.
 
 Defined results: a null text is empty and a document always ends with the end id, so every document has a piece;
 repeated rows are packed one by one; an empty table gives an empty result; null ids are kept.
@@ -61,23 +61,19 @@ def sum_of_squares(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.nd
     """The sequence and the offset of each piece, pieces being placed in the given order.
 
     With N(g) open sequences of gap g, moving one from gap g to g - s adds 2 (N(g - s) - N(g) + 1) to the sum of
-    squares; a new sequence adds 2 N(capacity - s) + 1, and a gap of 0 counts as nothing.
+    squares; a gap of 0 counts as nothing.
     """
     counts = np.zeros(capacity + 1, dtype=np.int64)
     open_by_gap: list[list[int]] = [[] for _ in range(capacity + 1)]
     sequence, offset = np.zeros(len(lengths), dtype=np.int64), np.zeros(len(lengths), dtype=np.int64)
     made = 0
     for i, s in enumerate(lengths.tolist()):
-        gaps = counts[s:capacity]  # gaps s .. capacity - 1
-        gain = 2 * (counts[: capacity - s] - gaps) + 2
-        if len(gain):
+        gaps, gap = counts[s:capacity], capacity  # gaps s .. capacity - 1
+        if gaps.any():
+            gain = 2 * (counts[: capacity - s] - gaps) + 2
             gain[0] = 1 - 2 * counts[s]  # closed: nothing is added at gap 0
             gain[gaps == 0] = np.iinfo(np.int64).max
-            best = int(np.argmin(gain))
-            new = 1 + 2 * counts[capacity - s]
-            gap = s + best if gain[best] <= new else capacity
-        else:
-            gap = capacity
+            gap = s + int(np.argmin(gain))
         if gap == capacity:
             bin_, made = made, made + 1
         else:
@@ -90,13 +86,6 @@ def sum_of_squares(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.nd
     return sequence, offset
 
 
-def placing_order(lengths: np.ndarray, capacity: int = CAPACITY) -> np.ndarray:
-    """Pieces over a third of a sequence come first, longest first; then the rest in a fixed shuffled order, so that
-    small pieces of all lengths stay at hand to close gaps."""
-    shuffled = np.random.default_rng(0).permutation(len(lengths))
-    return np.lexsort((shuffled, -np.where(3 * lengths > capacity, lengths, 0)))
-
-
 def pack_pieces(pieces: DataFrame, *, id_col: str = "doc_id", capacity: int = CAPACITY, shards: int = 1) -> DataFrame:
     """Adds sequence_id and offset; carries every other column of the pieces.
 
@@ -111,7 +100,7 @@ def pack_pieces(pieces: DataFrame, *, id_col: str = "doc_id", capacity: int = CA
         # places only: rows, which may hold ids, stay where they are
         order = pc.sort_indices(table.select(ties), sort_keys=[(c, "ascending") for c in ties]).to_numpy()
         lengths = table.column("length").to_numpy()
-        order = order[placing_order(lengths[order], capacity)]
+        order = order[np.argsort(-lengths[order], kind="stable")]  # longest first
         sequence, offset = np.empty(len(order), dtype=np.int64), np.empty(len(order), dtype=np.int64)
         sequence[order], offset[order] = sum_of_squares(lengths[order], capacity)
         base = key[0].as_py() << 32

@@ -162,3 +162,33 @@ def quality(docs):
         rep = len({k for v in at.values() if len(v) > 1 for i in v for k in range(i, i + 8)})
         out.append((d, len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text)), dup, rep, len(w) < 20 or 100 * rep > 30 * len(w)))
     return out
+
+
+def line_dedup(docs, least=20):
+    """docs: (id, text) with different ids. The text left of each, and how many lines went: those in a run of neighbouring
+    lines (blank ones do not count, nor white space at ends) of `least` words that an earlier document has too."""
+    strip = " \t\n\v\f\r"
+    earlier, out = [], []
+    for d, text in sorted(docs):
+        raw = (text or "").split("\n")
+        lines = [(i, x.strip(strip)) for i, x in enumerate(raw) if x.strip(strip)]
+        words = [len(WORD.findall(x)) for _, x in lines]
+        gone = set()
+        for other, at in earlier:
+            i = 0
+            while i < len(lines):
+                longest = 0
+                for k in at.get(lines[i][1], ()):
+                    n = 0
+                    while i + n < len(lines) and k + n < len(other) and lines[i + n][1] == other[k + n]:
+                        n += 1
+                    longest = max(longest, n)
+                if sum(words[i : i + longest]) >= least:
+                    gone.update(j for j, _ in lines[i : i + longest])
+                i += 1
+        out.append((d, text if not gone else "\n".join(x for j, x in enumerate(raw) if j not in gone), len(gone)))
+        at = {}
+        for k, (_, x) in enumerate(lines):
+            at.setdefault(x, []).append(k)
+        earlier.append(([x for _, x in lines], at))
+    return out

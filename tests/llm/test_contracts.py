@@ -92,7 +92,7 @@ def test_op3(spark, data):
         assert o == by.get(s, 0)
         by[s] = o + n
     total = sum(by.values())
-    assert max(by.values()) <= 1024 and len(by) <= 1.1 * total / 1024 + 2
+    assert max(by.values()) <= 1024 and len(by) <= 1.01 * total / 1024 + 1
 
 
 def test_op4(spark, data):
@@ -136,6 +136,12 @@ def test_op8(spark, data):
     same(got, want)
 
 
+def test_op9(spark, sf_dir):
+    want = brute.line_dedup(table(sf_dir, "documents", "doc_id", "text"))
+    same(rows(q.op9_line_dedup(spark, sf_dir), "doc_id", "text", "n_removed_lines"), want)
+    assert sum(n for *_, n in want) > 20
+
+
 def test_op10(spark, data):
     df = q.op10_quality(spark, data).cache()
     same(rows(df, "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"), brute.quality(table(data, "documents", "doc_id", "text")))
