@@ -7,7 +7,8 @@ Spark's own text writer lays the archives out (`part-*.txt.gz`, gzip-compressed
 Reading: each archive is inflated as a stream and cut by its Content-Length fields; its captures, sorted by URL key and
 timestamp, are one locally sorted run, kept as a table. The external merge deals the runs into ranges of
 (URL key, timestamp, id), so that one hot URL is spread over ranges too, and merges the runs' parts in each range by a
-loser tree. Ranges are in order, so captures by (shard, position) are in global order: the capture history of each URL.
+loser tree; ranges are as many as keep each to about RANGE_ROWS captures, so a task's memory does not grow with the
+table. Ranges are in order, so captures by (shard, position) are in global order: the capture history of each URL.
 
 Defined results: null html is an empty payload, a null URL is an empty one; null ids are written as `null`, never serve
 as the response of others and are read back as null; repeated rows are written one by one; an empty table gives an
@@ -18,6 +19,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import math
 import zlib
 from collections.abc import Iterator
 
@@ -32,8 +34,10 @@ _CONV_DIGITS, _BASE32 = "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRS
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: Records in an archive file at most, and payload bytes from which a copy may be a revisit.
 MAX_RECORDS, MIN_REVISIT_BYTES = 20_000, 0
-#: Capture date where the table has none: this time and the id in seconds.
-EPOCH = 1_700_000_000
+#: Capture date where the table has none: this time and the id in seconds, from 0 again after so many.
+EPOCH, DATE_SECONDS = 1_700_000_000, 10**9
+#: Captures that are merged in one task, about.
+RANGE_ROWS = 100_000
 
 CAPTURE = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url_key string, captured_at long, archive string, record_offset long, record_length long"
 _NAMES = [x.split()[0] for x in CAPTURE.split(", ")]
@@ -49,7 +53,7 @@ def base32_sha1(text: Column) -> Column:
 
 def records(pages: DataFrame, *, min_revisit_bytes: int = MIN_REVISIT_BYTES, date_col: str | None = None) -> DataFrame:
     """A column `value`: the records without their last two line ends."""
-    date = F.col(date_col).cast("timestamp") if date_col else F.timestamp_seconds(F.lit(EPOCH) + F.coalesce("page_id", F.lit(0)))
+    date = F.col(date_col).cast("timestamp") if date_col else F.timestamp_seconds(F.lit(EPOCH) + F.pmod(F.coalesce("page_id", F.lit(0)), F.lit(DATE_SECONDS)))
     base = pages.select("page_id", F.coalesce("url", F.lit("")).alias("url"), F.coalesce("html", F.lit("")).alias("payload"), date.alias("_date"))
     sized = base.withColumns({"_bytes": F.octet_length("payload"), "_digest": base32_sha1(F.col("payload"))})
     # equal payloads are counted before the shuffle; only digests met twice can have a revisit
@@ -214,8 +218,8 @@ class LoserTree:
             self._replay(w)
 
 
-def merge_runs(runs: DataFrame) -> DataFrame:
-    """Adds shard and position; by these, captures are in the order of URL key, timestamp and id."""
+def merge_runs(runs: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
+    """runs: captures as a written table, which is counted for the number of ranges. Adds shard and position; by these, captures are in the order of URL key, timestamp and id."""
     schema = f"{CAPTURE}, shard int, position long"
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -242,7 +246,9 @@ def merge_runs(runs: DataFrame) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), [*_TYPES, pa.int32(), pa.int64()])], names=[*_NAMES, "shard", "position"])
 
     order = [F.col("url_key"), F.col("captured_at"), F.col("page_id").asc_nulls_first(), F.col("archive"), F.col("record_offset")]
-    return runs.repartitionByRange(*order).mapInArrow(merge, schema)
+    rows = runs.count()
+    ranges = max(math.ceil(rows / range_rows), min(runs.sparkSession.sparkContext.defaultParallelism, 1 + rows // 1000))
+    return runs.repartitionByRange(ranges, *order).mapInArrow(merge, schema)
 
 
 def archive_and_index(pages: DataFrame, **options) -> DataFrame:

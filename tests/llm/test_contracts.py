@@ -45,7 +45,7 @@ def awkward(tmp_path_factory):
     pq.write_table(pa.table({"item_id": pa.array([i for i, _ in items], pa.int64()), "text": [t for _, t in items]}), at / "benchmark.parquet")
     pq.write_table(pa.table({"doc_id": pa.array([1, 9, None, 9], pa.int64()), "quality": pa.array([0, 1, 1, None], pa.int32()), "toxic": pa.array([0, 0, 1, None], pa.int32())}), at / "labels.parquet")
     pages = [(1, "http://a.com/en/x?q#f", "<p>x</p>"), (2, "HTTPS://WWW.Example.com/en/", "<p>x</p>"), (3, None, None), (4, "no scheme", ""), (5, "http://example.com/en/?", "a\r\n\r\nWARC/1.1\r\n\r\n"), (6, "http://sub.example.com/en/1", "ü😀"), (7, "x://net", "<p>x</p>"),
-             (8, "http://b.net/es/1", "y"), (9, "http://b.net/de/1\r\n", "y"), (9, "http://net/fr/", "y"), (None, "http://foo.net/fr", "y"), (11, "http://?x", "z" * 100000), (12, "http://a.b.c.d.com/", "q"), (13, "http://xcom/", None)]
+             (8, "http://b.net/es/1", "y"), (9, "http://b.net/de/1\r\n", "y"), (9, "http://net/fr/", "y"), (None, "http://foo.net/fr", "y"), (11, "http://?x", "z" * 100000), (12, "http://a.b.c.d.com/", "q"), (13, "http://xcom/", None), (9_100_000_000_000_000_000, "http://com/", "<p>x</p>")]
     pq.write_table(pa.table({"page_id": pa.array([p[0] for p in pages], pa.int64()), "url": [p[1] for p in pages], "html": [p[2] for p in pages], "rule": [1] * len(pages)}), at / "pages.parquet")
     talk = [(1, 1, "assistant", "hi <turn> \\l \\\\"), (1, 0, "user", None), (1, 2, None, "x"), (2, 0, "assistant", ""), (2, 0, "assistant", "a</turn>b"), (2, None, "system", "s"), (None, 0, "user", "u"), (3, 0, "user", "only"), (4, 0, "assistant", "漢 ü\n\n  😀 "), (4, 1, "assistant", "next")]
     talk += [(5, i, "assistant" if i % 2 else "user", f" turn {i}. ") for i in range(1200)]

@@ -17,6 +17,16 @@ def test_loser_tree():
         assert list(warc.LoserTree([iter(r) for r in runs], lambda x: x)) == sorted(x for r in runs for x in r)
 
 
+def test_ranges_of_captures(spark):
+    rng = random.Random(2)
+    rows = [(i, 0, "", "response", None, f"k{rng.choice((0, 0, rng.randrange(40)))}", rng.randrange(9), f"a{i % 7}", i, 1) for i in range(3000)]
+    runs = spark.createDataFrame(sorted(rows, key=lambda r: (r[7], *r[5:7])), warc.CAPTURE)
+    got = [tuple(r) for r in warc.merge_runs(runs, range_rows=200).orderBy("shard", "position").collect()]
+    assert [r[:10] for r in got] == sorted(rows, key=warc._order)
+    sizes = [sum(r[10] == s for r in got) for s in {r[10] for r in got}]
+    assert len(sizes) > 10 and max(sizes) < 600  # a hot key is spread, too
+
+
 def test_cascade_is_exact(spark):
     keys = [(f"k{i}", i % 7 == 0) for i in range(3000)]
     universe = spark.createDataFrame(keys, "key string, listed boolean")
