@@ -132,6 +132,36 @@ def by_year_category(mains: DataFrame) -> DataFrame:
     return mains.where("del_flag = '0'").rollup("form_year", "category_id").agg(F.count(F.lit(1)).alias("volumes"))
 
 
+def year_status_cube(mains: DataFrame) -> DataFrame:
+    """Live volumes by year and status, by each alone, and all; `level` is 0, 1 (year), 2 (status) or 3."""
+    labels = F.create_map(*[F.lit(x) for pair in STATUS.items() for x in pair])
+    rows = mains.where("del_flag = '0'").select("form_year", labels[F.col("status")].alias("status"))
+    return rows.cube("form_year", "status").agg(F.grouping_id().cast("int").alias("level"), F.count(F.lit(1)).alias("volumes"))
+
+
+def year_status_pivot(mains: DataFrame) -> DataFrame:
+    """A row for each year, a column for each status."""
+    rows = mains.where("del_flag = '0'").groupBy("form_year").pivot("status", list(STATUS)).count()
+    return rows.select("form_year", *[F.coalesce(code, F.lit(0)).alias(label) for code, label in STATUS.items()])
+
+
+def project_items(projects: DataFrame, mains: DataFrame, sides: DataFrame) -> DataFrame:
+    """The live items of each live project, by way of its volumes."""
+    live = [t.where("del_flag = '0'") for t in (projects, mains, sides)]
+    p = live[0].select(F.col("id").alias("project_id"), "project_name")
+    m = live[1].select(F.col("id").alias("main_id"), "project_id", F.col("title").alias("volume_name"))
+    return live[2].select(F.col("id").alias("item_id"), "main_id", "title", "sequence_no").join(m, "main_id").join(p, "project_id")
+
+
+def project_report(projects: DataFrame, mains: DataFrame, sides: DataFrame) -> DataFrame:
+    """Live volumes and items of each live project, 0 included; items are counted by volume before they are joined."""
+    items = sides.where("del_flag = '0'").groupBy("main_id").agg(F.count(F.lit(1)).alias("n"))
+    volumes = mains.where("del_flag = '0'").select(F.col("id").alias("main_id"), "project_id").join(items, "main_id", "left")
+    counts = volumes.groupBy("project_id").agg(F.count(F.lit(1)).alias("volumes"), F.sum("n").alias("items"))
+    named = projects.where("del_flag = '0'").select(F.col("id").alias("project_id"), "project_name").join(counts, "project_id", "left")
+    return named.select("project_id", "project_name", F.coalesce("volumes", F.lit(0)).alias("volumes"), F.coalesce("items", F.lit(0)).alias("items"))
+
+
 def volume_items(mains: DataFrame, sides: DataFrame) -> DataFrame:
     live = sides.where("del_flag = '0'").groupBy("main_id").agg(F.count(F.lit(1)).alias("n_items"), F.max("sequence_no").alias("last_no"))
     return mains.where("del_flag = '0'").join(live, mains.id == live.main_id, "left").select(mains.id.alias("main_id"), "title", F.coalesce("n_items", F.lit(0)).alias("n_items"), "last_no")

@@ -21,6 +21,8 @@ class Options:
     keep: float = 0.15
     tool_tokens: int = 8000
     message_chars: int = 2000
+    summary_tokens: int = 16_000
+    soft_ratio: float = 0.75
 
 
 #: The fields of a stored message.
@@ -129,6 +131,14 @@ def transcript(messages: DataFrame, sessions: DataFrame, plan: DataFrame) -> Dat
     return rows.groupBy("session_id").agg(F.array_join(F.transform(parts, lambda x: x["line"]), "\n").alias("transcript"))
 
 
+def summary_requests(messages: DataFrame, sessions: DataFrame, plan: DataFrame, options: Options = Options()) -> DataFrame:
+    """What a summary model is asked for each session to be compacted: soft limit (a share of the hard one, so that summaries
+    rarely run into it), hard limit, the summary so far (`none` where blank) and the transcript."""
+    soft = int(options.summary_tokens * options.soft_ratio)
+    old = sessions.select(F.col("id").alias("session_id"), F.when(F.trim("summary") != "", F.col("summary")).otherwise("none").alias("old_summary"))
+    return transcript(messages, sessions, plan).join(old, "session_id").select("session_id", F.lit(soft).alias("soft_limit"), F.lit(options.summary_tokens).alias("max_tokens"), "old_summary", "transcript")
+
+
 def apply_plan(sessions: DataFrame, plan: DataFrame, expected: Column) -> DataFrame:
     """Compare-and-set: a plan applies only where the watermark is still the expected one."""
     p = plan.where("action = 'compact'").select(F.col("session_id").alias("p_id"), "new_watermark")

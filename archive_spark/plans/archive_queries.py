@@ -43,6 +43,10 @@ QUERIES = {
     "text_pages": lambda s, d: load(s, d, "documents")[0].select("doc_id", F.posexplode(tx.text_pages(F.col("text"))).alias("page", "text")),
     "archive_by_status": lambda s, d: archive.by_status(load(s, d, "ar_main")[0]),
     "archive_by_year_category": lambda s, d: archive.by_year_category(load(s, d, "ar_main")[0]),
+    "archive_year_status_cube": lambda s, d: archive.year_status_cube(load(s, d, "ar_main")[0]),
+    "archive_year_status_pivot": lambda s, d: archive.year_status_pivot(load(s, d, "ar_main")[0]),
+    "project_items": lambda s, d: archive.project_items(*load(s, d, "ar_project", "ar_main", "ar_side")),
+    "project_report": lambda s, d: archive.project_report(*load(s, d, "ar_project", "ar_main", "ar_side")),
     "volume_items": lambda s, d: archive.volume_items(*load(s, d, "ar_main", "ar_side")),
 }
 
@@ -95,5 +99,9 @@ ORACLE = {
     "text_pages": "select doc_id, cast(i as int) page, substring(coalesce(text, ''), i * 4000 + 1, 4000) as text from (select doc_id, text, unnest(range(greatest(cast(ceil(length(coalesce(text, '')) / 4000) as bigint), 1))) i from documents) x",
     "archive_by_status": with_tables("select case status when '1' then 'registered' when '2' then 'processing' else 'archived' end status, count(*) volumes from ar_main where del_flag = '0' group by 1", "ar_main"),
     "archive_by_year_category": with_tables("select form_year, category_id, count(*) volumes from ar_main where del_flag = '0' group by rollup(form_year, category_id)", "ar_main"),
+    "archive_year_status_cube": with_tables("select form_year, status, cast(grouping(form_year, status) as int) as level, count(*) volumes from (select form_year, case status when '1' then 'registered' when '2' then 'processing' else 'archived' end status from ar_main where del_flag = '0') x group by cube(form_year, status)", "ar_main"),
+    "archive_year_status_pivot": with_tables("select form_year, count(*) filter (where status = '1') registered, count(*) filter (where status = '2') processing, count(*) filter (where status = '3') archived from ar_main where del_flag = '0' group by 1", "ar_main"),
+    "project_items": with_tables("select p.id project_id, m.id main_id, s.id item_id, s.title, s.sequence_no, m.title volume_name, p.project_name from ar_project p join ar_main m on m.project_id = p.id and m.del_flag = '0' join ar_side s on s.main_id = m.id and s.del_flag = '0' where p.del_flag = '0'", "ar_project", "ar_main", "ar_side"),
+    "project_report": with_tables("select p.id project_id, p.project_name, count(distinct m.id) volumes, count(s.id) items from ar_project p left join ar_main m on m.project_id = p.id and m.del_flag = '0' left join ar_side s on s.main_id = m.id and s.del_flag = '0' where p.del_flag = '0' group by 1, 2", "ar_project", "ar_main", "ar_side"),
     "volume_items": with_tables("select m.id main_id, m.title, count(s.id) n_items, max(s.sequence_no) last_no from (select * from ar_main where del_flag = '0') m left join (select * from ar_side where del_flag = '0') s on s.main_id = m.id group by 1, 2", "ar_main", "ar_side"),
 }

@@ -16,6 +16,11 @@ def _plan(s, d):
     return c.compaction_plan(m, sessions, OPTIONS), m, sessions
 
 
+def _summary_requests(s, d):
+    plan, m, sessions = _plan(s, d)
+    return c.summary_requests(m, sessions, plan, OPTIONS)
+
+
 def _transcript(s, d):
     plan, m, sessions = _plan(s, d)
     return c.transcript(m, sessions, plan)
@@ -108,6 +113,7 @@ QUERIES = {
     "conversation_view": lambda s, d: c.conversation_view(*load(s, d, "chat_message", "chat_session"), OPTIONS),
     "compaction_plan": lambda s, d: _plan(s, d)[0],
     "compaction_transcript": _transcript,
+    "summary_requests": _summary_requests,
     "compaction_apply": _apply,
     "append_messages": _append,
     "session_page": lambda s, d: catalog.session_page(load(s, d, "chat_session")[0], 1, 5),
@@ -130,6 +136,8 @@ QUERIES = {
     "event_dedupe": lambda s, d: ev.deduplicate(load(s, d, "agent_event")[0]),
     "event_segments": lambda s, d: ev.segments(load(s, d, "agent_event")[0]),
     "turn_outcome": lambda s, d: ev.turn_outcome(load(s, d, "agent_event")[0]),
+    "touched_files": lambda s, d: ev.touched_files(load(s, d, "agent_event")[0]).withColumn("files", F.array_join("files", ",")),
+    "compaction_status": lambda s, d: ev.compaction_status(load(s, d, "agent_event")[0].withColumn("status", F.expr("case event when 'TOOL_CALL_REQUEST' then 'compacting' when 'DONE' then 'done' when 'ERROR' then 'error' end"))),
     "token_baseline": lambda s, d: ev.token_baseline(load(s, d, "agent_event")[0]),
 }
 
@@ -214,6 +222,8 @@ ORACLE = {
     "event_segments": with_tables(_TURNS + """, sm as (select *, coalesce(sum(case when event = 'TOOL_CALL_RESULT' then 1 else 0 end) over (partition by session_id, turn order by ts, event_id rows between unbounded preceding and 1 preceding), 0) segment from tn)
  select session_id, cast(turn as bigint) turn, cast(segment as bigint) segment, coalesce(string_agg(case when event = 'STREAM_TEXT' then text end, '' order by ts, event_id), '') as text, count(*) filter (where event = 'TOOL_CALL_REQUEST') n_calls from sm group by 1, 2, 3""", "agent_event"),
     "turn_outcome": with_tables(_TURNS + " select session_id, cast(turn as bigint) turn, coalesce(max(case when event in ('DONE', 'ERROR') then event end), 'OPEN') outcome, count(*) n_events from tn group by 1, 2", "agent_event"),
+    "touched_files": with_tables(_TURNS + " select session_id, cast(turn as bigint) turn, string_agg(distinct call_id, ',' order by call_id) files from tn where event = 'TOOL_CALL_RESULT' and call_id <> '' group by 1, 2", "agent_event"),
+    "compaction_status": with_tables("select session_id, arg_max(case event when 'TOOL_CALL_REQUEST' then 'compacting' when 'DONE' then 'done' else 'error' end, (ts, event_id)) status from agent_event where event in ('TOOL_CALL_REQUEST', 'DONE', 'ERROR') group by 1", "agent_event"),
     "token_baseline": with_tables("select session_id, case when arg_max(event, (ts, event_id)) = 'DONE' then arg_max(input_tokens, (ts, event_id)) end baseline from agent_event where event in ('DONE', 'ERROR') group by 1", "agent_event"),
 }
 _LIVE = f""", lv as (select m.session_id, m.id, m.message_type, m.text, {_HAN.format('m.text')} tok from chat_message m join chat_session s on s.id = m.session_id where m.message_type <> 1 and m.id > coalesce(s.summary_upto_message_id, 0)),
@@ -225,6 +235,15 @@ _LIVE = f""", lv as (select m.session_id, m.id, m.message_type, m.text, {_HAN.fo
  pn as (select session_id, estimate, trigger_line, keep_start, action, case when action = 'compact' then keep_start else 0 end n_compacted, case when action = 'compact' then lid end new_watermark from pa)"""
 ORACLE |= {
     "compaction_plan": with_tables(_LIVE + " select * from pn", "chat_message", "chat_session"),
+    "conversation_view": with_tables(
+        ", am as (select m.* from chat_message m join chat_session s on s.id = m.session_id where m.id > coalesce(s.summary_upto_message_id, 0) and m.message_type <> 1)" + _REPAIR.replace("chat_message", "am")
+        + f", us as (select *, message_type = 4 and sum({_HAN.format('text')}) over (partition by session_id, message_type = 4 order by segment desc, kind desc, ordinal desc rows unbounded preceding) > 200 stale from rp)"
+        + """, vw as (select session_id, 0 part, 0 segment, 0 kind, 0 ordinal, 1 message_type, arg_max(text, id) as text from chat_message where message_type = 1 group by 1
+ union all select id, 1, 0, 0, 0, 2, 'Summary so far: ' || summary from chat_session where trim(summary) <> ''
+ union all select session_id, 2, segment, kind, ordinal, message_type, case when stale then '[old tool output removed]' when length(text) > 300 then left(text, 150) || chr(10) || '[...]' || chr(10) || right(text, 150) else text end from us)
+ select session_id, cast(row_number() over (partition by session_id order by part, segment, kind, ordinal) as int) as position, message_type, text from vw""", "chat_message", "chat_session"),
+    "summary_requests": with_tables(_LIVE + """, tr as (select lv.session_id, string_agg(case message_type when 2 then 'user' when 3 then 'assistant' else 'tool' end || ': ' || text, chr(10) order by id) transcript from lv join pn using (session_id) where action = 'compact' and id <= new_watermark group by 1)
+ select session_id, 12000 soft_limit, 16000 max_tokens, case when trim(summary) <> '' then summary else 'none' end old_summary, transcript from tr join chat_session s on s.id = session_id""", "chat_message", "chat_session"),
     "compaction_transcript": with_tables(_LIVE + " select lv.session_id, string_agg(case message_type when 2 then 'user' when 3 then 'assistant' else 'tool' end || ': ' || text, chr(10) order by id) transcript from lv join pn using (session_id) where action = 'compact' and id <= new_watermark group by 1", "chat_message", "chat_session"),
     "compaction_apply": with_tables(_LIVE + """ select id, case when st2 = 'applied' then new_watermark else summary_upto_message_id end summary_upto_message_id, case when st2 = 'applied' then null else last_input_tokens end last_input_tokens, compact_count + case when st2 = 'applied' then 1 else 0 end compact_count, st2 status
  from (select s.*, new_watermark, case when action = 'compact' and id % 5 <> 0 then 'applied' when action = 'compact' then 'rejected' else 'unchanged' end st2 from chat_session s left join pn on pn.session_id = s.id) x""", "chat_message", "chat_session"),

@@ -1,6 +1,6 @@
 """Agent event streams: dedupe of tool frames, text segments, turn outcomes, token baselines.
 
-Each operator takes a batch; `deduplicate` and `token_baseline` take a stream as well, `closed_turns` takes streams."""
+Each operator takes a batch; `deduplicate`, `token_baseline` and `compaction_status` take a stream as well, `closed_turns` takes streams."""
 
 from __future__ import annotations
 
@@ -71,6 +71,17 @@ def token_baseline(events: DataFrame) -> DataFrame:
     return ends.groupBy("session_id").agg(F.max_by(value, F.struct("ts", "event_id")).alias("baseline"))
 
 
+def touched_files(events: DataFrame, file: str = "call_id") -> DataFrame:
+    """The distinct files of the tool results of each turn, sorted; a turn without any has no row."""
+    results = _turns(events).where(f"event = 'TOOL_CALL_RESULT' and {file} <> ''")
+    return results.groupBy("session_id", "turn").agg(F.array_sort(F.collect_set(file)).alias("files"))
+
+
+def compaction_status(events: DataFrame) -> DataFrame:
+    """The last status of each session (events: session_id, ts, event_id, status); null ones say nothing."""
+    return events.where("status is not null").groupBy("session_id").agg(F.max_by("status", F.struct("ts", "event_id")).alias("status"))
+
+
 def decode(lines: DataFrame, schema: str) -> DataFrame:
     """Raw JSON lines (`value`) to events; malformed and unknown ones go."""
     return lines.select(F.from_json("value", schema).alias("e")).select("e.*").where("event is not null")
