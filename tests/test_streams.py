@@ -34,6 +34,11 @@ def test_token_baseline(spark, log, tmp_path):
     _same(_finish(events.token_baseline(_stream(spark, log, f"{tmp_path}/e")), spark, "baseline", "complete"), events.token_baseline(log))
 
 
+def test_compaction_status(spark, log, tmp_path):
+    status = log.withColumn("status", F.expr("case event when 'TOOL_CALL_REQUEST' then 'compacting' when 'DONE' then 'done' end"))
+    _same(_finish(events.compaction_status(_stream(spark, status, f"{tmp_path}/e")), spark, "status", "complete"), events.compaction_status(status))
+
+
 def test_deduplicate(spark, log, tmp_path):
     key = ["session_id", "event", "call_id"]
     got = _finish(events.deduplicate(_stream(spark, log, f"{tmp_path}/e"), "10000 days"), spark, "deduplicated", "append").select(*key)
