@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import math
 import re
 import zlib
 from collections import Counter
+from fractions import Fraction
 
 import numpy as np
 import public_tokenizers
@@ -192,3 +194,56 @@ def line_dedup(docs, least=20):
             at.setdefault(x, []).append(k)
         earlier.append(([x for _, x in lines], at))
     return out
+
+
+def clusters(vectors, k=16, rounds=3):
+    kept = [(i, [math.floor(64 * x) for x in v]) for i, v in vectors if v is not None and len(v) == 64 and all(x is not None and math.isfinite(x) for x in v)]
+    if not kept:
+        return []
+    order = sorted(kept, key=lambda r: (sha(f"1:{'' if r[0] is None else r[0]}"), r[1]))
+    centroids = np.array([v for _, v in order[:k]], dtype=np.int64)
+    x = np.array([v for _, v in kept], dtype=np.int64)
+    for last in [False] * rounds + [True]:
+        d = ((x[:, None, :] - centroids[None]) ** 2).sum(axis=2)
+        of = d.argmin(axis=1)
+        if not last:
+            for c in set(of.tolist()):
+                centroids[c] = x[of == c].sum(axis=0) // (of == c).sum()
+    near = d.min(axis=1)
+    return [(i, int(c), int(n), int(near[of == c].sum()), int(near.sum()), sha(",".join(map(str, centroids[c].tolist())))) for (i, _), c, n in zip(kept, of, near)]
+
+
+def word_runs(w):
+    """(start, length, period) of every run, from the definition: each period over the whole list."""
+    n, out = len(w), []
+    for q in range(1, n // 4 + 1):
+        i = 0
+        while i + q < n:
+            if w[i] != w[i + q]:
+                i += 1
+                continue
+            j = i
+            while j + q < n and w[j] == w[j + q]:
+                j += 1
+            if j + q - i >= max(6, 4 * q) and not any(all(w[x] == w[x + d] for x in range(i, j + q - d)) for d in range(1, q)):
+                out.append((i, j + q - i, q))
+            i = j + 1
+    return sorted(out, key=lambda r: (r[0], r[2]))
+
+
+def periods(docs):
+    out = []
+    for d, text in docs:
+        w = WORD.findall(text or "")
+        n = len(w)
+        h = zlib.crc32(str(d).encode()) if d is not None else 1
+        g = h // 10
+        if h % 10 == 0 and n:
+            a = g % n
+            p = 1 + (n - a) // (3 + g % 8)
+            w = [w[a + (i - a) % p] if i >= a else w[i] for i in range(n)]
+        runs = word_runs(w)
+        gone = {i for s, length, q in runs for i in range(s + q, s + length)}
+        best = min(runs, key=lambda r: (-Fraction(r[1], r[2]), r[0], r[2])) if runs else (None,) * 3
+        out.append((d, len(runs), *best, 1000 * best[1] // best[2] if runs else None, sha("".join(f"{s},{n},{q}\n" for s, n, q in runs)), sha(" ".join(x for i, x in enumerate(w) if i not in gone))))
+    return out

@@ -56,7 +56,7 @@ def awkward(tmp_path_factory):
 @pytest.fixture(scope="module")
 def empty(tmp_path_factory, sf_dir):
     at = tmp_path_factory.mktemp("empty")
-    for name in ("documents", "benchmark", "labels", "pages", "conversations"):
+    for name in ("documents", "benchmark", "labels", "pages", "conversations", "embeddings"):
         pq.write_table(pq.read_table(f"{sf_dir}/{name}.parquet").slice(0, 0), at / f"{name}.parquet")
     return str(at)
 
