@@ -198,7 +198,7 @@ def _document_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
     some = np.flatnonzero(counts.any(axis=0))
     for at in range(0, len(some), 1 << 18):
         part = some[at : at + (1 << 18)]
-        yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(counts[0][part].astype(np.int64)), pa.array(counts[1][part].astype(np.int64))], names=["cell", "clean", "toxic"])
+        yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(counts[0][part]), pa.array(counts[1][part])], names=["cell", "clean", "toxic"])
 
 
 def _filled(table: pa.Table, counts: np.ndarray) -> None:
@@ -210,12 +210,14 @@ def _filled(table: pa.Table, counts: np.ndarray) -> None:
 def count_tokens(counted: DataFrame) -> np.ndarray:
     """Occurrences of each cell in clean and in toxic rows; at most one row a cell comes to the driver."""
     counts = np.zeros((2, KINDS << CELL_BITS), dtype=np.float32)
-    rows = counted.mapInArrow(give_back(_document_counts), "cell long, clean long, toxic long")
-    _filled(rows.groupBy("cell").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).select(F.col("cell").cast("int"), F.col("clean").cast("int"), F.col("toxic").cast("int")).toArrow(), counts)
+    rows = counted.mapInArrow(give_back(_document_counts), "cell int, clean int, toxic int")
+    _filled(rows.groupBy("cell").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).toArrow(), counts)
     clean, toxic = counts.sum(axis=1)
     if not clean or not toxic:
         return counts
-    suspect = (counts[1] >= 2) & (counts[1] * clean > counts[0] * toxic)
+    share = toxic / (clean + toxic)
+    toxic_odds = (counts[1] + PRIOR * share) / (counts[0] + PRIOR * (1 - share))
+    suspect = (counts[1] >= 2) & (toxic_odds > np.exp(DRIFT) * share / (1 - share))  # others only lower a segment
     flags = counted.sparkSession.sparkContext.broadcast(np.packbits(suspect))
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
