@@ -4,7 +4,8 @@ Fitting, on labelled rows outside the held-out quarter, all of them:
 
 1. Counts. Of each label, in how many documents a token occurs, for words and for their first 3 to 8 bytes, in 2^19 hashed
    cells a kind. Copies of a document would count its rare words many times, so for tokens that look toxic
-   the distinct neighbourhoods (word before, word after) are counted instead, over all rows again.
+   the distinct neighbourhoods (word before, word after) are counted instead, over all rows again, as toxic only if no
+   clean row has them.
 2. Log-odds. A token's share of toxic occurrences has a Dirichlet prior: the share among the other tokens of the next
    shorter prefix, weighing PRIOR occurrences; the shortest has the share of all tokens. So each occurrence counts once,
    and a word never seen has the log-odds of its longest known beginning. The score is the log-odds less those of all tokens, less DRIFT, so that ordinary text falls.
@@ -53,7 +54,7 @@ THRESHOLD, MAX_E = 0.3, 0.05
 #: The held-out quarter of the ids, and the sixteenths of them on which scores are calibrated (a sixth of the others).
 PARTS, HELD_OUT, FINE_PARTS, CALIBRATION = 4, 2, 16, (3, 11)
 #: Evidence is kept within these bounds, and counted in cells of a tenth.
-LEAST, MOST = -20.0, 60.0
+LEAST, MOST = -3.0, 30.0
 
 _WORD = np.ones(256, dtype=bool)
 _WORD[[b for b in range(128) if not chr(b).isalnum()]] = False
@@ -231,7 +232,8 @@ def count_tokens(counted: DataFrame) -> np.ndarray:
                 if len(pick):
                     yield pa.RecordBatch.from_arrays([pa.array(row[pick].astype(np.int32)), pa.array(about[pick]), pa.array(toxic[owner[pick]])], names=["cell", "about", "toxic"])
 
-    seen = counted.mapInArrow(give_back(contexts), "cell int, about long, toxic boolean").distinct()
+    # a neighbourhood that clean rows have, too, is no sign of toxicity
+    seen = counted.mapInArrow(give_back(contexts), "cell int, about long, toxic boolean").groupBy("cell", "about").agg(F.bool_and("toxic").alias("toxic"))
     toxic_sum = F.sum(F.col("toxic").cast("int"))
     _filled(seen.groupBy("cell").agg((F.count("*") - toxic_sum).cast("int").alias("clean"), toxic_sum.cast("int").alias("toxic")).toArrow(), counts)
     return counts
