@@ -29,10 +29,10 @@ DERIVED = {
  concat('doc-', cast(d.doc_id as string), case d.doc_id % 4 when 0 then '.pdf' when 1 then '.docx' when 2 then '.xlsx' else '.html' end) file_name,
  concat('p/', cast(d.doc_id as string)) file_path, cast(d.doc_id % 3 as string) file_type, d.n_chars file_size, md5(d.text) md5, '0' del_flag
  from documents d
- left join (select id, row_number() over (order by id) - 1 rk from ar_side) s on s.rk = d.doc_id
- left join (select id, row_number() over (order by id) - 1 rk from ar_main) m on m.rk = d.doc_id""",
+ left join ar_side s on s.id = concat('side-', cast(d.doc_id + 1 as string), '-', cast(d.doc_id % 3 + 1 as string))
+ left join ar_main m on m.id = concat('main-', cast(d.doc_id + 1 as string))""",
     "chat_message": """with b as (select conv_id session_id, role, text,
-   row_number() over (order by conv_id, turn, role, text) rn from conversations),
+   conv_id * 1000000 + row_number() over (partition by conv_id order by turn, role, text) rn from conversations),
  base as (select rn*10 id, session_id, case role when 'system' then 1 when 'user' then 2 else 3 end message_type, text,
    case when role='assistant' and rn % 3 = 0 then split(concat('call-', cast(rn as string), '-0,call-', cast(rn as string), '-1'), ',') end request_ids,
    cast(null as string) call_id, cast(null as string) tool_name from b),
@@ -55,7 +55,7 @@ DERIVED = {
  case when doc_id % 17 = 0 then 1 else 0 end del_flag from documents""",
     "file_turn": """select f.id file_id, lo - 1 + (f.id * 13) % (hi - lo + 12) before_id, f.id % 7 <> 3 completed
  from chat_file f join (select session_id, min(id) lo, max(id) hi from chat_message group by session_id) m on m.session_id = f.session_id""",
-    "table_cell": """with l as (select l_orderkey, l_linenumber, min(cast(l_quantity as int)) q, min(l_returnflag) f from lineitem where l_orderkey % 20 = 0 group by l_orderkey, l_linenumber),
+    "table_cell": """with l as (select l_orderkey, l_linenumber, min(cast(l_quantity as int)) q, min(l_returnflag) f from lineitem group by l_orderkey, l_linenumber),
  r as (select l_orderkey, l_linenumber, q, f, row_number() over (partition by l_orderkey order by l_linenumber) rn from l)
  select l_orderkey table_id, 0 row_idx, 0 col_idx, 'line' text from (select distinct l_orderkey from l) x
  union all select l_orderkey, 0, 1, 'quantity' from (select distinct l_orderkey from l) x
