@@ -151,16 +151,20 @@ _DEDUPE = ", dd as (select * from agent_event qualify event not in ('TOOL_CALL_R
 _TURNS = _DEDUPE + ", tn as (select *, coalesce(sum(case when event in ('DONE', 'ERROR') then 1 else 0 end) over (partition by session_id order by ts, event_id rows between unbounded preceding and 1 preceding), 0) turn from dd)"
 _HAN = r"len(regexp_extract_all(regexp_replace(coalesce({}, ''), '(\p{{Han}})', ' \1 ', 'g'), '\p{{Han}}|[\p{{L}}\p{{N}}]+|[^\s\p{{L}}\p{{N}}]'))"
 
-# The audit with the tables of a statement as rows, unlike the arrays on the Spark side.
-_AUDIT = r""", c as (select stmt_id, sql, regexp_replace(coalesce(sql, ''), '(?s)--[^\n]*|#[^\n]*|/\*.*?(?:\*/|\z)|''(?:[^''\\]|\\.|\\\z|'''')*(?:''|\z)|"(?:[^"\\]|\\.|\\\z)*(?:"|\z)|`(?:[^`\\]|\\.|\\\z)*(?:`|\z)', ' ', 'g') s from sql_log),
- f as (select stmt_id, unnest(regexp_extract_all(s, '(?i)\b(?:from|join)\s+[a-z0-9_]+(?:\s*\.\s*[a-z0-9_]+)?')) ref, generate_subscripts(regexp_extract_all(s, '(?i)\b(?:from|join)\s+[a-z0-9_]+(?:\s*\.\s*[a-z0-9_]+)?'), 1) i,
-  regexp_matches(s, '(?i)^[\s(]*with') w, list_transform(regexp_extract_all(s, '(?i)([a-z0-9_]+)\s+as\s*\(', 1), lambda x: lower(x)) ctes from c),
- r as (select *, regexp_replace(regexp_replace(lower(ref), '^(from|join)\s+', ''), '\s', '', 'g') t from f),
- v as (select *, case when contains(t, '.') and t not like 'ek.%' then 'cross_database' when w and list_contains(ctes, t) then null when replace(t, 'ek.', '') not in ('ek_ar_main', 'ek_ar_side', 'ek_ar_project', 'ek_user') then 'unknown_table' end bad from r),
+# The audit from its rules: a table is what follows FROM or JOIN, or a comma if the last such word before it is FROM or JOIN.
+_HIDE = r"""(?s)--[^\n]*|#[^\n]*|/\*.*?(?:\*/|\z)|''(?:[^''\\]|\\.|\\\z|'''')*(?:''|\z)|"(?:[^"\\]|\\.|\\\z)*(?:"|\z)|"""
+_AUDIT = r""", c as (select stmt_id, sql, regexp_replace(coalesce(sql, ''), 'HIDE`(?:[^`\\]|\\.|\\\z)*(?:`|\z)', ' ', 'g') s, regexp_replace(coalesce(sql, ''), 'HIDE(`(?:[^`\\]|\\.|\\\z)*(?:`|\z))', ' \1 ', 'g') kept from sql_log),
+ q as (select *, regexp_matches(s, '(?i)^[\s(]*(select|with)') query, case when regexp_matches(s, '(?i)^[\s(]*with') then list_transform(regexp_extract_all(s, '(?i)([a-z0-9_]+)\s+as\s*\(', 1), lambda x: lower(x)) else [] end ctes from c),
+ w as (select stmt_id, unnest(regexp_extract_all(lower(kept), '`[^`]*`?|[\w$]+|[().,]')) x, generate_subscripts(regexp_extract_all(lower(kept), '`[^`]*`?|[\w$]+|[().,]'), 1) i from q where query),
+ k as (select *, x in ('from', 'join', 'select', 'where', 'group', 'order', 'having', 'limit', 'union', 'except', 'intersect', 'window', 'values', 'with') word, lag(x) over (partition by stmt_id order by i) before, lead(x) over (partition by stmt_id order by i) dot, lead(x, 2) over (partition by stmt_id order by i) two, lead(x, 3) over (partition by stmt_id order by i) dots, lead(x, 4) over (partition by stmt_id order by i) three from w),
+ d as (select *, sum(case x when '(' then 1 else 0 end) over (partition by stmt_id order by i) - sum(case x when ')' then 1 else 0 end) over (partition by stmt_id order by i rows between unbounded preceding and current row) depth from k),
+ h as (select *, last_value(case when word then x end ignore nulls) over (partition by stmt_id, depth order by i rows unbounded preceding) clause from d),
+ r as (select stmt_id, i, regexp_replace(x, '^`(\w+)`$', '\1') || case when dot = '.' and regexp_matches(two, '[\w$`]') then '.' || two || case when dots = '.' and regexp_matches(three, '[\w$`]') then '.' || three else '' end else '' end t from h where not word and x not in ('(', ')', '.', ',') and (before in ('from', 'join') or before = ',' and clause in ('from', 'join'))),
+ v as (select r.*, case when contains(t, '.') and t not like 'ek.%' then 'cross_database' when list_contains(ctes, t) then null when replace(t, 'ek.', '') not in ('ek_ar_main', 'ek_ar_side', 'ek_ar_project', 'ek_user') then 'unknown_table' end bad from r join q using (stmt_id)),
  b as (select stmt_id, arg_min(bad, i) filter (where bad is not null) bad, string_agg(t, ',' order by i) refs from v group by 1)
- select stmt_id, coalesce(refs, '') refs, case when trim(coalesce(sql, '')) = '' then 'empty' when not regexp_matches(s, '(?i)^[\s(]*(select|with)') then 'not_select'
+ select stmt_id, coalesce(refs, '') refs, case when trim(coalesce(sql, '')) = '' then 'empty' when not query then 'not_select'
   when regexp_matches(s, '(?i)\b(insert|update|delete|drop|create|alter|truncate|replace|grant|revoke|call|set|handler|lock|unlock|load|outfile|dumpfile|load_file|into)\b') then 'write_keyword'
-  when contains(regexp_replace(s, ';\s*$', ''), ';') then 'stacked' when bad is not null then bad when refs is null then 'no_table' else 'ok' end verdict from c left join b using (stmt_id)"""
+  when contains(regexp_replace(s, ';\s*$', ''), ';') then 'stacked' when bad is not null then bad when refs is null then 'no_table' else 'ok' end verdict from q left join b using (stmt_id)""".replace("HIDE", _HIDE)
 _TRIAGE = r""", c as (select *, lower(coalesce(message, '')) m from tool_cause), k as (select call_id, attempt,
  count(*) filter (where error_type in ('FileNotFoundException') or regexp_matches(m, 'connection refused|http 40[01345]|http 422|invalid.api.key|unauthorized|authentication|sql syntax|unknown (column|table)|doesn''t exist|does not exist')) fatal,
  count(*) filter (where error_type in ('SocketTimeoutException', 'EOFException') or sql_state like '08%' or regexp_matches(m, 'connection reset|broken pipe|timed out|timeout|http 50[0234]|http 429|deadlock found|lock wait timeout')) passing,

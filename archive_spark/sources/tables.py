@@ -63,15 +63,17 @@ DERIVED = {
  union all select l_orderkey, cast(rn as int), 0, concat('L', cast(l_linenumber as string)) from r
  union all select l_orderkey, cast(rn as int), 1, cast(q as string) from r
  union all select l_orderkey, cast(rn as int), 2, f from r where l_linenumber <> 3""",
-    "sql_log": """select doc_id stmt_id, case doc_id % 19
- when 0 then 'select count(*) n from ek_ar_main where title = ' || q when 1 then '/* ' || text || ' */ select id from ek_ar_side' when 2 then 'select id from ek_ar_main -- ' || text
+    "sql_log": """select doc_id stmt_id, case doc_id % 23
+ when 0 then 'select count(*) n from ek_ar_main where title = ' || q when 1 then '/* ' || text || ' */ select id from ek_ar_side' when 2 then 'select id from ek_ar_main -- ' || replace(text, chr(10), ' ')
  when 3 then text when 4 then 'update ek_ar_main set title = ' || q
  when 5 then 'select ' || chr(39) || '/*' || chr(39) || ' from ek_ar_main; delete from ek_ar_main; select ' || chr(39) || '*/' || chr(39) || ' from ek_ar_main'
  when 6 then 'select ' || chr(39) || '--' || chr(39) || ' as x from ek_ar_main' when 7 then '(select id from ek_ar_main)'
  when 8 then 'with recursive t as (select id from ek_ar_main), u as (select 1 from t) select * from t join ek_ar_side on 1 = 1 join u on 1 = 1' when 9 then 'select * from ' || source || '.ek_ar_main'
  when 10 then 'select 1' when 11 then ' ' when 12 then 'select * from ek_not_exist where x = ' || q when 13 then 'select m.id from EK . ek_ar_main m join EK_AR_SIDE s on true'
  when 14 then 'select "delete" from ek_ar_main' when 15 then 'select id from ek_ar_main ; ' when 16 then 'select id from ek_ar_main into outfile ' || q
- when 17 then 'select id from ek_ar_main where title = ' || chr(39) || text else 'select id from ek_ar_main where x in (select y from ' || source || '_t) # ' || text end sql
+ when 17 then 'select id from ek_ar_main where title = ' || chr(39) || text when 18 then 'select id from ek_ar_main where x in (select y from ' || source || '_t) # ' || replace(text, chr(10), ' ')
+ when 19 then 'select count(*) n from ek_ar_main m, ek_ar_side as s where m.id = s.main_id and m.title in (' || q || ', ' || q || ')' when 20 then 'select 1 from ek_ar_main, ' || source || ' where x = ' || q
+ when 21 then 'select 1 from (select id from ek_ar_side, ' || source || '.t) x, ek_user order by a, b' else 'select x from `ek_ar_main` m join `' || source || '/f` on true' end sql
  from (select *, chr(39) || replace(text, chr(39), chr(39) || chr(39)) || chr(39) q from documents) d""",
     "dictionary": """select 'ek_ar_main' name, concat('volumes of ', cast(min(form_year) as string), ' to ', cast(max(form_year) as string), ', ', cast(count(*) as string), ' rows') text from ar_main
  union all select 'ek_ar_side', concat('items of volumes, ', cast(count(*) as string), ' rows') from ar_side union all select 'ek_ar_project', concat('projects from ', min(project_name), ' to ', max(project_name)) from ar_project""",

@@ -15,6 +15,10 @@ STATEMENTS = [
     ("SELECT * FROM ek_no JOIN mysql.user", "unknown_table"), ("SELECT * FROM mysql.user JOIN ek_no", "cross_database"), ("SELECT t.x FROM ek_a m JOIN ek_b t ON 1 = 1", "ok"), ("SELECT x FROM (SELECT x FROM ek_no) y", "unknown_table"),
     ("WITH m AS (SELECT id FROM ek_a), n AS (SELECT id FROM m) SELECT * FROM n JOIN m ON 1 = 1", "ok"), ("WITH RECURSIVE t AS (SELECT id FROM ek_a) SELECT * FROM t", "ok"), ("SELECT cast(x AS (y)) FROM x", "unknown_table"),
     ("SELECT valid_from FROM ek_a", "ok"),
+    ("select 1 from ek_a, ek_b", "ok"), ("select 1 from ek_a, secret", "unknown_table"), ("select 1 from ek_a a, mysql.user u", "cross_database"), ("select 1 from ek_a as a , (select 1 from ek_b, secret) b", "unknown_table"),
+    ("select 1 from ek_a, parquet.`/root/a,b.parquet`", "cross_database"), ("select 1 from `ek_a` x, `EK`.`ek_b`", "ok"), ("select 1 from `secret`", "unknown_table"), ("select 1 from ek_a a join ek_b b on a.x = b.x, secret", "unknown_table"),
+    ("select a, b from ek_a group by a, secret order by b, secret", "ok"), ("select f(a, b), c from (ek_a, secret)", "unknown_table"), ("select 1 from ek_a where x in (1, 2) and y in (select z from ek_b), secret", "ok"), ("select 1 from (select 1 from ek_a) t, secret", "unknown_table"),
+    ("select 1 from ek.ek_a.secret", "cross_database"), ("select 1 from ek_a -- `\n, secret", "unknown_table"), ("select 1 from ek_a union select 1 from ek_b, ek_no", "unknown_table"), ("with t (a, b) as (select 1, 2 from ek_a) select * from t, ek_b", "ok"),
 ]
 CHAINS = [
     ([("RuntimeException", None, "wrapper"), ("ConnectException", None, "Connection refused")], "fatal"), ([("X", None, "Table 't' doesn't exist")], "fatal"), ([("X", None, "Unknown column 'a'")], "fatal"), ([("X", None, "HTTP 404 Not Found")], "fatal"),
@@ -40,8 +44,13 @@ def test_run(spark):
     assert (got["n_rows"], got["truncated"]) == (4, True)
     assert got["markdown"].startswith("| id | t |\n| --- | --- |\n| 4 | a\\|b c |\n") and "| 1 | NULL |\n\n共 4 行（" in got["markdown"]
     assert governed.run(spark, "select id from ek_a where id > 9", views).first()["markdown"] == "| id |\n| --- |\n\n共 0 行"
+    assert "ek_a" not in governed.tables(spark)
+    views["ek_a"].createOrReplaceTempView("ek_a")
     assert "ek_a" in governed.tables(spark)
-    for bad in ("delete from ek_a", "select 1 from mysql.user", "select 1 from ek_a; select 1 from ek_a"):
+    joined = "with t as (select id from ek_a where id > 2) select t.id, a.id b from t, ek_a a where a.id = t.id order by 1"
+    assert governed.run(spark, joined, views).first()["n_rows"] == 2
+    file = "parquet.`/root/testdata/sf0.001/labels.parquet` "
+    for bad in (f"select count(*) n from ek_a, {file}", f"select (select count(*) from {file}) from ek_a ek_a", "select id from ek_a where exists (from secret_ek_a select *)", "select 1 from ek_a, ek_a join range(3)", "delete from ek_a", "select 1 from mysql.user", "select 1 from ek_a; select 1 from ek_a"):
         with pytest.raises(ValueError, match="ek_a"):
             governed.run(spark, bad, views)
 
