@@ -44,13 +44,17 @@ def delete_sessions(sessions: DataFrame, files: DataFrame, keys: DataFrame) -> t
 
 
 def upsert_generated(files: DataFrame, writes: DataFrame) -> DataFrame:
-    """writes: id (null: new), session_id, file_name, description, file_size. Blank names and descriptions keep the old ones.
+    """writes: ord, id (null: new), session_id, file_name, description, file_size. Blank names and descriptions keep the old
+    ones. Of several writes of one id the last by ord is the one that counts; each write without an id is a new file.
 
     Rows: id, status (inserted, updated, rejected, unchanged), and the values that hold afterwards."""
-    w = writes.select(F.col("id").alias("w_id"), F.col("session_id").alias("w_session"), F.col("file_name").alias("w_name"), F.col("description").alias("w_description"), F.col("file_size").alias("w_size"))
+    fields = F.struct("session_id", "file_name", "description", "file_size")
+    last = writes.where("id is not null").groupBy("id").agg(F.max_by(fields, "ord").alias("w")).select("id", "w.*")
+    once = last.unionByName(writes.where("id is null").select(*last.columns))
+    w = once.select(F.col("id").alias("w_id"), F.col("session_id").alias("w_session"), F.col("file_name").alias("w_name"), F.col("description").alias("w_description"), F.col("file_size").alias("w_size"), F.lit(True).alias("written"))
     both = files.join(w, files.id == F.col("w_id"), "full_outer")
     ok = F.col("kind") == GENERATED
-    status = F.when(F.col("w_size").isNull(), "unchanged").when(F.col("w_id").isNull(), "inserted").when(F.coalesce(ok, F.lit(False)), "updated").otherwise("rejected")
+    status = F.when(F.col("written").isNull(), "unchanged").when(F.col("id").isNull(), "inserted").when(F.coalesce(ok, F.lit(False)), "updated").otherwise("rejected")
     filled = lambda new, old: F.when(F.trim(new) != "", F.trim(new)).otherwise(old)
     change = F.col("status").isin("updated", "inserted")
     df = both.withColumn("status", status)

@@ -123,29 +123,39 @@ def compaction_plan(messages: DataFrame, sessions: DataFrame, options: Options =
     return df.select("session_id", "estimate", F.lit(line).cast("long").alias("trigger_line"), "keep_start", "action", F.when(done, F.col("keep_start")).otherwise(0).alias("n_compacted"), F.when(done, F.col("last_id")).alias("new_watermark"))
 
 
-def transcript(messages: DataFrame, sessions: DataFrame, plan: DataFrame) -> DataFrame:
-    """One text of all messages to be compacted, a labelled line each."""
-    label = F.element_at(F.create_map(*[F.lit(x) for x in (USER, "user", AI, "assistant", TOOL, "tool")]), F.col("message_type"))
+def transcript(messages: DataFrame, sessions: DataFrame, plan: DataFrame, calls: DataFrame | None = None) -> DataFrame:
+    """One text of all messages to be compacted, a labelled line each; a message without text has an empty line.
+
+    A tool's line names the tool (`tool_name`). calls: session_id, id, tool_calls (as decode_messages gives them); an
+    assistant's line then ends with the names and arguments of its calls."""
+    name = F.coalesce("tool_name", F.lit("")) if "tool_name" in messages.columns else F.lit("")
+    label = F.when(F.col("message_type") == TOOL, F.concat(F.lit("tool["), name, F.lit("]"))).otherwise(F.when(F.col("message_type") == USER, "user").otherwise("assistant"))
     rows = _live(messages, sessions).join(plan.where("action = 'compact'").select("session_id", "new_watermark"), "session_id").where("id <= new_watermark")
-    parts = F.array_sort(F.collect_list(F.struct("id", F.concat(label, F.lit(": "), F.col("text")).alias("line"))))
+    asked = F.lit("")
+    if calls is not None:
+        rows = rows.join(calls.where("size(tool_calls) > 0").select("session_id", "id", "tool_calls"), ["session_id", "id"], "left")
+        shown = F.array_join(F.transform("tool_calls", lambda c: F.concat(c["name"], F.lit("("), c["args"], F.lit(")"))), ", ")
+        asked = F.when(F.col("tool_calls").isNotNull(), F.concat(F.lit(" [calls: "), shown, F.lit("]"))).otherwise("")
+    line = F.concat(label, F.lit(": "), F.coalesce("text", F.lit("")), asked)
+    parts = F.array_sort(F.collect_list(F.struct("id", line.alias("line"))))
     return rows.groupBy("session_id").agg(F.array_join(F.transform(parts, lambda x: x["line"]), "\n").alias("transcript"))
 
 
-def summary_requests(messages: DataFrame, sessions: DataFrame, plan: DataFrame, options: Options = Options()) -> DataFrame:
+def summary_requests(messages: DataFrame, sessions: DataFrame, plan: DataFrame, options: Options = Options(), calls: DataFrame | None = None) -> DataFrame:
     """What a summary model is asked for each session to be compacted: soft limit (a share of the hard one, so that summaries
     rarely run into it), hard limit, the summary so far (`none` where blank) and the transcript."""
     soft = int(options.summary_tokens * options.soft_ratio)
     old = sessions.select(F.col("id").alias("session_id"), F.when(F.trim("summary") != "", F.col("summary")).otherwise("none").alias("old_summary"))
-    return transcript(messages, sessions, plan).join(old, "session_id").select("session_id", F.lit(soft).alias("soft_limit"), F.lit(options.summary_tokens).alias("max_tokens"), "old_summary", "transcript")
+    return transcript(messages, sessions, plan, calls).join(old, "session_id").select("session_id", F.lit(soft).alias("soft_limit"), F.lit(options.summary_tokens).alias("max_tokens"), "old_summary", "transcript")
 
 
 def apply_plan(sessions: DataFrame, plan: DataFrame, expected: Column) -> DataFrame:
-    """Compare-and-set: a plan applies only where the watermark is still the expected one."""
+    """Compare-and-set: a plan applies only where the watermark is still the expected one; none counts as 0."""
     p = plan.where("action = 'compact'").select(F.col("session_id").alias("p_id"), "new_watermark")
     both = sessions.join(p, sessions.id == F.col("p_id"), "left")
-    hit = F.col("p_id").isNotNull() & (F.col("summary_upto_message_id") == expected)
+    hit = F.col("p_id").isNotNull() & (F.coalesce("summary_upto_message_id", F.lit(0)) == F.coalesce(expected, F.lit(0)))
     status = F.when(hit, "applied").when(F.col("p_id").isNotNull(), "rejected").otherwise("unchanged")
-    return both.select("id", F.when(hit, F.col("new_watermark")).otherwise(F.col("summary_upto_message_id")).alias("summary_upto_message_id"), F.when(hit, F.lit(None)).otherwise(F.col("last_input_tokens")).alias("last_input_tokens"), (F.col("compact_count") + hit.cast("int")).alias("compact_count"), status.alias("status"))
+    return both.select("id", F.when(hit, F.col("new_watermark")).otherwise(F.col("summary_upto_message_id")).alias("summary_upto_message_id"), F.when(hit, F.lit(None)).otherwise(F.col("last_input_tokens")).alias("last_input_tokens"), (F.coalesce("compact_count", F.lit(0)) + hit.cast("int")).alias("compact_count"), status.alias("status"))
 
 
 def append_messages(log: DataFrame, batch: DataFrame) -> DataFrame:

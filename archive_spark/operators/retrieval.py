@@ -5,16 +5,20 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions import text as tx
 
 #: The usual BM25 parameters.
 K1, B = 1.2, 0.75
-#: Query vectors that are held against all rows in one pass, and rows of a table that may be sent to every task.
-QUERY_BLOCK, BROADCAST_ROWS = 2_000, 100_000
+#: Query vectors that are held against all rows in one pass, those that are multiplied at once, the scores that this may make,
+#: and rows of a table that may be sent to every task.
+QUERY_PASS, QUERY_BLOCK, SCORES, BROADCAST_ROWS = 20_000, 1_000, 2_000_000, 100_000
 NO_HITS = "no matching evidence"
 
 
@@ -29,49 +33,58 @@ def _best(rows: DataFrame, k: int) -> DataFrame:
     return rows.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-def _unit(vectors: pd.Series) -> tuple[np.ndarray, np.ndarray]:
-    """Vectors of length one, and which of the given ones have a length."""
-    m = np.array([np.asarray(x, dtype=np.float64) for x in vectors])
-    norm = np.sqrt((m * m).sum(axis=1)) if len(m) else np.zeros(0)
-    kept = norm > 0
-    return m[kept] / norm[kept, None], kept
+def _unit(column: pa.Array, dims: int) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors of length one, and the places of those that have a length; others, and those not of dims numbers, are left out."""
+    at = np.flatnonzero(pc.equal(pc.fill_null(pc.list_value_length(column), -1), dims).to_numpy(zero_copy_only=False))
+    m = column.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dims)
+    norm = np.sqrt((m * m).sum(axis=1))
+    kept = np.isfinite(norm) & (norm > 0)
+    return m[kept] / norm[kept, None], at[kept]
+
+
+def _top(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of each column's k greatest scores, and of those equal to the least of them."""
+    last = np.partition(scores, -k, axis=0)[-k] if len(scores) > k else np.full(scores.shape[1], -2.0)
+    return np.nonzero(scores >= last)
 
 
 def vector_topk(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
-    """queries: query_id, vector. vectors: id, vector. Cosine rounded to six places, ties by id; vectors that are null or have no length are left out.
+    """queries: query_id, vector. vectors: id, vector. Cosine rounded to six places, ties by id; vectors that are null, hold a null or have no length are left out.
 
-    A stated query set against all rows, in blocks of queries: each Arrow batch of vectors is multiplied with a block and
-    keeps the best k rows of each query, so that only those are shuffled. Any number of queries is answered."""
-    schema = f"query_id {queries.schema['query_id'].dataType.simpleString()}, id {vectors.schema['id'].dataType.simpleString()}, score double"
+    A stated query set against all rows, in blocks of queries: each Arrow batch of vectors is multiplied with all blocks and
+    keeps the best k rows of each query, so that only those are shuffled. SCORES bounds what is multiplied at once. Any number
+    of queries is answered, with a pass over the vectors for each QUERY_PASS of them."""
+    schema = T.StructType([T.StructField("query_id", queries.schema["query_id"].dataType), T.StructField("id", vectors.schema["id"].dataType), T.StructField("score", T.DoubleType())])
     asked = queries.where("vector is not null").select("query_id", F.col("vector").cast("array<double>").alias("vector"))
     rows = vectors.where("vector is not null").select("id", F.col("vector").cast("array<double>").alias("vector"))
 
-    def block_hits(ids: np.ndarray, block: np.ndarray) -> DataFrame:
-        def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def hits_of(ids: pa.Array, unit: np.ndarray) -> DataFrame:
+        def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                unit, kept = _unit(batch["vector"])
-                if not len(unit):
-                    continue
-                scores = np.round(unit @ block.T, 6)
-                last = np.partition(scores, -k, axis=0)[-k] if len(scores) > k else np.full(len(block), -2.0)
-                r, q = np.nonzero(scores >= last)
-                hits = pd.DataFrame({"q": q, "query_id": ids[q], "id": batch["id"].to_numpy()[kept][r], "score": scores[r, q]})
-                hits = hits.sort_values(["q", "score", "id"], ascending=[True, False, True])
-                yield hits[hits.groupby("q").cumcount() < k][["query_id", "id", "score"]]
-
-        return rows.mapInPandas(score, schema)
+                found, at = _unit(batch.column("vector"), unit.shape[1])
+                step = max(k, SCORES // QUERY_BLOCK)
+                for b in range(0, len(unit), QUERY_BLOCK):
+                    block = unit[b : b + QUERY_BLOCK].T
+                    for i in range(0, len(found), step):
+                        scores = np.round(found[i : i + step] @ block, 6)
+                        r, q = _top(scores, k)
+                        yield pa.RecordBatch.from_arrays([ids.take(pa.array(q + b)), batch.column("id").take(pa.array(at[r + i])), pa.array(scores[r, q])], names=schema.names)
+
+        return rows.mapInArrow(score, schema)
 
     found, buffer = [], []
 
     def close() -> None:
-        unit, kept = _unit(pd.Series([r["vector"] for r in buffer]))
-        if len(unit):
-            found.append(block_hits(np.array([r["query_id"] for r in buffer], dtype=object)[kept], unit))
+        for dims in sorted({len(r["vector"]) for r in buffer} - {0}):
+            part = [r for r in buffer if len(r["vector"]) == dims]
+            unit, at = _unit(pa.array([r["vector"] for r in part], pa.list_(pa.float64())), dims)
+            if len(at):
+                found.append(hits_of(pa.array([part[i]["query_id"] for i in at], to_arrow_type(schema["query_id"].dataType)), unit))
         buffer.clear()
 
     for row in asked.toLocalIterator():
         buffer.append(row)
-        if len(buffer) == QUERY_BLOCK:
+        if len(buffer) == QUERY_PASS:
             close()
     close()
     hits = found[0] if found else queries.sparkSession.createDataFrame([], schema)

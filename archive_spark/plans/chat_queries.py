@@ -18,12 +18,12 @@ def _plan(s, d):
 
 def _summary_requests(s, d):
     plan, m, sessions = _plan(s, d)
-    return c.summary_requests(m, sessions, plan, OPTIONS)
+    return c.summary_requests(m, sessions, plan, OPTIONS, c.decode_messages(load(s, d, "stored_message")[0]))
 
 
 def _transcript(s, d):
     plan, m, sessions = _plan(s, d)
-    return c.transcript(m, sessions, plan)
+    return c.transcript(m, sessions, plan, c.decode_messages(load(s, d, "stored_message")[0]))
 
 
 def _apply(s, d):
@@ -46,8 +46,11 @@ def _delete(s, d):
 
 def _upsert(s, d):
     files = load(s, d, "chat_file")[0]
-    writes = files.where("id % 5 < 2").select("id", "session_id", F.when(F.col("id") % 3 == 0, " ").otherwise(F.concat(F.lit("new-"), "file_name")).alias("file_name"), F.lit(None).cast("string").alias("description"), (F.col("file_size") + 1).alias("file_size"))
-    return catalog.upsert_generated(files, writes)
+    name = F.when(F.col("id") % 3 == 0, " ").otherwise(F.concat(F.lit("new-"), "file_name"))
+    writes = files.where("id % 5 < 2").select(F.lit(1).alias("ord"), "id", "session_id", name.alias("file_name"), F.lit(None).cast("string").alias("description"), (F.col("file_size") + 1).alias("file_size"))
+    again = writes.where("id % 5 = 1").withColumns({"ord": F.lit(0), "file_name": F.lit("older")})
+    new = files.where("id % 7 = 0").select(F.lit(2).alias("ord"), F.lit(None).cast("long").alias("id"), "session_id", F.concat(F.lit("more-"), "file_name").alias("file_name"), F.lit("new").alias("description"), "file_size")
+    return catalog.upsert_generated(files, writes.unionByName(again).unionByName(new))
 
 
 def _uploads(s, d):
@@ -207,7 +210,8 @@ ORACLE = {
     "edit_and_resend": with_tables(""", lu as (select session_id, max(id) l from chat_message where message_type = 2 group by 1)
  select m.session_id, id, message_type, text from chat_message m left join lu using (session_id) where l is null or session_id % 4 = 0 or id < l union all select session_id, null, 2, 'edited' from lu""", "chat_message"),
     "upsert_generated_files": with_tables("""select id, session_id, case when w and kind = 2 and id % 3 <> 0 then 'new-' || file_name else file_name end file_name, description, case when w and kind = 2 then file_size + 1 else file_size end file_size,
- case when not w then 'unchanged' when kind = 2 then 'updated' else 'rejected' end status from (select *, id % 5 < 2 w from chat_file) x""", "chat_file"),
+ case when not w then 'unchanged' when kind = 2 then 'updated' else 'rejected' end status from (select *, id % 5 < 2 w from chat_file) x
+ union all select null, session_id, 'more-' || file_name, 'new', file_size, 'inserted' from chat_file where id % 7 = 0""", "chat_file"),
     "upload_validation": with_tables("""select batch, id, ext, case when n > 5 then 'too_many' when ext in ('docx', 'xlsx', 'pdf') then 'ok' else 'bad_extension' end verdict from (
  select *, count(*) over (partition by batch) n from (select id, case when file_size % 3 = 0 then 'one-' || id else archive_id end batch, lower(list_last(string_split(file_name, '.'))) ext from ar_file) x) y""", "ar_file"),
     "unique_edits": r"""select id, cast(h as int) hits, case when h = 0 then 'not_found' when h > 1 then 'ambiguous' else 'ok' end status, case when h = 1 then replace(text, o, '<edited>') else text end as text
@@ -230,13 +234,15 @@ ORACLE = {
     "compaction_status": with_tables("select session_id, arg_max(case event when 'TOOL_CALL_REQUEST' then 'compacting' when 'DONE' then 'done' else 'error' end, (ts, event_id)) status from agent_event where event in ('TOOL_CALL_REQUEST', 'DONE', 'ERROR') group by 1", "agent_event"),
     "token_baseline": with_tables("select session_id, case when arg_max(event, (ts, event_id)) = 'DONE' then arg_max(input_tokens, (ts, event_id)) end baseline from agent_event where event in ('DONE', 'ERROR') group by 1", "agent_event"),
 }
-_LIVE = f""", lv as (select m.session_id, m.id, m.message_type, m.text, {_HAN.format('m.text')} tok from chat_message m join chat_session s on s.id = m.session_id where m.message_type <> 1 and m.id > coalesce(s.summary_upto_message_id, 0)),
+_LIVE = f""", lv as (select m.session_id, m.id, m.message_type, m.text, m.tool_name, m.request_ids, {_HAN.format('m.text')} tok from chat_message m join chat_session s on s.id = m.session_id where m.message_type <> 1 and m.id > coalesce(s.summary_upto_message_id, 0)),
  ix as (select *, row_number() over (partition by session_id order by id) - 1 idx, sum(tok) over (partition by session_id order by id desc rows unbounded preceding) fe from lv),
  st as (select session_id, coalesce(max(case when fe > 150 then idx end), -1) + 1 start, count(*) n, sum(tok) tk from ix group by 1),
  al as (select st.*, case when start >= n then n else coalesce((select max(idx) from ix where ix.session_id = st.session_id and idx <= start and message_type <> 4), 0) end ks from st),
  pl as (select al.session_id, cast(coalesce(s.last_input_tokens, tk + {_HAN.format('s.summary')}) as bigint) estimate, 500 trigger_line, cast(ks as int) keep_start, (select max(id) from ix where ix.session_id = al.session_id and idx < ks) lid from al join chat_session s on s.id = al.session_id),
  pa as (select *, case when estimate <= 500 then 'none' when keep_start <= 0 then 'skip' else 'compact' end action from pl),
  pn as (select session_id, estimate, trigger_line, keep_start, action, case when action = 'compact' then keep_start else 0 end n_compacted, case when action = 'compact' then lid end new_watermark from pa)"""
+_LINE = """case message_type when 2 then 'user' when 3 then 'assistant' else 'tool[' || tool_name || ']' end || ': ' || text || case when id % 170 <> 0 and len(request_ids) > 0 then
+ ' [calls: ' || array_to_string(list_transform(request_ids, lambda x: 'search(' || case when x like '%0' then '{"q":1}' else '{"_raw":"q ' || x || '"}' end || ')'), ', ') || ']' else '' end"""
 ORACLE |= {
     "compaction_plan": with_tables(_LIVE + " select * from pn", "chat_message", "chat_session"),
     "conversation_view": with_tables(
@@ -246,9 +252,9 @@ ORACLE |= {
  union all select id, 1, 0, 0, 0, 2, 'Summary so far: ' || summary from chat_session where trim(summary) <> ''
  union all select session_id, 2, segment, kind, ordinal, message_type, case when stale then '[old tool output removed]' when length(text) > 300 then left(text, 150) || chr(10) || '[...]' || chr(10) || right(text, 150) else text end from us)
  select session_id, cast(row_number() over (partition by session_id order by part, segment, kind, ordinal) as int) as position, message_type, text from vw""", "chat_message", "chat_session"),
-    "summary_requests": with_tables(_LIVE + """, tr as (select lv.session_id, string_agg(case message_type when 2 then 'user' when 3 then 'assistant' else 'tool' end || ': ' || text, chr(10) order by id) transcript from lv join pn using (session_id) where action = 'compact' and id <= new_watermark group by 1)
+    "summary_requests": with_tables(_LIVE + f""", tr as (select lv.session_id, string_agg({_LINE}, chr(10) order by id) transcript from lv join pn using (session_id) where action = 'compact' and id <= new_watermark group by 1)
  select session_id, 12000 soft_limit, 16000 max_tokens, case when trim(summary) <> '' then summary else 'none' end old_summary, transcript from tr join chat_session s on s.id = session_id""", "chat_message", "chat_session"),
-    "compaction_transcript": with_tables(_LIVE + " select lv.session_id, string_agg(case message_type when 2 then 'user' when 3 then 'assistant' else 'tool' end || ': ' || text, chr(10) order by id) transcript from lv join pn using (session_id) where action = 'compact' and id <= new_watermark group by 1", "chat_message", "chat_session"),
+    "compaction_transcript": with_tables(_LIVE + f" select lv.session_id, string_agg({_LINE}, chr(10) order by id) transcript from lv join pn using (session_id) where action = 'compact' and id <= new_watermark group by 1", "chat_message", "chat_session"),
     "compaction_apply": with_tables(_LIVE + """ select id, case when st2 = 'applied' then new_watermark else summary_upto_message_id end summary_upto_message_id, case when st2 = 'applied' then null else last_input_tokens end last_input_tokens, compact_count + case when st2 = 'applied' then 1 else 0 end compact_count, st2 status
  from (select s.*, new_watermark, case when action = 'compact' and id % 5 <> 0 then 'applied' when action = 'compact' then 'rejected' else 'unchanged' end st2 from chat_session s left join pn on pn.session_id = s.id) x""", "chat_message", "chat_session"),
 }
