@@ -22,12 +22,12 @@ QUERY_PASS, QUERY_BLOCK, SCORES, BROADCAST_ROWS = 20_000, 1_000, 2_000_000, 100_
 NO_HITS = "no matching evidence"
 
 
-def _small(df: DataFrame) -> DataFrame:
+def small(df: DataFrame) -> DataFrame:
     """Sent to all tasks if its rows, counted, are few; else joined by shuffle."""
     return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
 
-def _best(rows: DataFrame, k: int) -> DataFrame:
+def best(rows: DataFrame, k: int) -> DataFrame:
     """The best k of each query, which Spark limits in every task before the shuffle."""
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
     return rows.withColumn("rank", rank).where(F.col("rank") <= k)
@@ -90,7 +90,7 @@ def vector_topk(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
     hits = found[0] if found else queries.sparkSession.createDataFrame([], schema)
     for more in found[1:]:
         hits = hits.unionByName(more)
-    return _best(hits, k)
+    return best(hits, k)
 
 
 def keyword_topk(queries: DataFrame, docs: DataFrame, k: int, allowed: DataFrame | None = None) -> DataFrame:
@@ -101,7 +101,7 @@ def keyword_topk(queries: DataFrame, docs: DataFrame, k: int, allowed: DataFrame
     every = F.concat(F.array(F.lit("")), F.col("terms"))
     toks = docs.select("id", tx.terms(F.col("text")).alias("terms")).select("id", F.size("terms").alias("dl"), F.explode(every).alias("term"))
     words = asked.select("term").union(queries.sparkSession.range(1).select(F.lit("").alias("term"))).distinct()
-    tf = toks.join(_small(words), "term", "left_semi").groupBy("id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
+    tf = toks.join(small(words), "term", "left_semi").groupBy("id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
     stats = tf.where("term = ''").agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avgdl"))
     tf = tf.where("term <> ''")
     terms = asked.join(tf.groupBy("term").agg(F.count(F.lit(1)).alias("df")), "term")
@@ -110,7 +110,7 @@ def keyword_topk(queries: DataFrame, docs: DataFrame, k: int, allowed: DataFrame
     if allowed is not None:
         tf = tf.join(allowed, "id", "left_semi")
     part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    return _best(tf.join(terms, "term").groupBy("query_id", "id").agg(F.round(F.sum(part), 6).alias("score")), k)
+    return best(tf.join(terms, "term").groupBy("query_id", "id").agg(F.round(F.sum(part), 6).alias("score")), k)
 
 
 def merge_arms(vector: DataFrame | None, keyword: DataFrame | None) -> DataFrame:
@@ -125,13 +125,16 @@ def merge_arms(vector: DataFrame | None, keyword: DataFrame | None) -> DataFrame
     return kept.withColumn("position", order)
 
 
-def rerank(hits: DataFrame, queries: DataFrame, docs: DataFrame, n: int) -> DataFrame:
+def rerank(hits: DataFrame, queries: DataFrame, docs: DataFrame, n: int, matched: DataFrame | None = None) -> DataFrame:
     """0.7 x the share of query terms that the text has + 0.3 / (1 + rank in its arm); the best n of each query.
 
-    Only the texts that were hit are tokenised."""
-    df = hits.join(queries.select("query_id", F.array_distinct("terms").alias("qt")), "query_id").join(docs.select("id", "text"), "id")
-    df = df.withColumn("dt", F.array_distinct(tx.terms(F.col("text")))).drop("text")
-    share = F.size(F.array_intersect("qt", "dt")) / F.size("qt")
+    matched: query_id, id, matched, as search_index.matched_terms gives it; without it, the texts that were hit are tokenised."""
+    df = hits.join(queries.select("query_id", F.array_distinct("terms").alias("qt")), "query_id")
+    if matched is None:
+        df = df.join(docs.select("id", "text"), "id").withColumn("matched", F.size(F.array_intersect("qt", F.array_distinct(tx.terms(F.col("text"))))))
+    else:
+        df = df.join(matched, ["query_id", "id"])
+    share = F.col("matched") / F.size("qt")
     score = F.round(0.7 * F.coalesce(share, F.lit(0.0)) + 0.3 / (1 + F.col("rank")), 6)
     df = df.select("query_id", "id", "origin", "arm", "rank", score.alias("score"))
     best = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "arm", "rank", "id"))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..operators import retrieval as r
+from ..sources import search_index
 from ..sources.tables import load
 
 K, N = 20, 10
@@ -22,30 +23,56 @@ def _texts(s, d):
     return q, docs
 
 
+_indexes: dict[tuple[str, str], search_index.Index] = {}
+
+
+def _index(s, d):
+    """The index of a folder's documents, written once for each application."""
+    key = (s.sparkContext.applicationId, d)
+    if key not in _indexes:
+        _indexes[key] = search_index.write_index(_texts(s, d)[1], search_index.new_path(s, "search-index"))
+    return _indexes[key]
+
+
+def _keyword(s, d, where=None):
+    q, docs = _texts(s, d)
+    return search_index.keyword_topk(q, _index(s, d), K, None if where is None else docs.where(where).select("id"))
+
+
+def _index_terms(s, d):
+    """A new index, and its terms."""
+    index = search_index.write_index(_texts(s, d)[1], search_index.new_path(s, "search-index"))
+    return index.table("terms").select("term", "df")
+
+
 def _hybrid(s, d):
-    (vq, v), (tq, docs) = _vectors(s, d), _texts(s, d)
-    return r.merge_arms(r.vector_topk(vq, v, K), r.keyword_topk(tq, docs, K)), tq, docs
+    """Both arms take the benchmark items: item i's vector is the one with vec_id i, and a vector's id is that of its document."""
+    v, (tq, docs) = _vectors(s, d)[1], _texts(s, d)
+    vq = v.join(tq.select(F.col("query_id").alias("id")), "id", "left_semi").select(F.col("id").alias("query_id"), "vector")
+    return r.merge_arms(r.vector_topk(vq, v, K), search_index.keyword_topk(tq, _index(s, d), K)), tq, docs
 
 
 def _ranked(s, d):
     hits, q, docs = _hybrid(s, d)
-    return r.rerank(hits, q, docs, N), docs, q
+    return r.rerank(hits, q, docs, N, search_index.matched_terms(hits, q, _index(s, d))), docs, q
 
 
 QUERIES = {
     "vector_topk": lambda s, d: r.vector_topk(*_vectors(s, d), K),
     "vector_topk_filtered": lambda s, d: r.vector_topk(_vectors(s, d)[0], _vectors(s, d)[1].where("label = 1"), K),
-    "keyword_bm25": lambda s, d: r.keyword_topk(*_texts(s, d), K),
-    "keyword_bm25_filtered": lambda s, d: r.keyword_topk(*_texts(s, d), K, _texts(s, d)[1].where("lang = 'en'").select("id")),
+    "keyword_index": _index_terms,
+    "keyword_bm25": _keyword,
+    "keyword_bm25_scan": lambda s, d: r.keyword_topk(*_texts(s, d), K),
+    "keyword_bm25_filtered": lambda s, d: _keyword(s, d, "lang = 'en'"),
     "hybrid_search": lambda s, d: _hybrid(s, d)[0].select("query_id", "id", "origin", "score", "position"),
     "rerank_topn": lambda s, d: _ranked(s, d)[0],
     "evidence_text": lambda s, d: r.evidence(*_ranked(s, d)),
 }
 
 
-def _vector(where: str = "true") -> str:
+def _vector(where: str = "true", asked: str = "q.vec_id % 50 = 0") -> str:
     return f"""(select query_id, id, score, row_number() over (partition by query_id order by score desc, id) as rank from (
- select q.vec_id query_id, v.vec_id id, round(list_cosine_similarity(q.embedding::double[], v.embedding::double[]), 6) score from embeddings q, embeddings v where q.vec_id % 50 = 0 and {where.replace('label', 'v.label')}) x qualify rank <= {K})"""
+ select q.vec_id query_id, v.vec_id id, round(list_cosine_similarity(q.embedding::double[], v.embedding::double[]), 6) score from embeddings q, embeddings v where {asked} and {where.replace('label', 'v.label')}) x qualify rank <= {K})"""
 
 
 _TERMS = r"regexp_extract_all(regexp_replace(lower(coalesce(text, '')), '(\p{Han})', ' \1 ', 'g'), '\p{Han}|[\p{L}\p{N}]+')"
@@ -61,7 +88,7 @@ def _bm25(where: str = "true") -> str:
 
 
 _HYBRID = f"""(select *, row_number() over (partition by query_id order by arm, rank) as position from (
- select *, row_number() over (partition by query_id, id order by arm, rank) f from (select *, 0 arm, 'vector' origin from {_vector()} v union all select *, 1, 'keyword' from {_bm25()} k) u) x where f = 1)"""
+ select *, row_number() over (partition by query_id, id order by arm, rank) f from (select *, 0 arm, 'vector' origin from {_vector(asked='q.vec_id in (select item_id from benchmark)')} v union all select *, 1, 'keyword' from {_bm25()} k) u) x where f = 1)"""
 _RERANK = f"""(select query_id, id, origin, arm, rank, score, row_number() over (partition by query_id order by score desc, arm, rank, id) final_rank from (
  select h.query_id, h.id, origin, arm, rank, round(0.7 * len(list_intersect(q.t, d.t)) / len(q.t) + 0.3 / (1 + rank), 6) score from {_HYBRID} h
  join (select item_id, list_filter(t, lambda x, i: list_position(t, x) = i) t from (select item_id, {_TERMS} t from benchmark) y) q on q.item_id = h.query_id
@@ -70,7 +97,9 @@ _RERANK = f"""(select query_id, id, origin, arm, rank, score, row_number() over
 ORACLE = {
     "vector_topk": f"select * from {_vector()} x",
     "vector_topk_filtered": f"select * from {_vector('label = 1')} x",
+    "keyword_index": f"select term, count(distinct doc_id) df from (select doc_id, unnest({_TERMS}) term from documents) x group by term",
     "keyword_bm25": f"select * from {_bm25()} x",
+    "keyword_bm25_scan": f"select * from {_bm25()} x",
     "keyword_bm25_filtered": "select * from " + _bm25("lang = 'en'") + " x",
     "hybrid_search": f"select query_id, id, origin, score, position from {_HYBRID} x",
     "rerank_topn": f"select * from {_RERANK} x",
