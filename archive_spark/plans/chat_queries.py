@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import catalog, conversation as c, governed
 from ..sources.tables import load, with_tables
 from ..streaming import events as ev
+from ..streaming import stateful as st
 
 OPTIONS = c.Options(window=1000, trigger=0.5, keep=0.15, tool_tokens=200, message_chars=300)
 
@@ -110,6 +111,19 @@ def _stale(s, d):
     return c.budget_tool_output(c.repair_tool_calls(load(s, d, "chat_message")[0]), OPTIONS.tool_tokens)
 
 
+def _status(s, d):
+    return load(s, d, "agent_event")[0].withColumn("status", F.expr("case event when 'TOOL_CALL_REQUEST' then 'compacting' when 'DONE' then 'done' when 'ERROR' then 'error' end"))
+
+
+def _blocks(s, d):
+    """Each event as the text that a server sends; some with an unknown name, without data, or with data that is cut."""
+    e = load(s, d, "agent_event")[0]
+    name = F.when(F.col("event_id") % 17 == 0, "PING").otherwise(F.col("event"))
+    data = F.to_json(F.struct("session_id", "call_id", "text"))
+    value = F.when(F.col("event_id") % 19 == 0, F.concat(F.lit("event: "), name)).when(F.col("event_id") % 23 == 0, F.concat(F.lit("event: "), name, F.lit("\ndata: "), F.left(data, F.lit(9)))).otherwise(F.concat(F.lit("id: 1\nevent:"), name, F.lit("\ndata: "), data))
+    return st.decode_blocks(e.select("event_id", F.when(F.col("event_id") % 29 == 0, F.lit(" \n")).otherwise(value).alias("value")), "session_id long, call_id string, text string")
+
+
 QUERIES = {
     "tool_call_repair": lambda s, d: c.repair_tool_calls(load(s, d, "chat_message")[0]),
     "stale_output_budget": _stale,
@@ -140,7 +154,10 @@ QUERIES = {
     "event_segments": lambda s, d: ev.segments(load(s, d, "agent_event")[0]),
     "turn_outcome": lambda s, d: ev.turn_outcome(load(s, d, "agent_event")[0]),
     "touched_files": lambda s, d: ev.touched_files(load(s, d, "agent_event")[0]).withColumn("files", F.array_join("files", ",")),
-    "compaction_status": lambda s, d: ev.compaction_status(load(s, d, "agent_event")[0].withColumn("status", F.expr("case event when 'TOOL_CALL_REQUEST' then 'compacting' when 'DONE' then 'done' when 'ERROR' then 'error' end"))),
+    "compaction_status": lambda s, d: ev.compaction_status(_status(s, d)),
+    "idle_timeouts": lambda s, d: st.idle_timeouts(_status(s, d), 21_600),
+    "event_blocks": lambda s, d: _blocks(s, d)[0].select("event_id", "event", "data.*"),
+    "event_rejects": lambda s, d: _blocks(s, d)[1].select("event_id", "event", "reason"),
     "token_baseline": lambda s, d: ev.token_baseline(load(s, d, "agent_event")[0]),
 }
 
@@ -232,6 +249,11 @@ ORACLE = {
     "turn_outcome": with_tables(_TURNS + " select session_id, cast(turn as bigint) turn, coalesce(max(case when event in ('DONE', 'ERROR') then event end), 'OPEN') outcome, count(*) n_events from tn group by 1, 2", "agent_event"),
     "touched_files": with_tables(_TURNS + " select session_id, cast(turn as bigint) turn, string_agg(distinct call_id, ',' order by call_id) files from tn where event = 'TOOL_CALL_RESULT' and call_id <> '' group by 1, 2", "agent_event"),
     "compaction_status": with_tables("select session_id, arg_max(case event when 'TOOL_CALL_REQUEST' then 'compacting' when 'DONE' then 'done' else 'error' end, (ts, event_id)) status from agent_event where event in ('TOOL_CALL_REQUEST', 'DONE', 'ERROR') group by 1", "agent_event"),
+    "idle_timeouts": with_tables("""select session_id, event_id, timed_out_at from (select *, ts + interval 6 hours timed_out_at, coalesce(lead(ts) over (partition by session_id order by ts, event_id), (select max(ts) from agent_event)) later from agent_event) x
+ where later > timed_out_at and event <> 'TOOL_CALL_REQUEST'""", "agent_event"),
+    "event_blocks": with_tables("select event_id, event, session_id, call_id, text from agent_event where event_id % 17 <> 0 and event_id % 19 <> 0 and event_id % 23 <> 0 and event_id % 29 <> 0", "agent_event"),
+    "event_rejects": with_tables("""select event_id, case when event_id % 17 = 0 then 'PING' else event end event, case when event_id % 17 = 0 then 'unknown_event' when event_id % 19 = 0 then 'no_data' else 'malformed' end reason
+ from agent_event where event_id % 29 <> 0 and (event_id % 17 = 0 or event_id % 19 = 0 or event_id % 23 = 0)""", "agent_event"),
     "token_baseline": with_tables("select session_id, case when arg_max(event, (ts, event_id)) = 'DONE' then arg_max(input_tokens, (ts, event_id)) end baseline from agent_event where event in ('DONE', 'ERROR') group by 1", "agent_event"),
 }
 _LIVE = f""", lv as (select m.session_id, m.id, m.message_type, m.text, m.tool_name, m.request_ids, {_HAN.format('m.text')} tok from chat_message m join chat_session s on s.id = m.session_id where m.message_type <> 1 and m.id > coalesce(s.summary_upto_message_id, 0)),
