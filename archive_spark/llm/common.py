@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import ctypes
 import gc
+import re
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -31,9 +32,12 @@ _own_dir: dict[str, str] = {}
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that all executors share (`spark.checkpoint.dir`; a temporary one where that is unset)."""
+    """A new path in the folder that all executors share, `spark.checkpoint.dir`. Only a local session may do without it; it
+    gets a temporary folder."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         app = spark.sparkContext.applicationId
         base = _own_dir.setdefault(app, "file://" + tempfile.mkdtemp(prefix="archive-spark-"))
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SPACES, bound_batches, give_back, materialize, raw_texts, slices
+from .common import SPACES, bound_batches, fresh, give_back, materialize, raw_texts, slices
 
 MIN_BLOCK_WORDS = 20
 #: Bytes up to which the list of deleted lines is broadcast; a longer one is joined by shuffle.
@@ -178,15 +178,16 @@ def dedup_lines(documents: DataFrame, *, id_col: str = "doc_id", text_col: str =
     gone = materialize(gone, "gone-lines")
     size = gone.agg(F.sum(F.size("gone") * 4 + 32)).first()[0] or 0
     gone = F.broadcast(gone) if size <= BROADCAST_BYTES else gone
-    keyed = documents.withColumns({"_dl_did": _id(id_col), "_dl_th": F.xxhash64(F.col(text_col))})
-    joined = keyed.join(gone.select(F.col("did").alias("_dl_did"), F.col("th").alias("_dl_th"), F.col("gone").alias("_dl_gone")), ["_dl_did", "_dl_th"], "left")
+    did, th, lines, new = fresh([*documents.columns, count_col or ""], "did", "th", "gone", "new")
+    keyed = documents.withColumns({did: _id(id_col), th: F.xxhash64(F.col(text_col))})
+    joined = keyed.join(gone.select(F.col("did").alias(did), F.col("th").alias(th), F.col("gone").alias(lines)), [did, th], "left")
     # line numbers are from 0, and the text is split as it was for the windows
-    kept = F.filter(F.split(F.col(text_col), "\n", -1), lambda line, i: ~F.array_contains("_dl_gone", i))
-    text = F.when(F.col("_dl_gone").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))
-    out = joined.withColumn("_dl_text", text)
+    kept = F.filter(F.split(F.col(text_col), "\n", -1), lambda line, i: ~F.array_contains(lines, i))
+    text = F.when(F.col(lines).isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))
+    out = joined.withColumn(new, text)
     if drop_emptied:
-        out = out.where(F.col("_dl_gone").isNull() | F.col("_dl_text").rlike(r"[^\x20\x09-\x0D]"))
-    columns = [F.col("_dl_text").alias(c) if c == text_col else F.col(c) for c in documents.columns]
+        out = out.where(F.col(lines).isNull() | F.col(new).rlike(r"[^\x20\x09-\x0D]"))
+    columns = [F.col(new).alias(c) if c == text_col else F.col(c) for c in documents.columns]
     if count_col:
-        columns.append(F.when(F.col("_dl_gone").isNull(), 0).otherwise(F.size("_dl_gone")).alias(count_col))
+        columns.append(F.when(F.col(lines).isNull(), 0).otherwise(F.size(lines)).alias(count_col))
     return out.select(*columns)

@@ -39,6 +39,14 @@ def test_against_all_pairs(spark):
     assert 50 not in left and {5, 52, 53, 54} <= left
 
 
+def test_columns_of_the_caller_stay(spark):
+    text = "\n".join(f"line {i} of some words that stand in both of them" for i in range(6))
+    rows = [(1, text, "a", "b", "c", "d"), (2, f"head\n{text}", "e", "f", "g", "h")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _dl_text string, gone string, did string, new string")
+    got = sorted(tuple(r) for r in ld.dedup_lines(df, count_col="n").collect())
+    assert got == [(*rows[0], 0), (2, "head", *rows[1][2:], 6)]
+
+
 def test_patience():
     assert ld.patience([1, 2, 3, 4], [9, 1, 2, 4]) == [(0, 1), (1, 2), (3, 3)]
     assert ld.patience([], [1]) == []
