@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..operators import retrieval as r
-from ..sources import search_index
+from ..sources import search_index, vector_index
 from ..sources.tables import load
 
 K, N = 20, 10
@@ -34,6 +34,17 @@ def _index(s, d):
     return _indexes[key]
 
 
+_vector_indexes: dict[tuple[str, str], vector_index.VectorIndex] = {}
+
+
+def _by_cells(s, d, exact):
+    """The top-k by the vector index of a folder, written once for each application."""
+    key, (q, v) = (s.sparkContext.applicationId, d), _vectors(s, d)
+    if key not in _vector_indexes:
+        _vector_indexes[key] = vector_index.write_vector_index(v, search_index.new_path(s, "vector-index"))
+    return vector_index.vector_search(q, _vector_indexes[key], K, exact=exact)
+
+
 def _keyword(s, d, where=None):
     q, docs = _texts(s, d)
     return search_index.keyword_topk(q, _index(s, d), K, None if where is None else docs.where(where).select("id"))
@@ -60,6 +71,8 @@ def _ranked(s, d):
 QUERIES = {
     "vector_topk": lambda s, d: r.vector_topk(*_vectors(s, d), K),
     "vector_topk_filtered": lambda s, d: r.vector_topk(_vectors(s, d)[0], _vectors(s, d)[1].where("label = 1"), K),
+    "vector_index_exact": lambda s, d: _by_cells(s, d, True),
+    "vector_index_probes": lambda s, d: _by_cells(s, d, False),
     "keyword_index": _index_terms,
     "keyword_bm25": _keyword,
     "keyword_bm25_scan": lambda s, d: r.keyword_topk(*_texts(s, d), K),
@@ -97,6 +110,7 @@ _RERANK = f"""(select query_id, id, origin, arm, rank, score, row_number() over
 ORACLE = {
     "vector_topk": f"select * from {_vector()} x",
     "vector_topk_filtered": f"select * from {_vector('label = 1')} x",
+    "vector_index_exact": f"select * from {_vector()} x",
     "keyword_index": f"select term, count(distinct doc_id) df from (select doc_id, unnest({_TERMS}) term from documents) x group by term",
     "keyword_bm25": f"select * from {_bm25()} x",
     "keyword_bm25_scan": f"select * from {_bm25()} x",
