@@ -42,10 +42,14 @@ def headings(items: DataFrame, levels: list[int] | None = None) -> DataFrame:
     """The active headings of each item, ascending by level: a heading of level k ends those of level k and more.
 
     Any level counts (null and less than 1 as 1). The levels that occur are read from the items, unless given."""
-    level = F.when(F.col("label") == "SECTION_HEADER", F.greatest("level", F.lit(1)))
+    return with_headings(reading_order(items), levels).select("file_id", "ord", "page_no", "text", "headings")
+
+
+def with_headings(ordered: DataFrame, levels: list[int] | None = None) -> DataFrame:
+    """Ordered items (file_id, ord, label, level, text and others) other than headings and titles, with their headings."""
+    level = F.when(F.col("label").isin("SECTION_HEADER", "TITLE"), F.greatest("level", F.lit(1)))
     if levels is None:
-        levels = sorted(r["lv"] for r in items.select(level.alias("lv")).where("lv is not null").distinct().collect())
-    ordered = reading_order(items)
+        levels = sorted(r["lv"] for r in ordered.select(level.alias("lv")).where("lv is not null").distinct().collect())
     w = Window.partitionBy("file_id").orderBy("ord")
     before = w.rowsBetween(Window.unboundedPreceding, -1)
     df = ordered.withColumn("lv", level)
@@ -56,7 +60,7 @@ def headings(items: DataFrame, levels: list[int] | None = None) -> DataFrame:
     df = df.withColumns(columns)
     active = [F.when(F.col(f"h{k}.ord") > F.coalesce(f"c{k}", F.lit(0)), F.col(f"h{k}.text")) for k in levels]
     df = df.where("lv is null").withColumn("headings", F.filter(F.array(*active).cast("array<string>"), lambda x: x.isNotNull()))
-    return df.select("file_id", "ord", "page_no", "text", "headings")
+    return df.drop("lv", *columns)
 
 
 def chunk_chain(chunks: DataFrame) -> DataFrame:

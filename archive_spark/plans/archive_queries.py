@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..operators import archive, chunking
+from ..operators import archive, chunking, flow
 from ..sources.tables import load, with_tables
 
 AR = ("ar_file", "ar_side", "ar_main", "ar_project")
@@ -19,6 +19,19 @@ def _join_headings(df):
     return df.withColumn("headings", F.array_join("headings", " > "))
 
 
+def _flow(spark, sf):
+    """Items, and tables as text with their places: Markdown, or triplets for every third."""
+    items, cells, places = load(spark, sf, "flow_item", "table_cell", "flow_table")
+    placed = cells.join(places.select("table_id"), "table_id", "left_semi")
+    texts = archive.table_markdown(placed.where("table_id % 3 <> 0")).unionByName(archive.table_triplets(placed.where("table_id % 3 = 0")))
+    return items, places.join(texts, "table_id")
+
+
+def document_chunks(spark, sf):
+    rows = flow.chunk_rows(flow.document_chunks(*_flow(spark, sf), 128), archive.identity(*load(spark, sf, *AR)), "table:embeddings")
+    return rows.withColumn("refs", F.array_join("refs", ","))
+
+
 def replaced(spark, sf):
     chunks = _chunks(spark, sf).select("id", "file_id", "text")
     fresh = chunks.where("file_id like '%7' and id like '%-1'").withColumn("text", F.concat(F.lit("new "), "text"))
@@ -35,6 +48,8 @@ QUERIES = {
     "replace_by_file": replaced,
     "semantic_chunks": lambda s, d: _join_headings(chunking.semantic_chunks(archive.headings(load(s, d, "flow_item")[0]), 128)),
     "semantic_parts": lambda s, d: _join_headings(chunking.split_items(archive.headings(load(s, d, "flow_item")[0]), 128)),
+    "reading_flow": lambda s, d: flow.reading_flow(*_flow(s, d)).select("file_id", "ord", "ref", "label", "page_no", "top", F.length("text").alias("n_chars")),
+    "document_chunks": document_chunks,
     "table_markdown": lambda s, d: archive.table_markdown(load(s, d, "table_cell")[0]),
     "table_triplets": lambda s, d: archive.table_triplets(load(s, d, "table_cell")[0]),
     "table_split": lambda s, d: chunking.split_tables(archive.table_markdown(load(s, d, "table_cell")[0]).where(tx.is_pipe_table(F.col("text"))), 24),
@@ -87,6 +102,14 @@ ORACLE = {
     "corpus_overview": _headed("select file_id, count(*) n_chunks, arg_min(section, seq) first_section from ch group by 1"),
     "neighbour_expansion": _headed("select a.id, cast(b.seq - a.seq as int) step, b.id neighbour_id from ch a join ch b on a.file_id = b.file_id and abs(a.seq - b.seq) = 1"),
     "replace_by_file": _headed("select id, file_id, case when file_id like '%7' then 'new ' || text else text end text from ch where file_id not like '%7' or id like '%-1'"),
+    # a place is counted: items and tables that are on an earlier page, higher up, or at the same height and earlier
+    "reading_flow": with_tables(_GRID + r""", tx as (select table_id, sum(length(text)) + sum(1) + count(distinct row_idx) + count(distinct row_idx) - 1 md from g group by 1),
+ tr as (select v.table_id, string_agg(f.text || ', ' || h.text || ' = ' || v.text, '. ') tt from g v join g f on f.table_id = v.table_id and f.row_idx = v.row_idx and f.col_idx = 0
+  join g h on h.table_id = v.table_id and h.row_idx = 0 and h.col_idx = v.col_idx where v.row_idx > 0 and v.col_idx > 0 and v.text <> '' group by 1),
+ e as (select file_id, '#/texts/' || pos ref, label, page_no, top, length(trim(regexp_replace(text, '[\s\x{00A0}\x{3000}]+', ' ', 'g'))) n_chars, 0 t, pos src from flow_item
+   where label not in ('PAGE_HEADER', 'PAGE_FOOTER') and trim(regexp_replace(text, '[\s\x{00A0}\x{3000}]+', ' ', 'g')) <> ''
+  union all select file_id, '#/tables/' || p.table_id, 'TABLE', page_no, top, case when p.table_id % 3 <> 0 then md else length(tt) end, 1, p.table_id from flow_table p join tx using (table_id) left join tr using (table_id))
+ select a.file_id, a.ref, a.label, a.page_no, a.top, a.n_chars, (select count(*) from e b where b.file_id = a.file_id and (b.page_no, -b.top, b.t, b.src) <= (a.page_no, -a.top, a.t, a.src)) ord from e a""", "flow_item", "table_cell", "flow_table"),
     "table_markdown": with_tables(_GRID + " select table_id, string_agg(line, chr(10) order by row_idx) as text from (select table_id, row_idx, '|' || string_agg(text, '|' order by col_idx) || '|' line from g group by 1, 2) x group by 1", "table_cell"),
     "table_triplets": with_tables(_GRID + """ select v.table_id, string_agg(f.text || ', ' || h.text || ' = ' || v.text, '. ' order by v.row_idx, v.col_idx) as text from g v join g f on f.table_id = v.table_id and f.row_idx = v.row_idx and f.col_idx = 0
   join g h on h.table_id = v.table_id and h.row_idx = 0 and h.col_idx = v.col_idx where v.row_idx > 0 and v.col_idx > 0 and v.text <> '' group by 1""", "table_cell"),

@@ -63,6 +63,8 @@ DERIVED = {
  union all select l_orderkey, cast(rn as int), 0, concat('L', cast(l_linenumber as string)) from r
  union all select l_orderkey, cast(rn as int), 1, cast(q as string) from r
  union all select l_orderkey, cast(rn as int), 2, f from r where l_linenumber <> 3""",
+    "flow_table": """select concat('file-', cast(d.doc_id as string)) file_id, t.table_id, cast(t.table_id % 2 as int) + 1 page_no, cast(800 - (t.table_id % 20) * 30 as double) top
+ from (select distinct l_orderkey table_id from lineitem) t join documents d on d.doc_id = cast(floor(t.table_id / 2) as bigint)""",
     "sql_log": """select doc_id stmt_id, case doc_id % 23
  when 0 then 'select count(*) n from ek_ar_main where title = ' || q when 1 then '/* ' || text || ' */ select id from ek_ar_side' when 2 then 'select id from ek_ar_main -- ' || replace(text, chr(10), ' ')
  when 3 then text when 4 then 'update ek_ar_main set title = ' || q
