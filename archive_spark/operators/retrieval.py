@@ -20,6 +20,9 @@ K1, B = 1.2, 0.75
 #: and rows of a table that may be sent to every task.
 QUERY_PASS, QUERY_BLOCK, SCORES, BROADCAST_ROWS = 20_000, 1_000, 2_000_000, 100_000
 NO_HITS = "no matching evidence"
+#: A block of evidence, and what stands for no block at all.
+BLOCK = "[第%d条 | 相关度 %.4f | 来源: %s]\n块ID: %s | 页码: %s | 章节: %s\n项目: %s | 卷: %s | 件: %s | 年度: %s\n正文: %s"
+NO_BLOCKS = "未检索到相关内容"
 
 
 def small(df: DataFrame) -> DataFrame:
@@ -150,3 +153,20 @@ def evidence(ranked: DataFrame, docs: DataFrame, queries: DataFrame | None = Non
     if queries is None:
         return found
     return queries.select("query_id").distinct().join(found, "query_id", "left").withColumn("evidence", F.coalesce("evidence", F.lit(NO_HITS)))
+
+
+def evidence_blocks(ranked: DataFrame, chunks: DataFrame, queries: DataFrame | None = None) -> DataFrame:
+    """One text for each query, a block for each hit in rank order: rank, score, arm, id, page, section, identity and the whole text.
+
+    chunks: id, text, page, section, project_name, volume_name, item_name, form_year. A missing year is `-`, other missing values are `null`.
+    Of `queries` (query_id), those without a hit say so."""
+    named = ("page", "section", "project_name", "volume_name", "item_name")
+    shown = [F.coalesce(F.col(c).cast("string"), F.lit("null")) for c in named]
+    year = F.coalesce(F.col("form_year").cast("string"), F.lit("-"))
+    block = F.format_string(BLOCK, "final_rank", F.round("score", 4), "origin", F.col("id").cast("string"), *shown, year, F.coalesce("text", F.lit("")))
+    rows = ranked.select("query_id", "id", "origin", "score", "final_rank").join(chunks.select("id", "text", *named, "form_year"), "id")
+    parts = F.array_sort(F.collect_list(F.struct("final_rank", block.alias("block"))))
+    found = rows.groupBy("query_id").agg(F.trim(F.array_join(F.transform(parts, lambda x: x["block"]), "\n\n")).alias("evidence"))
+    if queries is None:
+        return found
+    return queries.select("query_id").distinct().join(found, "query_id", "left").withColumn("evidence", F.coalesce("evidence", F.lit(NO_BLOCKS)))

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..operators import archive, filters
 from ..operators import retrieval as r
 from ..sources import search_index, vector_index
-from ..sources.tables import load
+from ..sources.tables import load, with_tables
+from .archive_queries import AR, IDENTITY
 
 K, N = 20, 10
 
@@ -68,7 +70,41 @@ def _ranked(s, d):
     return r.rerank(hits, q, docs, N, search_index.matched_terms(hits, q, _index(s, d))), docs, q
 
 
+#: The filter of the filtered search.
+FILTER = filters.ArchiveFilter(project_name=" ", form_year=" 1996 ")
+
+
+def _known(s, d):
+    """Documents with the identity of their file."""
+    known = archive.identity(*load(s, d, *AR)).withColumn("id", F.substring("file_id", 6, 20).cast("bigint"))
+    return load(s, d, "documents")[0].select(F.col("doc_id").alias("id"), "text", F.col("source").alias("section"), F.lit(None).cast("string").alias("page")).join(known.drop("error", "file_id"), "id", "left")
+
+
+def _filtered(s, d):
+    """Both arms see the rows of one filter only; counts of terms are those of all documents."""
+    allowed = _known(s, d).where(FILTER.predicate()).select("id")
+    v, tq = _vectors(s, d)[1], _texts(s, d)[0]
+    vq = v.join(tq.select(F.col("query_id").alias("id")), "id", "left_semi").select(F.col("id").alias("query_id"), "vector")
+    return r.merge_arms(r.vector_topk(vq, v.join(allowed, "id", "left_semi"), K), search_index.keyword_topk(tq, _index(s, d), K, allowed))
+
+
+def _blocks(s, d):
+    ranked, _, q = _ranked(s, d)
+    return r.evidence_blocks(ranked, _known(s, d), q)
+
+
+def _requests(s, d):
+    """A request for each document: some without a query, some with a year that is none."""
+    year = F.get(F.array(*[F.lit(x) for x in ("1996", " 1997 ", "", " ", "in 1996", "1996.5", None, "+1995")]), (F.col("doc_id") % 8).cast("int"))
+    said = lambda m: F.when(F.col("doc_id") % m == 0, " ").when(F.col("doc_id") % m > 1, F.col("source"))
+    return filters.check_requests(load(s, d, "documents")[0].select(F.col("doc_id").alias("request_id"), said(3).alias("vector_query"), said(4).alias("keyword_query"), year.alias("form_year")))
+
+
 QUERIES = {
+    "hybrid_search_filtered": lambda s, d: _filtered(s, d).select("query_id", "id", "origin", "score", "position"),
+    "evidence_blocks": _blocks,
+    "search_requests": lambda s, d: _requests(s, d)[0].select("request_id", "year"),
+    "search_rejects": lambda s, d: _requests(s, d)[1].select("request_id", "reason"),
     "vector_topk": lambda s, d: r.vector_topk(*_vectors(s, d), K),
     "vector_topk_filtered": lambda s, d: r.vector_topk(_vectors(s, d)[0], _vectors(s, d)[1].where("label = 1"), K),
     "vector_index_exact": lambda s, d: _by_cells(s, d, True),
@@ -100,14 +136,28 @@ def _bm25(where: str = "true") -> str:
  select query_id, id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / a))), 6) score from tf join df using (term) join q using (term), st where {where} group by 1, 2) x qualify rank <= {K})"""
 
 
-_HYBRID = f"""(select *, row_number() over (partition by query_id order by arm, rank) as position from (
- select *, row_number() over (partition by query_id, id order by arm, rank) f from (select *, 0 arm, 'vector' origin from {_vector(asked='q.vec_id in (select item_id from benchmark)')} v union all select *, 1, 'keyword' from {_bm25()} k) u) x where f = 1)"""
+def _both(vectors: str = "true", documents: str = "true") -> str:
+    return f"""(select *, row_number() over (partition by query_id order by arm, rank) as position from (
+ select *, row_number() over (partition by query_id, id order by arm, rank) f from (select *, 0 arm, 'vector' origin from {_vector(vectors, 'q.vec_id in (select item_id from benchmark)')} v union all select *, 1, 'keyword' from {_bm25(documents)} k) u) x where f = 1)"""
+
+
+_HYBRID = _both()
 _RERANK = f"""(select query_id, id, origin, arm, rank, score, row_number() over (partition by query_id order by score desc, arm, rank, id) final_rank from (
  select h.query_id, h.id, origin, arm, rank, round(0.7 * len(list_intersect(q.t, d.t)) / len(q.t) + 0.3 / (1 + rank), 6) score from {_HYBRID} h
  join (select item_id, list_filter(t, lambda x, i: list_position(t, x) = i) t from (select item_id, {_TERMS} t from benchmark) y) q on q.item_id = h.query_id
  join (select doc_id, {_TERMS} t from documents) d on d.doc_id = h.id) x qualify final_rank <= {N})"""
 
+_KNOWN = f"(select cast(substring(file_id, 6) as bigint) doc, project_name, volume_name, item_name, form_year from ({IDENTITY}) i)"
+_REQUESTS = """(select doc_id request_id, case when doc_id % 3 > 1 or doc_id % 4 > 1 then 1 else 0 end asked, ['1996', ' 1997 ', '', ' ', 'in 1996', '1996.5', null, '+1995'][doc_id % 8 + 1] form_year from documents)"""
+
 ORACLE = {
+    "hybrid_search_filtered": with_tables(f"select query_id, id, origin, score, position from {_both(f'v.vec_id in (select doc from {_KNOWN} k where form_year = 1996)', f'id in (select doc from {_KNOWN} k where form_year = 1996)')} x", *AR),
+    "evidence_blocks": with_tables(f"""select item_id query_id, coalesce(evidence, '未检索到相关内容') evidence from (select distinct item_id from benchmark) b left join (
+ select query_id, string_agg('[第' || final_rank || '条 | 相关度 ' || printf('%.4f', round(score, 4)) || ' | 来源: ' || origin || ']' || chr(10) || '块ID: ' || id || ' | 页码: null | 章节: ' || coalesce(source, 'null') || chr(10)
+  || '项目: ' || coalesce(project_name, 'null') || ' | 卷: ' || coalesce(volume_name, 'null') || ' | 件: ' || coalesce(item_name, 'null') || ' | 年度: ' || coalesce(cast(form_year as varchar), '-') || chr(10) || '正文: ' || text, chr(10) || chr(10) order by final_rank) evidence
+ from {_RERANK} r join documents on doc_id = id left join {_KNOWN} k on doc = id group by 1) e on query_id = item_id""", *AR),
+    "search_requests": f"select request_id, case request_id % 8 when 0 then 1996 when 1 then 1997 when 7 then 1995 end as year from {_REQUESTS} x where asked = 1 and request_id % 8 not in (4, 5)",
+    "search_rejects": f"select request_id, case when asked = 0 then 'a vector or a keyword query is needed' else 'form_year must be a year such as 2023: ' || form_year end reason from {_REQUESTS} x where asked = 0 or request_id % 8 in (4, 5)",
     "vector_topk": f"select * from {_vector()} x",
     "vector_topk_filtered": f"select * from {_vector('label = 1')} x",
     "vector_index_exact": f"select * from {_vector()} x",
