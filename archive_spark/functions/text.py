@@ -11,6 +11,9 @@ TERM = r"\p{IsHan}|[\p{L}\p{N}&&[^\p{IsHan}]]+"
 #: Characters after which a sentence ends.
 SENTENCE_END = "。！？；!?;\\n"
 
+#: The name of a generated file without one.
+DEFAULT_NAME = "未命名文件.html"
+
 
 def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(TOKEN), 0)
@@ -91,3 +94,30 @@ def readable_size(size: Column) -> Column:
 def markdown_cell(value: Column) -> Column:
     text = F.regexp_replace(value.cast("string"), r"[\r\n]+", " ")
     return F.coalesce(F.replace(text, F.lit("|"), F.lit("\\|")), F.lit("NULL"))
+
+
+def abbreviate_compact(text: Column, limit: int) -> Column:
+    """White space becomes one blank before the cut; null stays null."""
+    flat = F.trim(F.regexp_replace(text, r"\s+", " "))
+    return F.when(F.length(flat) > limit, F.concat(F.left(flat, F.lit(limit)), F.lit("..."))).otherwise(flat)
+
+
+def generated_name(name: Column, exists: Column, default: str = DEFAULT_NAME) -> Column:
+    """The name of a generated file, ending in .html; a blank one is null for an existing file (its name stays), else the default."""
+    flat = F.trim(name)
+    named = F.when(F.lower(flat).endswith(".html"), flat).otherwise(F.concat(flat, F.lit(".html")))
+    return F.when(F.coalesce(flat, F.lit("")) != "", named).when(~exists, F.lit(default))
+
+
+def minute(ts: Column) -> Column:
+    return F.date_format(ts, "yyyy-MM-dd HH:mm")
+
+
+def session_path(user: Column, session: Column, file: Column, extension: Column) -> Column:
+    """The relative path of a session's file."""
+    return F.concat(F.concat_ws("/", user.cast("string"), session.cast("string"), file.cast("string")), F.lit("."), extension)
+
+
+def digits(value: Column) -> Column:
+    """The number that all digits of an id make, up to 38 of them; null without a digit, so that it can be sorted last."""
+    return F.regexp_replace(value, r"[^0-9]", "").try_cast("decimal(38,0)")

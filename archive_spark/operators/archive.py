@@ -72,6 +72,12 @@ def chunk_chain(chunks: DataFrame) -> DataFrame:
     return df.select("id", "file_id", F.col("n").alias("seq"), "text", tx.section_path(F.col("headings")).alias("section"), F.col("page_no").cast("string").alias("page"), "prev_id", "next_id")
 
 
+def review(chunks: DataFrame, limit: int = 200) -> DataFrame:
+    """Every chunk for a reader: its place in its file by the digits of its id (ids without any come last), its size in bytes, and the beginning of its text on one line."""
+    place = F.row_number().over(Window.partitionBy("file_id").orderBy(F.asc_nulls_last(tx.digits(F.col("id"))), "id"))
+    return chunks.select("file_id", place.alias("place"), "id", "section", "page", F.octet_length("text").alias("bytes"), tx.abbreviate_compact(F.col("text"), limit).alias("text"))
+
+
 def overview(chunks: DataFrame) -> DataFrame:
     return chunks.groupBy("file_id").agg(F.count(F.lit(1)).alias("n_chunks"), F.min_by("section", "seq").alias("first_section"))
 

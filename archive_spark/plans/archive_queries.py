@@ -43,6 +43,7 @@ QUERIES = {
     "ingest_summary": lambda s, d: archive.ingest_summary(archive.identity(*load(s, d, *AR))),
     "heading_stack": lambda s, d: _join_headings(archive.headings(load(s, d, "flow_item")[0])),
     "chunk_metadata_chain": _chunks,
+    "chunk_review": lambda s, d: archive.review(_chunks(s, d), 20),
     "corpus_overview": lambda s, d: archive.overview(_chunks(s, d)),
     "neighbour_expansion": lambda s, d: archive.neighbours(_chunks(s, d)),
     "replace_by_file": replaced,
@@ -99,6 +100,7 @@ ORACLE = {
     "ingest_summary": with_tables(f"select count(*) filter (where error is null) success, count(*) filter (where error is not null) failed from ({IDENTITY}) x", *AR),
     "heading_stack": _headed("select * from it"),
     "chunk_metadata_chain": _headed("select *, coalesce(lag(id) over w2, '') prev_id, coalesce(lead(id) over w2, '') next_id from ch window w2 as (partition by file_id order by seq)"),
+    "chunk_review": _headed("select file_id, seq place, id, section, page, octet_length(encode(text)) bytes, case when length(text) > 20 then left(text, 20) || '...' else text end text from ch"),
     "corpus_overview": _headed("select file_id, count(*) n_chunks, arg_min(section, seq) first_section from ch group by 1"),
     "neighbour_expansion": _headed("select a.id, cast(b.seq - a.seq as int) step, b.id neighbour_id from ch a join ch b on a.file_id = b.file_id and abs(a.seq - b.seq) = 1"),
     "replace_by_file": _headed("select id, file_id, case when file_id like '%7' then 'new ' || text else text end text from ch where file_id not like '%7' or id like '%-1'"),

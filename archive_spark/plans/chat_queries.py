@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import text as tx
 from ..operators import catalog, conversation as c, governed
 from ..sources.tables import load, with_tables
 from ..streaming import events as ev
@@ -91,6 +92,15 @@ def _edits(s, d):
     return catalog.unique_edits(docs, docs.select("id", F.element_at(words, F.greatest(F.size(words), F.lit(1))).alias("old"), F.lit("<edited>").alias("new")))
 
 
+def _names(s, d):
+    """Names, paths and times of the files that sessions generate."""
+    files, sessions, e = load(s, d, "chat_file", "chat_session", "agent_event")
+    asked = F.when(F.col("id") % 5 == 0, F.concat(F.lit(" "), "file_name", F.lit(" "))).when(F.col("id") % 5 == 1, " ").when(F.col("id") % 5 == 2, "Report.HTML").otherwise(F.concat(F.lit("r"), F.col("id").cast("string")))
+    rows = files.join(sessions.select(F.col("id").alias("session_id"), "user_id"), "session_id").join(e.groupBy(F.col("event_id").alias("id")).agg(F.max("ts").alias("ts")), "id")
+    path = tx.session_path(F.col("user_id"), F.col("session_id"), F.col("id"), tx.extension(F.col("file_name")))
+    return rows.select("id", tx.generated_name(asked, F.col("id") % 2 == 0).alias("name"), path.alias("path"), tx.minute(F.col("ts")).alias("minute"))
+
+
 ALLOWED = ["ek_ar_main", "ek_ar_side", "ek_ar_project", "ek_user"]
 RUN = """with live as (select status, form_year from ek_ar_main where del_flag = '0' /* ; */)
  select status, form_year, count(*) as volumes, nullif(status, '3') as open from live group by status, form_year order by form_year, status"""
@@ -140,6 +150,7 @@ QUERIES = {
     "file_anchor": lambda s, d: catalog.anchor_files(*load(s, d, "chat_file", "file_turn", "chat_message")),
     "upsert_generated_files": _upsert,
     "upload_validation": _uploads,
+    "generated_file_names": _names,
     "file_page_status": _page_status,
     "session_rename": _rename,
     "session_content": _content,
@@ -203,6 +214,9 @@ def _paged(rows: str, key: str, order: str, number: int, size: int, select: str)
 _SESSIONS = "user_id, id, title, rn, total, pages, total > 5 as has_more"
 
 ORACLE = {
+    "generated_file_names": with_tables("""select f.id, case f.id % 5 when 0 then file_name || case when file_name like '%.html' then '' else '.html' end when 1 then case when f.id % 2 = 1 then '未命名文件.html' end when 2 then 'Report.HTML' else 'r' || f.id || '.html' end as name,
+ user_id || '/' || session_id || '/' || f.id || '.' || case when f.id % 2 = 0 then 'html' else 'pdf' end as path, strftime(ts, '%Y-%m-%d %H:%M') as minute
+ from chat_file f join chat_session s on s.id = session_id join (select event_id, max(ts) ts from agent_event group by 1) e on event_id = f.id""", "chat_file", "chat_session", "agent_event"),
     "tool_call_repair": with_tables(_REPAIR + " select * from rp", "chat_message"),
     "stale_output_budget": with_tables(_REPAIR + f", us as (select *, message_type = 4 and sum({_HAN.format('text')}) over (partition by session_id, message_type = 4 order by segment desc, kind desc, ordinal desc rows unbounded preceding) > 200 stale from rp) select session_id, segment, kind, ordinal, message_type, case when stale then '[old tool output removed]' else text end as text, call_id, stale from us", "chat_message"),
     "append_messages": with_tables(""", b as (select session_id, id ord, message_type, text from chat_message where message_type <= 2), ls as (select session_id, arg_max(text, id) t from chat_message where message_type = 1 group by 1),
