@@ -27,12 +27,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from ..operators.retrieval import _top, _unit, best, small
+from ..operators.retrieval import _top, _unit, best
 
 #: Numbers in the sample that centroids are fitted to (about 31,000 vectors of 64), and in all centroids together.
 SAMPLE_NUMBERS, CENTROID_NUMBERS = 2_000_000, 2_000_000
 ROUNDS, MAX_CELLS = 8, 4096
 BLOCK_ROWS, QUERY_BLOCK = 512, 512
+#: Numbers in the vectors of all pairs of query and cell that may be sent to every task; more are joined by shuffle.
+BROADCAST_NUMBERS = 4_000_000
 #: The part of the NEIGHBOURS nearest sampled rows of each of TRIALS sampled rows that lies in the cells that a search reads.
 RECALL, NEIGHBOURS, TRIALS = 0.95, 10, 512
 #: Scores are rounded to six places and angles are computed from rounded cosines; bounds are looser by this.
@@ -180,7 +182,7 @@ def _reach(angle: Column) -> Column:
     return F.cos(F.greatest(F.lit(0.0), angle - F.col("high"), F.col("low") - angle))
 
 
-def _scores(near: DataFrame, index: VectorIndex, n_queries: int, k: int) -> DataFrame:
+def _scores(near: DataFrame, index: VectorIndex, n_queries: int, per_query: int, k: int) -> DataFrame:
     """near: query_id, vector, cell, angle, floor. The best k rows of each query in each block that may reach its floor.
 
     Queries of a cell are packed into blocks, so that a pair of joined rows is one product of two bounded matrices."""
@@ -190,7 +192,8 @@ def _scores(near: DataFrame, index: VectorIndex, n_queries: int, k: int) -> Data
     block = F.pmod(F.xxhash64("query_id", "vector"), F.lit(max(1, -(-n_queries // QUERY_BLOCK))))
     asked = near.groupBy("cell", block.alias("qb")).agg(F.collect_list(F.struct("query_id", "vector", "angle", "floor")).alias("q"))
     asked = asked.select("cell", *[F.col(f"q.{c}").alias(f"q_{c}") for c in ("query_id", "angle", "floor")], F.flatten("q.vector").alias("q_numbers"))
-    pairs = index.table("blocks").join(small(asked), "cell").drop("qb")
+    few = n_queries * per_query * dims <= BROADCAST_NUMBERS
+    pairs = index.table("blocks").join(F.broadcast(asked) if few else asked, "cell").drop("qb")
 
     def unit(column: pa.ListArray, i: int) -> np.ndarray:
         m = column[i].values.to_numpy(zero_copy_only=False).reshape(-1, dims)
@@ -218,8 +221,9 @@ def vector_search(queries: DataFrame, index: VectorIndex, k: int, probes: int |
 
     With exact, cells beyond the probed ones are read where their angles do not rule them out."""
     n = queries.count()
-    first = _near(queries, index, probes or index.probes).withColumn("floor", F.lit(-2.0))
-    found = best(_scores(first, index, n, k), k)
+    probes = probes or index.probes
+    first = _near(queries, index, probes).withColumn("floor", F.lit(-2.0))
+    found = best(_scores(first, index, n, probes, k), k)
     if not exact:
         return found
     floors = found.groupBy("query_id").agg(F.when(F.count(F.lit(1)) >= k, F.min("score")).alias("kth"))
@@ -227,7 +231,7 @@ def vector_search(queries: DataFrame, index: VectorIndex, k: int, probes: int |
     rest = _near(queries, index, None).join(first.select("query_id", "cell"), ["query_id", "cell"], "left_anti").join(F.broadcast(spans), "cell")
     rest = rest.join(floors, "query_id", "left").withColumn("floor", F.coalesce("kth", F.lit(-2.0)))
     rest = rest.where(_reach(F.col("angle")) + SLACK >= F.col("floor")).select("query_id", "vector", "cell", "angle", "floor")
-    return best(found.drop("rank").unionByName(_scores(rest, index, n, k)), k)
+    return best(found.drop("rank").unionByName(_scores(rest, index, n, index.table("cells").count(), k)), k)
 
 
 def work(queries: DataFrame, index: VectorIndex, k: int, probes: int | None = None) -> DataFrame:

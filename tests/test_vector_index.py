@@ -33,6 +33,7 @@ def test_exact_search_is_the_scan(tables, index):
 
 def test_blocks_hold_every_row(tables, index, monkeypatch, tmp_path):
     monkeypatch.setattr(vector_index, "BLOCK_ROWS", 7)
+    monkeypatch.setattr(vector_index, "BROADCAST_NUMBERS", 0)
     small = vector_index.write_vector_index(tables[1], f"file://{tmp_path}/small", cells=3)
     for i in (index, small):
         blocks = i.table("blocks")
