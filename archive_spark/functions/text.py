@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -15,6 +17,22 @@ SENTENCE_END = "。！？；!?;\\n"
 DEFAULT_NAME = "未命名文件.html"
 
 
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is made once, however often f names it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def in_runs(array: Column, key: Callable[[Column], Column]) -> Column:
+    """An array cut where the key of its elements changes, in time linear in its size."""
+
+    def cut(a: Column) -> Column:
+        at = F.when(F.size(a) > 0, F.sequence(F.lit(0), F.size(a) - 1)).otherwise(F.array().cast("array<int>"))
+        begins = F.filter(at, lambda i: (i == 0) | ~key(F.get(a, i)).eqNullSafe(key(F.get(a, i - 1))))
+        return let(begins, lambda b: F.transform(b, lambda s, j: F.slice(a, s + 1, F.coalesce(F.get(b, j + 1), F.size(a)) - s)))
+
+    return let(array, cut)
+
+
 def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(TOKEN), 0)
 

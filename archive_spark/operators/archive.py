@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -94,43 +96,51 @@ def replace_by_file(old: DataFrame, new: DataFrame) -> DataFrame:
     return old.join(new.select("file_id").distinct(), "file_id", "left_anti").unionByName(new)
 
 
-def table_rows(cells: DataFrame) -> DataFrame:
-    """Each row's cells in column order; absent cells of the table's grid are empty.
+def table_grids(cells: DataFrame, text: Callable[[Column], Column]) -> DataFrame:
+    """table_id and text(rows) of each table, gathered once: its rows in order, each with its cells in column order; absent cells of the grid are empty.
+
+    Of several texts in one cell the last by `pos` stays, or the greatest where cells have no such column. The text is made in
+    the aggregate itself, so that no filter on it makes it again."""
+    named = ("pos", F.when(F.col("pos").isNotNull(), F.col("text")).alias("text")) if "pos" in cells.columns else ("text",)
+    flat = lambda x: F.when(F.contains(x, F.lit("\n")) | F.contains(x, F.lit("\r")), F.regexp_replace(x, r"[\r\n]+", " ")).otherwise(F.coalesce(x, F.lit("")))
 
-    Of several texts in one cell the last by `pos` stays, or the greatest where cells have no such column."""
-    width = cells.groupBy("table_id").agg((F.max("col_idx") + 1).alias("width"))
-    text = F.max_by("text", "pos") if "pos" in cells.columns else F.max("text")
-    single = cells.groupBy("table_id", "row_idx", "col_idx").agg(text.alias("text"))
-    rows = single.groupBy("table_id", "row_idx").agg(F.map_from_entries(F.collect_list(F.struct("col_idx", "text"))).alias("cell"))
-    grid = F.transform(F.sequence(F.lit(0), F.col("width") - 1), lambda c: F.coalesce(F.regexp_replace(F.element_at("cell", c), r"[\r\n]+", " "), F.lit("")))
-    return rows.join(width, "table_id").select("table_id", "row_idx", grid.alias("cells"))
+    def grid(row: Column, width: Column) -> Column:
+        last = F.filter(row, lambda x, i: ~x["col_idx"].eqNullSafe(F.get(row, i + 1)["col_idx"]))
+        known = F.map_from_entries(F.transform(last, lambda x: F.struct(x["col_idx"], x["text"])))
+        placed = tx.let(known, lambda m: F.transform(F.sequence(F.lit(0), width - 1), lambda c: F.element_at(m, c)))
+        return F.struct(F.get(row, F.lit(0))["row_idx"].alias("row_idx"), F.transform(placed, flat).alias("cells"))
+
+    every = F.struct(F.array_sort(F.collect_list(F.struct("row_idx", "col_idx", *named))).alias("c"), (F.max("col_idx") + 1).alias("width"))
+    rows = lambda t: F.transform(tx.in_runs(t["c"], lambda x: x["row_idx"]), lambda row: grid(row, t["width"]))
+    return cells.groupBy("table_id").agg(tx.let(every, lambda t: tx.let(rows(t), text)).alias("text"))
 
 
 def table_markdown(cells: DataFrame) -> DataFrame:
-    line = F.concat(F.lit("|"), F.array_join("cells", "|"), F.lit("|"))
-    parts = F.array_sort(F.collect_list(F.struct("row_idx", F.col("line"))))
-    return table_rows(cells).withColumn("line", line).groupBy("table_id").agg(F.array_join(F.transform(parts, lambda x: x["line"]), "\n").alias("text"))
+    line = lambda r: F.concat(F.lit("|"), F.array_join(r["cells"], "|"), F.lit("|"))
+    return table_grids(cells, lambda rows: F.array_join(F.transform(rows, line), "\n"))
 
 
 def table_triplets(cells: DataFrame) -> DataFrame:
     """`row, column = value` for each filled value cell, joined by `. `; `column = value` in tables of one column.
 
     A table without any such triplet lists its filled cells. Row 0 has the column names, column 0 the row names."""
-    rows = table_rows(cells).withColumn("cells", F.transform("cells", lambda x: F.trim(x)))
-    head = rows.where("row_idx = 0").select("table_id", F.col("cells").alias("head"))
-    own = F.coalesce(F.get("head", F.lit(0)), F.lit(""))
-
-    def triplet(value: Column, i: Column) -> Column:
-        name = F.coalesce(F.get("head", i), F.lit(""))
-        many = F.concat(F.get("cells", F.lit(0)), F.lit(", "), name, F.lit(" = "), value)
-        return F.when(value == "", None).when(F.size("cells") == 1, F.concat(own, F.lit(" = "), value)).when(i > 0, many)
-
-    filled = F.filter("cells", lambda x: x != "")
-    t = F.when(F.col("row_idx") > 0, F.filter(F.transform("cells", triplet), lambda x: x.isNotNull())).otherwise(F.array().cast("array<string>"))
-    df = rows.join(head, "table_id", "left").select("table_id", "row_idx", t.alias("t"), filled.alias("filled"))
-    kept = df.groupBy("table_id").agg(F.array_sort(F.collect_list(F.struct("row_idx", "t", "filled"))).alias("rows"))
-    triplets, all_cells = F.flatten(F.col("rows.t")), F.flatten(F.col("rows.filled"))
-    return kept.select("table_id", F.array_join(F.when(F.size(triplets) > 0, triplets).otherwise(all_cells), ". ").alias("text"))
+
+    def triplets(head: Column, row: Column) -> Column:
+        def triplet(value: Column, i: Column) -> Column:
+            own = F.concat(F.coalesce(F.get(head, F.lit(0)), F.lit("")), F.lit(" = "), value)
+            many = F.concat(F.get(row["cells"], F.lit(0)), F.lit(", "), F.coalesce(F.get(head, i), F.lit("")), F.lit(" = "), value)
+            return F.when(value == "", None).when(F.size(row["cells"]) == 1, own).when(i > 0, many)
+
+        return F.filter(F.transform(row["cells"], triplet), lambda x: x.isNotNull())
+
+    def text(rows: Column) -> Column:
+        head = F.get(F.filter(rows, lambda r: r["row_idx"] == 0), F.lit(0))["cells"]
+        found = tx.let(head, lambda h: F.flatten(F.transform(F.filter(rows, lambda r: r["row_idx"] > 0), lambda r: triplets(h, r))))
+        filled = F.flatten(F.transform(rows, lambda r: F.filter(r["cells"], lambda x: x != "")))
+        return F.array_join(tx.let(found, lambda t: F.when(F.size(t) > 0, t).otherwise(filled)), ". ")
+
+    trimmed = lambda r: F.struct(r["row_idx"].alias("row_idx"), F.transform(r["cells"], lambda x: F.trim(x)).alias("cells"))
+    return table_grids(cells, lambda rows: tx.let(F.transform(rows, trimmed), text))
 
 
 def by_status(mains: DataFrame) -> DataFrame:

@@ -99,7 +99,7 @@ def split_tables(tables: DataFrame, max_tokens: int) -> DataFrame:
     body = F.filter(F.slice(rows, 2, F.greatest(F.size(rows), F.lit(1))), lambda x: F.trim(tx.squeeze(x)) != "")
     df = tables.select("table_id", F.get(rows, F.lit(0)).alias("head"), body.alias("body"))
     part = _greedy(F.transform("body", lambda x: tx.token_count(x)), tx.token_count(F.col("head")), F.lit(max_tokens))
-    lines = df.withColumn("part", part).select("table_id", "head", F.posexplode(F.arrays_zip("part", "body")).alias("pos", "x")).select("table_id", "head", "pos", "x.part", "x.body")
-    parts = F.array_sort(F.collect_list(F.struct("pos", "body")))
-    text = F.array_join(F.transform(parts, lambda x: F.concat(x["body"], F.lit("\n"))), "")
-    return lines.groupBy("table_id", "part", "head").agg(text.alias("t")).select("table_id", "part", F.concat("head", F.lit("\n"), "t").alias("text"))
+    parts = tx.in_runs(F.arrays_zip(part.alias("part"), "body"), lambda x: x["part"])
+    cut = df.select("table_id", "head", F.explode_outer(parts).alias("p")).where("p is not null")  # outer, else parts are made twice
+    text = F.array_join(F.transform("p.body", lambda x: F.concat(x, F.lit("\n"))), "")
+    return cut.select("table_id", F.get("p.part", F.lit(0)).alias("part"), F.concat("head", F.lit("\n"), text).alias("text"))

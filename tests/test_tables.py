@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from archive_spark.functions import text as tx
 from archive_spark.operators import archive, chunking
+from archive_spark.sources import tables
 
 CELLS = "table_id int, row_idx int, col_idx int, text string, pos int"
 
@@ -32,3 +33,21 @@ def test_levels_of_any_depth(spark):
     df = spark.createDataFrame(rows, "file_id string, pos int, text string, label string, level int").withColumns({"page_no": F.lit(1), "top": -F.col("pos").cast("double")})
     assert {r["text"]: r["headings"] for r in archive.headings(df).collect()} == {"t": ["a", "b", "c"], "u": ["a", "d"], "v": ["e"]}
     assert archive.headings(df.where("label = 'TEXT'")).select("headings").first()[0] == []
+
+
+def test_tables_are_gathered_once(spark):
+    cells = spark.createDataFrame([(1, 0, 0, "a", 0), (1, 1, 0, "b", 1)], CELLS)
+    for made in (archive.table_markdown(cells), archive.table_triplets(cells)):
+        plan = made.where("text <> ''")._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange ") == 1 and "Join" not in plan and plan.count("Scan") == 1
+
+
+def test_order_lines_are_dealt_by_their_number(spark, sf_dir, monkeypatch):
+    want = sorted(map(tuple, archive.table_markdown(tables.load(spark, sf_dir, "table_cell")[0]).collect()))
+    monkeypatch.setattr(tables, "FEW_LINES", 100)
+    monkeypatch.setattr(tables, "LINES_PER_TASK", 500)
+    n = spark.read.parquet(f"{sf_dir}/lineitem.parquet").count()
+    lines, cells = tables.load(spark, sf_dir, "lineitem", "table_cell")
+    sizes = [x for x in lines.groupBy(F.spark_partition_id()).count().toPandas()["count"]]
+    assert lines.rdd.getNumPartitions() == n // 500 + 1 and max(sizes) < 1500
+    assert sorted(map(tuple, archive.table_markdown(cells).collect())) == want
