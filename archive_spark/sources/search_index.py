@@ -18,15 +18,25 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions import text as tx
-from ..operators.retrieval import B, BROADCAST_ROWS, K1, best, small
+from ..operators import scoring
+from ..operators.retrieval import BROADCAST_ROWS, best, hit_schema, small
+from ..operators.scoring import K1, B
 
 BUCKETS, CHUNK_DOCS = 32, 256
+#: Documents whose blocks a task makes, and pairs of query and posting that a task scores, about.
+TASK_DOCS, TASK_PAIRS = 3_000, 20_000_000
 #: Terms that bound a query's result: the rarest ones, up to about so many postings for each of the best k.
 SEED_POSTINGS = 40
 #: From this many pairs of query and posting on a search skips blocks; below, bounding costs more than it saves. The result is
@@ -69,23 +79,35 @@ class Index:
         return self.spark.read.schema(f"term string, chunk int, peak double, ids array<{kind}>, tfs array<int>, dls array<int>, bucket int").parquet(f"{self.path}/blocks")
 
 
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The terms of each document, each once, with how often it has them."""
+    for batch in batches:
+        for at in range(0, len(batch), scoring.DOC_STEP):
+            part = batch.slice(at, scoring.DOC_STEP)
+            row, code, n, words = scoring.count_terms(part.column("terms"))
+            ends = pa.array(np.searchsorted(row, np.arange(len(part) + 1)), pa.int32())
+            counted = [pa.ListArray.from_arrays(ends, words.take(pa.array(code))), pa.ListArray.from_arrays(ends, pa.array(n, pa.int32()))]
+            yield pa.RecordBatch.from_arrays([part.column("id"), pc.list_value_length(part.column("terms")), *counted], names=["id", "dl", "words", "tfs"])
+
+
 def write_index(docs: DataFrame, path: str, chunk_docs: int = CHUNK_DOCS) -> Index:
     """docs: id (unique), text. A document without terms counts in the averages and is in no block."""
     spark = docs.sparkSession
-    every = F.concat(F.array(F.lit("")), F.col("terms"))  # a row without a term stands for the document
-    toks = docs.select("id", tx.terms(F.col("text")).alias("terms")).select("id", F.size("terms").alias("dl"), F.explode(every).alias("term"))
-    toks.groupBy("id", "dl", "term").agg(F.count(F.lit(1)).cast("int").alias("tf")).write.parquet(f"{path}/counts")
-    counts = spark.read.parquet(f"{path}/counts")
-    length = F.floor(F.log2(F.col("dl") + 1) * 2).cast("int").alias("class")
-    one = counts.where("term = ''").select("id", "dl", length)
-    parts = one.groupBy("class").agg(F.ceil(F.count(F.lit(1)) / chunk_docs).alias("parts"))  # a row for each half power of two
+    kind = docs.schema["id"].dataType
+    types = T.StructType([T.StructField("id", kind), T.StructField("dl", T.IntegerType()), T.StructField("words", T.ArrayType(T.StringType())), T.StructField("tfs", T.ArrayType(T.IntegerType()))])
+    docs.select("id", tx.terms(F.col("text")).alias("terms")).mapInArrow(_count, types).write.parquet(f"{path}/counts")
+    counts = spark.read.schema(types).parquet(f"{path}/counts").withColumn("class", F.floor(F.log2(F.col("dl") + 1) * 2).cast("int"))
+    parts = counts.groupBy("class").agg(F.ceil(F.count(F.lit(1)) / chunk_docs).alias("parts"))  # a row for each half power of two
     chunk = (F.col("class") * (1 << 20) + F.pmod(F.xxhash64("id"), F.col("parts"))).cast("int").alias("chunk")
-    one.join(F.broadcast(parts), "class").select("id", chunk, "dl").write.parquet(f"{path}/docs")
-    one.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avgdl")).coalesce(1).write.parquet(f"{path}/stats")
+    placed = counts.join(F.broadcast(parts), "class").select("id", chunk, "dl", "words", "tfs")
+    placed.select("id", "chunk", "dl").write.parquet(f"{path}/docs")
+    counts.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avgdl")).coalesce(1).write.parquet(f"{path}/stats")
     index = Index(spark, path)
-    stats = F.broadcast(index.table("stats"))
-    rows = counts.where("term <> ''").withColumn("class", length).join(F.broadcast(parts), "class").join(stats)
-    rows = rows.select("term", chunk, F.struct("id", "tf", "dl").alias("p"), _impact(F.col("tf"), F.col("dl"), F.col("avgdl")).alias("impact"))
+    stats = index.table("stats")
+    tasks = max(spark.sparkContext.defaultParallelism, stats.first()["n_docs"] // TASK_DOCS + 1)
+    # a chunk is in one task, so its blocks are made there
+    rows = placed.repartition(tasks, "chunk").select("chunk", "id", "dl", F.explode(F.arrays_zip("words", "tfs")).alias("w")).join(F.broadcast(stats))
+    rows = rows.select(F.col("w.words").alias("term"), "chunk", F.struct("id", F.col("w.tfs").alias("tf"), "dl").alias("p"), _impact(F.col("w.tfs"), F.col("dl"), F.col("avgdl")).alias("impact"))
     blocks = rows.groupBy("term", "chunk").agg(F.array_sort(F.collect_list("p")).alias("p"), F.max("impact").alias("peak"))
     blocks = blocks.select("term", "chunk", "peak", F.col("p.id").alias("ids"), F.col("p.tf").alias("tfs"), F.col("p.dl").alias("dls"), _bucket(F.col("term")).alias("bucket"))
     blocks.hint("rebalance", "bucket").sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{path}/blocks")
@@ -143,11 +165,57 @@ def _essential(terms: DataFrame, rows: int, index: Index, k: int, allowed: DataF
     return planned
 
 
-def keyword_topk(queries: DataFrame, index: Index, k: int, allowed: DataFrame | None = None, prune_pairs: int = PRUNE_PAIRS) -> DataFrame:
+def _by_chunks(index: Index, terms: DataFrame, rows: int, postings: int, k: int, allowed: DataFrame | None, schema: T.StructType) -> DataFrame:
+    """Scores made chunk by chunk: the blocks of the terms are dealt by chunk as they are, and each task sends the best k of each query.
+
+    Allowed documents come to their chunk as rows without a term."""
+    types = [to_arrow_type(f.dataType) for f in schema]
+    given = scoring.asked(terms.select("query_id", "term", "idf", "avgdl").collect(), types[0])
+    blocks, restricted = _postings(index, terms, rows).select("chunk", "term", "ids", "tfs", "dls"), allowed is not None
+    if restricted:
+        few = index.table("docs").join(allowed.select("id"), "id", "left_semi").groupBy("chunk").agg(F.collect_list("id").alias("ids"))
+        blocks = blocks.unionByName(few, allowMissingColumns=True)
+
+    def score_chunk(kept: scoring.Best, held: list[pa.RecordBatch]) -> None:
+        every = pa.Table.from_batches(held).combine_chunks()
+        own = every.filter(pc.is_valid(every["term"])).combine_chunks()
+        lists = [own[c].combine_chunks() if own.num_rows else pa.array([], own[c].type) for c in ("ids", "tfs", "dls")]
+        ids = lists[0].flatten().dictionary_encode(null_encoding="encode")
+        doc, tf, dl = ids.indices.to_numpy(zero_copy_only=False), *(x.flatten().to_numpy(zero_copy_only=False) for x in lists[1:])
+        term = np.repeat(pc.index_in(own["term"], given.terms).to_numpy(), pc.list_value_length(lists[0]).to_numpy(zero_copy_only=False))
+        if restricted:
+            some = pa.concat_arrays([x.flatten() for x in every.filter(pc.is_null(every["term"]))["ids"].chunks] or [ids.dictionary.slice(0, 0)])
+            seen = pc.is_in(ids.dictionary, some).to_numpy(zero_copy_only=False)[doc]
+            doc, term, tf, dl = doc[seen], term[seen], tf[seen], dl[seen]
+        kept.add(ids.dictionary, doc, term, tf, dl)
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept, held, at = scoring.Best(given, k, types[1]), [], None
+        for batch in batches:
+            chunk = batch.column("chunk").to_numpy()
+            begins = np.flatnonzero(np.diff(chunk, prepend=-1)) if len(chunk) else []
+            for s, e in zip(begins, [*begins[1:], len(chunk)]):
+                if held and chunk[s] != at:
+                    score_chunk(kept, held)
+                    held = []
+                at = chunk[s]
+                held.append(batch.slice(s, e - s))
+        if held:
+            score_chunk(kept, held)
+        yield from kept.hits(schema.names)
+
+    tasks = max(index.spark.sparkContext.defaultParallelism, postings // TASK_PAIRS + 1)
+    return blocks.repartition(tasks, "chunk").sortWithinPartitions("chunk").mapInArrow(score, schema)
+
+
+def keyword_topk(queries: DataFrame, index: Index, k: int, allowed: DataFrame | None = None, prune_pairs: int | None = None) -> DataFrame:
     """queries: query_id, terms (array). The same rows as retrieval.keyword_topk over the indexed documents; `allowed` (id)
-    restricts hits only. prune_pairs: from how many pairs of query and posting on blocks are skipped; the result is the same."""
+    restricts hits only. prune_pairs: from how many pairs of query and posting on blocks are skipped; the result is the same.
+    Unless given, terms that may be sent are scored chunk by chunk, and more than those are joined, with skipping from PRUNE_PAIRS on."""
     terms, rows, postings = _terms(queries, index)
-    if postings < prune_pairs:
+    if rows <= BROADCAST_ROWS and (prune_pairs is None or postings < prune_pairs):
+        return best(_by_chunks(index, terms, rows, postings, k, allowed, hit_schema(queries, index.table("docs"))), k)
+    if postings < (PRUNE_PAIRS if prune_pairs is None else prune_pairs):
         scored = _scored(index, terms, rows, allowed).select("query_id", "id", F.round("partial", 6).alias("score"))
     else:
         scored, _ = _pruned(_essential(terms, rows, index, k, allowed), rows, index, k, allowed)

@@ -1,10 +1,12 @@
 """The index on disk against the scan of all texts: with and without skipping, on awkward rows, and its blocks."""
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from archive_spark.functions import text as tx
-from archive_spark.operators import retrieval
+from archive_spark.operators import retrieval, scoring
 from archive_spark.plans import search_queries
 from archive_spark.sources import search_index
 
@@ -62,3 +64,38 @@ def test_matched_terms(spark, tables, tmp_path):
 
 def test_paths_must_be_shared(spark):
     assert search_index.new_path(spark, "x").startswith(spark.conf.get("spark.checkpoint.dir"))
+
+
+def test_scores_are_made_where_the_documents_are(spark, tables, tmp_path, monkeypatch):
+    """No pair of query and posting is shuffled: only blocks as they are, and the best of each task. Small steps and early dropping change nothing."""
+    queries, docs = tables
+    index = search_index.write_index(docs, f"file://{tmp_path}/index", chunk_docs=16)
+    allowed = docs.where("lang = 'en'").select("id")
+    want = [_rows(retrieval._keyword_by_joins(queries, docs, 7, some)) for some in (None, allowed)]
+    for df in (search_index.keyword_topk(queries, index, 7), retrieval.keyword_topk(queries, docs, 7)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "MapInArrow" in plan and "HashAggregate" not in plan.split("MapInArrow")[0]
+    monkeypatch.setattr(retrieval, "BROADCAST_ROWS", 5)
+    assert _rows(retrieval.keyword_topk(queries, docs, 7)) == want[0]  # more terms than may be sent
+    monkeypatch.undo()
+    for some, rows in zip((None, allowed), want):
+        assert _rows(search_index.keyword_topk(queries, index, 7, some)) == rows == _rows(retrieval.keyword_topk(queries, docs, 7, some))
+
+
+def test_best_of_small_steps(monkeypatch):
+    rng = np.random.default_rng(3)
+    doc, term = np.nonzero(rng.random((90, 12)) < 0.4)
+    tf, dl = rng.integers(1, 4, len(doc)), np.full(len(doc), 9)
+    rows = [{"query_id": q, "term": f"t{t:02}", "idf": 0.5 + t, "avgdl": 9.0} for q in range(7) for t in range(q, 12, 3)]
+    ids = pa.array([None if i == 50 else i % 45 for i in range(90)], pa.int64())
+
+    def found():
+        best = scoring.Best(scoring.asked(rows, pa.int64()), 5, pa.int64())
+        best.add(ids, doc, term, tf, dl)
+        return sorted((r["q"], -r["s"], r["i"] is not None, r["i"] or 0) for b in best.hits(["q", "i", "s"]) for r in b.to_pylist())
+
+    want = found()
+    assert len(want) == 35
+    for name, value in (("DOC_STEP", 7), ("QUERY_BLOCK", 2), ("TERM_BLOCK", 3), ("PENDING", 11)):
+        monkeypatch.setattr(scoring, name, value)
+    assert found() == want
