@@ -20,6 +20,8 @@ from operator import or_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import shared_path
+
 #: Kinds in their order.
 KINDS = ("email", "ip", "card", "phone")
 #: Base patterns. Possessive and with guards against starting inside a run that has failed: the same
@@ -45,11 +47,9 @@ CANDIDATE_NEEDS = {"email": ("@", "(at)", "[at]"), "ip": None, "card": None, "ph
 CONTEXT = 24
 _CUES = r"(?i)(mail|tel|phone|call|fax|mobil|card|visa|credit|pay|addr|host|server|contact)"
 FEATURES = ("kind", "chars", "digits", "letters", "dots", "blanks", "hyphens", "plus", "longest_run", "luhn", "octets", "inner", "cue", "written", "abroad")
-#: Documents whose candidates are looked at for fitting (those of some hashes of the text), about.
-SAMPLE_DOCUMENTS = 20_000
 _AT, _DOT = r" ?(?:\(at\)|\[at\]) ?", r" ?\[dot\] ?| ?\(dot\) ?| dot "
-#: Bound of the labelled sample, trees and their depth, and the least precision on held-out candidates.
-MAX_TRAIN, TREES, DEPTH, PRECISION = 20_000, 8, 3, 0.99
+#: Trees and their depth, and the least precision on held-out candidates.
+TREES, DEPTH, PRECISION = 8, 3, 0.99
 _GRID = tuple(0.5 + 0.05 * i for i in range(10))
 
 
@@ -218,31 +218,35 @@ def _tree(node):
     return (split.featureIndex(), float(split.threshold()), _tree(node.leftChild()), _tree(node.rightChild()))
 
 
-def train(documents: DataFrame, text_col: str = "text", max_train: int = MAX_TRAIN) -> Booster | None:
-    """Fits on at most max_train candidates (those with the smallest hash of their features and place) of a sample of documents."""
+def labelled(found: DataFrame) -> DataFrame:
+    """label, held, features and weight: every candidate and rewritten form of all documents (with candidates(..., fitting=True)),
+    equal ones as one row whose weight is their number, so that what is kept grows with the kinds of candidates only. A fifth is held out."""
+    rows = found.select(F.explode("_candidates").alias("c"))
+    both = F.filter(F.array(F.struct("c.label", "c.features"), F.struct(F.lit(1).alias("label"), F.col("c.rewritten").alias("features"))), lambda x: x["features"].isNotNull())
+    rows = rows.select("c.start", F.inline(both)).withColumn("held", F.pmod(F.xxhash64("features", "start"), F.lit(5)) == 0)
+    return rows.groupBy(F.col("label").cast("double").alias("label"), "held", "features").agg(F.count(F.lit(1)).cast("double").alias("weight"))
+
+
+def train(found: DataFrame, max_train: int | None = None) -> Booster | None:
+    """Fits on every candidate of all documents (with candidates(..., fitting=True)), or on max_train kinds of them, those with
+    the smallest hash, if a caller gives that."""
     from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.feature import VectorAssembler
 
-    if max_train <= 0:
-        return None
-    parts = max(1, documents.count() // SAMPLE_DOCUMENTS)
-    sample = documents.select(F.col(text_col).alias("text")).where(F.pmod(F.xxhash64("text"), F.lit(parts)) == 0)
-    rows = candidates(base_spans(sample), fitting=True).select(F.explode("_candidates").alias("c"))
-    both = F.filter(F.array(F.struct("c.label", "c.features"), F.struct(F.lit(1).alias("label"), F.col("c.rewritten").alias("features"))), lambda x: x["features"].isNotNull())
-    rows = rows.select("c.start", F.inline(both)).select(F.col("label").cast("double").alias("label"), "features", F.xxhash64("features", "start").alias("h"))
-    # a top-k: each task keeps max_train rows at most
-    rows = rows.orderBy("h", "label").limit(max_train)
-    rows = rows.select("label", "h", *[F.element_at("features", i + 1).alias(c) for i, c in enumerate(FEATURES)]).cache()
+    rows = labelled(found)
+    if max_train is not None:
+        rows = rows.orderBy(F.xxhash64("features"), "label", "held").limit(max_train)
+    rows = rows.select("label", "held", "weight", *[F.element_at("features", i + 1).alias(c) for i, c in enumerate(FEATURES)]).cache()
     try:
-        fit, held = rows.where("pmod(h, 5) > 0"), rows.where("pmod(h, 5) = 0")
+        fit, held = rows.where("not held"), rows.where("held")
         if len(fit.select("label").distinct().collect()) < 2:
             return None
         spread = VectorAssembler(inputCols=list(FEATURES), outputCol="vector")
-        model = GBTClassifier(featuresCol="vector", labelCol="label", maxIter=TREES, maxDepth=DEPTH, seed=7).fit(spread.transform(fit.coalesce(2)))
+        model = GBTClassifier(featuresCol="vector", labelCol="label", weightCol="weight", maxIter=TREES, maxDepth=DEPTH, seed=7).fit(spread.transform(fit))
         trees = [_tree(t.rootNode()) for t in model._java_obj.trees()]
         booster = Booster(trees, list(model.treeWeights), [2.0] * len(KINDS))
         p = booster.probability(F.array(*FEATURES))
-        counts = [F.count_if(F.col("p") >= t).alias(f"n{i}") for i, t in enumerate(_GRID)] + [F.sum(F.when(F.col("p") >= t, F.col("label"))).alias(f"y{i}") for i, t in enumerate(_GRID)]
+        counts = [F.sum(F.when(F.col("p") >= t, F.col("weight"))).alias(f"n{i}") for i, t in enumerate(_GRID)] + [F.sum(F.when(F.col("p") >= t, F.col("label") * F.col("weight"))).alias(f"y{i}") for i, t in enumerate(_GRID)]
         for row in held.withColumn("p", p).groupBy("kind").agg(*counts).collect():
             good = [t for i, t in enumerate(_GRID) if row[f"n{i}"] and row[f"y{i}"] >= PRECISION * row[f"n{i}"]]
             booster.thresholds[int(row["kind"])] = min(good, default=2.0)
@@ -251,19 +255,27 @@ def train(documents: DataFrame, text_col: str = "text", max_train: int = MAX_TRA
         rows.unpersist()
 
 
-def find_personal_data(documents: DataFrame, *, text_col: str = "text", max_train: int = MAX_TRAIN) -> DataFrame:
-    """Adds _base and _added (start, kind, end), both sorted, to the documents (and _text)."""
-    booster = train(documents, text_col, max_train)
+def find_personal_data(documents: DataFrame, *, text_col: str = "text", max_train: int | None = None, store: bool = False) -> DataFrame:
+    """Adds _base and _added (start, kind, end), both sorted, to the documents (and _text). store: candidates are written once
+    with the documents and read again to be scored, else they are found twice."""
     based = base_spans(documents, text_col)
     kind_of = "array<struct<start:int,kind:int,end:int>>"
+    booster, found = None, based
+    if max_train is None or max_train > 0:
+        found = candidates(based, fitting=True)
+        if store:
+            spark = documents.sparkSession
+            found.drop("_text").write.parquet(path := shared_path(spark, "personal-data"))
+            found = spark.read.parquet(path).withColumn("_text", F.coalesce(F.col(text_col), F.lit("")))
+        booster = train(found, max_train)
     if booster is None:
-        return based.withColumn("_added", F.array().cast(kind_of))
+        return found.drop("_candidates").withColumn("_added", F.array().cast(kind_of))
     limits = F.array(*[F.lit(t) for t in booster.thresholds])
     scored = F.transform(
         F.filter("_candidates", lambda c: c["free"]),
         lambda c: F.struct(booster.probability(c["features"]).alias("p"), c["start"].alias("start"), c["kind"].alias("kind"), c["end"].alias("end")),
     )
-    df = candidates(based).withColumn("_scored", F.filter(scored, lambda c: c["p"] >= F.element_at(limits, c["kind"] + 1)))
+    df = (found if store else candidates(based)).withColumn("_scored", F.filter(scored, lambda c: c["p"] >= F.element_at(limits, c["kind"] + 1)))
 
     def best(c: Column) -> Column:
         rank = lambda x: F.struct(x["p"], -x["start"], -x["kind"], x["end"])
@@ -283,15 +295,15 @@ def spans_text(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.element_at(names, s["kind"] + 1), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def personal_data(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", max_train: int = MAX_TRAIN) -> DataFrame:
+def personal_data(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", max_train: int | None = None) -> DataFrame:
     """Per document: id, n_email, n_ip, n_card, n_phone (base spans), base_sha256, spans (base and added)."""
-    found = find_personal_data(documents.select(F.col(id_col), F.col(text_col)), text_col=text_col, max_train=max_train)
+    found = find_personal_data(documents.select(F.col(id_col), F.col(text_col)), text_col=text_col, max_train=max_train, store=True)
     counts = [F.size(F.filter("_base", partial(_of_kind, i))).cast("long").alias(f"n_{k}") for i, k in enumerate(KINDS)]
     every = F.array_sort(F.concat("_base", "_added"))
     return found.select(F.col(id_col), *counts, F.sha2(spans_text(F.col("_base")), 256).alias("base_sha256"), spans_text(every).alias("spans"))
 
 
-def redact(documents: DataFrame, *, text_col: str = "text", max_train: int = MAX_TRAIN) -> DataFrame:
+def redact(documents: DataFrame, *, text_col: str = "text", max_train: int | None = None) -> DataFrame:
     """The documents with every span replaced by its kind in angle brackets; other columns stay. A null text stays null."""
     found = find_personal_data(documents, text_col=text_col, max_train=max_train)
     names = F.array(*[F.lit(f"<{k}>") for k in KINDS])

@@ -27,3 +27,12 @@ def test_written_out_forms_are_added(spark, sf_dir):
     got = [bool(r["spans"]) for r in found]
     assert sum(got[: len(forms)]) >= 0.75 * len(forms), got
     assert not any(got[len(forms) :]), got
+
+
+def test_every_candidate_counts(spark):
+    docs = spark.range(30_000).selectExpr("id doc_id", "concat('mail to a', id % 7, '@b.org, code 300.1.2.', id % 3) text")
+    found = pii.candidates(pii.base_spans(docs), fitting=True)
+    n = found.selectExpr("size(_candidates) + size(filter(_candidates, x -> x.rewritten is not null)) n").groupBy().sum("n").first()[0]
+    rows = pii.labelled(found)
+    assert rows.groupBy().sum("weight").first()[0] == n > 50_000 and rows.count() < 100
+    assert pii.train(found).trees
