@@ -19,12 +19,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import bound_batches  # noqa: F401
+
 #: The separators of `[^\x20\x09-\x0D]+`.
 SPACES = b"\t\n\v\f\r "
 #: About this many bytes of text are worked on at once.
 SLICE_BYTES = 1 << 18
-#: Bytes of an Arrow batch.
-BATCH_BYTES = 4 << 20
 #: Rows up to which a table of numbers (up to some 32 bytes each) is broadcast; longer ones are joined by shuffle.
 BROADCAST_ROWS = 500_000
 
@@ -48,19 +48,6 @@ def write_table(df: DataFrame, path: str) -> None:
     df.write.option("parquet.block.size", 16 << 20).option("parquet.enable.dictionary", False).parquet(path)
 
 
-def bound_batches(spark: SparkSession, limit: int = BATCH_BYTES) -> None:
-    """From now on, Arrow batches of this session hold `limit` bytes at most, or one row: texts can be long, and a task
-    holds several batches on either side."""
-    key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if not 0 < _bytes(spark.conf.get(key)) <= limit:
-        spark.conf.set(key, limit)
-
-
-def _bytes(text: str) -> int:
-    digits = text.rstrip("bBkKmMgG")
-    return int(digits) << {"k": 10, "m": 20, "g": 30}.get(text[len(digits) :].lower().rstrip("b"), 0)
-
-
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write a table to the shared folder and read it back, which cuts the lineage."""
     path = shared_path(df.sparkSession, name)

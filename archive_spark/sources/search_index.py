@@ -33,6 +33,7 @@ from ..functions import text as tx
 from ..operators import scoring
 from ..operators.retrieval import BROADCAST_ROWS, best, hit_schema, small
 from ..operators.scoring import K1, B
+from ..session import bound_batches
 
 BUCKETS, CHUNK_DOCS = 32, 256
 #: Documents whose blocks a task makes, and pairs of query and posting that a task scores, about.
@@ -93,6 +94,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def write_index(docs: DataFrame, path: str, chunk_docs: int = CHUNK_DOCS) -> Index:
     """docs: id (unique), text. A document without terms counts in the averages and is in no block."""
     spark = docs.sparkSession
+    bound_batches(spark)
     kind = docs.schema["id"].dataType
     types = T.StructType([T.StructField("id", kind), T.StructField("dl", T.IntegerType()), T.StructField("words", T.ArrayType(T.StringType())), T.StructField("tfs", T.ArrayType(T.IntegerType()))])
     docs.select("id", tx.terms(F.col("text")).alias("terms")).mapInArrow(_count, types).write.parquet(f"{path}/counts")
@@ -169,6 +171,7 @@ def _by_chunks(index: Index, terms: DataFrame, rows: int, postings: int, k: int,
     """Scores made chunk by chunk: the blocks of the terms are dealt by chunk as they are, and each task sends the best k of each query.
 
     Allowed documents come to their chunk as rows without a term."""
+    bound_batches(index.spark)
     types = [to_arrow_type(f.dataType) for f in schema]
     given = scoring.asked(terms.select("query_id", "term", "idf", "avgdl").collect(), types[0])
     blocks, restricted = _postings(index, terms, rows).select("chunk", "term", "ids", "tfs", "dls"), allowed is not None

@@ -28,6 +28,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from ..operators.retrieval import _top, _unit, best
+from ..session import bound_batches
 
 #: Numbers in the sample that centroids are fitted to (about 31,000 vectors of 64), and in all centroids together.
 SAMPLE_NUMBERS, CENTROID_NUMBERS = 2_000_000, 2_000_000
@@ -220,6 +221,7 @@ def vector_search(queries: DataFrame, index: VectorIndex, k: int, probes: int |
     """queries: query_id (one row each), vector. query_id, id, score, rank as retrieval.vector_topk gives them; queries without a cosine have no row.
 
     With exact, cells beyond the probed ones are read where their angles do not rule them out."""
+    bound_batches(index.spark)  # a pair of blocks is some 0.5 MB, so thousands in a batch would be gigabytes
     n = queries.count()
     probes = probes or index.probes
     first = _near(queries, index, probes).withColumn("floor", F.lit(-2.0))

@@ -73,3 +73,14 @@ def test_awkward_vectors(spark, tmp_path):
     assert _rows(vector_index.vector_search(queries, i, 5, exact=True)) == want and len(want) == 3
     empty = vector_index.write_vector_index(vectors.where("id = 77"), f"file://{tmp_path}/empty")
     assert vector_index.vector_search(queries, empty, 5, exact=True).count() == 0
+
+
+def test_batches_of_pairs_are_bounded(spark, tables, index):
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.unset(key)
+    try:
+        got = _rows(vector_index.vector_search(tables[0], index, 3, 1))
+        assert 0 < int(spark.conf.get(key)) <= 4 << 20 and got
+    finally:
+        spark.conf.set(key, before)
