@@ -36,7 +36,7 @@ def ingest_summary(identities: DataFrame) -> DataFrame:
 def reading_order(items: DataFrame, drop_chrome: bool = True) -> DataFrame:
     """Page ascending, top descending, then source position; page headers and footers and blank items go."""
     kept = items.where(~F.col("label").isin("PAGE_HEADER", "PAGE_FOOTER")) if drop_chrome else items
-    kept = kept.withColumn("text", F.trim(tx.squeeze(F.col("text")))).where("text <> ''")
+    kept = kept.where(~tx.is_blank(F.col("text"))).withColumn("text", F.trim(tx.squeeze(F.col("text"))))
     return kept.withColumn("ord", F.row_number().over(Window.partitionBy("file_id").orderBy("page_no", F.desc("top"), "pos")))
 
 
@@ -44,17 +44,27 @@ def headings(items: DataFrame, levels: list[int] | None = None) -> DataFrame:
     """The active headings of each item, ascending by level: a heading of level k ends those of level k and more.
 
     Any level counts (null and less than 1 as 1). The levels that occur are read from the items, unless given."""
+    if levels is None:  # those of blank headings too, which give nothing
+        levels = heading_levels(items)
     return with_headings(reading_order(items), levels).select("file_id", "ord", "page_no", "text", "headings")
 
 
+def _heading_level() -> Column:
+    return F.when(F.col("label").isin("SECTION_HEADER", "TITLE"), F.greatest("level", F.lit(1)))
+
+
+def heading_levels(items: DataFrame) -> list[int]:
+    """The levels that occur, ascending."""
+    return sorted(r["lv"] for r in items.select(_heading_level().alias("lv")).where("lv is not null").distinct().collect())
+
+
 def with_headings(ordered: DataFrame, levels: list[int] | None = None) -> DataFrame:
     """Ordered items (file_id, ord, label, level, text and others) other than headings and titles, with their headings."""
-    level = F.when(F.col("label").isin("SECTION_HEADER", "TITLE"), F.greatest("level", F.lit(1)))
     if levels is None:
-        levels = sorted(r["lv"] for r in ordered.select(level.alias("lv")).where("lv is not null").distinct().collect())
+        levels = heading_levels(ordered)
     w = Window.partitionBy("file_id").orderBy("ord")
     before = w.rowsBetween(Window.unboundedPreceding, -1)
-    df = ordered.withColumn("lv", level)
+    df = ordered.withColumn("lv", _heading_level())
     columns = {}
     for k in levels:
         columns[f"h{k}"] = F.last(F.when(F.col("lv") == k, F.struct("ord", "text")), True).over(before)

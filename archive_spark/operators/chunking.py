@@ -10,53 +10,85 @@ from pyspark.sql.types import ArrayType, IntegerType
 from ..functions import text as tx
 
 #: A token with the blanks before it, to cut a long sentence without losing text.
-_PIECE = rf"\s*(?:{tx.TOKEN})"
+_PIECE = rf"\s*+(?:{tx.TOKEN})"
+
+
+#: A part of an item with its tokens.
+_PART = "struct<text:string,n:int>"
+
+
+def _part(text: Column, n: Column) -> Column:
+    return F.struct(text.alias("text"), n.alias("n")).cast(_PART)
 
 
 def _hard_cuts(sentence: Column, budget: Column) -> Column:
-    pieces = F.regexp_extract_all(sentence, F.lit(_PIECE), 0)
-    n = F.ceil(F.size(pieces) / budget).cast("int")
-    return F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.array_join(F.slice(pieces, i * budget + 1, budget), ""))
+    """The pieces are found once, however many cuts there are, in time linear in the sentence."""
 
+    def cuts(pieces: Column) -> Column:
+        size = F.size(pieces)
 
-def pack_sentences(sentences: Column, budget: Column) -> Column:
-    """Greedy packing joined by newlines; a sentence over the budget is cut by tokens."""
-    kind = "struct<out:array<string>,buf:string,n:int>"
-    begin = F.struct(F.array().cast("array<string>").alias("out"), F.lit("").alias("buf"), F.lit(0).alias("n")).cast(kind)
+        def cut(i: Column) -> Column:
+            end = F.least((i + 1) * budget, size)
+            own = F.transform(F.sequence(i * budget, end - 1), lambda k: F.get(pieces, k))
+            return _part(F.array_join(own, ""), end - i * budget)
 
-    def step(a: Column, x: Column) -> Column:
-        c = tx.token_count(x)
-        flushed = F.when(a["n"] > 0, F.concat(a["out"], F.array(a["buf"]))).otherwise(a["out"])
-        cut = F.struct(F.concat(flushed, _hard_cuts(x, budget)).alias("out"), F.lit("").alias("buf"), F.lit(0).alias("n"))
+        return F.transform(F.sequence(F.lit(0), F.ceil(size / budget).cast("int") - 1), cut)
+
+    return tx.let(F.regexp_extract_all(sentence, F.lit(_PIECE), 0), cuts)
+
+
+def pack_counted(sentences: Column, budget: Column) -> Column:
+    """Greedy packing joined by newlines, with tokens; a sentence over the budget is cut by tokens. Each sentence is counted once, before the fold."""
+    kind = f"struct<out:array<{_PART}>,buf:string,n:int>"
+    begin = F.struct(F.array().cast(f"array<{_PART}>").alias("out"), F.lit("").alias("buf"), F.lit(0).alias("n")).cast(kind)
+    counted = F.transform(sentences, lambda x: F.struct(x.alias("x"), tx.token_count(x).alias("n")))
+
+    def flush(a: Column) -> Column:
+        return F.when(a["n"] > 0, F.concat(a["out"], F.array(_part(a["buf"], a["n"])))).otherwise(a["out"])
+
+    def step(a: Column, s: Column) -> Column:
+        x, c = s["x"], s["n"]
+        cut = F.struct(F.concat(flush(a), _hard_cuts(x, budget)).alias("out"), F.lit("").alias("buf"), F.lit(0).alias("n"))
         more = F.struct(a["out"].alias("out"), F.when(a["n"] > 0, F.concat_ws("\n", a["buf"], x)).otherwise(x).alias("buf"), (a["n"] + c).alias("n"))
-        fresh = F.struct(flushed.alias("out"), x.alias("buf"), c.alias("n"))
+        fresh = F.struct(flush(a).alias("out"), x.alias("buf"), c.alias("n"))
         return F.when(c > budget, cut).when(a["n"] + c <= budget, more).otherwise(fresh).cast(kind)
 
-    return F.aggregate(sentences, begin, step, lambda a: F.when(a["n"] > 0, F.concat(a["out"], F.array(a["buf"]))).otherwise(a["out"]))
+    return F.aggregate(counted, begin, step, flush)
 
 
-def split_items(items: DataFrame, max_tokens: int, extra_terminators: str = "") -> DataFrame:
-    """Items over the budget become parts; headings count, and are dropped where they leave no room."""
+def pack_sentences(sentences: Column, budget: Column) -> Column:
+    return F.transform(pack_counted(sentences, budget), lambda p: p["text"])
+
+
+def _counted_parts(items: DataFrame, max_tokens: int, extra_terminators: str = "") -> DataFrame:
+    """The parts of split_items with their tokens."""
     df = items.withColumns({"h": tx.token_count(F.array_join("headings", "\n")), "t": tx.token_count(F.col("text"))})
     drop = (F.col("h") + F.col("t") > max_tokens) & (F.col("h") >= max_tokens)
     df = df.withColumns({"headings": F.when(drop, F.array().cast("array<string>")).otherwise(F.col("headings")), "h": F.when(drop, 0).otherwise(F.col("h"))})
-    packed = pack_sentences(tx.sentences(F.col("text"), extra_terminators), F.lit(max_tokens) - F.col("h"))
-    parts = F.when(F.col("h") + F.col("t") <= max_tokens, F.array("text")).otherwise(packed)
-    return df.select("file_id", "ord", "page_no", "headings", "h", F.posexplode(parts).alias("part", "text"))
+    packed = pack_counted(tx.sentences(F.col("text"), extra_terminators), F.lit(max_tokens) - F.col("h"))
+    parts = F.when(F.col("h") + F.col("t") <= max_tokens, F.array(_part(F.col("text"), F.col("t")))).otherwise(packed)
+    return df.select("file_id", "ord", "page_no", "headings", "h", F.posexplode(parts).alias("part", "p")).select("file_id", "ord", "page_no", "headings", "h", "part", F.col("p.text").alias("text"), F.col("p.n").alias("n"))
+
+
+def split_items(items: DataFrame, max_tokens: int, extra_terminators: str = "") -> DataFrame:
+    """Items over the budget become parts; headings count, and are dropped where they leave no room."""
+    return _counted_parts(items, max_tokens, extra_terminators).drop("n")
 
 
 def merge_peers(parts: DataFrame, max_tokens: int) -> DataFrame:
-    """Neighbours with equal headings merge while they fit; one fold for each run of equal headings."""
+    """Neighbours with equal headings merge while they fit; one fold for each run of equal headings. parts: with their tokens n, or these are counted."""
+    if "n" not in parts.columns:
+        parts = parts.withColumn("n", tx.token_count(F.col("text")))
     w = Window.partitionBy("file_id").orderBy("ord", "part")
     before = F.lag("headings").over(w)
     runs = parts.withColumn("new", (before.isNull() | (before != F.col("headings"))).cast("int")).withColumn("run", F.sum("new").over(w))
-    rows = runs.groupBy("file_id", "run").agg(F.first("headings").alias("headings"), F.first("h").alias("h"), F.array_sort(F.collect_list(F.struct("ord", "part", "page_no", "text"))).alias("rows"))
+    rows = runs.groupBy("file_id", "run").agg(F.first("headings").alias("headings"), F.first("h").alias("h"), F.array_sort(F.collect_list(F.struct("ord", "part", "page_no", "text", "n"))).alias("rows"))
     chunk = "struct<ord:int,page_no:int,last_page:int,text:string,n:int>"
     kind = f"struct<out:array<{chunk}>,cur:{chunk}>"
     begin = F.struct(F.array().cast(f"array<{chunk}>").alias("out"), F.lit(None).cast(chunk).alias("cur")).cast(kind)
 
     def step(a: Column, x: Column) -> Column:
-        c = tx.token_count(x["text"])
+        c = x["n"]
         one = F.struct(x["ord"].alias("ord"), x["page_no"].alias("page_no"), x["page_no"].alias("last_page"), x["text"].alias("text"), c.alias("n")).cast(chunk)
         cur = a["cur"]
         both = F.struct(cur["ord"].alias("ord"), cur["page_no"].alias("page_no"), x["page_no"].alias("last_page"), F.concat_ws("\n", cur["text"], x["text"]).alias("text"), (cur["n"] + c).alias("n")).cast(chunk)
@@ -70,10 +102,10 @@ def merge_peers(parts: DataFrame, max_tokens: int) -> DataFrame:
 
 
 def semantic_chunks(items: DataFrame, max_tokens: int = 512, merge: bool = True) -> DataFrame:
-    parts = split_items(items, max_tokens)
+    parts = _counted_parts(items, max_tokens)
     if merge:
         return merge_peers(parts, max_tokens)
-    return parts.withColumns({"n_tokens": tx.token_count(F.col("text")), "last_page": F.col("page_no")})
+    return parts.withColumnRenamed("n", "n_tokens").withColumn("last_page", F.col("page_no"))
 
 
 @F.pandas_udf(ArrayType(IntegerType()))

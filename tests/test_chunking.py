@@ -69,3 +69,19 @@ def test_chunks(spark, sf_dir, limit):
     assert rows(chunking.split_items(items, limit)) == want
     merged = merge(want, limit)
     assert rows(chunking.semantic_chunks(items, limit)) == merged and len(merged) <= len(want)
+
+
+def test_a_long_sentence_is_searched_once(spark):
+    text = " ".join(f"w{i % 97} ," if i % 5 else "é一" for i in range(20_000))
+    items = spark.createDataFrame([("x", 1, 1, text, ["h"]), ("x", 2, 2, "end", ["h"])], "file_id string, ord int, page_no int, text string, headings array<string>")
+    want = split([r.asDict() for r in items.collect()], 6)
+    chunks = chunking.semantic_chunks(items, 6)
+    assert rows(chunks) == merge(want, 6) and len(want) > 5000
+    # headings, whole texts, sentences and the pieces of a long one; nothing is counted again for each cut or merge
+    assert chunks._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") == 4
+
+
+def test_levels_of_blank_headings(spark):
+    rows_ = [("x", 0, "TITLE", 3, "\u3000", 1, 9.0), ("x", 1, "SECTION_HEADER", 1, "A", 1, 8.0), ("x", 2, "TEXT", 0, " \u00a0", 1, 7.0), ("x", 3, "TEXT", 0, " a\tb ", 1, 6.0), ("x", 4, "TEXT", 0, None, 1, 5.0)]
+    items = spark.createDataFrame(rows_, "file_id string, pos int, label string, level int, text string, page_no int, top double")
+    assert [tuple(r) for r in archive.headings(items).collect()] == [("x", 2, 1, "a b", ["A"])]
