@@ -8,8 +8,9 @@ hashes. Two sets link when 100 * |intersection| >= 75 * |union|. Results are con
    prefixes.
 2. A set's prefix is its first n - ceil(0.75 n) + 1 shingles in that order; linked sets share a prefix shingle. Sets
    with identical prefixes and sizes collapse into one group, for which its set of smallest fingerprint stands; copies
-   have one fingerprint anyway.
-3. Prefix entries of groups meet by shingle in buckets of packed arrays. Lists are sorted by position; pairs are filtered
+   have one fingerprint anyway. From here on a set's node is its group if it stands for it, else its fingerprint.
+3. Prefix entries of groups meet by shingle in buckets of packed arrays. An entry names its group only, and its shingle by
+   32 bits within the bucket: shingles taken for one another give more candidates, never fewer. Lists are sorted by position; pairs are filtered
    by size and by the positions of the shared shingle. A short list gives all its pairs; a long one only a star, and is
    kept. A shingle that is hot by the sketch is thinned to one entry for each group and task before the shuffle.
 4. The sets of all candidates are read once and written with a bit set of each: a shingle flips one bit, so two sets
@@ -162,26 +163,32 @@ def _sketch(measured: DataFrame) -> np.ndarray:
     return out.reshape(-1)
 
 
-# Kinds of packed rows, and of candidates.
-_ENTRIES, _STAR, _OTHER, _LIST, _MEMBER = range(5)
-#: Columns of an entry: shingle, group, fingerprint of the set, its size, and its entries from the shared shingle on.
-_WIDTHS = ("<u8", "<i8", "<i8", "<u4", "<u4")
+# Kinds of packed rows, and of candidates. _GROUP: a group (a) and the fingerprint that stands for it (b).
+_ENTRIES, _STAR, _OTHER, _LIST, _MEMBER, _GROUP = range(6)
+#: Columns of packed rows. Entries: low bits of the shingle's name, group, size of the set, position of the shingle. Stars: two
+#: groups. Lists: name, group, size, entries from the shingle on. Members: group, fingerprint, size.
+_WIDTHS = {_ENTRIES: ("<u4", "<i8", "<u4", "<u4"), _STAR: ("<i8", "<i8"), _LIST: ("<u8", "<i8", "<u4", "<u4"), _MEMBER: ("<i8", "<i8", "<u4")}
 
 
-def _pack(*columns) -> bytes:
+def _pack(kind: int, *columns) -> bytes:
     # byte by byte, so that the high bytes of small numbers lie together and compress to nothing
-    return b"".join(np.asarray(c).astype(w, copy=False).view(np.uint8).reshape(len(c), -1).T.tobytes() for c, w in zip(columns, _WIDTHS))
+    return b"".join(np.asarray(c).astype(w, copy=False).view(np.uint8).reshape(len(c), -1).T.tobytes() for c, w in zip(columns, _WIDTHS[kind]))
 
 
-def _unpack(raw: bytes) -> tuple[np.ndarray, ...]:
-    n, out, at = len(raw) // 32, [], 0
-    for kind in _WIDTHS:
-        width = int(kind[2])
-        out.append(np.ascontiguousarray(np.frombuffer(raw, dtype=np.uint8, count=n * width, offset=at).reshape(width, n).T).view(kind).reshape(n))
+def _unpack(kind: int, raw: bytes) -> tuple[np.ndarray, ...]:
+    widths = [int(w[2]) for w in _WIDTHS[kind]]
+    n, out, at = len(raw) // sum(widths), [], 0
+    for w, width in zip(_WIDTHS[kind], widths):
+        out.append(np.ascontiguousarray(np.frombuffer(raw, dtype=np.uint8, count=n * width, offset=at).reshape(width, n).T).view(w).reshape(n))
         at += n * width
     return tuple(out)
 
 
+def _names(shingles: np.ndarray, buckets: int) -> np.ndarray:
+    """Names of shingles: the bucket, then 32 bits."""
+    return (shingles % np.uint64(buckets)) << np.uint64(32) | shingles >> np.uint64(32)
+
+
 def possible(n1, rest1, n2, rest2):
     """Size and position filters; rest: entries of the set from the shared one on."""
     need = least_overlap(n1.astype(np.int64), n2.astype(np.int64))
@@ -232,7 +239,7 @@ def _deal(sketch, text_col: str, buckets: int, hot: float):
             token = np.concatenate([h[0] for h in held])
             group, fp, n = (np.array([h[k] for h in held], dtype=np.int64) for k in (1, 2, 3))
             members = (group, fp, n)
-            group, fp, n = (np.repeat(x, lengths) for x in members)
+            group, n = np.repeat(group, lengths), np.repeat(n, lengths)
             rest = n - (np.arange(len(token)) - np.repeat(np.cumsum(lengths) - lengths, lengths))
 
             def send(kind: int, where: np.ndarray, *columns: np.ndarray) -> None:
@@ -241,20 +248,19 @@ def _deal(sketch, text_col: str, buckets: int, hot: float):
                 edges = np.searchsorted(where[order], np.arange(buckets + 1))
                 for b in np.flatnonzero(np.diff(edges)).tolist():
                     at = order[edges[b] : edges[b + 1]]
-                    rows.append((b, kind, _pack(*(c[at] for c in columns))))
+                    rows.append((b, kind, _pack(kind, *(c[at] for c in columns))))
 
             is_hot = counts[(token >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)] > hot
+            token = _names(token, buckets)
             if is_hot.any():
-                t, g, f, m, r, head, _ = _lists(*(x[is_hot] for x in (token, group, fp, n, rest)))
-                a, b = star_pairs(f, m, r, head)
-                zero = np.zeros(len(a), dtype=np.int64)
-                send(_STAR, a, zero, a, b, zero, zero)
-                send(_LIST, f, t, g, f, m, r)
+                t, g, _, m, r, head, _ = _lists(*(x[is_hot] for x in (token, group, group, n, rest)))
+                a, b = star_pairs(g, m, r, head)
+                send(_STAR, a, a, b)
+                send(_LIST, g, t, g, m, r)
                 first = np.flatnonzero(np.arange(len(head)) == head)
-                token, group, fp, n, rest = (np.concatenate((x[~is_hot], y[first])) for x, y in zip((token, group, fp, n, rest), (t, g, f, m, r)))
-            send(_ENTRIES, token, token, group, fp, n, rest)
-            zero = np.zeros(len(members[0]), dtype=np.int64)
-            send(_MEMBER, members[0], zero, *members, zero)
+                token, group, n, rest = (np.concatenate((x[~is_hot], y[first])) for x, y in zip((token, group, n, rest), (t, g, m, r)))
+            send(_ENTRIES, token >> np.uint64(32), token & np.uint64(0xFFFFFFFF), group, n, n - rest)
+            send(_MEMBER, members[0], *members)
             held.clear()
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.binary())], names=["bucket", "kind", "data"])
 
@@ -280,7 +286,7 @@ def _deal(sketch, text_col: str, buckets: int, hot: float):
 
 
 def _meet(short: int):
-    """Candidates of one bucket: pairs (a, b), or entries of long lists (a: the set) with token, n and rest."""
+    """Candidates of one bucket: pairs of nodes (a, b), or entries of long lists (a: the node) with token, n and rest; and its groups."""
 
     def run(table: pa.Table) -> pa.Table:
         packed: dict[int, list[bytes]] = {}
@@ -293,11 +299,13 @@ def _meet(short: int):
             columns.append((np.full(len(a), kind, dtype=np.int32), a, b, *(zero if x is None else x.astype(np.int64) for x in (token, n, rest))))
 
         def read(kind: int) -> tuple[np.ndarray, ...]:
-            return tuple(np.concatenate(c) for c in zip(*map(_unpack, packed[kind])))
+            return tuple(np.concatenate(c) for c in zip(*(_unpack(kind, x) for x in packed[kind])))
 
         if _ENTRIES in packed:
-            token, _, fp, n, rest, head, size = _lists(*read(_ENTRIES))
-            add(_STAR, *star_pairs(fp, n, rest, head))
+            low, group, n, position = read(_ENTRIES)
+            token = np.uint64(table.column("bucket")[0].as_py() << 32) | low.astype(np.uint64)
+            token, node, _, n, rest, head, size = _lists(token, group, group, n, n - position)
+            add(_STAR, *star_pairs(node, n, rest, head))
             found = []
             for step in range(1, short):  # all other pairs of short lists
                 i = np.flatnonzero((head[:-step] == head[step:]) & (size[step:] <= short)) if len(head) > step else []
@@ -305,25 +313,26 @@ def _meet(short: int):
                     break
                 j = i + step
                 ok = possible(n[i], rest[i], n[j], rest[j])
-                found.append((fp[i[ok]], fp[j[ok]]))
+                found.append((node[i[ok]], node[j[ok]]))
             if found:
                 add(_OTHER, *_distinct(*(np.concatenate(c) for c in zip(*found))))
             long = size > short
-            add(_LIST, fp[long], fp[long], token[long].view(np.int64), n[long], rest[long])
+            add(_LIST, node[long], node[long], token[long].view(np.int64), n[long], rest[long])
         if _LIST in packed:
-            token, _, fp, n, rest = read(_LIST)
-            add(_LIST, fp, fp, token.view(np.int64), n, rest)
+            token, node, n, rest = read(_LIST)
+            add(_LIST, node, node, token.view(np.int64), n, rest)
         if _STAR in packed:
-            _, a, b, _, _ = read(_STAR)
-            add(_STAR, *_distinct(a, b))
-        if _MEMBER in packed:  # members of a group with the one that stands for it, if there are others
-            _, group, fp, n, _ = read(_MEMBER)
+            add(_STAR, *_distinct(*read(_STAR)))
+        if _MEMBER in packed:  # which set stands for a group, and its other members, if there are any
+            group, fp, n = read(_MEMBER)
             order = np.lexsort((fp, group))
             group, fp, n = group[order], fp[order], n[order]
-            first = np.maximum.accumulate(np.where(np.concatenate(([True], group[1:] != group[:-1])), np.arange(len(group)), 0))
+            begins = np.concatenate(([True], group[1:] != group[:-1]))
+            first = np.maximum.accumulate(np.where(begins, np.arange(len(group)), 0))
             other = fp != fp[first]
             other[1:] &= fp[1:] != fp[:-1]
-            add(_MEMBER, fp[first][other], fp[other], None, n[other])
+            add(_GROUP, group[begins], fp[begins])
+            add(_MEMBER, group[other], fp[other], None, n[other])
         names = ["kind", "a", "b", "token", "n", "rest"]
         return pa.table({name: pa.array(np.concatenate(c) if c else [], pa.int32() if name == "kind" else pa.int64()) for name, c in zip(names, zip(*columns) if columns else [()] * 6)})
 
@@ -332,9 +341,9 @@ def _meet(short: int):
 
 def _passing(pairs: DataFrame, sets: DataFrame, column: str, test) -> DataFrame:
     """The pairs (a, b) whose two values of a column pass. pairs: no pair twice."""
-    ends = pairs.select("a", "b", F.explode(F.array("a", "b")).alias("fp"))
-    value = lambda end: F.max(F.when(F.col("fp") == F.col(end), F.col(column)))
-    both = sets.select("fp", column).join(ends, "fp").groupBy("a", "b").agg(value("a").alias("x"), value("b").alias("y"))
+    ends = pairs.select("a", "b", F.explode(F.array("a", "b")).alias("node"))
+    value = lambda end: F.max(F.when(F.col("node") == F.col(end), F.col(column)))
+    both = sets.select("node", column).join(ends, "node").groupBy("a", "b").agg(value("a").alias("x"), value("b").alias("y"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -382,26 +391,26 @@ def _with_root(df: DataFrame, roots: DataFrame, *columns: str) -> DataFrame:
 
 
 def _across(scratch: Scratch, entries: DataFrame, sets: DataFrame, block: int) -> DataFrame:
-    """Pairs (a, b) of long lists' entries (token, fp, n, rest, r_fp) with different roots that sizes, positions and bit sets let pass.
+    """Pairs (a, b) of long lists' entries (token, node, n, rest, r_node) with different roots that sizes, positions and bit sets let pass.
 
     In each list, the entries outside its largest component are held against all. Both are dealt into blocks by hash, and
     each block of the one meets each block of the other in a group of its own."""
-    sizes = entries.groupBy("token", "r_fp").agg(F.count(F.lit(1)).alias("size"))
-    lists = sizes.groupBy("token").agg(F.max_by("r_fp", F.struct("size", "r_fp")).alias("main"), F.max("size").alias("most"), F.sum("size").alias("size")).where("most < size")
+    sizes = entries.groupBy("token", "r_node").agg(F.count(F.lit(1)).alias("size"))
+    lists = sizes.groupBy("token").agg(F.max_by("r_node", F.struct("size", "r_node")).alias("main"), F.max("size").alias("most"), F.sum("size").alias("size")).where("most < size")
     blocks = lambda c: F.ceil(c / block).cast("int")
     lists = lists.select("token", "main", blocks(F.col("size") - F.col("most")).alias("rows"), blocks(F.col("size")).alias("columns"))
     mixed = entries.join(scratch.small(lists, "mixed-lists"), "token")
-    own = lambda c: F.pmod(F.xxhash64("fp", F.lit(c)), F.col(c)).cast("int")
+    own = lambda c: F.pmod(F.xxhash64("node", F.lit(c)), F.col(c)).cast("int")
     every = lambda c: F.sequence(F.lit(0), F.col(c) - 1)
     place = lambda side, i, j: F.struct(F.lit(side).alias("side"), i.alias("i"), j.alias("j"))
     major = F.transform(every("rows"), lambda i: place(0, i, own("columns")))
-    minor = F.when(F.col("r_fp") != F.col("main"), F.transform(every("columns"), lambda j: place(1, own("rows"), j))).otherwise(F.array().cast("array<struct<side:int,i:int,j:int>>"))
-    wanted = scratch.small(mixed.select("fp").distinct(), "mixed-sets")
-    dealt = mixed.join(sets.select("fp", "bits").join(wanted, "fp"), "fp").select("token", "fp", "n", "rest", "r_fp", "bits", F.inline(F.concat(major, minor)))
+    minor = F.when(F.col("r_node") != F.col("main"), F.transform(every("columns"), lambda j: place(1, own("rows"), j))).otherwise(F.array().cast("array<struct<side:int,i:int,j:int>>"))
+    wanted = scratch.small(mixed.select("node").distinct(), "mixed-sets")
+    dealt = mixed.join(sets.select("node", "bits").join(wanted, "node"), "node").select("token", "node", "n", "rest", "r_node", "bits", F.inline(F.concat(major, minor)))
     dealt = dealt.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j")
 
     def pairs_of(table: pa.Table) -> np.ndarray:
-        fp, n, rest, root, side = (table.column(c).to_numpy() for c in ("fp", "n", "rest", "r_fp", "side"))
+        node, n, rest, root, side = (table.column(c).to_numpy() for c in ("node", "n", "rest", "r_node", "side"))
         bits = table.column("bits").to_pylist()
         short = np.stack([_folded(np.frombuffer(x, dtype="<u8")[1:], LEAST_BITS // 64) for x in bits])
         major, out = np.flatnonzero(side == 0), []
@@ -409,7 +418,7 @@ def _across(scratch: Scratch, entries: DataFrame, sets: DataFrame, block: int) -
             j = major[(root[major] != root[i]) & possible(n[major], rest[major], n[i : i + 1], rest[i : i + 1])]
             total = n[j] + n[i]
             j = j[(100 + PERCENT) * (total - np.bitwise_count(short[j] ^ short[i]).sum(axis=1, dtype=np.int64)) >= 2 * PERCENT * total]
-            out += [(fp[i], fp[k]) for k in j.tolist() if near(bits[i], bits[k])]
+            out += [(node[i], node[k]) for k in j.tolist() if near(bits[i], bits[k])]
         return np.array(out, dtype=np.int64).reshape(-1, 2)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -441,20 +450,22 @@ def _across(scratch: Scratch, entries: DataFrame, sets: DataFrame, block: int) -
     return dealt.mapInArrow(give_back(run), "a long, b long")
 
 
-def _candidate_sets(scratch: Scratch, base: DataFrame, measured: DataFrame, found: DataFrame) -> DataFrame:
-    """fp, bits, items of the sets that occur in candidates, as a table. Each is read from one document that has it, which
-    is known by id and the hash of its text, so that null and repeated ids do no harm."""
-    nodes = scratch.small(found.select(F.explode(F.array("a", "b")).alias("fp")).distinct(), "candidate-sets")
-    owners = measured.where("part is null").join(nodes, "fp", "left_semi").groupBy("fp").agg(F.min(F.struct("th", "id")).alias("o"))
-    owners = scratch.small(owners.select("fp", F.col("o.th").alias("owner_th"), F.col("o.id").alias("owner_id")), "set-owners")
-    texts = base.join(owners, (F.col("th") == F.col("owner_th")) & F.col("id").eqNullSafe(F.col("owner_id"))).select("text", "fp")
+def _candidate_sets(scratch: Scratch, base: DataFrame, measured: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """node, bits, items of the sets that occur in candidates, and node, fp of each, as tables. Each set is read from one document
+    that has it, which is known by id and the hash of its text, so that null and repeated ids do no harm."""
+    ends = found.where(F.col("kind") != _GROUP).select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    standing = found.where(F.col("kind") == _GROUP).select(F.col("a").alias("node"), F.col("b").alias("fp"))
+    nodes = scratch.small(ends.join(standing, "node", "left").select("node", F.coalesce("fp", "node").alias("fp")), "candidate-sets")
+    owners = measured.where("part is null").join(nodes, "fp").groupBy("node").agg(F.min(F.struct("th", "id")).alias("o"))
+    owners = scratch.small(owners.select("node", F.col("o.th").alias("owner_th"), F.col("o.id").alias("owner_id")), "set-owners")
+    texts = base.join(owners, (F.col("th") == F.col("owner_th")) & F.col("id").eqNullSafe(F.col("owner_id"))).select("text", "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", HASH_BYTES):
             sets = shingle_sets(raw_texts(batch.column("text")))
-            yield pa.RecordBatch.from_arrays([batch.column("fp"), pa.array([bit_set(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["fp", "bits", "items"])
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([bit_set(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "bits", "items"])
 
-    return scratch.table(texts.mapInArrow(give_back(run), "fp long, bits binary, items binary"), "sets")
+    return scratch.table(texts.mapInArrow(give_back(run), "node long, bits binary, items binary"), "sets"), nodes
 
 
 def _similar_documents(documents: DataFrame, id_col: str, text_col: str, hot: int, short_list: int, block: int) -> DataFrame:
@@ -471,23 +482,23 @@ def _similar_documents(documents: DataFrame, id_col: str, text_col: str, hot: in
     buckets = max(16, math.ceil(int(total) / BUCKET_ENTRIES))
     dealt = base.select("text").mapInArrow(_deal(spark.sparkContext.broadcast(counts), "text", buckets, limit), "bucket int, kind int, data binary")
     found = scratch.table(dealt.groupBy("bucket").applyInArrow(_meet(short_list), "kind int, a long, b long, token long, n long, rest long"), "candidates")
-    sets = _candidate_sets(scratch, base, measured, found)
+    sets, nodes = _candidate_sets(scratch, base, measured, found)
     # stars, and groups with their members
     first = scratch.small(found.where(F.col("kind").isin(_STAR, _MEMBER)).select("a", "b").distinct(), "pairs")
     tested, links = _links(scratch, first, sets)
     roots = scratch.small(components(links, scratch), "roots")
     other = found.where(F.col("kind").isin(_STAR, _OTHER)).select("a", "b").distinct()
-    entries = found.where(F.col("kind") == _LIST).select("token", F.col("a").alias("fp"), "n", "rest")
+    entries = found.where(F.col("kind") == _LIST).select("token", F.col("a").alias("node"), "n", "rest")
     members = scratch.small(found.where(F.col("kind") == _MEMBER).select("a", "b", "n"), "members")
     if not members.isEmpty():  # they go where their group goes, and form a list of their own
         of = lambda c: members.select(F.col("a").alias(c), F.col("b").alias("m"))
         for c, d in (("a", "b"), ("b", "a")):
             other = other.unionByName(other.join(of(c), c).select(F.col("m").alias(c), d))
-        more = entries.withColumnRenamed("fp", "a").join(of("a"), "a").select("token", F.col("m").alias("fp"), "n", "rest")
-        own = members.select(F.col("a").alias("token"), F.explode(F.array("a", "b")).alias("fp"), "n", F.col("n").alias("rest")).distinct()
+        more = entries.withColumnRenamed("node", "a").join(of("a"), "a").select("token", F.col("m").alias("node"), "n", "rest")
+        own = members.select(F.col("a").alias("token"), F.explode(F.array("a", "b")).alias("node"), "n", F.col("n").alias("rest")).distinct()
         entries = entries.unionByName(more).unionByName(own)
     other = _with_root(other, roots, "a", "b").where("r_a <> r_b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    across = _across(scratch, _with_root(entries, roots, "fp"), sets, block)
+    across = _across(scratch, _with_root(entries, roots, "node"), sets, block)
     second = scratch.small(other.unionByName(across).distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
     _, more = _links(scratch, second, sets)
     if not more.isEmpty():  # joins components
@@ -495,9 +506,9 @@ def _similar_documents(documents: DataFrame, id_col: str, text_col: str, hot: in
         again = scratch.small(components(joins, scratch), "joined-roots")
         alone = joins.select(F.explode(F.array("a", "b")).alias("node")).select("node", F.col("node").alias("root"))
         roots = _with_root(roots.unionByName(alone).distinct(), again, "root").select("node", F.col("r_root").alias("root"))
-    roots = kept.small(roots, "roots")
+    roots = kept.small(roots.join(nodes, "node").select("fp", "root"), "roots")
     # the smallest id of each component; wordless documents stand alone
-    placed = rows.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("id", "th", "n", "fp", F.when(F.col("n") > 0, F.coalesce("root", "fp")).alias("root"))
+    placed = rows.join(roots, "fp", "left").select("id", "th", "n", "fp", F.when(F.col("n") > 0, F.coalesce("root", "fp")).alias("root"))
     smallest = placed.where("root is not null").groupBy("root").agg(F.min("id").alias("smallest"), F.count(F.lit(1)).alias("size")).where("size > 1").drop("size")
     smallest = kept.small(smallest, "smallest-ids")
     scratch.clear()
