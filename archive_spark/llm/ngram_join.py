@@ -13,9 +13,9 @@ hashes. Two sets link when 100 * |intersection| >= 75 * |union|. Results are con
    32 bits within the bucket: shingles taken for one another give more candidates, never fewer. Lists are sorted by position; pairs are filtered
    by size and by the positions of the shared shingle. A short list gives all its pairs; a long one only a star, and is
    kept. A shingle that is hot by the sketch is thinned to one entry for each group and task before the shuffle.
-4. The sets of all candidates are read once and written with a bit set of each: a shingle flips one bit, so two sets
-   differ in as many shingles as bits at least. Star pairs, and groups with their members, are held against bit sets, and
-   only pairs that can still link against whole sets. Links give components.
+4. The sets of all candidates are read once and a bit set of each is written: a shingle flips one bit, so two sets differ
+   in as many shingles as bits at least. Star pairs, and groups with their members, are held against bit sets, and only
+   pairs that can still link against whole sets, which are read for these alone. Links give components.
 5. Only pairs between different components can still matter: those of short lists, and of long lists with more than one
    component. The latter are compared in blocks of bounded size, so that a hot list is split over tasks, by bit sets in
    place; no pair is written that they rule out. Members of a group that did not link with it take part by themselves.
@@ -353,10 +353,14 @@ def _passing(pairs: DataFrame, sets: DataFrame, column: str, test) -> DataFrame:
     return both.where("x is not null and y is not null").mapInArrow(give_back(run), "a long, b long")
 
 
-def _links(scratch: Scratch, pairs: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The pairs that bit sets leave, and those of them whose sets link, both as tables. pairs: a small() table."""
+def _links(scratch: Scratch, pairs: DataFrame, sets: DataFrame, base: DataFrame, owners: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The pairs that bit sets leave, and those of them whose sets link, both as tables. pairs: a small() table.
+
+    Whole sets are far larger than bit sets, so only those of pairs that are left are read and written."""
     some = scratch.small(_passing(pairs, sets, "bits", near), "near-pairs")
-    return some, scratch.small(_passing(some, sets, "items", linked), "links")
+    ends = some.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    whole = _read_sets(scratch, base, scratch.small(owners.join(ends, "node", "left_semi"), "near-owners"), "items", np.ndarray.tobytes)
+    return some, scratch.small(_passing(some, whole, "items", linked), "links")
 
 
 def components(links: DataFrame, scratch: Scratch) -> DataFrame:
@@ -450,22 +454,26 @@ def _across(scratch: Scratch, entries: DataFrame, sets: DataFrame, block: int) -
     return dealt.mapInArrow(give_back(run), "a long, b long")
 
 
-def _candidate_sets(scratch: Scratch, base: DataFrame, measured: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """node, bits, items of the sets that occur in candidates, and node, fp of each, as tables. Each set is read from one document
-    that has it, which is known by id and the hash of its text, so that null and repeated ids do no harm."""
-    ends = found.where(F.col("kind") != _GROUP).select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    standing = found.where(F.col("kind") == _GROUP).select(F.col("a").alias("node"), F.col("b").alias("fp"))
-    nodes = scratch.small(ends.join(standing, "node", "left").select("node", F.coalesce("fp", "node").alias("fp")), "candidate-sets")
-    owners = measured.where("part is null").join(nodes, "fp").groupBy("node").agg(F.min(F.struct("th", "id")).alias("o"))
-    owners = scratch.small(owners.select("node", F.col("o.th").alias("owner_th"), F.col("o.id").alias("owner_id")), "set-owners")
+def _read_sets(scratch: Scratch, base: DataFrame, owners: DataFrame, column: str, form) -> DataFrame:
+    """node and the form of its set, read from the document that owns it, as a table. owners: a small() table."""
     texts = base.join(owners, (F.col("th") == F.col("owner_th")) & F.col("id").eqNullSafe(F.col("owner_id"))).select("text", "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", HASH_BYTES):
             sets = shingle_sets(raw_texts(batch.column("text")))
-            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([bit_set(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "bits", "items"])
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([form(s) for s in sets], pa.binary())], names=["node", column])
+
+    return scratch.table(texts.mapInArrow(give_back(run), f"node long, {column} binary"), f"set-{column}")
 
-    return scratch.table(texts.mapInArrow(give_back(run), "node long, bits binary, items binary"), "sets"), nodes
+
+def _candidates(scratch: Scratch, measured: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """node, fp of the sets that occur in candidates, and node, owner_th, owner_id: one document that has the set, which is known
+    by id and the hash of its text, so that null and repeated ids do no harm. Both as tables."""
+    ends = found.where(F.col("kind") != _GROUP).select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    standing = found.where(F.col("kind") == _GROUP).select(F.col("a").alias("node"), F.col("b").alias("fp"))
+    nodes = scratch.small(ends.join(standing, "node", "left").select("node", F.coalesce("fp", "node").alias("fp")), "candidate-sets")
+    owners = measured.where("part is null").join(nodes, "fp").groupBy("node").agg(F.min(F.struct("th", "id")).alias("o"))
+    return nodes, scratch.small(owners.select("node", F.col("o.th").alias("owner_th"), F.col("o.id").alias("owner_id")), "set-owners")
 
 
 def _similar_documents(documents: DataFrame, id_col: str, text_col: str, hot: int, short_list: int, block: int) -> DataFrame:
@@ -482,10 +490,11 @@ def _similar_documents(documents: DataFrame, id_col: str, text_col: str, hot: in
     buckets = max(16, math.ceil(int(total) / BUCKET_ENTRIES))
     dealt = base.select("text").mapInArrow(_deal(spark.sparkContext.broadcast(counts), "text", buckets, limit), "bucket int, kind int, data binary")
     found = scratch.table(dealt.groupBy("bucket").applyInArrow(_meet(short_list), "kind int, a long, b long, token long, n long, rest long"), "candidates")
-    sets, nodes = _candidate_sets(scratch, base, measured, found)
+    nodes, owners = _candidates(scratch, measured, found)
+    sets = _read_sets(scratch, base, owners, "bits", bit_set)
     # stars, and groups with their members
     first = scratch.small(found.where(F.col("kind").isin(_STAR, _MEMBER)).select("a", "b").distinct(), "pairs")
-    tested, links = _links(scratch, first, sets)
+    tested, links = _links(scratch, first, sets, base, owners)
     roots = scratch.small(components(links, scratch), "roots")
     other = found.where(F.col("kind").isin(_STAR, _OTHER)).select("a", "b").distinct()
     entries = found.where(F.col("kind") == _LIST).select("token", F.col("a").alias("node"), "n", "rest")
@@ -500,7 +509,7 @@ def _similar_documents(documents: DataFrame, id_col: str, text_col: str, hot: in
     other = _with_root(other, roots, "a", "b").where("r_a <> r_b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     across = _across(scratch, _with_root(entries, roots, "node"), sets, block)
     second = scratch.small(other.unionByName(across).distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
-    _, more = _links(scratch, second, sets)
+    _, more = _links(scratch, second, sets, base, owners)
     if not more.isEmpty():  # joins components
         joins = _with_root(more, roots, "a", "b").select(F.col("r_a").alias("a"), F.col("r_b").alias("b")).distinct()
         again = scratch.small(components(joins, scratch), "joined-roots")
